@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.maps import drop_keys, set_key
+from ..functions.parallel import parse_json, spread
 from ..functions.versions import floor_version
 from ..operators import documents as D
 from ..operators.projections import stringify
@@ -25,9 +26,8 @@ PARAMS = D.ClusterParams(volume_path=VOLUME, single_user=ML_USER, policy_id=POLI
 
 
 def _config(spark, sf_dir) -> DataFrame:
-    """config_docs parsed with the job document schema."""
-    return fx.config_docs(spark, sf_dir).select(
-        "doc_id", F.from_json("doc", D.JOB_DOC_DDL).alias("d"))
+    """config_docs parsed (once per row) with the job document schema."""
+    return parse_json(spread(fx.config_docs(spark, sf_dir)), "doc", D.JOB_DOC_DDL, "d", keep=("doc_id",))
 
 
 def _settings(spark, sf_dir) -> DataFrame:
@@ -239,17 +239,19 @@ def q_each_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
         D.each(F.col("job_clusters"), "new_cluster", fn).alias("job_clusters"),
         F.transform(D.each(F.col("tasks"), "new_cluster", fn), lambda t: t.withField(
             "existing_cluster_id", D.override(t["existing_cluster_id"], EXISTING_CLUSTER))).alias("tasks"))
-    jc = job.select("doc_id", F.lit("job_cluster").alias("kind"), F.explode("job_clusters").alias("e")) \
-            .select("doc_id", "kind", F.col("e.job_cluster_key").alias("element_key"),
-                    F.col("e.new_cluster").alias("c"), F.lit(None).cast("string").alias("existing_cluster_id"))
-    tk = job.select("doc_id", F.lit("task").alias("kind"), F.explode("tasks").alias("e")) \
-            .select("doc_id", "kind", F.col("e.task_key").alias("element_key"),
-                    F.col("e.new_cluster").alias("c"), F.col("e.existing_cluster_id").alias("existing_cluster_id"))
-    return jc.unionByName(tk).select(
-        "doc_id", "kind", "element_key", F.col("c.spark_version").alias("spark_version"),
-        F.col("c.data_security_mode").alias("data_security_mode"),
-        F.to_json("c.spark_conf").alias("spark_conf"), F.col("c.disk_spec").alias("disk_spec"),
-        "existing_cluster_id")
+    # Both lists in one generate: each document is read and parsed once.
+    elements = F.concat(
+        F.transform("job_clusters", lambda x: F.struct(
+            F.lit("job_cluster").alias("kind"), x["job_cluster_key"].alias("element_key"),
+            x["new_cluster"].alias("c"), F.lit(None).cast("string").alias("existing_cluster_id"))),
+        F.transform("tasks", lambda x: F.struct(
+            F.lit("task").alias("kind"), x["task_key"].alias("element_key"),
+            x["new_cluster"].alias("c"), x["existing_cluster_id"].alias("existing_cluster_id"))))
+    return job.select("doc_id", F.explode(elements).alias("e")).select(
+        "doc_id", "e.kind", "e.element_key", F.col("e.c.spark_version").alias("spark_version"),
+        F.col("e.c.data_security_mode").alias("data_security_mode"),
+        F.to_json("e.c.spark_conf").alias("spark_conf"), F.col("e.c.disk_spec").alias("disk_spec"),
+        "e.existing_cluster_id")
 
 
 # ---- event properties --------------------------------------------------
@@ -382,8 +384,7 @@ def _acl_sql(select: str) -> str:
 
 
 def _flat_acl(spark, sf_dir) -> DataFrame:
-    a = fx.acl_docs(spark, sf_dir).select(
-        "object_id", F.from_json("doc", D.ACL_DOC_DDL).alias("d"))
+    a = parse_json(spread(fx.acl_docs(spark, sf_dir)), "doc", D.ACL_DOC_DDL, "d", keep=("object_id",))
     entries = D.principal_rows(D.flatten_acl(F.col("d.access_control_list")))
     return a.select("object_id", F.explode_outer(entries).alias("e")).select(
         "object_id", "e.principal_type", "e.principal", "e.permission_level")

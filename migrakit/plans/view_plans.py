@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.parallel import spread
 from ..functions.strings import quote_ident, quote_name
 from ..operators.projections import attributes_wide
 from ..operators.sqltext import cut_over_views, qualify_sql, qualify_sql_duckdb, view_statements
@@ -29,7 +30,7 @@ _QUALIFIED = qualify_sql_duckdb("view_text", SCHEMAS, CATALOG, OLD_CATALOGS)
     f"SELECT schema_name, view_name, {_QUALIFIED} AS view_text FROM view_texts", "view_texts"))
 def q_qualify_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schema names in every view text put under the new catalog."""
-    return qualify_sql(fx.view_texts(spark, sf_dir), "view_text", SCHEMAS, CATALOG, OLD_CATALOGS)
+    return qualify_sql(spread(fx.view_texts(spark, sf_dir)), "view_text", SCHEMAS, CATALOG, OLD_CATALOGS)
 
 
 @plan("view_statements", fx.with_fixtures(
@@ -38,7 +39,7 @@ def q_qualify_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     "view_texts"))
 def q_view_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3/P5: one create statement per view."""
-    return view_statements(fx.view_texts(spark, sf_dir), SCHEMAS, CATALOG, OLD_CATALOGS)
+    return view_statements(spread(fx.view_texts(spark, sf_dir)), SCHEMAS, CATALOG, OLD_CATALOGS)
 
 
 # Views of the legacy schema used by the cut-over plan: (name, text, oracle).

@@ -99,7 +99,7 @@ def copy_table(spark: SparkSession, src: TableRef, ext_loc: str, to_format: str
 
 
 def copy_tables(spark: SparkSession, tasks: Iterable[tuple[TableRef, str]],
-                to_format: str | None = None, if_exists: str = "skip", max_workers: int = 4,
+                to_format: str | None = None, if_exists: str = "skip", max_workers: int = 8,
                 target_names: dict | None = None) -> DataFrame:
     """K4: copy many tables concurrently; one outcome row per table.
 

@@ -8,7 +8,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import TableRef, read_table, table_fingerprint, union_all
+from ..sources.tables import TableRef, read_tables, table_fingerprint, union_all
 
 KEYS = ("database", "table_name")
 
@@ -49,27 +49,29 @@ def split_outcomes(df: DataFrame, col: str = "verdict", ok: str = MATCH) -> tupl
 
 
 def fingerprints(spark: SparkSession, refs: Sequence[TableRef], schemas: dict | None = None,
-                 columns: dict | None = None) -> DataFrame:
+                 columns: dict | None = None, frames: Sequence | None = None) -> DataFrame:
     """Count and order-free content hash per table, as one plan over all
     tables: (database, table_name, n, content_hash).  Unreadable tables get
     NULLs.  ``schemas`` pins the read schema (so a partitioned copy reads its
     partition columns with the source's types); ``columns`` pins the column
-    order of the hash."""
-    schemas, columns = schemas or {}, columns or {}
-    frames, bad = [], []
-    for r in refs:
+    order of the hash; ``frames`` passes tables already resolved."""
+    columns = columns or {}
+    frames = list(frames) if frames is not None else read_tables(spark, refs, schemas)
+    out, bad = [], []
+    for r, df in zip(refs, frames):
         key = (r.database, r.table)
         try:
-            df = read_table(spark, r, schemas.get(key))
+            if isinstance(df, Exception):
+                raise df
             fp = table_fingerprint(df, columns.get(key))
-            frames.append(fp.select(F.lit(r.database).alias("database"),
-                                    F.lit(r.table).alias("table_name"), "n", "content_hash"))
+            out.append(fp.select(F.lit(r.database).alias("database"),
+                                 F.lit(r.table).alias("table_name"), "n", "content_hash"))
         except Exception:  # noqa: BLE001
             bad.append((r.database, r.table, None, None))
-    if bad or not frames:
-        frames.append(spark.createDataFrame(
+    if bad or not out:
+        out.append(spark.createDataFrame(
             bad, "database string, table_name string, n long, content_hash decimal(38,0)"))
-    return union_all(frames)
+    return union_all(out)
 
 
 def verify_copies(spark: SparkSession, pairs: Sequence[tuple[TableRef, TableRef]]) -> DataFrame:
@@ -78,17 +80,15 @@ def verify_copies(spark: SparkSession, pairs: Sequence[tuple[TableRef, TableRef]
     Output: database, table_name, source_count, target_count, verdict, where
     verdict is ``match`` only when counts and content hashes are equal."""
     src_refs = [s for s, _ in pairs]
+    src_frames = read_tables(spark, src_refs)
     schemas, columns = {}, {}
-    for s, _ in pairs:
-        try:
-            schema = read_table(spark, s).schema
-            schemas[(s.database, s.table)] = schema
-            columns[(s.database, s.table)] = schema.fieldNames()
-        except Exception:  # noqa: BLE001
-            pass
+    for s, df in zip(src_refs, src_frames):
+        if not isinstance(df, Exception):
+            schemas[(s.database, s.table)] = df.schema
+            columns[(s.database, s.table)] = df.schema.fieldNames()
     dst_refs = [TableRef(s.database, s.table, d.provider, d.location, d.partition_columns, d.name,
                          d.options) for s, d in pairs]
-    a = fingerprints(spark, src_refs).select(*KEYS, F.col("n").alias("source_count"),
+    a = fingerprints(spark, src_refs, frames=src_frames).select(*KEYS, F.col("n").alias("source_count"),
                                              F.col("content_hash").alias("_sh"), F.lit(True).alias("_src"))
     b = fingerprints(spark, dst_refs, schemas, columns).select(
         *KEYS, F.col("n").alias("target_count"), F.col("content_hash").alias("_dh"),

@@ -36,7 +36,7 @@ def q_count_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def copy_and_verify(spark: SparkSession, refs: list[TableRef], base: str,
-                    to_format: str | None = None, max_workers: int = 4) -> tuple[DataFrame, DataFrame]:
+                    to_format: str | None = None, max_workers: int = 8) -> tuple[DataFrame, DataFrame]:
     """K4 + V1 with content hashes: copy every table under ``base`` and check
     each copy.  Returns (outcomes, verdicts)."""
     tasks = [(r, f"{base}/{r.database}/{r.table}") for r in refs]

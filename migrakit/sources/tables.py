@@ -80,8 +80,28 @@ def union_all(frames: Sequence[DataFrame], allow_missing: bool = True) -> DataFr
     return frames[0]
 
 
-def _count_frame(spark: SparkSession, ref: TableRef) -> DataFrame:
-    df = read_table(spark, ref)
+def read_tables(spark: SparkSession, refs: Sequence[TableRef], schemas: dict | None = None,
+                max_workers: int = 8) -> list:
+    """Resolve many tables at once: a DataFrame per ref, or the exception
+    when it cannot be resolved.  Resolving is driver work (file listing,
+    footer or catalog lookups) and is done from a small thread pool, so its
+    cost grows with the number of tables divided by the pool size."""
+    schemas = schemas or {}
+
+    def one(ref):
+        try:
+            return read_table(spark, ref, schemas.get((ref.database, ref.table)))
+        except Exception as e:  # noqa: BLE001
+            return e
+
+    refs = list(refs)
+    if len(refs) <= 1:
+        return [one(r) for r in refs]
+    with ThreadPoolExecutor(max_workers=min(max_workers, len(refs))) as pool:
+        return list(pool.map(one, refs))
+
+
+def _count_frame(ref: TableRef, df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n")).select(
         F.lit(ref.database).alias("database"), F.lit(ref.table).alias("table_name"), "n")
 
@@ -99,7 +119,7 @@ def count_tables(spark: SparkSession, refs: Iterable[TableRef], isolate: bool =
     if isolate:
         def one(ref):
             try:
-                row = _count_frame(spark, ref).first()
+                row = _count_frame(ref, read_table(spark, ref)).first()
                 return (ref.database, ref.table, row["n"])
             except Exception:  # noqa: BLE001 - any failure is an unreadable table
                 return (ref.database, ref.table, None)
@@ -109,11 +129,11 @@ def count_tables(spark: SparkSession, refs: Iterable[TableRef], isolate: bool =
         return records(spark, rows, COUNT_SCHEMA)
 
     frames, unreadable = [], []
-    for ref in refs:
-        try:
-            frames.append(_count_frame(spark, ref))
-        except Exception:  # noqa: BLE001
+    for ref, df in zip(refs, read_tables(spark, refs)):
+        if isinstance(df, Exception):
             unreadable.append((ref.database, ref.table, None))
+        else:
+            frames.append(_count_frame(ref, df))
     if unreadable or not frames:
         frames.append(records(spark, unreadable, COUNT_SCHEMA))
     return union_all(frames)

@@ -14,7 +14,7 @@ from ..functions.strings import bounded_text
 from ..sources.tables import SAME_FORMAT_PROVIDERS, TableRef, partition_columns, read_table, records
 
 OUTCOME_SCHEMA = ("database string, table_name string, curr_loc string, ext_loc string, "
-                  "format string, copied_successfully boolean, error string")
+                  "format string, copied_successfully boolean, action string, error string")
 
 # Scheduler pool the copy submissions run in (FAIR mode shares the cluster
 # between the concurrent copies instead of running them one after another).
@@ -64,6 +64,17 @@ def target_format(provider: str | None, to_format: str | None) -> str:
     return to_format or "parquet"
 
 
+def target_state(spark: SparkSession, location: str) -> str:
+    """``absent``, ``complete`` (a committed job left ``_SUCCESS``) or
+    ``incomplete`` (files of a job that did not commit)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(location)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return "absent"
+    return "complete" if fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")) else "incomplete"
+
+
 def copy_table(spark: SparkSession, src: TableRef, ext_loc: str, to_format: str | None = None,
                if_exists: str = "skip", target_name: str | None = None,
                max_records_per_file: int | None = None) -> dict:
@@ -72,17 +83,28 @@ def copy_table(spark: SparkSession, src: TableRef, ext_loc: str, to_format: str
     The copy is one distributed job: scan -> (local sort by partition
     columns, added by Spark for dynamic partitions) -> files.  No shuffle:
     source files usually hold one partition value each, so each task writes
-    few files, and no task receives a whole hot partition.
-    ``if_exists='skip'`` leaves an existing target untouched.
+    few files, and no task receives a whole hot partition.  Lost executors
+    only rerun their tasks; the job commits atomically.
+
+    ``if_exists='skip'`` leaves a complete target untouched (a second run,
+    even if the source grew) and rewrites one a failed run left behind, so a
+    rerun after a crash resumes the remaining tables.
     Never raises; the outcome says what happened."""
     fmt = target_format(src.provider, to_format)
     outcome = {"database": src.database, "table_name": src.table,
                "curr_loc": src.location or src.name, "ext_loc": ext_loc, "format": fmt,
-               "copied_successfully": False, "error": None}
+               "copied_successfully": False, "action": "failed", "error": None}
     try:
+        mode = {"skip": "ignore", "fail": "errorifexists", "overwrite": "overwrite"}[if_exists]
+        if if_exists == "skip":
+            exists = (spark.catalog.tableExists(target_name) if target_name
+                      else target_state(spark, ext_loc) == "complete")
+            if exists:
+                outcome.update(copied_successfully=True, action="skipped")
+                return outcome
+            mode = "overwrite"
         df = read_table(spark, src)
         parts = [c for c in partition_columns(spark, src) if c in df.columns]
-        mode = {"skip": "ignore", "fail": "errorifexists", "overwrite": "overwrite"}[if_exists]
         writer = df.write.format(fmt).mode(mode)
         if parts:
             writer = writer.partitionBy(*parts)
@@ -92,7 +114,7 @@ def copy_table(spark: SparkSession, src: TableRef, ext_loc: str, to_format: str
             writer.option("path", ext_loc).saveAsTable(target_name)
         else:
             writer.save(ext_loc)
-        outcome["copied_successfully"] = True
+        outcome.update(copied_successfully=True, action="copied")
     except Exception as e:  # noqa: BLE001 - the outcome table carries it
         outcome["error"] = str(e)[:32000]
     return outcome
@@ -121,7 +143,7 @@ def copy_tables(spark: SparkSession, tasks: Iterable[tuple[TableRef, str]],
     with ThreadPoolExecutor(max_workers=max(1, max_workers)) as pool:
         outcomes = list(pool.map(run, tasks))
     rows = [(o["database"], o["table_name"], o["curr_loc"], o["ext_loc"], o["format"],
-             o["copied_successfully"], o["error"]) for o in outcomes]
+             o["copied_successfully"], o["action"], o["error"]) for o in outcomes]
     return records(spark, rows, OUTCOME_SCHEMA)
 
 

@@ -84,8 +84,9 @@ def filter_ids(df: DataFrame, key: str, ids: str | Sequence[str] | DataFrame,
     given list is a literal of known size; a frame of ids is a left-semi
     join, planned by Spark (and AQE) on measured sizes."""
     if isinstance(ids, DataFrame):
-        return df.join(ids.select(F.col(id_col).alias("_id")).distinct(),
-                       F.col(key) == F.col("_id"), "left_semi")
+        # A semi join never repeats a left row, so the ids need no distinct.
+        return df.join(ids.select(F.col(id_col).alias("_id")),
+                       F.col(key).cast("string") == F.col("_id").cast("string"), "left_semi")
     if isinstance(ids, str):
         ids = ids.split(",")
     wanted = sorted({i.strip() for i in ids if i and i.strip()})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import quote_name
 from .copying import needs_copy_predicate
+from .merge import outer_match
 
 KEYS = ("database", "table_name")
 
@@ -33,25 +34,27 @@ def plan_sync(src: DataFrame, dst: DataFrame, prefix: str = "s3", legacy: str =
     UNSUPPORTED: a temporary table, or one that must be copied (not on the
     object store, or on the legacy provider).  EXISTS / CHANGED: in both,
     same / other provider.  TO_CREATE: can be registered over its files.
-    One full outer join (shuffle on the keys), no writes."""
-    s = src.select(*keys, "table_type", F.col("provider").alias("source_provider"), "location",
-                   (F.col("is_temporary") if "is_temporary" in src.columns else F.lit(False))
-                   .alias("_tmp"), F.lit(True).alias("_src"))
-    d = dst.select(*keys, F.col("provider").alias("target_provider"), F.lit(True).alias("_dst"))
-    j = s.join(d, list(keys), "full_outer")
-    external = F.coalesce(~needs_copy_predicate(F.col("location"), F.col("source_provider"),
-                                                prefix, legacy), F.lit(False))
-    status = (F.when(F.col("_src").isNull(), ORPHAN)
-               .when(F.col("table_type") == "VIEW", VIEWS_NOT_SUPPORTED)
-               .when(F.coalesce(F.col("_tmp"), F.lit(False)), UNSUPPORTED)
-               .when(F.col("_dst").isNotNull()
-                     & F.col("source_provider").eqNullSafe(F.col("target_provider")), EXISTS)
-               .when(F.col("_dst").isNotNull(), CHANGED)
+    Both sides are matched by one union + aggregation on the keys (one
+    shuffle, skew-safe: see ``merge.outer_match``), no writes."""
+    tmp = F.col("is_temporary") if "is_temporary" in src.columns else F.lit(False)
+    m = outer_match(src, dst, keys,
+                    [F.col("table_type"), F.col("provider").alias("source_provider"), F.col("location"),
+                     tmp.alias("tmp")],
+                    [F.col("provider").alias("target_provider")])
+    in_src, in_dst = F.col("_l").isNotNull(), F.col("_r").isNotNull()
+    sp, tp = F.col("_l.source_provider"), F.col("_r.target_provider")
+    external = F.coalesce(~needs_copy_predicate(F.col("_l.location"), sp, prefix, legacy), F.lit(False))
+    status = (F.when(~in_src, ORPHAN)
+               .when(F.col("_l.table_type") == "VIEW", VIEWS_NOT_SUPPORTED)
+               .when(F.coalesce(F.col("_l.tmp"), F.lit(False)), UNSUPPORTED)
+               .when(in_dst & sp.eqNullSafe(tp), EXISTS)
+               .when(in_dst, CHANGED)
                .when(external, TO_CREATE)
                .otherwise(UNSUPPORTED))
-    return j.select(F.col(keys[0]).alias("source_schema"), F.col(keys[1]).alias("source_name"),
-                    F.col("table_type").alias("source_type"), "source_provider", "target_provider",
-                    "location", status.alias("status_code"))
+    return m.select(F.col(keys[0]).alias("source_schema"), F.col(keys[1]).alias("source_name"),
+                    F.col("_l.table_type").alias("source_type"), sp.alias("source_provider"),
+                    tp.alias("target_provider"), F.col("_l.location").alias("location"),
+                    status.alias("status_code"))
 
 
 def sync_report(sync: DataFrame, dims: Sequence[str] = ("status_code", "source_type")) -> DataFrame:

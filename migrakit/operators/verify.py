@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import TableRef, read_tables, table_fingerprint, union_all
+from .merge import outer_match
 
 KEYS = ("database", "table_name")
 
@@ -28,16 +29,32 @@ def count_verdict(in_src: Column, in_dst: Column, a: Column, b: Column) -> Colum
 
 def verify_counts(src: DataFrame, dst: DataFrame, keys: Sequence[str] = KEYS,
                   count_col: str = "n") -> DataFrame:
-    """V1: source counts against target counts, full outer on the keys so that
+    """V1: source counts against target counts, matched on the keys so that
     a table lost on either side shows.  Output: keys, source_count,
     target_count, verdict.  NULL counts get ``unknown`` instead of being in
-    neither list."""
-    s = src.select(*keys, F.col(count_col).alias("source_count"), F.lit(True).alias("_src"))
-    d = dst.select(*keys, F.col(count_col).alias("target_count"), F.lit(True).alias("_dst"))
-    j = s.join(d, list(keys), "full_outer")
-    return j.select(*keys, "source_count", "target_count",
-                    count_verdict(F.col("_src"), F.col("_dst"), F.col("source_count"),
-                                  F.col("target_count")).alias("verdict"))
+    neither list.
+
+    A table may come as several count rows (e.g. one per partition or file):
+    its count is their sum, NULL when any part is NULL.  Matching is one
+    union + aggregation (one shuffle, map-side partial sums), so a table with
+    very many count rows never lands whole in one task."""
+    n = F.col(count_col).cast("long")
+    none = F.lit(None).cast("long")
+
+    def side(df: DataFrame, is_src: bool) -> DataFrame:
+        return df.select(*keys, (n if is_src else none).alias("_s"), (none if is_src else n).alias("_t"),
+                         F.lit(is_src).alias("_in_s"), F.lit(not is_src).alias("_in_t"),
+                         (n.isNull() & F.lit(is_src)).alias("_s_null"),
+                         (n.isNull() & F.lit(not is_src)).alias("_t_null"))
+
+    g = side(src, True).unionByName(side(dst, False)).groupBy(*keys).agg(
+        F.sum("_s").alias("_s"), F.sum("_t").alias("_t"), F.max("_in_s").alias("_in_s"),
+        F.max("_in_t").alias("_in_t"), F.max("_s_null").alias("_s_null"), F.max("_t_null").alias("_t_null"))
+    s_count = F.when(~F.col("_s_null"), F.col("_s"))
+    t_count = F.when(~F.col("_t_null"), F.col("_t"))
+    verdict = count_verdict(F.when(F.col("_in_s"), True), F.when(F.col("_in_t"), True), s_count, t_count)
+    return g.select(*keys, s_count.alias("source_count"), t_count.alias("target_count"),
+                    verdict.alias("verdict"))
 
 
 def split_outcomes(df: DataFrame, col: str = "verdict", ok: str = MATCH) -> tuple[DataFrame, DataFrame]:
@@ -88,12 +105,11 @@ def verify_copies(spark: SparkSession, pairs: Sequence[tuple[TableRef, TableRef]
             columns[(s.database, s.table)] = df.schema.fieldNames()
     dst_refs = [TableRef(s.database, s.table, d.provider, d.location, d.partition_columns, d.name,
                          d.options) for s, d in pairs]
-    a = fingerprints(spark, src_refs, frames=src_frames).select(*KEYS, F.col("n").alias("source_count"),
-                                             F.col("content_hash").alias("_sh"), F.lit(True).alias("_src"))
-    b = fingerprints(spark, dst_refs, schemas, columns).select(
-        *KEYS, F.col("n").alias("target_count"), F.col("content_hash").alias("_dh"),
-        F.lit(True).alias("_dst"))
-    j = a.join(b, list(KEYS), "full_outer")
-    v = count_verdict(F.col("_src"), F.col("_dst"), F.col("source_count"), F.col("target_count"))
-    v = F.when((v == MATCH) & ~F.col("_sh").eqNullSafe(F.col("_dh")), MISMATCH).otherwise(v)
-    return j.select(*KEYS, "source_count", "target_count", v.alias("verdict"))
+    a = fingerprints(spark, src_refs, frames=src_frames)
+    b = fingerprints(spark, dst_refs, schemas, columns)
+    m = outer_match(a, b, KEYS, [F.col("n"), F.col("content_hash")], [F.col("n"), F.col("content_hash")])
+    sc, tc = F.col("_l.n"), F.col("_r.n")
+    v = count_verdict(F.col("_l"), F.col("_r"), sc, tc)
+    v = F.when((v == MATCH) & ~F.col("_l.content_hash").eqNullSafe(F.col("_r.content_hash")),
+               MISMATCH).otherwise(v)
+    return m.select(*KEYS, sc.alias("source_count"), tc.alias("target_count"), v.alias("verdict"))

@@ -104,3 +104,17 @@ def test_resumable_copy_resumes(spark):
     second = copy_resumable(spark, src, f"{base}/data", checkpoint=f"{base}/ckpt")
     assert second["rows"] == 0
     assert verify_copies(spark, [(src, src.at(f"{base}/data"))]).first().verdict == "match"
+
+
+def test_skip_rewrites_an_incomplete_target(spark):
+    base = work_dir(spark, "tests", "resume")
+    src = _ref("nation")
+    # Files of a run that never committed: no _SUCCESS marker.
+    read_table(spark, _ref("region")).write.parquet(f"{base}/nation")
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{base}/nation/_SUCCESS")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, False)
+    out = copy_table(spark, src, f"{base}/nation")
+    assert out["action"] == "copied"
+    assert verify_copies(spark, [(src, src.at(f"{base}/nation"))]).first().verdict == "match"
+    assert copy_table(spark, src, f"{base}/nation")["action"] == "skipped"

@@ -3,12 +3,13 @@ an outcome frame into its good and bad part (F3, U2)."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import TableRef, read_tables, table_fingerprint, union_all
+from ..sources.tables import TableRef, read_table, read_tables, table_fingerprint
 from .merge import outer_match
 
 KEYS = ("database", "table_name")
@@ -65,30 +66,42 @@ def split_outcomes(df: DataFrame, col: str = "verdict", ok: str = MATCH) -> tupl
     return df.where(good), df.where(~good)
 
 
+FINGERPRINT_SCHEMA = "database string, table_name string, n long, content_hash decimal(38,0)"
+
+
 def fingerprints(spark: SparkSession, refs: Sequence[TableRef], schemas: dict | None = None,
-                 columns: dict | None = None, frames: Sequence | None = None) -> DataFrame:
-    """Count and order-free content hash per table, as one plan over all
-    tables: (database, table_name, n, content_hash).  Unreadable tables get
-    NULLs.  ``schemas`` pins the read schema (so a partitioned copy reads its
-    partition columns with the source's types); ``columns`` pins the column
-    order of the hash; ``frames`` passes tables already resolved."""
-    columns = columns or {}
-    frames = list(frames) if frames is not None else read_tables(spark, refs, schemas)
-    out, bad = [], []
-    for r, df in zip(refs, frames):
-        key = (r.database, r.table)
+                 columns: dict | None = None, frames: Sequence | None = None,
+                 max_workers: int = 8) -> DataFrame:
+    """Count and order-free content hash per table: (database, table_name, n,
+    content_hash); NULLs for a table that cannot be read.
+
+    One job per table, submitted from a small driver pool (jobs share the
+    cluster; planning runs in parallel; a table that fails at run time only
+    nulls its own row).  Each job is a full distributed scan with map-side
+    partial sums; the driver receives one row per table.  ``schemas`` pins
+    the read schema (so a partitioned copy reads its partition columns with
+    the source's types); ``columns`` pins the column order of the hash;
+    ``frames`` passes tables already resolved."""
+    columns, schemas = columns or {}, schemas or {}
+    refs = list(refs)
+    frames = list(frames) if frames is not None else [None] * len(refs)
+
+    def one(item):
+        ref, df = item
+        key = (ref.database, ref.table)
         try:
+            if df is None:
+                df = read_table(spark, ref, schemas.get(key))
             if isinstance(df, Exception):
                 raise df
-            fp = table_fingerprint(df, columns.get(key))
-            out.append(fp.select(F.lit(r.database).alias("database"),
-                                 F.lit(r.table).alias("table_name"), "n", "content_hash"))
-        except Exception:  # noqa: BLE001
-            bad.append((r.database, r.table, None, None))
-    if bad or not out:
-        out.append(spark.createDataFrame(
-            bad, "database string, table_name string, n long, content_hash decimal(38,0)"))
-    return union_all(out)
+            row = table_fingerprint(df, columns.get(key)).first()
+            return (ref.database, ref.table, row["n"], row["content_hash"])
+        except Exception:  # noqa: BLE001 - an unreadable table gets NULLs
+            return (ref.database, ref.table, None, None)
+
+    with ThreadPoolExecutor(max_workers=max(1, min(max_workers, len(refs) or 1))) as pool:
+        rows = list(pool.map(one, zip(refs, frames)))
+    return spark.createDataFrame(rows, FINGERPRINT_SCHEMA)
 
 
 def verify_copies(spark: SparkSession, pairs: Sequence[tuple[TableRef, TableRef]]) -> DataFrame:
@@ -105,8 +118,11 @@ def verify_copies(spark: SparkSession, pairs: Sequence[tuple[TableRef, TableRef]
             columns[(s.database, s.table)] = df.schema.fieldNames()
     dst_refs = [TableRef(s.database, s.table, d.provider, d.location, d.partition_columns, d.name,
                          d.options) for s, d in pairs]
-    a = fingerprints(spark, src_refs, frames=src_frames)
-    b = fingerprints(spark, dst_refs, schemas, columns)
+    # Source and target jobs go through one pool, so both sides run together.
+    both = fingerprints(spark, src_refs + dst_refs, schemas, {**columns},
+                        frames=src_frames + [None] * len(dst_refs)).collect()
+    a = spark.createDataFrame(both[: len(src_refs)], FINGERPRINT_SCHEMA)
+    b = spark.createDataFrame(both[len(src_refs):], FINGERPRINT_SCHEMA)
     m = outer_match(a, b, KEYS, [F.col("n"), F.col("content_hash")], [F.col("n"), F.col("content_hash")])
     sc, tc = F.col("_l.n"), F.col("_r.n")
     v = count_verdict(F.col("_l"), F.col("_r"), sc, tc)

@@ -101,7 +101,11 @@ def view_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = base(spark, sf_dir, "lineitem")
+    return grants_from(base(spark, sf_dir, "lineitem"))
+
+
+def grants_from(li: DataFrame) -> DataFrame:
+    """``grants`` over a given lineitem frame."""
     o, p = F.col("l_orderkey"), F.col("l_partkey")
     return li.select(
         F.concat(F.lit("s"), _s(F.col("l_suppkey") % 10)).alias("schema_name"),

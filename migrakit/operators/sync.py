@@ -3,6 +3,7 @@ summaries (Y3, A1, A2), the views it cannot do (Y4) and the apply step (Y2)."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,22 +80,26 @@ def views_of(sync: DataFrame) -> DataFrame:
 
 
 def apply_sync(spark: SparkSession, sync: DataFrame, target_database: str,
-               statuses: Sequence[str] = (TO_CREATE,)) -> DataFrame:
+               statuses: Sequence[str] = (TO_CREATE,), max_workers: int = 8) -> DataFrame:
     """Y2: register each TO_CREATE table as an external table over its files
     in ``target_database`` (metadata only, no data copied).  Returns an
     outcome row per table: source_schema, source_name, target_name, status,
     error.  The plan rows are metadata (one per table) and are streamed to the
     driver, never the table data."""
-    rows = []
     todo = sync.where(F.col("status_code").isin(list(statuses))).select(
         "source_schema", "source_name", "source_provider", "location")
-    for r in todo.toLocalIterator():
+
+    def one(r):
         name = quote_name(target_database, r["source_name"])
         try:
             spark.catalog.createTable(f"{target_database}.{r['source_name']}", path=r["location"],
                                       source=r["source_provider"])
-            rows.append((r["source_schema"], r["source_name"], name, "success", None))
+            return (r["source_schema"], r["source_name"], name, "success", None)
         except Exception as e:  # noqa: BLE001
-            rows.append((r["source_schema"], r["source_name"], name, "failed", str(e)[:32000]))
+            return (r["source_schema"], r["source_name"], name, "failed", str(e)[:32000])
+
+    # Registrations are independent catalog calls: a small pool runs them.
+    with ThreadPoolExecutor(max_workers=max_workers) as pool:
+        rows = list(pool.map(one, todo.toLocalIterator()))
     return spark.createDataFrame(
         rows, "source_schema string, source_name string, target_name string, status string, error string")

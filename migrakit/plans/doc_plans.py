@@ -404,3 +404,42 @@ def q_remap_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flattened permissions moved to the new object ids."""
     return D.remap_ids(_flat_acl(spark, sf_dir), fx.id_map(spark, sf_dir), "object_id").select(
         "object_id", "new_id", "principal_type", "principal", "permission_level")
+
+
+# ---- cluster libraries -------------------------------------------------
+
+def _library_docs(spark, sf_dir) -> DataFrame:
+    e = spread(fx.base(spark, sf_dir, "events"))
+    doc = F.concat(
+        F.lit('{"cluster_id":"'), F.col("event_id").cast("string"),
+        F.lit('","library_statuses":[{"library":{"jar":"dbfs:/FileStore/jars/'), F.col("event_type"),
+        F.lit("/"), F.col("user_id").cast("string"),
+        F.lit('.jar"}},{"library":{"pypi":{"package":"pkg'), F.col("user_id").cast("string"),
+        F.lit('"}}},{"status":"PENDING"}]}'))
+    return e.select(doc.alias("doc"))
+
+
+_LIB_DUCK = """from_json(concat('{"cluster_id":"', CAST(event_id AS VARCHAR), '","library_statuses":[{"library":{"jar":"dbfs:/FileStore/jars/',
+  event_type, '/', CAST(user_id AS VARCHAR), '.jar"}},{"library":{"pypi":{"package":"pkg', CAST(user_id AS VARCHAR),
+  '"}}},{"status":"PENDING"}]}'), '{"cluster_id":"VARCHAR","library_statuses":[{"library":{"jar":"VARCHAR","pypi":{"package":"VARCHAR"}}}]}')"""
+
+
+@plan("rebase_jars", f"""
+SELECT d.cluster_id,
+  array_to_string(list_transform(list_filter(d.library_statuses, lambda x: x.library IS NOT NULL),
+    lambda x: CASE WHEN x.library.jar IS NOT NULL
+      THEN concat('{VOLUME}/', regexp_extract(x.library.jar, '[^/]*$', 0)) ELSE x.library.pypi.package END), ',') AS libraries,
+  array_to_string(list_transform(list_filter(d.library_statuses, lambda x: x.library IS NOT NULL),
+    lambda x: CASE WHEN x.library.jar IS NOT NULL THEN 'jar' ELSE 'pypi' END), ',') AS kinds
+FROM (SELECT {_LIB_DUCK} AS d FROM events)""")
+def q_rebase_jars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster libraries: jars moved to the volume path (file name
+    kept), other kinds kept, entries without a library dropped."""
+    d = parse_json(_library_docs(spark, sf_dir), "doc", D.LIBRARY_DOC_DDL, "d")
+    libs = D.rebase_jars(F.col("d.library_statuses"), VOLUME)
+    name = F.transform(libs, lambda x: F.coalesce(x["jar"], x["whl"], x["pypi"]["package"],
+                                                  x["maven"]["coordinates"]))
+    kind = F.transform(libs, lambda x: F.when(x["jar"].isNotNull(), "jar").when(x["whl"].isNotNull(), "whl")
+                       .when(x["pypi"].isNotNull(), "pypi").otherwise("maven"))
+    return d.select(F.col("d.cluster_id").alias("cluster_id"), F.array_join(name, ",").alias("libraries"),
+                    F.array_join(kind, ",").alias("kinds"))

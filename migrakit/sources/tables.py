@@ -106,16 +106,24 @@ def _count_frame(ref: TableRef, df: DataFrame) -> DataFrame:
         F.lit(ref.database).alias("database"), F.lit(ref.table).alias("table_name"), "n")
 
 
-def count_tables(spark: SparkSession, refs: Iterable[TableRef], isolate: bool = False,
-                 max_workers: int = 4) -> DataFrame:
+# Above this many tables, counts run as one job per table: a single plan with
+# thousands of union branches is slow to analyse and fails as a whole.
+ISOLATE_ABOVE = 64
+
+
+def count_tables(spark: SparkSession, refs: Iterable[TableRef], isolate: bool | None = None,
+                 max_workers: int = 8) -> DataFrame:
     """One row (database, table_name, n) per table; n is NULL when the
     table cannot be read.
 
-    Default: one plan, the counts of all tables unioned (Parquet answers from
-    footers).  ``isolate=True`` runs one job per table from a small pool so a
-    failure while reading one table only nulls that table's count.
+    Few tables: one plan, the counts of all tables unioned (no column is read;
+    Parquet row counts come from the row-group metadata).  Many tables, or
+    ``isolate=True``: one job per table from a small pool, so a failure while
+    reading one table only nulls that table's count.
     """
     refs = list(refs)
+    if isolate is None:
+        isolate = len(refs) > ISOLATE_ABOVE
     if isolate:
         def one(ref):
             try:

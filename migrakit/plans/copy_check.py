@@ -53,16 +53,22 @@ def q_copy_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts
 
 
-@plan("copy_outcomes")
+@plan("copy_outcomes", "\nUNION ALL ".join(
+    f"SELECT '{DATABASE}' AS database, '{t}' AS table_name, {run} AS run, '{action}' AS action, "
+    f"true AS copied_successfully, count(*) AS target_rows FROM {t}"
+    for run, action in ((1, "copied"), (2, "skipped")) for t in fx.ALL_TABLES))
 def q_copy_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3/K4: bulk copy twice into the same folder; the second run skips the
-    existing targets.  One outcome row per table and run."""
+    complete targets.  One outcome row per table and run, with the rows the
+    target holds after both runs."""
     base = work_dir(spark, "copy_outcomes")
     refs = source_refs(sf_dir)
     tasks = [(r, f"{base}/{r.table}") for r in refs]
     first = copy_tables(spark, tasks, if_exists="skip").withColumn("run", F.lit(1))
     second = copy_tables(spark, tasks, if_exists="skip").withColumn("run", F.lit(2))
-    return first.unionByName(second)
+    rows = count_tables(spark, [r.at(loc) for r, loc in tasks]).withColumnRenamed("n", "target_rows")
+    return first.unionByName(second).join(rows, ["database", "table_name"], "left").select(
+        "database", "table_name", "run", "action", "copied_successfully", "target_rows")
 
 
 @plan("needs_copy", fx.with_fixtures("""

@@ -179,7 +179,7 @@ def q_tag_principal(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, {_js('run_as_user_name')} AS run_as_user_name, {_js('settings.name')} AS name,
   {_js('settings.spark_version')} AS spark_version, {_js('settings.data_security_mode')} AS data_security_mode,
   {_js('settings.disk_spec')} AS disk_spec,
-  to_json(from_json(json_extract(doc, '$.settings.spark_conf'), '"MAP(VARCHAR, VARCHAR)"')) AS spark_conf
+  CAST(to_json(from_json(json_extract(doc, '$.settings.spark_conf'), '"MAP(VARCHAR, VARCHAR)"')) AS VARCHAR) AS spark_conf
 FROM cfg3"""))
 def q_promote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Settings fields promoted to top-level columns."""
@@ -192,16 +192,16 @@ _CONF_DUCK = "from_json(json_extract(doc, '$.settings.spark_conf'), '\"MAP(VARCH
 
 
 @plan("drop_keys", _cfg_sql(f"""
-SELECT doc_id, to_json(map_from_entries(list_filter(map_entries({_CONF_DUCK}),
-  lambda e: e.key NOT IN ('acl', 'error')))) AS spark_conf FROM cfg3"""))
+SELECT doc_id, CAST(to_json(map_from_entries(list_filter(map_entries({_CONF_DUCK}),
+  lambda e: e.key NOT IN ('acl', 'error')))) AS VARCHAR) AS spark_conf FROM cfg3"""))
 def q_drop_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configuration keys removed."""
     s = _settings(spark, sf_dir)
     return s.select("doc_id", F.to_json(drop_keys(F.col("settings.spark_conf"), DROPPED_CONF)).alias("spark_conf"))
 
 
-_JOB_CLUSTER_CONF = (f"to_json(map_concat(map_from_entries(list_filter(map_entries({_CONF_DUCK}), "
-                     f"lambda e: e.key <> '{D.DEFAULT_CATALOG_KEY}')), MAP {{'{D.DEFAULT_CATALOG_KEY}': '{CATALOG}'}}))")
+_JOB_CLUSTER_CONF = (f"CAST(to_json(map_concat(map_from_entries(list_filter(map_entries({_CONF_DUCK}), "
+                     f"lambda e: e.key <> '{D.DEFAULT_CATALOG_KEY}')), MAP {{'{D.DEFAULT_CATALOG_KEY}': '{CATALOG}'}})) AS VARCHAR)")
 
 
 @plan("each_cluster", _cfg_sql(f"""
@@ -257,8 +257,8 @@ def q_each_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- event properties --------------------------------------------------
 
 @plan("set_key", """
-SELECT event_id, to_json(map_concat(map_from_entries(list_filter(map_entries(from_json(props, '"MAP(VARCHAR, VARCHAR)"')),
-  lambda e: e.key <> 'source')), MAP {'source': event_type})) AS props FROM events""")
+SELECT event_id, CAST(to_json(map_concat(map_from_entries(list_filter(map_entries(from_json(props, '"MAP(VARCHAR, VARCHAR)"')),
+  lambda e: e.key <> 'source')), MAP {'source': event_type})) AS VARCHAR) AS props FROM events""")
 def q_set_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A key set in every property map (replacing an existing one)."""
     e = fx.base(spark, sf_dir, "events")
@@ -267,10 +267,10 @@ def q_set_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan("edit_json", """
-SELECT event_id, to_json(map_concat(map_from_entries(list_filter(map_entries(from_json(props, '"MAP(VARCHAR, JSON)"')),
+SELECT event_id, CAST(to_json(map_concat(map_from_entries(list_filter(map_entries(from_json(props, '"MAP(VARCHAR, JSON)"')),
   lambda e: e.key NOT IN ('spark.databricks.repl.allowedLanguages', 'spark.databricks.acl.dfAclsEnabled',
                           'spark.databricks.pyspark.enablePy4JSecurity', 'type'))),
-  MAP {'type': to_json(event_type)})) AS props FROM events""")
+  MAP {'type': to_json(event_type)})) AS VARCHAR) AS props FROM events""")
 def q_edit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON text parsed, edited (legacy keys out, a key set) and
     written back; values keep their JSON types."""
@@ -282,7 +282,7 @@ def q_edit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("stringify", """
 SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(ts AS VARCHAR) AS ts, CAST(user_id AS VARCHAR) AS user_id,
-  event_type, CAST(value AS VARCHAR) AS value, to_json(from_json(props, '"MAP(VARCHAR, JSON)"')) AS props
+  event_type, CAST(value AS VARCHAR) AS value, CAST(to_json(from_json(props, '"MAP(VARCHAR, JSON)"')) AS VARCHAR) AS props
 FROM events""")
 def q_stringify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every column as a string, the parsed properties as JSON."""
@@ -345,11 +345,11 @@ _POLICY_DUCK = """concat('{"spark_conf.spark.databricks.repl.allowedLanguages":{
 
 @plan("policy_rewrite", f"""
 SELECT CAST(event_id AS VARCHAR) AS policy_id, concat('policy-', CAST(event_id AS VARCHAR), '-uc') AS name,
-  to_json(map_from_entries(list_transform(list_filter(map_entries(from_json({_POLICY_DUCK}, '"MAP(VARCHAR, JSON)"')),
+  CAST(to_json(map_from_entries(list_transform(list_filter(map_entries(from_json({_POLICY_DUCK}, '"MAP(VARCHAR, JSON)"')),
     lambda e: e.key NOT IN ('spark_conf.spark.databricks.repl.allowedLanguages', 'spark.databricks.pyspark.enablePy4JSecurity',
                             'spark.databricks.acl.dfAclsEnabled', 'init_scripts.0.workspace.destination')),
     lambda e: {{'key': e.key, 'value': CASE WHEN json_type(e.value) = 'OBJECT'
-      THEN to_json(map_from_entries(list_sort(map_entries(from_json(e.value, '"MAP(VARCHAR, JSON)"'))))) ELSE e.value END}}))) AS definition
+      THEN to_json(map_from_entries(list_sort(map_entries(from_json(e.value, '"MAP(VARCHAR, JSON)"'))))) ELSE e.value END}}))) AS VARCHAR) AS definition
 FROM events""")
 def q_policy_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policy definitions (JSON in a string column) without the

@@ -118,7 +118,7 @@ def q_dedup_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("grant_changes", _grant_sql("""
 SELECT securable_type, securable_name, principal, array_to_string(permission_list, ',') AS add,
-  to_json({'changes': [{'principal': principal, 'add': permission_list}]}) AS body
+  CAST(to_json({'changes': [{'principal': principal, 'add': permission_list}]}) AS VARCHAR) AS body
 FROM dedup WHERE principal IS NOT NULL"""))
 def q_grant_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change request per securable and principal."""

@@ -18,13 +18,20 @@ def parse_json(df: DataFrame, col: str, schema, out: str, keep: tuple[str, ...]
     return df.select(*keep, F.explode(F.array(parsed)).alias(out))
 
 
+# Upper bound of the tasks ``spread`` creates: enough to use the cores of a
+# local run, and on a large cluster small enough that a small input is not cut
+# into thousands of near-empty tasks.
+SPREAD_MAX = 64
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over at least ``min_partitions`` tasks (default:
-    the cluster's parallelism) when the input has fewer splits, e.g. one large
-    row group.  Meant for CPU-heavy per-row work (JSON parsing, regex over
-    long texts) straight after a scan.  On input that already has enough
-    splits -- any large table -- it changes nothing and adds no shuffle."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    """Round-robin the rows over ``min_partitions`` tasks (default: the
+    cluster's parallelism, at most ``SPREAD_MAX``) when the input has fewer
+    splits, e.g. one large row group.  Meant for CPU-heavy per-row work (JSON
+    parsing, regex over long texts) straight after a scan.  On input that
+    already has enough splits -- any large table -- it changes nothing and
+    adds no shuffle."""
+    target = min_partitions or min(df.sparkSession.sparkContext.defaultParallelism, SPREAD_MAX)
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)

@@ -22,12 +22,32 @@ def ci_literal(text: str) -> str:
 
 
 def alternation(names: Iterable[str]) -> str:
-    """Case-insensitive alternation of literals, longest first (so a name
-    that is a prefix of another cannot shadow it)."""
-    uniq = sorted({n for n in names if n}, key=lambda n: (-len(n), n.lower()))
-    if not uniq:
+    """Case-insensitive alternation of literals as a prefix tree
+    (``sales|sales_eu|hr`` -> ``(?:[sS][aA]...(?:_[eE][uU])?|[hH][rR])``).
+
+    Matching costs the length of a name, not the number of names, so a
+    dictionary of thousands of schemas stays cheap; the optional tails are
+    greedy, so the longest name is tried first."""
+    end = ""
+    trie: dict = {}
+    for n in names:
+        if not n:
+            continue
+        node = trie
+        for ch in n.lower() if n.isascii() else n:
+            node = node.setdefault(ch, {})
+        node[end] = {}
+    if not trie:
         raise ValueError("need at least one name")
-    return "|".join(ci_literal(n) for n in uniq)
+
+    def render(node: dict) -> str:
+        alts = [ci_literal(ch) + render(child) for ch, child in sorted(node.items()) if ch != end]
+        if not alts:
+            return ""
+        body = alts[0] if len(alts) == 1 else "(?:" + "|".join(alts) + ")"
+        return "(?:" + body + ")?" if end in node else body
+
+    return render(trie)
 
 
 def java_replacement(text: str) -> str:

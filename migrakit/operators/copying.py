@@ -147,6 +147,21 @@ def copy_tables(spark: SparkSession, tasks: Iterable[tuple[TableRef, str]],
     return records(spark, rows, OUTCOME_SCHEMA)
 
 
+def copy_from_plan(spark: SparkSession, plan: DataFrame, to_format: str | None = None,
+                   if_exists: str = "skip", max_workers: int = 8) -> DataFrame:
+    """C1 -> K4: run the copies a copy plan lists (database, table_name,
+    curr_loc, provider, ext_loc; optional partition_col_list).  The plan's
+    rows (one per table) are streamed to the driver; each copy is its own
+    distributed job."""
+    has_parts = "partition_col_list" in plan.columns
+    tasks = []
+    for r in plan.toLocalIterator():
+        parts = tuple(r["partition_col_list"] or ()) if has_parts else ()
+        ref = TableRef(r["database"], r["table_name"], r["provider"], r["curr_loc"], parts)
+        tasks.append((ref, r["ext_loc"]))
+    return copy_tables(spark, tasks, to_format, if_exists, max_workers)
+
+
 def bounded_error(df: DataFrame, col: str = "error", limit: int = 32000) -> DataFrame:
     """P6 on a frame."""
     return df.withColumn(col, bounded_text(F.col(col), limit))

@@ -83,18 +83,20 @@ def view_statements(views: DataFrame, schemas: Iterable[str], catalog: str,
                         view_statement_col(catalog, schema, F.col("view_name"), text).alias("view_stmt"))
 
 
-def cut_over_views(spark: SparkSession, stmts: DataFrame, max_rounds: int = 10,
+def cut_over_views(spark: SparkSession, stmts: DataFrame, max_rounds: int | None = None,
                    error_limit: int = 32000) -> DataFrame:
     """K5: run each view statement; failed ones are retried while a round
     still makes progress (a view may depend on a view created later in the
-    list).  Outcome per view: schema_name, view_name, view_stmt, status
+    list), so a chain of any depth resolves; ``max_rounds`` caps the rounds.  Outcome per view: schema_name, view_name, view_stmt, status
     (success/failed), error (bounded).  Statements are catalog operations and
     run one by one on the driver; the statement rows are streamed, not the
     data behind the views."""
     pending = [(r["schema_name"], r["view_name"], r["view_stmt"]) for r in
                stmts.select("schema_name", "view_name", "view_stmt").toLocalIterator()]
     done, errors = [], {}
-    for _ in range(max_rounds):
+    rounds = 0
+    while pending and (max_rounds is None or rounds < max_rounds):
+        rounds += 1
         failed = []
         for row in pending:
             try:

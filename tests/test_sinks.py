@@ -118,3 +118,19 @@ def test_skip_rewrites_an_incomplete_target(spark):
     assert out["action"] == "copied"
     assert verify_copies(spark, [(src, src.at(f"{base}/nation"))]).first().verdict == "match"
     assert copy_table(spark, src, f"{base}/nation")["action"] == "skipped"
+
+
+def test_copy_from_plan_and_count_only_check(spark):
+    from migrakit.operators.copying import copy_from_plan
+    base = work_dir(spark, "tests", "fromplan")
+    plan = records(spark, [("db", "region", f"{SF_SMALL}/region.parquet", "parquet", f"{base}/region", None),
+                           ("db", "orders", f"{SF_SMALL}/orders.parquet", "parquet", f"{base}/orders",
+                            ["o_orderstatus"])],
+                   "database string, table_name string, curr_loc string, provider string, ext_loc string, "
+                   "partition_col_list array<string>")
+    out = {r.table_name: r.action for r in copy_from_plan(spark, plan).collect()}
+    assert out == {"region": "copied", "orders": "copied"}
+    pairs = [(_ref("region"), _ref("region").at(f"{base}/region")),
+             (_ref("orders", ["o_orderstatus"]), _ref("orders").at(f"{base}/orders"))]
+    got = {r.table_name: r.verdict for r in verify_copies(spark, pairs, content=False).collect()}
+    assert got == {"region": "match", "orders": "match"}

@@ -96,3 +96,14 @@ def test_cut_over_retries_views_that_depend_on_later_views(spark):
                                                      "base": "success", "bad": "failed"}
     assert out["bad"].error and len(out["bad"].error) <= 32000
     assert spark.table(f"{quote_ident(db)}.top").count() == 1
+
+
+def test_trie_alternation_many_names(spark):
+    from migrakit.functions.regex import alternation
+    names = [f"s{i}" for i in range(300)] + ["sales", "sales_eu", "s"]
+    pat = alternation(names)
+    rx = re.compile("^(?:" + re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: "\\x" + m.group(1).zfill(2), pat) + ")$")
+    assert all(rx.match(n) for n in names) and all(rx.match(n.upper()) for n in names)
+    assert not rx.match("s300") and not rx.match("sale")
+    out = _spark_qualify(spark, ["SELECT * FROM sales_eu.t, S12.u, s.v, sale.w"], names)
+    assert out == ["SELECT * FROM main.sales_eu.t, main.S12.u, main.s.v, sale.w"]

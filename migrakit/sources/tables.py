@@ -106,24 +106,18 @@ def _count_frame(ref: TableRef, df: DataFrame) -> DataFrame:
         F.lit(ref.database).alias("database"), F.lit(ref.table).alias("table_name"), "n")
 
 
-# Above this many tables, counts run as one job per table: a single plan with
-# thousands of union branches is slow to analyse and fails as a whole.
-ISOLATE_ABOVE = 64
-
-
-def count_tables(spark: SparkSession, refs: Iterable[TableRef], isolate: bool | None = None,
+def count_tables(spark: SparkSession, refs: Iterable[TableRef], isolate: bool = True,
                  max_workers: int = 8) -> DataFrame:
     """One row (database, table_name, n) per table; n is NULL when the
-    table cannot be read.
+    table cannot be read -- whether it fails to resolve or fails while read.
 
-    Few tables: one plan, the counts of all tables unioned (no column is read;
-    Parquet row counts come from the row-group metadata).  Many tables, or
-    ``isolate=True``: one job per table from a small pool, so a failure while
-    reading one table only nulls that table's count.
+    Default: one small job per table, submitted from a driver pool (jobs run
+    side by side; no column is read, Parquet row counts come from row-group
+    metadata); the driver receives one row per table.  ``isolate=False``
+    builds one plan with the counts of all tables unioned instead (then a
+    failure while reading fails the whole plan).
     """
     refs = list(refs)
-    if isolate is None:
-        isolate = len(refs) > ISOLATE_ABOVE
     if isolate:
         def one(ref):
             try:

@@ -134,3 +134,13 @@ def test_copy_from_plan_and_count_only_check(spark):
              (_ref("orders", ["o_orderstatus"]), _ref("orders").at(f"{base}/orders"))]
     got = {r.table_name: r.verdict for r in verify_copies(spark, pairs, content=False).collect()}
     assert got == {"region": "match", "orders": "match"}
+
+
+def test_count_is_null_for_a_table_that_fails_while_read(spark):
+    base = work_dir(spark, "tests", "corrupt")
+    read_table(spark, _ref("region")).write.parquet(f"{base}/t")
+    with open(f"{base}/t/part-99999-garbage.parquet".replace("file:", ""), "wb") as f:
+        f.write(b"PAR1" + b"\x00" * 64 + b"PAR1")
+    refs = [_ref("nation"), TableRef("db", "t", "parquet", f"{base}/t")]
+    got = {r.table_name: r.n for r in count_tables(spark, refs).collect()}
+    assert got == {"nation": 25, "t": None}

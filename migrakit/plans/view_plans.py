@@ -15,7 +15,8 @@ from ..operators.sqltext import cut_over_views, qualify_sql, qualify_sql_duckdb,
 from ..operators.verify import verify_counts
 from ..session import work_dir
 from ..sources import fixtures as fx
-from ..sources.tables import TableRef, count_tables, union_all
+from ..sources.catalog import describe_long
+from ..sources.tables import TableRef, count_tables
 from .copy_check import source_refs
 from .registry import plan
 
@@ -80,15 +81,11 @@ def q_view_cut_over(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.sql(f"CREATE VIEW {quote_name(legacy, name)} AS {text.format(db=legacy)}")
 
     # The view texts, as the describe output of each view (long -> wide).
-    described = union_all([
-        spark.sql(f"DESCRIBE TABLE EXTENDED {quote_name(legacy, name)}")
-        .withColumn("ordinal", F.monotonically_increasing_id())
-        .select(F.lit(name).alias("entity"), "ordinal", F.col("col_name").alias("attr"),
-                F.col("data_type").alias("val"))
-        for name, _, _ in CUT_OVER_VIEWS])
-    texts = attributes_wide(described, ["View Text"]).select(
-        F.lit(legacy).alias("schema_name"), F.col("entity").alias("view_name"),
-        F.col("View_Text").alias("view_text"))
+    described = describe_long(spark, [(legacy, name) for name, _, _ in CUT_OVER_VIEWS])
+    texts = attributes_wide(
+        described.select(F.col("table_name").alias("entity"), "ordinal", "attr", "val"), ["View Text"]
+    ).select(F.lit(legacy).alias("schema_name"), F.col("entity").alias("view_name"),
+             F.col("View_Text").alias("view_text"))
     stmts = view_statements(texts, [legacy], "spark_catalog", target_schema=F.lit(target))
     outcomes = cut_over_views(spark, stmts)
     ok = [r["view_name"] for r in outcomes.where("status = 'success'").collect()]

@@ -77,6 +77,17 @@ def read_docs(df: DataFrame, col: str, schema: str | StructType,
     return good, bad
 
 
+def read_doc_files(spark, path: str, schema: str | StructType,
+                   corrupt_col: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
+    """S4 over files: JSON lines (saved service answers, exports), one
+    document per line, parsed with a declared schema; lines that do not parse
+    are set aside whole.  Returns (good, bad) as ``read_docs`` does, with the
+    document in column ``doc`` (good) or the raw line in ``corrupt_col``
+    (bad)."""
+    lines = spark.read.text(path).withColumnRenamed("value", "doc")
+    return read_docs(lines, "doc", schema, corrupt_col)
+
+
 def filter_ids(df: DataFrame, key: str, ids: str | Sequence[str] | DataFrame,
                id_col: str = "id") -> DataFrame:
     """Keep the rows whose ``key`` is in ``ids``: a comma-separated

@@ -172,3 +172,13 @@ def test_parse_json_parses_once(spark):
     q = p.select(F.when(F.col("d.a.b") == "1", F.col("d.a.c")).otherwise(F.col("d.a.b")).alias("x"))
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert plan.count("from_json") == 1 and q.first().x == "2"
+
+
+def test_read_doc_files(spark):
+    from migrakit.session import work_dir
+    path = work_dir(spark, "tests", "jsonl")
+    lines = ['{"cluster_id": "a", "spark_version": "9.1.x-scala2.12"}', '{"cluster_id": "b"', '{"cluster_id": "c"}']
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
+    good, bad = D.read_doc_files(spark, path, "cluster_id string, spark_version string")
+    assert sorted(r.doc.cluster_id for r in good.collect()) == ["a", "c"]
+    assert [r._corrupt_record for r in bad.collect()] == ['{"cluster_id": "b"']

@@ -31,6 +31,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     parsing, regex over long texts) straight after a scan.  On input that
     already has enough splits -- any large table -- it changes nothing and
     adds no shuffle."""
+    # A frame that already went through a shuffle has its shuffle's tasks;
+    # asking it for its partitions could run that shuffle, so leave it.
+    if "Exchange" in df._jdf.queryExecution().sparkPlan().toString():
+        return df
     target = min_partitions or min(df.sparkSession.sparkContext.defaultParallelism, SPREAD_MAX)
     if df.rdd.getNumPartitions() >= target:
         return df

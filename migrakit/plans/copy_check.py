@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.copying import copy_tables, needs_copy, plan_copy
+from ..operators.copying import copy_tables, plan_copy
 from ..operators.verify import split_outcomes, verify_copies, verify_counts
 from ..session import work_dir
 from ..sources import fixtures as fx
@@ -111,4 +111,4 @@ def q_outcome_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad
 
 
-__all__ = ["copy_and_verify", "source_refs", "needs_copy"]
+__all__ = ["copy_and_verify", "source_refs"]

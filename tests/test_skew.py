@@ -80,3 +80,24 @@ def test_describe_pivot_with_a_hot_entity(spark):
     df = spark.createDataFrame(rows, "entity int, ordinal int, attr string, val string").repartition(4)
     got = {r.entity: (r.Provider, r.Type) for r in attributes_wide(df, ["Provider", "Type"]).collect()}
     assert got == {1: ("v19999", ""), 2: ("", "MANAGED")}
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+GRANT = st.tuples(st.sampled_from(["s1", "s2"]), st.sampled_from(["t1", "t2", "t3"]),
+                  st.sampled_from(["p1", "p2", "users", None]),
+                  st.sampled_from(["CATALOG$", "DATABASE", "TABLE", "ANY_FILE", None]),
+                  st.sampled_from(["SELECT", "MODIFY", "READ_METADATA", "OWN", "CREATE",
+                                   "CREATE_NAMED_FUNCTION", "USAGE"]))
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(GRANT, min_size=1, max_size=40))
+def test_property_usage_then_dedup_has_no_duplicates(spark, rows):
+    df = spark.createDataFrame(rows, "schema_name string, table_name string, principal string, "
+                                     "object_type string, action_type string")
+    got = G.dedup_grants(G.with_usage(G.translate_privileges(G.grants_by_principal(df), "main"), "main"))
+    keys = [(r.principal, r.securable_type, r.securable_name, tuple(r.permission_list)) for r in got.collect()]
+    assert len(keys) == len(set(keys))
+    assert set(keys) == _python_grants(rows, "main")

@@ -250,6 +250,37 @@ def tag_principal(name: Column, override_name: str | None = None) -> Column:
         F.when(~is_user, who).alias("service_principal_name")))
 
 
+@dataclass(frozen=True)
+class JobParams:
+    """Parameters of the job rewrite (blank = leave as it is)."""
+
+    catalog: str | None = None
+    pause_status: str | None = None
+    run_as: str | None = None
+    existing_cluster_id: str | None = None
+    suffix: str = CLUSTER_SUFFIX
+
+
+def rewrite_job(settings: Column, run_as_user_name: Column, p: JobParams) -> Column:
+    """All job rules on one job's settings struct: name suffix (D9), pause
+    status of schedule and continuous trigger (D7), run-as principal (D8,
+    added as ``run_as``), the job-cluster rules on every ``job_clusters`` and
+    ``tasks`` element (D14) and the existing-cluster override of tasks
+    (D10)."""
+    def task(t: Column) -> Column:
+        return t.withField("new_cluster", rewrite_job_cluster(t["new_cluster"], p.catalog)) \
+                .withField("existing_cluster_id", override(t["existing_cluster_id"], p.existing_cluster_id))
+
+    return (settings
+            .withField("name", F.when(settings["name"].isNotNull(), with_suffix(settings["name"], p.suffix)))
+            .withField("schedule", set_pause(settings["schedule"], p.pause_status))
+            .withField("continuous", set_pause(settings["continuous"], p.pause_status))
+            .withField("job_clusters", each(settings["job_clusters"], "new_cluster",
+                                            lambda c: rewrite_job_cluster(c, p.catalog)))
+            .withField("tasks", F.transform(settings["tasks"], task))
+            .withField("run_as", tag_principal(run_as_user_name, p.run_as)))
+
+
 def promote(df: DataFrame, col: str) -> DataFrame:
     """The fields of struct ``col`` become top-level columns and ``col``
     goes; on a name clash the nested value wins."""

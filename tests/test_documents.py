@@ -182,3 +182,24 @@ def test_read_doc_files(spark):
     good, bad = D.read_doc_files(spark, path, "cluster_id string, spark_version string")
     assert sorted(r.doc.cluster_id for r in good.collect()) == ["a", "c"]
     assert [r._corrupt_record for r in bad.collect()] == ['{"cluster_id": "b"']
+
+
+def test_rewrite_job(spark):
+    doc = {"job_id": "7", "run_as_user_name": "a@x.org",
+           "settings": {"name": "nightly", "schedule": {"pause_status": "UNPAUSED"},
+                        "job_clusters": [{"job_cluster_key": "k", "new_cluster": {"spark_version": "12.2.x-scala2.12",
+                                                                                   "disk_spec": "d",
+                                                                                   "aws_attributes": {"ebs_volume_size": "100"}}}],
+                        "tasks": [{"task_key": "t", "existing_cluster_id": "old"}]}}
+    df = spark.createDataFrame([(json.dumps(doc),)], "doc string").select(
+        F.from_json("doc", D.JOB_DOC_DDL).alias("d"))
+    p = D.JobParams(catalog="main", pause_status="PAUSED", existing_cluster_id="new")
+    out = json.loads(df.select(F.to_json(D.rewrite_job(F.col("d.settings"), F.col("d.run_as_user_name"), p)))
+                     .first()[0])
+    assert out["name"] == "nightly-UC" and out["schedule"] == {"pause_status": "PAUSED"}
+    assert "continuous" not in out
+    nc = out["job_clusters"][0]["new_cluster"]
+    assert nc["spark_version"] == "13.3.x-scala2.12" and "disk_spec" not in nc
+    assert nc["spark_conf"] == {D.DEFAULT_CATALOG_KEY: "main"} and nc["data_security_mode"] == "SINGLE_USER"
+    assert out["tasks"] == [{"task_key": "t", "existing_cluster_id": "new"}]
+    assert out["run_as"] == {"user_name": "a@x.org"}

@@ -75,16 +75,36 @@ def target_state(spark: SparkSession, location: str) -> str:
     return "complete" if fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")) else "incomplete"
 
 
+def existing_layout(spark: SparkSession, src: TableRef, df: DataFrame) -> set[str]:
+    """Columns the source is already partitioned by: from the catalog for a
+    named table, else from ``col=value`` folders in its file paths."""
+    if src.name:
+        try:
+            return {c.name for c in spark.catalog.listColumns(src.name) if c.isPartition}
+        except Exception:  # noqa: BLE001
+            return set()
+    files = df.inputFiles()[:16]
+    found = set()
+    for f in files:
+        for seg in f.split("/")[:-1]:
+            if "=" in seg:
+                found.add(seg.split("=", 1)[0])
+    return found
+
+
 def copy_table(spark: SparkSession, src: TableRef, ext_loc: str, to_format: str | None = None,
                if_exists: str = "skip", target_name: str | None = None,
                max_records_per_file: int | None = None) -> dict:
     """K1/K2/K3: copy one table to ``ext_loc``, keeping its partition layout.
 
-    The copy is one distributed job: scan -> (local sort by partition
-    columns, added by Spark for dynamic partitions) -> files.  No shuffle:
-    source files usually hold one partition value each, so each task writes
-    few files, and no task receives a whole hot partition.  Lost executors
-    only rerun their tasks; the job commits atomically.
+    The copy is one distributed job.  Keeping the source's layout it is
+    narrow: scan -> (local sort by partition columns, added by Spark) ->
+    files, no shuffle, as each source file holds one partition value.  A new
+    layout is written through a ``rebalance`` on the partition columns: one
+    shuffle, after which AQE splits a hot value over several tasks and merges
+    small ones, so files stay near the advisory size instead of one file per
+    value per input task.  Lost executors only rerun their tasks; the job
+    commits atomically.
 
     ``if_exists='skip'`` leaves a complete target untouched (a second run,
     even if the source grew) and rewrites one a failed run left behind, so a
@@ -105,6 +125,11 @@ def copy_table(spark: SparkSession, src: TableRef, ext_loc: str, to_format: str
             mode = "overwrite"
         df = read_table(spark, src)
         parts = [c for c in partition_columns(spark, src) if c in df.columns]
+        if parts and not set(parts) <= existing_layout(spark, src, df):
+            # A new layout: group rows by the partition columns so each value
+            # is written by few tasks.  ``rebalance`` lets AQE split a hot
+            # value into advisory-size pieces and merge small ones.
+            df = df.hint("rebalance", *parts)
         writer = df.write.format(fmt).mode(mode)
         if parts:
             writer = writer.partitionBy(*parts)

@@ -144,3 +144,18 @@ def test_count_is_null_for_a_table_that_fails_while_read(spark):
     refs = [_ref("nation"), TableRef("db", "t", "parquet", f"{base}/t")]
     got = {r.table_name: r.n for r in count_tables(spark, refs).collect()}
     assert got == {"nation": 25, "t": None}
+
+
+def test_new_layout_is_rebalanced_and_existing_layout_is_kept(spark):
+    from migrakit.operators.copying import existing_layout
+    base = work_dir(spark, "tests", "layout")
+    src = _ref("lineitem", ["l_returnflag"])
+    assert existing_layout(spark, src, read_table(spark, src)) == set()
+    assert copy_table(spark, src, f"{base}/a")["copied_successfully"]
+    part = src.at(f"{base}/a")
+    assert existing_layout(spark, part, read_table(spark, part)) == {"l_returnflag"}
+    # Copy the partitioned copy again: layout kept, rows and content equal.
+    assert copy_table(spark, part, f"{base}/b")["copied_successfully"]
+    assert verify_copies(spark, [(src, part.at(f"{base}/b"))]).first().verdict == "match"
+    files = read_table(spark, part.at(f"{base}/b")).inputFiles()
+    assert len({f.rsplit("/", 2)[-2] for f in files}) == 3

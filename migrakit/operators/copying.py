@@ -50,10 +50,15 @@ def plan_copy(inventory: DataFrame, counts: DataFrame, base: str, prefix: str =
               legacy: str = "hive", keys: Sequence[str] = ("database", "table_name")) -> DataFrame:
     """Needs-copy tables with their source row count and target path.
 
-    ``counts`` is (keys..., n); a table without a count row gets NULL."""
+    ``counts`` is (keys..., n); a table may come as several count rows (its
+    count is their sum, NULL when any part is NULL, as in ``verify_counts``);
+    a table without a count row gets NULL.  The count aggregation is
+    partitioned by the keys, so the join adds no shuffle on that side."""
     chosen = needs_copy(inventory, prefix, legacy).select(
         *keys, F.col("location").alias("curr_loc"), "provider")
-    planned = chosen.join(counts.select(*keys, F.col("n").alias("source_count")), list(keys), "left")
+    per_table = counts.groupBy(*keys).agg(
+        F.when(F.count("n") == F.count(F.lit(1)), F.sum("n")).alias("source_count"))
+    planned = chosen.join(per_table, list(keys), "left")
     return with_target_path(planned, base)
 
 

@@ -174,3 +174,13 @@ def test_stringify_and_list_helpers(spark):
     assert explode_list(df, "l", "x").count() == 2
     empty = spark.createDataFrame([(1, [])], "id int, l array<string>")
     assert explode_list(empty, "l").count() == 0 and explode_list(empty, "l", keep_empty=True).count() == 1
+
+
+def test_plan_copy_sums_partial_counts(spark):
+    from migrakit.operators.copying import plan_copy
+    inv = records(spark, [("d", "a", "dbfs:/a", "delta"), ("d", "b", "dbfs:/b", "delta"), ("d", "c", "", "csv")],
+                  "database string, table_name string, location string, provider string")
+    counts = records(spark, [("d", "a", 2), ("d", "a", 3), ("d", "b", 1), ("d", "b", None)],
+                     "database string, table_name string, n long")
+    got = {r.table_name: r.source_count for r in plan_copy(inv, counts, "s3://t").collect()}
+    assert got == {"a": 5, "b": None, "c": None}

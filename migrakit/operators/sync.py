@@ -80,14 +80,35 @@ def views_of(sync: DataFrame) -> DataFrame:
 
 
 def apply_sync(spark: SparkSession, sync: DataFrame, target_database: str,
-               statuses: Sequence[str] = (TO_CREATE,), max_workers: int = 8) -> DataFrame:
-    """Y2: register each TO_CREATE table as an external table over its files
-    in ``target_database`` (metadata only, no data copied).  Returns an
-    outcome row per table: source_schema, source_name, target_name, status,
-    error.  The plan rows are metadata (one per table) and are streamed to the
-    driver, never the table data."""
+               statuses: Sequence[str] = (TO_CREATE,), max_workers: int = 8, mode: str = "register",
+               base: str | None = None, to_format: str | None = None) -> DataFrame:
+    """Y2: carry out the rows of a sync plan with the given statuses.
+
+    ``mode='register'``: each table becomes an external table over its own
+    files in ``target_database`` (metadata only, no data copied).
+    ``mode='copy'``: each table is copied under ``base`` (K1/K2, layout kept)
+    and registered there.  Returns an outcome row per table: source_schema,
+    source_name, target_name, status, error.  The plan rows are metadata (one
+    per table) and are streamed to the driver, never the table data."""
     todo = sync.where(F.col("status_code").isin(list(statuses))).select(
         "source_schema", "source_name", "source_provider", "location")
+    if mode == "copy":
+        if not base:
+            raise ValueError("mode='copy' needs a base folder")
+        from ..sources.tables import TableRef
+        from .copying import copy_tables
+        rows = list(todo.toLocalIterator())
+        tasks = [(TableRef(r["source_schema"], r["source_name"], r["source_provider"], r["location"]),
+                  f"{base.rstrip('/')}/{r['source_name']}") for r in rows]
+        names = {(r["source_schema"], r["source_name"]): f"{target_database}.{r['source_name']}" for r in rows}
+        out = copy_tables(spark, tasks, to_format=to_format, max_workers=max_workers, target_names=names)
+        return out.select(
+            F.col("database").alias("source_schema"), F.col("table_name").alias("source_name"),
+            F.concat_ws(".", F.lit(f"`{target_database}`"),
+                        F.concat(F.lit("`"), F.col("table_name"), F.lit("`"))).alias("target_name"),
+            F.when(F.col("copied_successfully"), "success").otherwise("failed").alias("status"), "error")
+    if mode != "register":
+        raise ValueError("mode is 'register' or 'copy'")
 
     def one(r):
         name = quote_name(target_database, r["source_name"])

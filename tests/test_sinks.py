@@ -159,3 +159,18 @@ def test_new_layout_is_rebalanced_and_existing_layout_is_kept(spark):
     assert verify_copies(spark, [(src, part.at(f"{base}/b"))]).first().verdict == "match"
     files = read_table(spark, part.at(f"{base}/b")).inputFiles()
     assert len({f.rsplit("/", 2)[-2] for f in files}) == 3
+
+
+def test_apply_sync_by_copy(spark):
+    db = "sc_" + uuid.uuid4().hex[:8]
+    base = work_dir(spark, "tests", db)
+    spark.sql(f"CREATE DATABASE {db} LOCATION '{base}/db'")
+    inv = records(spark, [("db", "orders", "parquet", f"{SF_SMALL}/orders.parquet", "TABLE", False)],
+                  "database string, table_name string, provider string, location string, "
+                  "table_type string, is_temporary boolean")
+    empty = records(spark, [], "database string, table_name string, provider string")
+    sync = plan_sync(inv, empty, prefix="/root/testdata")
+    out = apply_sync(spark, sync, db, mode="copy", base=f"{base}/data").collect()
+    assert [(r.source_name, r.status) for r in out] == [("orders", "success")]
+    assert spark.table(f"{db}.orders").count() == read_table(spark, _ref("orders")).count()
+    assert spark.catalog.getTable(f"{db}.orders").tableType == "EXTERNAL"

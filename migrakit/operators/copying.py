@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.strings import bounded_text
-from ..sources.tables import SAME_FORMAT_PROVIDERS, TableRef, partition_columns, read_table, records
+from ..sources.tables import (SAME_FORMAT_PROVIDERS, TableRef, largest_first, partition_columns, read_table,
+                             records)
 
 OUTCOME_SCHEMA = ("database string, table_name string, curr_loc string, ext_loc string, "
                   "format string, copied_successfully boolean, action string, error string")
@@ -156,9 +157,9 @@ def copy_tables(spark: SparkSession, tasks: Iterable[tuple[TableRef, str]],
     """K4: copy many tables concurrently; one outcome row per table.
 
     The driver pool only submits jobs (each copy is a distributed job); jobs
-    share the executors through the FAIR scheduler pool.  One failure does not
+    share the executors through the FAIR scheduler pool, largest table first.  One failure does not
     stop the rest.  The outcome schema is fixed, so zero tables work."""
-    tasks = list(tasks)
+    tasks = largest_first(spark, tasks, lambda t: t[0])
     target_names = target_names or {}
     local = threading.local()
 

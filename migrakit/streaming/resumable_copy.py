@@ -23,7 +23,9 @@ def copy_resumable(spark: SparkSession, src: TableRef, ext_loc: str, checkpoint:
 
     ``checkpoint`` must be in shared storage and stay with the target (a new
     one means a new copy); by default it is a folder under the session's
-    shared root.  Returns (database, table_name, ext_loc, checkpoint,
+    shared root.  Each micro-batch writes narrow (no shuffle): right for
+    keeping a source's layout; a copy into a new partition layout is better
+    done by the batch ``copy_table``, whose rebalance AQE can split.  Returns (database, table_name, ext_loc, checkpoint,
     batches, rows) for the run."""
     if not src.location:
         raise ValueError("a resumable copy reads files: the source needs a location")

@@ -100,7 +100,8 @@ def apply_sync(spark: SparkSession, sync: DataFrame, target_database: str,
         rows = list(todo.toLocalIterator())
         tasks = [(TableRef(r["source_schema"], r["source_name"], r["source_provider"], r["location"]),
                   f"{base.rstrip('/')}/{r['source_name']}") for r in rows]
-        names = {(r["source_schema"], r["source_name"]): f"{target_database}.{r['source_name']}" for r in rows}
+        names = {(r["source_schema"], r["source_name"]): quote_name(target_database, r["source_name"])
+                 for r in rows}
         out = copy_tables(spark, tasks, to_format=to_format, max_workers=max_workers, target_names=names)
         return out.select(
             F.col("database").alias("source_schema"), F.col("table_name").alias("source_name"),
@@ -113,7 +114,7 @@ def apply_sync(spark: SparkSession, sync: DataFrame, target_database: str,
     def one(r):
         name = quote_name(target_database, r["source_name"])
         try:
-            spark.catalog.createTable(f"{target_database}.{r['source_name']}", path=r["location"],
+            spark.catalog.createTable(name, path=r["location"],
                                       source=r["source_provider"])
             return (r["source_schema"], r["source_name"], name, "success", None)
         except Exception as e:  # noqa: BLE001

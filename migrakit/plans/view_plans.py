@@ -76,7 +76,7 @@ def q_view_cut_over(spark: SparkSession, sf_dir: str) -> DataFrame:
     for db in (legacy, target):
         spark.sql(f"CREATE DATABASE {quote_ident(db)} LOCATION '{work_dir(spark, 'views', db, fresh=False)}'")
     for r in source_refs(sf_dir):
-        spark.catalog.createTable(f"{legacy}.{r.table}", path=r.location, source=r.provider)
+        spark.catalog.createTable(quote_name(legacy, r.table), path=r.location, source=r.provider)
     for name, text, _ in reversed(CUT_OVER_VIEWS):
         spark.sql(f"CREATE VIEW {quote_name(legacy, name)} AS {text.format(db=legacy)}")
 

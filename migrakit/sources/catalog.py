@@ -65,7 +65,7 @@ def inventory_from_catalog(spark: SparkSession, databases: Sequence[str]) -> Dat
     def parts(t):
         db, name = t
         try:
-            return (db, name, [c.name for c in spark.catalog.listColumns(f"{db}.{name}") if c.isPartition])
+            return (db, name, [c.name for c in spark.catalog.listColumns(quote_name(db, name)) if c.isPartition])
         except Exception:  # noqa: BLE001
             return (db, name, [])
 

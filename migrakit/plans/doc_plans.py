@@ -268,8 +268,7 @@ def q_set_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("edit_json", """
 SELECT event_id, CAST(to_json(map_concat(map_from_entries(list_filter(map_entries(from_json(props, '"MAP(VARCHAR, JSON)"')),
-  lambda e: e.key NOT IN ('spark.databricks.repl.allowedLanguages', 'spark.databricks.acl.dfAclsEnabled',
-                          'spark.databricks.pyspark.enablePy4JSecurity', 'type'))),
+  lambda e: e.key NOT IN (""" + ", ".join(f"'{k}'" for k in (*D.LEGACY_CONF_KEYS, "type")) + """))),
   MAP {'type': to_json(event_type)})) AS VARCHAR) AS props FROM events""")
 def q_edit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON text parsed, edited (legacy keys out, a key set) and
@@ -346,8 +345,7 @@ _POLICY_DUCK = """concat('{"spark_conf.spark.databricks.repl.allowedLanguages":{
 @plan("policy_rewrite", f"""
 SELECT CAST(event_id AS VARCHAR) AS policy_id, concat('policy-', CAST(event_id AS VARCHAR), '-uc') AS name,
   CAST(to_json(map_from_entries(list_transform(list_filter(map_entries(from_json({_POLICY_DUCK}, '"MAP(VARCHAR, JSON)"')),
-    lambda e: e.key NOT IN ('spark_conf.spark.databricks.repl.allowedLanguages', 'spark.databricks.pyspark.enablePy4JSecurity',
-                            'spark.databricks.acl.dfAclsEnabled', 'init_scripts.0.workspace.destination')),
+    lambda e: e.key NOT IN ({", ".join(f"'{k}'" for k in D.LEGACY_POLICY_KEYS)})),
     lambda e: {{'key': e.key, 'value': CASE WHEN json_type(e.value) = 'OBJECT'
       THEN to_json(map_from_entries(list_sort(map_entries(from_json(e.value, '"MAP(VARCHAR, JSON)"'))))) ELSE e.value END}}))) AS VARCHAR) AS definition
 FROM events""")

@@ -7,15 +7,16 @@ import threading
 from concurrent.futures import ThreadPoolExecutor
 from typing import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.strings import bounded_text
-from ..sources.tables import (SAME_FORMAT_PROVIDERS, TableRef, largest_first, partition_columns, read_table,
-                             records)
+from ..sources.tables import (SAME_FORMAT_PROVIDERS, TableRef, fingerprint_exprs, largest_first,
+                             partition_columns, read_table, records)
 
 OUTCOME_SCHEMA = ("database string, table_name string, curr_loc string, ext_loc string, "
-                  "format string, copied_successfully boolean, action string, error string")
+                  "format string, copied_successfully boolean, action string, error string, "
+                  "source_rows long, source_hash decimal(38,0)")
 
 # Scheduler pool the copy submissions run in (FAIR mode shares the cluster
 # between the concurrent copies instead of running them one after another).
@@ -100,7 +101,7 @@ def existing_layout(spark: SparkSession, src: TableRef, df: DataFrame) -> set[st
 
 def copy_table(spark: SparkSession, src: TableRef, ext_loc: str, to_format: str | None = None,
                if_exists: str = "skip", target_name: str | None = None,
-               max_records_per_file: int | None = None) -> dict:
+               max_records_per_file: int | None = None, fingerprint: bool = True) -> dict:
     """K1/K2/K3: copy one table to ``ext_loc``, keeping its partition layout.
 
     The copy is one distributed job.  Keeping the source's layout it is
@@ -112,6 +113,12 @@ def copy_table(spark: SparkSession, src: TableRef, ext_loc: str, to_format: str
     value per input task.  Lost executors only rerun their tasks; the job
     commits atomically.
 
+    ``fingerprint``: the row count and content hash of what was written are
+    observed in the write itself (``source_rows``, ``source_hash``), so the
+    check of the copy need not read the source again.  The observation sits
+    in the final (writing) stage, where Spark applies each task's metrics
+    exactly once, also when tasks are retried.
+
     ``if_exists='skip'`` leaves a complete target untouched (a second run,
     even if the source grew) and rewrites one a failed run left behind, so a
     rerun after a crash resumes the remaining tables.
@@ -119,7 +126,8 @@ def copy_table(spark: SparkSession, src: TableRef, ext_loc: str, to_format: str
     fmt = target_format(src.provider, to_format)
     outcome = {"database": src.database, "table_name": src.table,
                "curr_loc": src.location or src.name, "ext_loc": ext_loc, "format": fmt,
-               "copied_successfully": False, "action": "failed", "error": None}
+               "copied_successfully": False, "action": "failed", "error": None,
+               "source_rows": None, "source_hash": None}
     try:
         mode = {"skip": "ignore", "fail": "errorifexists", "overwrite": "overwrite"}[if_exists]
         if if_exists == "skip":
@@ -136,6 +144,10 @@ def copy_table(spark: SparkSession, src: TableRef, ext_loc: str, to_format: str
             # is written by few tasks.  ``rebalance`` lets AQE split a hot
             # value into advisory-size pieces and merge small ones.
             df = df.hint("rebalance", *parts)
+        observation = None
+        if fingerprint:
+            observation = Observation()
+            df = df.observe(observation, *fingerprint_exprs(df.columns))
         writer = df.write.format(fmt).mode(mode)
         if parts:
             writer = writer.partitionBy(*parts)
@@ -146,6 +158,9 @@ def copy_table(spark: SparkSession, src: TableRef, ext_loc: str, to_format: str
         else:
             writer.save(ext_loc)
         outcome.update(copied_successfully=True, action="copied")
+        if observation is not None:
+            metrics = observation.get
+            outcome.update(source_rows=metrics.get("n"), source_hash=metrics.get("content_hash"))
     except Exception as e:  # noqa: BLE001 - the outcome table carries it
         outcome["error"] = str(e)[:32000]
     return outcome
@@ -174,7 +189,8 @@ def copy_tables(spark: SparkSession, tasks: Iterable[tuple[TableRef, str]],
     with ThreadPoolExecutor(max_workers=max(1, max_workers)) as pool:
         outcomes = list(pool.map(run, tasks))
     rows = [(o["database"], o["table_name"], o["curr_loc"], o["ext_loc"], o["format"],
-             o["copied_successfully"], o["action"], o["error"]) for o in outcomes]
+             o["copied_successfully"], o["action"], o["error"], o["source_rows"], o["source_hash"])
+            for o in outcomes]
     return records(spark, rows, OUTCOME_SCHEMA)
 
 

@@ -105,12 +105,15 @@ def fingerprints(spark: SparkSession, refs: Sequence[TableRef], schemas: dict |
 
 
 def verify_copies(spark: SparkSession, pairs: Sequence[tuple[TableRef, TableRef]],
-                  content: bool = True) -> DataFrame:
+                  content: bool = True, known_sources: dict | None = None) -> DataFrame:
     """Row count and content of each copy against its source.
 
     Output: database, table_name, source_count, target_count, verdict, where
     verdict is ``match`` only when counts and content hashes are equal.
-    ``content=False`` compares counts only (no column is read)."""
+    ``content=False`` compares counts only (no column is read).
+    ``known_sources`` maps (database, table) to the (rows, hash) observed
+    while the copy was written (``copy_table``); those sources are not read
+    again, so checking a copy reads only the copy."""
     if not content:
         src = count_tables(spark, [s for s, _ in pairs])
         dst = count_tables(spark, [TableRef(s.database, s.table, d.provider, d.location,
@@ -125,11 +128,16 @@ def verify_copies(spark: SparkSession, pairs: Sequence[tuple[TableRef, TableRef]
             columns[(s.database, s.table)] = df.schema.fieldNames()
     dst_refs = [TableRef(s.database, s.table, d.provider, d.location, d.partition_columns, d.name,
                          d.options) for s, d in pairs]
+    known = known_sources or {}
+    todo = [i for i, r in enumerate(src_refs) if (r.database, r.table) not in known]
     # Source and target jobs go through one pool, so both sides run together.
-    both = fingerprints(spark, src_refs + dst_refs, schemas, {**columns},
-                        frames=src_frames + [None] * len(dst_refs)).collect()
-    a = spark.createDataFrame(both[: len(src_refs)], FINGERPRINT_SCHEMA)
-    b = spark.createDataFrame(both[len(src_refs):], FINGERPRINT_SCHEMA)
+    rows = fingerprints(spark, [src_refs[i] for i in todo] + dst_refs, schemas, columns,
+                        frames=[src_frames[i] for i in todo] + [None] * len(dst_refs)).collect()
+    by_index = dict(zip(todo, rows[: len(todo)]))
+    src_rows = [tuple(by_index[i]) if i in by_index else
+                (r.database, r.table, *known[(r.database, r.table)]) for i, r in enumerate(src_refs)]
+    a = spark.createDataFrame(src_rows, FINGERPRINT_SCHEMA)
+    b = spark.createDataFrame(rows[len(todo):], FINGERPRINT_SCHEMA)
     m = outer_match(a, b, KEYS, [F.col("n"), F.col("content_hash")], [F.col("n"), F.col("content_hash")])
     sc, tc = F.col("_l.n"), F.col("_r.n")
     v = count_verdict(F.col("_l"), F.col("_r"), sc, tc)

@@ -163,11 +163,15 @@ def count_tables(spark: SparkSession, refs: Iterable[TableRef], isolate: bool =
     return union_all(frames)
 
 
-def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Row count and an order-free content hash of a frame (one row).
+def fingerprint_exprs(columns: Sequence[str]) -> list:
+    """(n, content_hash) aggregate expressions over ``columns``, in order.
 
     The hash is the exact (decimal) sum of a 64-bit hash of every row, so
     duplicates count and no overflow occurs at any table size."""
-    cols = list(columns or df.columns)
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in cols]).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("content_hash"))
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in columns]).cast("decimal(38,0)")
+    return [F.count(F.lit(1)).alias("n"), F.sum(h).alias("content_hash")]
+
+
+def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Row count and an order-free content hash of a frame (one row)."""
+    return df.agg(*fingerprint_exprs(list(columns or df.columns)))

@@ -174,3 +174,15 @@ def test_apply_sync_by_copy(spark):
     assert [(r.source_name, r.status) for r in out] == [("orders", "success")]
     assert spark.table(f"{db}.orders").count() == read_table(spark, _ref("orders")).count()
     assert spark.catalog.getTable(f"{db}.orders").tableType == "EXTERNAL"
+
+
+def test_fingerprint_observed_during_copy_equals_a_read_of_the_source(spark):
+    from migrakit.sources.tables import table_fingerprint
+    base = work_dir(spark, "tests", "observe")
+    for src in (_ref("lineitem", ["l_returnflag"]), _ref("documents")):
+        out = copy_table(spark, src, f"{base}/{src.table}")
+        fp = table_fingerprint(read_table(spark, src)).first()
+        assert (out["source_rows"], out["source_hash"]) == (fp.n, fp.content_hash)
+        known = {(src.database, src.table): (out["source_rows"], out["source_hash"])}
+        v = verify_copies(spark, [(src, src.at(f"{base}/{src.table}"))], known_sources=known).first()
+        assert v.verdict == "match" and v.source_count == fp.n

@@ -7,7 +7,8 @@ configuration documents -- each as DataFrame in, DataFrame out."""
 __version__ = "0.1.0"
 
 from .operators.copying import copy_from_plan, copy_table, copy_tables, needs_copy, plan_copy, with_target_path
-from .operators.documents import (ClusterParams, JobParams, each, edit_json, filter_ids, flatten_acl, promote, read_doc_files,
+from .operators.documents import (ClusterParams, JobParams, each, edit_json, filter_ids, flatten_acl, parse_docs,
+                                  promote, read_doc_files,
                                   read_docs, rebase_init_scripts, rebase_jars, remap_ids, rewrite_cluster,
                                   rewrite_job, rewrite_job_cluster, rewrite_policy_definition, set_pause,
                                   tag_principal)
@@ -27,7 +28,7 @@ __all__ = [
     "ClusterParams", "JobParams", "TableRef", "apply_sync", "attributes_wide", "build_session", "copy_from_plan",
     "copy_resumable", "copy_table", "copy_tables", "count_tables", "cut_over_views", "dedup_grants",
     "describe_long", "each", "edit_json", "explode_list", "filter_ids", "flatten_acl", "grant_changes",
-    "grants_by_principal", "inventory_from_catalog", "list_tables", "needs_copy", "outer_match", "plan_copy",
+    "grants_by_principal", "inventory_from_catalog", "parse_docs", "list_tables", "needs_copy", "outer_match", "plan_copy",
     "plan_sync", "promote", "qualify_sql", "read_doc_files", "read_docs", "read_table", "rebase_init_scripts",
     "rebase_jars", "records", "remap_ids", "rewrite_cluster", "rewrite_job", "rewrite_job_cluster",
     "rewrite_policy_definition", "set_pause", "shared_root", "split_outcomes", "stringify", "sync_report",

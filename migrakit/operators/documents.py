@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.maps import drop_keys, set_key
+from ..functions.parallel import parse_json
 from ..functions.strings import basename, is_blank, join_path
 from ..functions.versions import floor_version, is_ml
 
@@ -60,21 +61,31 @@ LIBRARY_DOC_DDL = "cluster_id string, library_statuses array<struct<library:stru
 
 # ---------------------------------------------------------------- sources
 
+def parse_docs(df: DataFrame, col: str, schema: str | StructType,
+               corrupt_col: str = "_corrupt_record") -> DataFrame:
+    """S4 in one pass: ``col`` parsed to a typed struct (NULL for a document
+    that does not parse) and ``corrupt_col`` holding the raw text of such a
+    document (NULL otherwise).  Callers that need both parts read this once."""
+    st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    st = StructType(st.fields + [StructField(corrupt_col, StringType(), True)])
+    parsed = parse_json(df, col, st, "_doc", keep=tuple(df.columns))
+    bad = F.col(col).isNotNull() & F.col(f"_doc.{corrupt_col}").isNotNull()
+    return parsed.select(
+        *[c for c in df.columns if c != col],
+        F.when(~bad, F.col("_doc").dropFields(corrupt_col)).alias(col),
+        F.when(bad, F.col(f"_doc.{corrupt_col}")).alias(corrupt_col))
+
+
 def read_docs(df: DataFrame, col: str, schema: str | StructType,
               corrupt_col: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
     """Parse one JSON document per row into a typed struct column.
 
     Returns (good, bad): good rows carry the struct in ``col``; bad rows keep
-    the raw text in ``corrupt_col`` (set aside, not lost).  Both come from
-    one per-row parse."""
-    st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
-    st = StructType(st.fields + [StructField(corrupt_col, StringType(), True)])
-    parsed = df.withColumn("_doc", F.from_json(F.col(col), st, {
-        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt_col}))
-    bad_cond = F.col(col).isNotNull() & F.col(f"_doc.{corrupt_col}").isNotNull()
-    good = parsed.where(~bad_cond).withColumn(col, F.col("_doc").dropFields(corrupt_col)).drop("_doc")
-    bad = parsed.where(bad_cond).withColumn(corrupt_col, F.col(f"_doc.{corrupt_col}")).drop("_doc")
-    return good, bad
+    the raw text in ``corrupt_col`` (set aside, not lost).  Two filters of
+    ``parse_docs``; to consume both parts in one pass use ``parse_docs``."""
+    parsed = parse_docs(df, col, schema, corrupt_col)
+    bad_cond = F.col(corrupt_col).isNotNull()
+    return parsed.where(~bad_cond).drop(corrupt_col), parsed.where(bad_cond).drop(col)
 
 
 def read_doc_files(spark, path: str, schema: str | StructType,

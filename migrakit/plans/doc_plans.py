@@ -306,11 +306,11 @@ SELECT event_id, CASE WHEN json_valid(doc) THEN TRY_CAST(json_extract(doc, '$.k'
 FROM (SELECT event_id, {_BROKEN} AS doc FROM events)""")
 def q_read_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents parsed to a typed struct; broken ones set aside whole."""
-    good, bad = D.read_docs(_broken_events(spark, sf_dir), "doc", "k long")
-    return good.select("event_id", F.col("doc.k").alias("k"), F.lit("good").alias("status"),
-                       F.lit(None).cast("string").alias("raw")).unionByName(
-        bad.select("event_id", F.lit(None).cast("long").alias("k"), F.lit("bad").alias("status"),
-                   F.col("_corrupt_record").alias("raw")))
+    parsed = D.parse_docs(_broken_events(spark, sf_dir), "doc", "k long")
+    bad = F.col("_corrupt_record").isNotNull()
+    return parsed.select("event_id", F.col("doc.k").alias("k"),
+                         F.when(bad, "bad").otherwise("good").alias("status"),
+                         F.col("_corrupt_record").alias("raw"))
 
 
 @plan("filter_ids", fx.with_fixtures("""

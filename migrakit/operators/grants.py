@@ -9,6 +9,8 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import records
+
 # How a privilege of the legacy model translates, per object
 # level.  (level, privilege, new privileges); an empty list drops it.
 TRANSLATION_RULES = (
@@ -48,7 +50,7 @@ def tables_by_schema(inventory: DataFrame, schemas: Iterable[str] | None = None,
         F.count(F.lit(1)).alias("table_count"))
     if schemas is None:
         return counts
-    wanted = inventory.sparkSession.createDataFrame([(s,) for s in schemas], "schema_name string")
+    wanted = records(inventory.sparkSession, [(s,) for s in schemas], "schema_name string")
     return wanted.join(counts, "schema_name", "left").select(
         "schema_name", F.coalesce("table_count", F.lit(0)).cast("long").alias("table_count"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.regex import alternation, java_replacement, re2_replacement
 from ..functions.strings import quote_ident_col
+from ..sources.tables import records
 
 # Fixed value: the legacy catalog prefix dropped from view texts.
 LEGACY_CATALOG = "hive_metastore"
@@ -110,5 +111,5 @@ def cut_over_views(spark: SparkSession, stmts: DataFrame, max_rounds: int | None
         if not pending or not progress:
             break
     done += [(*row, "failed", errors[row[:2]]) for row in pending]
-    return spark.createDataFrame(
+    return records(spark,
         done, "schema_name string, view_name string, view_stmt string, status string, error string")

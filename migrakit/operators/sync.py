@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.strings import quote_name
+from ..sources.tables import records
 from .copying import needs_copy_predicate
 from .merge import outer_match
 
@@ -123,5 +124,5 @@ def apply_sync(spark: SparkSession, sync: DataFrame, target_database: str,
     # Registrations are independent catalog calls: a small pool runs them.
     with ThreadPoolExecutor(max_workers=max_workers) as pool:
         rows = list(pool.map(one, todo.toLocalIterator()))
-    return spark.createDataFrame(
+    return records(spark,
         rows, "source_schema string, source_name string, target_name string, status string, error string")

@@ -9,7 +9,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import TableRef, count_tables, read_table, read_tables, table_fingerprint
+from ..sources.tables import TableRef, count_tables, read_table, read_tables, records, table_fingerprint
 from .merge import outer_match
 
 KEYS = ("database", "table_name")
@@ -101,7 +101,7 @@ def fingerprints(spark: SparkSession, refs: Sequence[TableRef], schemas: dict |
 
     with ThreadPoolExecutor(max_workers=max(1, min(max_workers, len(refs) or 1))) as pool:
         rows = list(pool.map(one, zip(refs, frames)))
-    return spark.createDataFrame(rows, FINGERPRINT_SCHEMA)
+    return records(spark, rows, FINGERPRINT_SCHEMA)
 
 
 def verify_copies(spark: SparkSession, pairs: Sequence[tuple[TableRef, TableRef]],
@@ -136,8 +136,8 @@ def verify_copies(spark: SparkSession, pairs: Sequence[tuple[TableRef, TableRef]
     by_index = dict(zip(todo, rows[: len(todo)]))
     src_rows = [tuple(by_index[i]) if i in by_index else
                 (r.database, r.table, *known[(r.database, r.table)]) for i, r in enumerate(src_refs)]
-    a = spark.createDataFrame(src_rows, FINGERPRINT_SCHEMA)
-    b = spark.createDataFrame(rows[len(todo):], FINGERPRINT_SCHEMA)
+    a = records(spark, src_rows, FINGERPRINT_SCHEMA)
+    b = records(spark, rows[len(todo):], FINGERPRINT_SCHEMA)
     m = outer_match(a, b, KEYS, [F.col("n"), F.col("content_hash")], [F.col("n"), F.col("content_hash")])
     sc, tc = F.col("_l.n"), F.col("_r.n")
     v = count_verdict(F.col("_l"), F.col("_r"), sc, tc)

@@ -13,7 +13,7 @@ from ..operators.sync import apply_sync, plan_sync, sync_report, views_of
 from ..operators.verify import verify_counts
 from ..session import work_dir
 from ..sources import fixtures as fx
-from ..sources.tables import TableRef, count_tables
+from ..sources.tables import TableRef, count_tables, records
 from .copy_check import DATABASE, _counts_sql, source_refs
 from .registry import plan
 
@@ -80,7 +80,7 @@ def q_sync_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables over their files (no data copied), then count both sides through
     the catalog and compare."""
     refs = source_refs(sf_dir)
-    src_inv = spark.createDataFrame(
+    src_inv = records(spark, 
         [(r.database, r.table, r.provider, r.location, "TABLE", False) for r in refs],
         "database string, table_name string, provider string, location string, "
         "table_type string, is_temporary boolean")

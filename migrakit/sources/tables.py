@@ -38,8 +38,22 @@ class TableRef:
 
 
 def records(spark: SparkSession, rows: Sequence, schema: StructType | str) -> DataFrame:
-    """S3: rows plus a declared schema; never inferred, so no rows is fine."""
-    return spark.createDataFrame(list(rows), schema=schema)
+    """S3: rows plus a declared schema; never inferred, so no rows is fine.
+
+    Built through Arrow, the rows become a local relation in the plan (no
+    RDD, no tasks to read them back); a type Arrow cannot carry falls back to
+    Spark's row conversion."""
+    rows = list(rows)
+    st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    try:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow_schema = to_arrow_schema(st)
+        table = pa.Table.from_pylist([dict(zip(st.fieldNames(), r)) for r in rows], schema=arrow_schema)
+        return spark.createDataFrame(table, st)
+    except Exception:  # noqa: BLE001 - any type Arrow cannot carry
+        return spark.createDataFrame(rows, schema=st)
 
 
 def read_table(spark: SparkSession, ref: TableRef, schema: StructType | None = None) -> DataFrame:

@@ -49,3 +49,14 @@ def test_no_udf_anywhere(spark):
             continue
         p = _plan(fn(spark, SF_SMALL))
         assert "PythonUDF" not in p and "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
+
+
+def test_record_frames_are_local_relations(spark):
+    from migrakit.operators.copying import OUTCOME_SCHEMA
+    from migrakit.sources.tables import records
+    for schema, rows in ((OUTCOME_SCHEMA, [("d", "t", "/a", "/b", "parquet", True, "copied", None, 1, None)]),
+                         ("a array<string>, m map<string,string>, s struct<x:int>", [(["x"], {"k": "v"}, (1,))]),
+                         ("n long", [])):
+        df = records(spark, rows, schema)
+        assert df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LocalRelation"
+        assert len(df.collect()) == len(rows)

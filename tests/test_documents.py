@@ -203,3 +203,16 @@ def test_rewrite_job(spark):
     assert nc["spark_conf"] == {D.DEFAULT_CATALOG_KEY: "main"} and nc["data_security_mode"] == "SINGLE_USER"
     assert out["tasks"] == [{"task_key": "t", "existing_cluster_id": "new"}]
     assert out["run_as"] == {"user_name": "a@x.org"}
+
+
+def test_rules_on_missing_parts(spark):
+    df = spark.createDataFrame([(None,), ('{"cluster_name": "x"}',), ('{"init_scripts": [], "spark_conf": {}}',)],
+                               "doc string").select(F.from_json("doc", f"struct<{D.CLUSTER_DDL}>").alias("c"))
+    p = D.ClusterParams(volume_path="/V", single_user="u@x.org", policy_id="P")
+    rows = df.select(D.rewrite_cluster(F.col("c"), p).alias("r")).collect()
+    assert rows[0].r is None or rows[0].r.cluster_name is None          # no document: nothing invented
+    assert rows[1].r.cluster_name == "x-UC" and rows[1].r.init_scripts is None
+    assert rows[1].r.policy_id is None and rows[1].r.data_security_mode == "USER_ISOLATION"
+    assert rows[2].r.init_scripts == [] and rows[2].r.spark_conf == {}
+    acl = spark.createDataFrame([(None,), ([],)], f"a {D.ACL_DOC_DDL.split('access_control_list ')[1]}")
+    assert [r.f for r in acl.select(D.flatten_acl(F.col("a")).alias("f")).collect()] == [None, []]

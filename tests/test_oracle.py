@@ -5,11 +5,11 @@ at least run and give rows."""
 import pytest
 
 import __spark_entry__ as entry
+from migrakit.plans import load_all
 from tests.conftest import SF_SMALL
 from tests.harness import compare
 
-PLANS = entry.queries()
-ORACLE = entry.oracle_sql()
+PLANS, ORACLE = load_all()
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -22,6 +22,10 @@ def test_every_plan_has_an_oracle():
     assert set(ORACLE) == set(PLANS)
 
 
+def test_entry_lists_every_plan():
+    assert set(PLANS) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
+
+
 def test_entry_smoke(spark):
     df = entry.entry(spark)
     rows = df.collect()

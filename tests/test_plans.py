@@ -7,6 +7,7 @@ from migrakit.operators.verify import verify_counts
 from migrakit.sources import fixtures as fx
 from migrakit.sources.tables import TableRef, _count_frame, read_table
 import __spark_entry__ as entry
+from migrakit.plans import load_all
 from tests.conftest import SF_SMALL
 
 
@@ -44,7 +45,7 @@ def test_documents_parse_once_and_do_not_shuffle_by_key(spark):
 
 
 def test_no_udf_anywhere(spark):
-    for name, fn in entry.queries().items():
+    for name, fn in load_all()[0].items():
         if name in ("copy_verify", "copy_outcomes", "resumable_copy", "sync_apply", "view_cut_over"):
             continue
         p = _plan(fn(spark, SF_SMALL))

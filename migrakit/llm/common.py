@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_root, work_dir
+
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -51,7 +53,36 @@ def row_key(*cols: Column) -> Column:
     return F.unhex(F.md5(F.concat(*parts).cast("binary")))
 
 
-def packed(docs: DataFrame, name: str = "row") -> DataFrame:
-    """All columns of ``docs`` inside one struct, so that columns an operator
-    adds never clash with the caller's."""
-    return docs.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias(name))
+def packed_columns(docs: DataFrame, keep: list[str] | None = None) -> Column:
+    """All columns of ``docs`` (or those in ``keep``) inside one struct ``row``, so
+    that columns an operator adds never clash with the caller's."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in keep or docs.columns]).alias("row")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    return docs.select(packed_columns(docs))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared checkpoint folder: its
+    lineage is cut there, every executor can read it, and a join that follows
+    sees two plain shuffles, so AQE can split a hot key."""
+    shared_root(df.sparkSession)
+    return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a Parquet table in the shared folder and read
+    back: compressed, and read by column."""
+    path = work_dir(df.sparkSession, "llm", name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def outside(items: Column, spans: Column) -> Column:
+    """The elements of an array outside sorted, disjoint spans (struct of
+    ``begin`` and ``end``, 0-based, end exclusive), in time linear in both."""
+    n = F.size(items)
+    begins = F.concat(F.transform(spans, lambda s: s["begin"]), F.array(n))
+    ends = F.concat(F.array(F.lit(0)), F.transform(spans, lambda s: s["end"]))
+    return F.flatten(F.zip_with(ends, begins, lambda e, b: F.slice(items, e + 1, F.greatest(b - e, F.lit(0)))))

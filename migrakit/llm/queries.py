@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import decontaminate, line_dedup, mixing, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,3 +92,71 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
                     F.col("copies").cast("int").alias("copies"),
                     F.round(F.get(F.col("positions"), F.lit(0)), 6).alias("first_position"))
+
+
+# --- 5: line dedup ---------------------------------------------------------
+
+OP5_SQL = r"""
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+k AS (
+  SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+m AS (
+  SELECT key, min(doc_id) AS keep FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+j AS (
+  SELECT k.doc_id, pos, line, m.key IS NOT NULL AND k.doc_id <> m.keep AS lost FROM k LEFT JOIN m ON k.key = m.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+"""
+
+
+@query("op5_line_dedup", OP5_SQL)
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+# --- 7: benchmark decontamination -------------------------------------------
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, w[i : i + least(len(w), 10) - 1] AS win
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+p AS (
+  SELECT doc_id, n, i, w[i : i + n - 1] AS win
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM v) WHERE len(w) >= n)),
+h AS (SELECT p.doc_id, p.i, p.n, v.item FROM p JOIN v ON p.n = v.n AND p.win = v.win),
+c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM h) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
+"""
+
+
+@query("op7_decontaminate", OP7_SQL)
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                    table(spark, sf_dir, "benchmark"))
+    return c.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                    F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), "contaminated")
+
+
+# --- 8: sharding (no statement: DuckDB has no CRC-32) ------------------------
+
+@query("op8_shard_bytes")
+def op8_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sharding.shard(table(spark, sf_dir, "documents"), shards=8, keep=["doc_id"])
+    return s.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                    F.lit(None).cast("int").alias("grown_shard"))

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, sharding
+from . import decontaminate, line_dedup, mixing, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -160,3 +160,11 @@ def op8_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sharding.shard(table(spark, sf_dir, "documents"), shards=8, keep=["doc_id"])
     return s.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                     F.lit(None).cast("int").alias("grown_shard"))
+
+
+# --- 9: SimHash near-dedup (components: no statement) ------------------------
+
+@query("op9_simhash")
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3, keep=["doc_id"])
+    return d.select("row.doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, sharding, simhash
+from . import decontaminate, exact_dedup, line_dedup, mixing, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,3 +168,22 @@ def op8_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3, keep=["doc_id"])
     return d.select("row.doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- 3: exact dedup ----------------------------------------------------------
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+r AS (
+  SELECT *, count(*) OVER (PARTITION BY norm) AS group_size,
+         first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM r
+"""
+
+
+@query("op3_exact_dedup", OP3_SQL)
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return d.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")

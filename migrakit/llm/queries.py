@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, mixing, sharding, simhash
+from . import decontaminate, exact_dedup, langid, line_dedup, mixing, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -187,3 +187,14 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return d.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+# --- 4: language ID (a learned model: no statement) ---------------------------
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = langid.held_out(F.col("doc_id"))
+    model = langid.learn(docs.where(~out))
+    return (langid.identify(docs.select("doc_id", "text"), model)
+            .select("doc_id", out.alias("held_out"), F.col("lang_id.lang").alias("lang_pred"), F.col("lang_id.score").alias("score")))

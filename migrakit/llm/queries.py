@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, line_dedup, mixing, sharding, simhash
+from . import decontaminate, exact_dedup, langid, line_dedup, lm_score, mixing, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -198,3 +198,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.learn(docs.where(~out))
     return (langid.identify(docs.select("doc_id", "text"), model)
             .select("doc_id", out.alias("held_out"), F.col("lang_id.lang").alias("lang_pred"), F.col("lang_id.score").alias("score")))
+
+
+# --- 2: language-model scoring (a learned model: no statement) ---------------
+
+@query("op2_ctw_score")
+def op2_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    s = lm_score.score(docs, held, depth=5)
+    return s.select("row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",
+                    (-F.col("score") * 3.321928094887362 / F.col("n_bytes")).alias("bits_per_byte"))

@@ -147,8 +147,7 @@ FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
 
 @query("op7_decontaminate", OP7_SQL)
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = decontaminate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"),
-                                    table(spark, sf_dir, "benchmark"))
+    c = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return c.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                     F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), "contaminated")
 

@@ -57,7 +57,7 @@ def _hits(texts: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame
         here = F.slice("words", F.col("pos") + 1, F.lit(n))
         at = at.withColumn("h", F.xxhash64(here))
         # The words are compared on hits only: a bare equality would become part of the join key.
-        same = F.coalesce(here == F.col("window"), F.lit(False))
+        same = here.between(F.col("window"), F.col("window"))
         found.append(at.join(F.broadcast(windows.where(F.col("len") == n)), "h").where(same)
                      .select("rk", "pos", "len", "items"))
     return reduce(DataFrame.unionByName, found)

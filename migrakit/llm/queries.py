@@ -12,7 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, line_dedup, lm_score, mixing, sharding, simhash
+from ..session import work_dir
+from . import decontaminate, exact_dedup, langid, line_dedup, lm_score, mixing, pii, sharding, simhash, token_counts
+from .common import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -208,3 +210,43 @@ def op2_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lm_score.score(docs, held, depth=5)
     return s.select("row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",
                     (-F.col("score") * 3.321928094887362 / F.col("n_bytes")).alias("bits_per_byte"))
+
+
+# --- 6: token counts (a real tokenizer: no statement) ------------------------
+
+#: Vocabulary of the BPE version and its pre-tokenisation pattern: parameters.
+TOKENIZER = "byte_bpe_50k"
+
+
+@query("op6_token_rollup")
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load of all documents, a batch that takes back every copy of an earlier
+    text, a batch that counts shouted texts anew in lower case, and the load once
+    more (already committed: no effect)."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    versions = {"words-1": token_counts.WORDS,
+                f"{TOKENIZER}-1": token_counts.bpe(spark, public_tokenizers.path(f"{TOKENIZER}.tiktoken"), public_tokenizers.PATTERN)}
+    state = token_counts.Rollup(spark, work_dir(spark, "llm", "token-rollup"))
+    state.commit("load", stated=token_counts.counted(docs, versions))
+    h = F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    texts = docs.select("doc_id", h.alias("h"))
+    first = settled(texts.groupBy("h").agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    copies = settled(texts.join(first, "h").where(F.col("doc_id") != F.col("keep")).select("doc_id"))
+    state.commit("retract-copies", deleted=copies)
+    loud = docs.where((F.upper("text") == F.col("text")) & (F.lower("text") != F.col("text")))
+    loud = loud.join(copies, "doc_id", "left_anti").withColumn("text", F.lower("text"))
+    state.commit("revise", stated=token_counts.counted(loud, versions))
+    state.commit("load", stated=token_counts.counted(docs, versions))
+    return state.totals()
+
+
+# --- 10: PII pseudonyms --------------------------------------------------------
+
+@query("op10_pseudonymise")
+def op10_pseudonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pii.pseudonymise(table(spark, sf_dir, "documents"), key="op10", keep=["doc_id"])
+    count = lambda k: F.size(F.filter("kinds", lambda x: x == k)).alias(f"n_{k}")
+    return p.select("row.doc_id", "text", F.size("kinds").alias("n_values"),
+                    *[count(k) for k in ("email", "card", "phone", "ip", "iban", "ssn", "date")])

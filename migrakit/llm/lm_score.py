@@ -44,13 +44,14 @@ from .common import packed_columns, settled, whole_text, written
 END = 10
 GROUP = 3
 #: Bytes of text in a block, at most (a longer text is a block of its own).
-BLOCK = 32 << 20
-SLICE = 1 << 20
+BLOCK = 16 << 20
+#: Tokens worked on at a time.
+PIECE = 1 << 17
 
 
 # --- blocks -------------------------------------------------------------------
 
-def _block(raws: list[bytes]):
+def _block(raws):
     """(words, codes, tokens per text): words end with their space; the end of a
     text is the word "\\n"."""
     codes, at, counts = [], {b"\n": 0}, []
@@ -80,7 +81,7 @@ def blocks(docs: DataFrame, held_out) -> DataFrame:
         def made():
             row = pa.concat_arrays([p.column(0) for p in parts])
             held = np.concatenate([p.column(1).to_numpy(zero_copy_only=False) for p in parts]).astype(bool)
-            words, codes, counts = _block([t for p in parts for t in p.column(2).to_pylist()])
+            words, codes, counts = _block(t.as_py() for p in parts for t in p.column(2))
             train = np.bincount(codes[np.repeat(~held, counts)], minlength=len(words)).astype(np.int32)
             whole = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
             return pa.RecordBatch.from_arrays(
@@ -88,8 +89,7 @@ def blocks(docs: DataFrame, held_out) -> DataFrame:
                  whole(pa.array(train)), whole(pa.array(codes)), whole(pa.array(counts))], names=schema.names)
 
         for b in batches:
-            lengths = b.column(2).cast(pa.large_binary())
-            ends = np.cumsum([len(x) for x in lengths.to_pylist()]) if b.num_rows else []
+            ends = np.cumsum(pa.compute.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
             start = 0
             while start < b.num_rows:
                 done = ends[start - 1] if start else 0
@@ -106,21 +106,6 @@ def blocks(docs: DataFrame, held_out) -> DataFrame:
     return written(base.mapInArrow(run, schema), "lm-blocks")
 
 
-def _stream(words, codes: np.ndarray, tokens: np.ndarray, depth: int):
-    """Bytes of a block's texts, each after ``depth`` end bytes, and the text that
-    every byte belongs to (-1: padding)."""
-    taken = words.take(pa.array(codes))
-    offsets = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset:taken.offset + len(taken) + 1]
-    data = np.frombuffer(taken.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
-    size = np.diff(offsets[np.concatenate(([0], np.cumsum(tokens)))])
-    text = np.repeat(np.arange(len(tokens), dtype=np.int32), size)
-    at = np.arange(len(data)) + depth * (text + 1)
-    out = np.full(len(data) + depth * len(tokens), END, np.uint8)
-    of = np.full(len(out), -1, np.int32)
-    out[at], of[at] = data, text
-    return out, of
-
-
 def _grams(stream: np.ndarray, depth: int) -> np.ndarray:
     """Of every byte from ``depth`` on: the bytes before it, the nearest first, then
     the byte, as one number; so contexts of every depth are leading bytes."""
@@ -134,11 +119,23 @@ def _grams(stream: np.ndarray, depth: int) -> np.ndarray:
     return g
 
 
-def _slices(stream, of, depth):
-    for s in range(depth, len(stream), SLICE):
-        e = min(s + SLICE, len(stream))
-        keep = of[s:e] >= 0
-        yield _grams(stream[s - depth:e], depth)[keep], of[s:e][keep]
+def _pieces(words, codes: np.ndarray, tokens: np.ndarray, depth: int):
+    """(gram, text) of every byte of a block, ``PIECE`` tokens at a time: a text begins
+    after ``depth`` end bytes, a piece inside a text after the bytes before it."""
+    of = np.repeat(np.arange(len(tokens), dtype=np.int32), tokens)
+    tail = None
+    for s in range(0, len(codes), PIECE):
+        taken = words.take(pa.array(codes[s:s + PIECE]))
+        offsets = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset:taken.offset + len(taken) + 1]
+        data = np.frombuffer(taken.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+        text = np.repeat(of[s:s + PIECE], np.diff(offsets))
+        at = np.arange(len(data)) + depth * (text - text[0])
+        stream = np.full(at[-1] + 1 + depth, END, np.uint8)
+        stream[at + depth] = data
+        if s and of[s] == of[s - 1]:
+            stream[:depth] = tail
+        tail = stream[-depth:].copy()
+        yield _grams(stream, depth)[at], text
 
 
 # --- the tree -------------------------------------------------------------------
@@ -253,7 +250,7 @@ def _by_size(df: DataFrame) -> dict[int, int]:
     return {r["b"]: r["count"] for r in rows}                     # 64 rows at most
 
 
-def train(cut: DataFrame, depth: int = 5, max_nodes: int = 3_000_000, max_known: int = 1_500_000) -> dict:
+def train(cut: DataFrame, depth: int = 5, max_nodes: int = 2_000_000, max_known: int = 1_000_000) -> dict:
     """The model of the training texts in ``cut`` (see ``blocks``)."""
     top = min(GROUP, depth)
 
@@ -267,11 +264,11 @@ def train(cut: DataFrame, depth: int = 5, max_nodes: int = 3_000_000, max_known:
         for b in batches:
             for i in range(b.num_rows):
                 mask = ~b.column(0)[i].values.to_numpy(zero_copy_only=False).astype(bool)
-                stream, of = _stream(*(b.column(c)[i].values if c == 1 else b.column(c)[i].values.to_numpy() for c in (1, 2, 3)), depth)
-                for g, text in _slices(stream, of, depth):
+                words, codes, tokens = (b.column(c)[i].values for c in (1, 2, 3))
+                for g, text in _pieces(words, codes.to_numpy(), tokens.to_numpy(), depth):
                     waiting.append(np.unique(g[mask[text]], return_counts=True))
                     held += len(waiting[-1][0])
-                    if held > max(2_000_000, len(keys)):
+                    if held > max(1_000_000, len(keys) // 2):
                         keys, sums = merged()
                         waiting, held = [], 0
         keys, sums = merged()
@@ -309,7 +306,8 @@ def train(cut: DataFrame, depth: int = 5, max_nodes: int = 3_000_000, max_known:
     whole = levels(heads["gram"].to_numpy(np.uint64), heads["n"].to_numpy(np.int64), top - 1, 0,
                    (up["key"].to_numpy(np.uint64), up["pw"].to_numpy(np.float64)))
     for d, t in whole:
-        tree[d] = (t["key"], t["one"].astype(np.float32), t["own"].astype(np.float32))
+        seen = (t["n"] > 1) | (d == 0)
+        tree[d] = (t["key"][seen], t["one"][seen].astype(np.float32), t["own"][seen].astype(np.float32))
     kept = nodes.where(F.col("n") >= max(2, _histogram_floor(_by_size(nodes), max_nodes)))
     for d in range(top, depth + 1):
         t = kept.where(F.col("d") == d).select("key", "one", "own").toArrow()
@@ -369,9 +367,8 @@ def _lookup(table: dict, keys: np.ndarray):
 
 
 def _text_scores(words, codes, tokens, tree: list, known: dict, depth: int) -> np.ndarray:
-    stream, of = _stream(words, codes, tokens, depth)
     out = np.zeros(len(tokens))
-    for g, text in _slices(stream, of, depth):
+    for g, text in _pieces(words, codes, tokens, depth):
         p, found = _lookup(known, g)
         if not found.all():
             rare, back = np.unique(g[~found], return_inverse=True)

@@ -5,5 +5,5 @@ from .registry import ORACLE, PLANS
 
 def load_all():
     """Import every plan module so that all plans are registered."""
-    from . import copy_check, doc_plans, grant_plans, stream_plans, sync_plans, view_plans  # noqa: F401
+    from . import copy_check, doc_plans, grant_plans, stream_plans, sync_plans, view_plans, whole_doc_plans  # noqa: F401
     return PLANS, ORACLE

@@ -1,5 +1,4 @@
-"""Plan-shape helpers: parse once, and give CPU-heavy per-row work enough
-tasks."""
+"""Plan-shape helper: parse once."""
 
 from __future__ import annotations
 
@@ -7,35 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def parse_json(df: DataFrame, col: str, schema, out: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def parse_json(df: DataFrame, col: str, schema, out: str, keep: tuple[str, ...] = (),
+               options: dict | None = None) -> DataFrame:
     """``from_json`` evaluated once per row, as a column later expressions
     read.  Without the generator boundary the optimizer inlines the parse into
     every field reference; inside conditional branches and higher-order
     functions those copies are not shared, so a document would be parsed once
     per field it is read from.  ``explode`` of a one-element array is a cheap
     per-row generator that the optimizer does not see through."""
-    parsed: Column = F.from_json(F.col(col), schema)
+    parsed: Column = F.from_json(F.col(col), schema, options or {})
     return df.select(*keep, F.explode(F.array(parsed)).alias(out))
-
-
-# Upper bound of the tasks ``spread`` creates: enough to use the cores of a
-# local run, and on a large cluster small enough that a small input is not cut
-# into thousands of near-empty tasks.
-SPREAD_MAX = 64
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over ``min_partitions`` tasks (default: the
-    cluster's parallelism, at most ``SPREAD_MAX``) when the input has fewer
-    splits, e.g. one large row group.  Meant for CPU-heavy per-row work (JSON
-    parsing, regex over long texts) straight after a scan.  On input that
-    already has enough splits -- any large table -- it changes nothing and
-    adds no shuffle."""
-    # A frame that already went through a shuffle has its shuffle's tasks;
-    # asking it for its partitions could run that shuffle, so leave it.
-    if "Exchange" in df._jdf.queryExecution().sparkPlan().toString():
-        return df
-    target = min_partitions or min(df.sparkSession.sparkContext.defaultParallelism, SPREAD_MAX)
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)

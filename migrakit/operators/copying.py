@@ -4,13 +4,14 @@
 from __future__ import annotations
 
 import threading
+from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.strings import bounded_text
+from ..functions.strings import bounded_text, quote_name
 from ..sources.tables import (SAME_FORMAT_PROVIDERS, TableRef, fingerprint_exprs, largest_first,
                              partition_columns, read_table, records)
 
@@ -43,21 +44,27 @@ def needs_copy(df: DataFrame, prefix: str = "s3", legacy: str = "hive",
 
 
 def with_target_path(df: DataFrame, base: str, table_col: str = "table_name",
-                     out: str = "ext_loc") -> DataFrame:
-    """``base + '/' + table``."""
-    return df.withColumn(out, F.concat(F.lit(base.rstrip("/")), F.lit("/"), F.col(table_col)))
+                     out: str = "ext_loc", schema_col: str = "database") -> DataFrame:
+    """``base + '/' + schema + '/' + table``: equal table names in two schemas
+    have targets of their own."""
+    return df.withColumn(out, F.concat(F.lit(base.rstrip("/")), F.lit("/"), F.col(schema_col), F.lit("/"),
+                                       F.col(table_col)))
 
 
 def plan_copy(inventory: DataFrame, counts: DataFrame, base: str, prefix: str = "s3",
               legacy: str = "hive", keys: Sequence[str] = ("database", "table_name")) -> DataFrame:
-    """Needs-copy tables with their source row count and target path.
+    """Needs-copy tables with their source row count, partition columns
+    (``partition_col_list``, from the inventory) and target path.
 
     ``counts`` is (keys..., n); a table may come as several count rows (its
     count is their sum, NULL when any part is NULL, as in ``verify_counts``);
     a table without a count row gets NULL.  The count aggregation is
     partitioned by the keys, so the join adds no shuffle on that side."""
+    layout = next((c for c in ("partition_col_list", "partition_columns") if c in inventory.columns), None)
+    parts = F.col(layout) if layout else F.lit(None)
     chosen = needs_copy(inventory, prefix, legacy).select(
-        *keys, F.col("location").alias("curr_loc"), "provider")
+        *keys, F.col("location").alias("curr_loc"), "provider",
+        parts.cast("array<string>").alias("partition_col_list"))
     per_table = counts.groupBy(*keys).agg(
         F.when(F.count("n") == F.count(F.lit(1)), F.sum("n")).alias("source_count"))
     planned = chosen.join(per_table, list(keys), "left")
@@ -71,32 +78,47 @@ def target_format(provider: str | None, to_format: str | None) -> str:
     return to_format or "parquet"
 
 
+def _path(spark: SparkSession, location: str):
+    """(file system, path) of a location."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def started_marker(location: str) -> str:
+    """Where a copy records that it has begun: a hidden file beside the target
+    (an overwrite clears the target itself)."""
+    parent, _, name = location.rstrip("/").rpartition("/")
+    return f"{parent}/_copy_started.{name}"
+
+
 def target_state(spark: SparkSession, location: str) -> str:
-    """``absent``, ``complete`` (a committed job left ``_SUCCESS``) or
-    ``incomplete`` (files of a job that did not commit)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(location)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    """``absent`` (nothing there, or an empty folder), ``unfinished`` (one of our
+    copies recorded its start and not its end) or ``present`` (anything else,
+    whoever wrote it)."""
+    fs, path = _path(spark, location)
+    if not fs.exists(path) or (fs.getFileStatus(path).isDirectory() and len(fs.listStatus(path)) == 0):
         return "absent"
-    return "complete" if fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")) else "incomplete"
+    return "unfinished" if fs.exists(_path(spark, started_marker(location))[1]) else "present"
+
+
+def _mark(spark: SparkSession, location: str, started: bool) -> None:
+    fs, path = _path(spark, started_marker(location))
+    if started:
+        fs.create(path, True).close()
+    else:
+        fs.delete(path, False)
 
 
 def existing_layout(spark: SparkSession, src: TableRef, df: DataFrame) -> set[str]:
     """Columns the source is already partitioned by: from the catalog for a
-    named table, else from ``col=value`` folders in its file paths."""
+    named table, else from the partition schema that Spark's file index found."""
     if src.name:
-        try:
-            return {c.name for c in spark.catalog.listColumns(src.name) if c.isPartition}
-        except Exception:  # noqa: BLE001
-            return set()
-    files = df.inputFiles()[:16]
-    found = set()
-    for f in files:
-        for seg in f.split("/")[:-1]:
-            if "=" in seg:
-                found.add(seg.split("=", 1)[0])
-    return found
+        return {c.name for c in spark.catalog.listColumns(src.name) if c.isPartition}
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    try:
+        return set(leaves.apply(0).relation().partitionSchema().fieldNames())
+    except Exception:  # noqa: BLE001 - not a file relation: it has no layout of its own
+        return set()
 
 
 def copy_table(spark: SparkSession, src: TableRef, ext_loc: str, to_format: str | None = None,
@@ -119,9 +141,10 @@ def copy_table(spark: SparkSession, src: TableRef, ext_loc: str, to_format: str
     in the final (writing) stage, where Spark applies each task's metrics
     exactly once, also when tasks are retried.
 
-    ``if_exists='skip'`` leaves a complete target untouched (a second run,
-    even if the source grew) and rewrites one a failed run left behind, so a
-    rerun after a crash resumes the remaining tables.
+    ``if_exists='skip'`` leaves any existing target untouched, whoever wrote it.
+    Only a target that one of our own copies began and did not finish (it
+    records its start beside the target) is written again, so a rerun after a
+    crash resumes the remaining tables.  A failed hash never fails the copy.
     Never raises; the outcome says what happened."""
     fmt = target_format(src.provider, to_format)
     outcome = {"database": src.database, "table_name": src.table,
@@ -131,9 +154,8 @@ def copy_table(spark: SparkSession, src: TableRef, ext_loc: str, to_format: str
     try:
         mode = {"skip": "ignore", "fail": "errorifexists", "overwrite": "overwrite"}[if_exists]
         if if_exists == "skip":
-            exists = (spark.catalog.tableExists(target_name) if target_name
-                      else target_state(spark, ext_loc) == "complete")
-            if exists:
+            state = target_state(spark, ext_loc)
+            if state == "present" or (state == "absent" and target_name and spark.catalog.tableExists(target_name)):
                 outcome.update(copied_successfully=True, action="skipped")
                 return outcome
             mode = "overwrite"
@@ -146,23 +168,30 @@ def copy_table(spark: SparkSession, src: TableRef, ext_loc: str, to_format: str
             df = df.hint("rebalance", *parts)
         observation = None
         if fingerprint:
-            observation = Observation()
-            df = df.observe(observation, *fingerprint_exprs(df.columns))
+            try:
+                df.agg(*fingerprint_exprs(df.schema))           # analysed only: can these types be hashed?
+                observation = Observation()
+                df = df.observe(observation, *fingerprint_exprs(df.schema))
+            except Exception:  # noqa: BLE001 - the copy goes on without a hash
+                observation = None
         writer = df.write.format(fmt).mode(mode)
         if parts:
             writer = writer.partitionBy(*parts)
         if max_records_per_file:
             writer = writer.option("maxRecordsPerFile", max_records_per_file)
+        if if_exists != "fail":
+            _mark(spark, ext_loc, True)
         if target_name:
             writer.option("path", ext_loc).saveAsTable(target_name)
         else:
             writer.save(ext_loc)
+        _mark(spark, ext_loc, False)
         outcome.update(copied_successfully=True, action="copied")
         if observation is not None:
             metrics = observation.get
             outcome.update(source_rows=metrics.get("n"), source_hash=metrics.get("content_hash"))
     except Exception as e:  # noqa: BLE001 - the outcome table carries it
-        outcome["error"] = str(e)[:32000]
+        outcome["error"] = str(e)
     return outcome
 
 
@@ -171,6 +200,9 @@ def copy_tables(spark: SparkSession, tasks: Iterable[tuple[TableRef, str]],
                 target_names: dict | None = None) -> DataFrame:
     """K4: copy many tables concurrently; one outcome row per table.
 
+    Tables that share a target (folder or name) are all refused before anything
+    is written: none may overwrite or stand for another.
+
     The driver pool only submits jobs (each copy is a distributed job); jobs
     share the executors through the FAIR scheduler pool, largest table first.  One failure does not
     stop the rest.  The outcome schema is fixed, so zero tables work."""
@@ -178,13 +210,21 @@ def copy_tables(spark: SparkSession, tasks: Iterable[tuple[TableRef, str]],
     target_names = target_names or {}
     local = threading.local()
 
+    folders = Counter(loc.rstrip("/") for _, loc in tasks)
+    names = Counter(n.lower() for n in target_names.values())
+
     def run(task):
         ref, loc = task
+        name = target_names.get((ref.database, ref.table))
+        if folders[loc.rstrip("/")] > 1 or (name and names[name.lower()] > 1):
+            return {"database": ref.database, "table_name": ref.table, "curr_loc": ref.location or ref.name,
+                    "ext_loc": loc, "format": target_format(ref.provider, to_format), "copied_successfully": False,
+                    "action": "refused", "error": f"several tables have the target {name or loc}",
+                    "source_rows": None, "source_hash": None}
         if not getattr(local, "pool_set", False):
             spark.sparkContext.setLocalProperty("spark.scheduler.pool", COPY_POOL)
             local.pool_set = True
-        return copy_table(spark, ref, loc, to_format, if_exists,
-                          target_names.get((ref.database, ref.table)))
+        return copy_table(spark, ref, loc, to_format, if_exists, name)
 
     with ThreadPoolExecutor(max_workers=max(1, max_workers)) as pool:
         outcomes = list(pool.map(run, tasks))
@@ -194,6 +234,18 @@ def copy_tables(spark: SparkSession, tasks: Iterable[tuple[TableRef, str]],
     return records(spark, rows, OUTCOME_SCHEMA)
 
 
+def source_ref(spark: SparkSession, database: str, table: str, provider: str | None, location: str | None,
+               partitions: Sequence[str] = ()) -> TableRef:
+    """A table of a plan: read by its catalog name where the catalog has it (so
+    its reader options, schema and layout hold), else from its files."""
+    name = quote_name(database, table)
+    try:
+        known = spark.catalog.tableExists(name)
+    except Exception:  # noqa: BLE001 - not a name this catalog can have
+        known = False
+    return TableRef(database, table, provider, location, tuple(partitions), name if known else None)
+
+
 def copy_from_plan(spark: SparkSession, plan: DataFrame, to_format: str | None = None,
                    if_exists: str = "skip", max_workers: int = 8) -> DataFrame:
     """C1 -> K4: run the copies a copy plan lists (database, table_name,
@@ -201,11 +253,9 @@ def copy_from_plan(spark: SparkSession, plan: DataFrame, to_format: str | None =
     rows (one per table) are streamed to the driver; each copy is its own
     distributed job."""
     has_parts = "partition_col_list" in plan.columns
-    tasks = []
-    for r in plan.toLocalIterator():
-        parts = tuple(r["partition_col_list"] or ()) if has_parts else ()
-        ref = TableRef(r["database"], r["table_name"], r["provider"], r["curr_loc"], parts)
-        tasks.append((ref, r["ext_loc"]))
+    tasks = [(source_ref(spark, r["database"], r["table_name"], r["provider"], r["curr_loc"],
+                         (r["partition_col_list"] or ()) if has_parts else ()), r["ext_loc"])
+             for r in plan.toLocalIterator()]
     return copy_tables(spark, tasks, to_format, if_exists, max_workers)
 
 

@@ -17,6 +17,7 @@ from ..functions.maps import drop_keys, set_key
 from ..functions.parallel import parse_json
 from ..functions.strings import basename, is_blank, join_path
 from ..functions.versions import floor_version, is_ml
+from ..sources.tables import records
 
 # Cluster configuration keys that do not apply on the new catalog.
 LEGACY_CONF_KEYS = (
@@ -41,6 +42,9 @@ USER_ISOLATION = "USER_ISOLATION"
 CLUSTER_SUFFIX = "-UC"
 POLICY_SUFFIX = "-uc"
 
+# Longest id list that travels in the plan as a literal.
+LITERAL_IDS = 1000
+
 _DEST = "struct<destination:string>"
 INIT_SCRIPT_DDL = f"struct<workspace:{_DEST},volumes:{_DEST},s3:{_DEST},dbfs:{_DEST}>"
 CLUSTER_DDL = (
@@ -56,6 +60,7 @@ JOB_DOC_DDL = f"job_id string, run_as_user_name string, settings struct<{JOB_SET
 ACL_DOC_DDL = ("object_id string, access_control_list array<struct<group_name:string,user_name:string,"
                "service_principal_name:string,all_permissions:array<struct<permission_level:string,"
                "inherited:boolean>>>>")
+_PERMISSIONS = "array<struct<permission_level:string,inherited:boolean>>"
 LIBRARY_DOC_DDL = "cluster_id string, library_statuses array<struct<library:struct<jar:string,whl:string,pypi:struct<package:string>,maven:struct<coordinates:string>>>>"
 
 
@@ -68,7 +73,8 @@ def parse_docs(df: DataFrame, col: str, schema: str | StructType,
     document (NULL otherwise).  Callers that need both parts read this once."""
     st = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     st = StructType(st.fields + [StructField(corrupt_col, StringType(), True)])
-    parsed = parse_json(df, col, st, "_doc", keep=tuple(df.columns))
+    parsed = parse_json(df, col, st, "_doc", keep=tuple(df.columns),
+                        options={"columnNameOfCorruptRecord": corrupt_col})
     bad = F.col(col).isNotNull() & F.col(f"_doc.{corrupt_col}").isNotNull()
     return parsed.select(
         *[c for c in df.columns if c != col],
@@ -102,17 +108,22 @@ def read_doc_files(spark, path: str, schema: str | StructType,
 def filter_ids(df: DataFrame, key: str, ids: str | Sequence[str] | DataFrame,
                id_col: str = "id") -> DataFrame:
     """Keep the rows whose ``key`` is in ``ids``: a comma-separated
-    string (entries trimmed, blanks ignored), a list, or a frame of ids.  A
-    given list is a literal of known size; a frame of ids is a left-semi
+    string (entries trimmed, blanks ignored), a list, or a frame of ids.  Ids
+    are cast to the key's type (one that is no such value matches nothing), so
+    the key itself stays bare and the filter reaches the scan.  A list of up to
+    ``LITERAL_IDS`` ids is a literal; a longer one, or a frame, is a left-semi
     join, planned by Spark (and AQE) on measured sizes."""
+    kind = df.schema[key].dataType
     if isinstance(ids, DataFrame):
         # A semi join never repeats a left row, so the ids need no distinct.
-        return df.join(ids.select(F.col(id_col).alias("_id")),
-                       F.col(key).cast("string") == F.col("_id").cast("string"), "left_semi")
+        return df.join(ids.select(F.col(id_col).try_cast(kind).alias("_id")), F.col(key) == F.col("_id"), "left_semi")
     if isinstance(ids, str):
         ids = ids.split(",")
-    wanted = sorted({i.strip() for i in ids if i and i.strip()})
-    return df.where(F.col(key).cast("string").isin(wanted))
+    wanted = sorted({str(i).strip() for i in ids if i is not None and str(i).strip()})
+    if len(wanted) > LITERAL_IDS:
+        frame = records(df.sparkSession, [(i,) for i in wanted], "id string")
+        return filter_ids(df, key, frame)
+    return df.where(F.col(key).isin([F.lit(i).try_cast(kind) for i in wanted]) if wanted else F.lit(False))
 
 
 # ------------------------------------------------------------ cluster rules
@@ -301,20 +312,27 @@ def promote(df: DataFrame, col: str) -> DataFrame:
 
 
 def edit_json(df: DataFrame, col: str, fn: Callable[[Column], Column],
-              schema: str = "map<string,variant>") -> DataFrame:
+              schema: str = "map<string,variant>", bad: str = "bad_doc") -> DataFrame:
     """Parse a JSON text column, edit it, write it back as JSON text.
     With the default ``map<string,variant>`` every value keeps its JSON type
-    (numbers stay numbers, objects stay objects).  A column that is already
-    parsed is edited and written as it is."""
-    c = F.col(col)
-    parsed = F.from_json(c, schema) if isinstance(df.schema[col].dataType, StringType) else c
-    return df.withColumn(col, F.to_json(fn(parsed)))
+    (numbers stay numbers, objects stay objects).  Text that does not parse is
+    set aside: it goes to column ``bad`` as it is and ``col`` is NULL there, so it is
+    neither lost nor replaced.  A column that is already parsed is edited and
+    written as it is."""
+    if not isinstance(df.schema[col].dataType, StringType):
+        return df.withColumn(col, F.to_json(fn(F.col(col)))).withColumn(bad, F.lit(None).cast("string"))
+    keep = tuple(c for c in df.columns if c != col)
+    parsed = parse_json(df, col, schema, "_doc", keep=tuple(df.columns))
+    broken = F.col(col).isNotNull() & F.col("_doc").isNull()
+    return parsed.select(*keep, F.when(~broken, F.to_json(fn(F.col("_doc")))).alias(col),
+                         F.when(broken, F.col(col)).alias(bad))
 
 
 def rewrite_policy_definition(df: DataFrame, col: str = "definition",
-                              keys: Sequence[str] = LEGACY_POLICY_KEYS) -> DataFrame:
-    """D12 + D1 as the policy rewrite: legacy keys out of the definition."""
-    return edit_json(df, col, lambda m: drop_keys(m, keys))
+                              keys: Sequence[str] = LEGACY_POLICY_KEYS, bad: str = "bad_doc") -> DataFrame:
+    """D12 + D1 as the policy rewrite: legacy keys out of the definition; a
+    definition that does not parse is set aside in ``bad``."""
+    return edit_json(df, col, lambda m: drop_keys(m, keys), bad=bad)
 
 
 # --------------------------------------------------------------- ACL rules
@@ -323,12 +341,14 @@ def flatten_acl(acl: Column) -> Column:
     """The access list as (group_name | user_name |
     service_principal_name, permission_level) entries: one per entry, direct
     permission (``inherited`` present and false) and kind of principal the
-    entry names.  An object whose list ends empty keeps ``[]``.  Per-row
-    higher-order functions: no explode, no regroup, no shuffle."""
+    entry names.  An entry without ``all_permissions`` gives nothing and leaves
+    the others alone.  An object whose list ends empty keeps ``[]``; one without
+    a list keeps NULL.  Per-row higher-order functions: no explode, no regroup,
+    no shuffle."""
     kinds = ("group_name", "user_name", "service_principal_name")
 
     def per_entry(e: Column) -> Column:
-        direct = F.filter(e["all_permissions"], lambda p: p["permission_level"].isNotNull()
+        direct = F.filter(F.coalesce(e["all_permissions"], F.array().cast(_PERMISSIONS)), lambda p: p["permission_level"].isNotNull()
                           & (p["inherited"] == F.lit(False)))
 
         def per_perm(p: Column) -> Column:
@@ -341,7 +361,18 @@ def flatten_acl(acl: Column) -> Column:
 
         return F.flatten(F.transform(direct, per_perm))
 
-    return F.filter(F.flatten(F.transform(acl, per_entry)), lambda x: x.isNotNull())
+    present = F.filter(acl, lambda e: e.isNotNull())
+    return F.filter(F.flatten(F.transform(present, per_entry)), lambda x: x.isNotNull())
+
+
+def acl_by_object(docs: DataFrame, mapping: DataFrame, key: str = "object_id", doc: str = "doc") -> DataFrame:
+    """(key, new_id, access_control_list) per object that has an access list
+    and a new id, the list flattened.  The ids are joined before anything is
+    parsed; the list stays in its row."""
+    moved = remap_ids(docs.select(key, doc), mapping, key)
+    parsed = parse_json(moved, doc, ACL_DOC_DDL, "_d", keep=(key, "new_id"))
+    return parsed.where(F.col("_d.access_control_list").isNotNull()).select(
+        key, "new_id", flatten_acl(F.col("_d.access_control_list")).alias("access_control_list"))
 
 
 def remap_ids(df: DataFrame, mapping: DataFrame, key: str, old: str = "old_id", new: str = "new_id",

@@ -65,11 +65,13 @@ def tables_of(inventory: DataFrame, database: str = "database", table: str = "ta
 
 def grants_by_principal(grants: DataFrame) -> DataFrame:
     """The set of privileges per (schema, table, principal, level),
-    sorted.  ``collect_set`` with partial aggregation: each partial set is
-    bounded by the privilege vocabulary, whatever the row count."""
-    return grants.groupBy("schema_name", "table_name", "principal",
-                          F.col("object_type").alias("object_level")).agg(
-        F.array_sort(F.collect_set("action_type")).alias("permission_list"))
+    sorted.  Repeated grants go first, by a hash aggregation with map-side
+    partial aggregation; what is left to collect is at most the privilege
+    vocabulary per group."""
+    keys = ["schema_name", "table_name", "principal", "object_level"]
+    once = grants.select("schema_name", "table_name", "principal", F.col("object_type").alias("object_level"),
+                         "action_type").distinct()
+    return once.groupBy(*keys).agg(F.array_sort(F.collect_list("action_type")).alias("permission_list"))
 
 
 def translation_expr(level: Column, privilege: Column,
@@ -93,37 +95,44 @@ def securable(level: Column, catalog: str, schema: Column, table: Column) -> tup
     typ = None
     for lvl, t in SECURABLE_TYPES:
         typ = F.when(level == lvl, t) if typ is None else typ.when(level == lvl, t)
+    # concat, not concat_ws: a NULL part must not give the name of another object.
     name = (F.when(level == "CATALOG$", F.lit(catalog))
-             .when(level == "DATABASE", F.concat_ws(".", F.lit(catalog), schema))
-             .when(level == "TABLE", F.concat_ws(".", F.lit(catalog), schema, table)))
+             .when(level == "DATABASE", F.concat(F.lit(f"{catalog}."), schema))
+             .when(level == "TABLE", F.concat(F.lit(f"{catalog}."), schema, F.lit("."), table)))
     return typ, name
 
 
-def rules_from_frame(rules: DataFrame, limit: int = 10000) -> tuple:
-    """Rules brought as a table (level, privilege, result array).  A rule table
-    is small by nature; its size is checked before it is read."""
-    rows = rules.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"rule table has more than {limit} rows")
-    return tuple((r[0], r[1], tuple(r[2] or ())) for r in rows)
-
-
-def translate_privileges(grouped: DataFrame, catalog: str, rules: Sequence[tuple] = TRANSLATION_RULES,
+def translate_privileges(grouped: DataFrame, catalog: str, rules: Sequence[tuple] | DataFrame = TRANSLATION_RULES,
                          keep_unlisted: Sequence[str] = KEEP_UNLISTED,
                          excluded: str = EXCLUDED_PRINCIPAL) -> DataFrame:
     """Translate each privilege list to the new model.
 
     Rows of the excluded principal are dropped (a NULL principal is kept, as
-    it passes ``!=``); rows whose list translates to nothing are dropped.
-    Adds securable_type and securable_name.  Per-row expression: no shuffle."""
+    it passes ``!=``); rows whose list translates to nothing are dropped, and
+    rows whose securable has a NULL part, which names no object.  Adds
+    securable_type and securable_name.  Built-in rules are a per-row expression:
+    no shuffle.  ``rules`` may be a frame (level, privilege, result array<string>)
+    of any size: it is joined on (level, privilege)."""
     level = F.col("object_level")
-    new = F.array_sort(F.array_distinct(F.flatten(F.transform(
-        "permission_list", lambda p: translation_expr(level, p, rules, keep_unlisted)))))
+    kept = grouped.where(~F.col("principal").eqNullSafe(excluded))
+    if isinstance(rules, DataFrame):
+        none = F.array().cast("array<string>")
+        r = rules.toDF("_level", "_priv", "_out")
+        flat = kept.select(*GRANT_KEYS, F.explode("permission_list").alias("_p"))
+        hit = flat.join(r, (F.col("_level") == level) & (F.col("_priv") == F.col("_p")), "left")
+        out = (F.when(F.col("_level").isNotNull(), F.coalesce("_out", none))
+               .when(level.isin(list(keep_unlisted)), F.array("_p")).otherwise(none))
+        kept = hit.select(*GRANT_KEYS, F.explode(out).alias("_n")).distinct().groupBy(*GRANT_KEYS).agg(
+            F.array_sort(F.collect_list("_n")).alias("permission_list"))
+        new = F.col("permission_list")
+    else:
+        new = F.array_sort(F.array_distinct(F.flatten(F.transform(
+            "permission_list", lambda p: translation_expr(level, p, rules, keep_unlisted)))))
     typ, name = securable(level, catalog, F.col("schema_name"), F.col("table_name"))
-    out = grouped.where(~F.col("principal").eqNullSafe(excluded)).select(
-        *GRANT_KEYS, typ.alias("securable_type"), name.alias("securable_name"),
-        new.alias("permission_list"))
-    return out.where(F.size("permission_list") > 0)
+    out = kept.select(*GRANT_KEYS, typ.alias("securable_type"), name.alias("securable_name"),
+                      new.alias("permission_list"))
+    named = F.col("securable_name").isNotNull() | F.col("securable_type").isNull()
+    return out.where((F.size("permission_list") > 0) & named)
 
 
 def with_usage(translated: DataFrame, catalog: str) -> DataFrame:
@@ -134,7 +143,7 @@ def with_usage(translated: DataFrame, catalog: str) -> DataFrame:
     own = F.struct(F.col("securable_type").alias("t"), F.col("securable_name").alias("n"),
                    F.col("permission_list").alias("p"))
     on_schema = F.when(lvl == "TABLE", F.struct(
-        F.lit("schema").alias("t"), F.concat_ws(".", F.lit(catalog), F.col("schema_name")).alias("n"),
+        F.lit("schema").alias("t"), F.concat(F.lit(f"{catalog}."), F.col("schema_name")).alias("n"),
         usage.alias("p")))
     on_catalog = F.when(lvl.isin("TABLE", "DATABASE"), F.struct(
         F.lit("catalog").alias("t"), F.lit(catalog).alias("n"), usage.alias("p")))

@@ -3,13 +3,15 @@ build the statements (V3, P5) and create the views with retries (K5)."""
 
 from __future__ import annotations
 
+import re
+from concurrent.futures import ThreadPoolExecutor
 from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.regex import alternation, java_replacement, re2_replacement
-from ..functions.strings import quote_ident_col
+from ..functions.strings import bounded_text, quote_ident, quote_ident_col
 from ..sources.tables import records
 
 # Fixed value: the legacy catalog prefix dropped from view texts.
@@ -44,14 +46,38 @@ def qualify_pattern_java(schemas: Iterable[str], catalog: str,
     return head + "(?<![A-Za-z0-9_`.])" + prefix + "`?(" + alternation(schemas) + ")`?\\x{2e}"
 
 
-def qualify_sql_col(text: Column, schemas: Iterable[str], catalog: str,
+def _plain(name: str) -> bool:
+    """Whether a name needs no back-quotes."""
+    return bool(re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", name))
+
+
+def _quoted(catalog: str, schema: str) -> bool:
+    return not (_plain(catalog) and _plain(schema))
+
+
+def qualify_sql_col(text: Column, schemas: Iterable[str] | dict[str, str], catalog: str,
                     old_catalogs: Sequence[str] = (LEGACY_CATALOG,)) -> Column:
     """V2/X5 as a column: every ``schema.`` (bare, back-quoted, or after an
-    old catalog) becomes ``catalog.schema.``.  One ``regexp_replace`` per
-    text, evaluated in the JVM; the schema list is small and travels in the
-    plan as a literal."""
-    pattern = qualify_pattern_java(schemas, catalog, old_catalogs)
-    return F.regexp_replace(text, pattern, java_replacement(catalog) + ".$1.")
+    old catalog) becomes ``catalog.schema.``, back-quoted where either name
+    needs it.  The schema list is small and travels in the plan as a literal;
+    names that need quotes are replaced first, all plain ones by one pass.
+
+    ``schemas`` may map old names to new ones; then every schema is replaced by
+    its new name, one pass per schema."""
+    if isinstance(schemas, dict):
+        for old, new in schemas.items():
+            target = f"{quote_ident(catalog)}.{quote_ident(new)}."
+            text = F.regexp_replace(text, qualify_pattern_java([old], catalog, old_catalogs), java_replacement(target))
+        return text
+    schemas = list(schemas)
+    odd = [s for s in schemas if _quoted(catalog, s)]
+    for s in odd:
+        target = f"{quote_ident(catalog)}.{quote_ident(s)}."
+        text = F.regexp_replace(text, qualify_pattern_java([s], catalog, old_catalogs), java_replacement(target))
+    plain = [s for s in schemas if s not in odd]
+    if not plain:
+        return text
+    return F.regexp_replace(text, qualify_pattern_java(plain, catalog, old_catalogs), java_replacement(catalog) + ".$1.")
 
 
 def qualify_sql_duckdb(text_sql: str, schemas: Iterable[str], catalog: str,
@@ -74,7 +100,21 @@ def view_statement_col(catalog: str, schema: Column, view: Column, text: Column)
     return F.concat(F.lit("CREATE OR REPLACE VIEW "), name, F.lit(" AS "), text)
 
 
-def view_statements(views: DataFrame, schemas: Iterable[str], catalog: str,
+def copy_statement_col(catalog: str, schema: Column, table: Column, source: Column, provider: Column,
+                       location: Column, partitions: Column | None = None) -> Column:
+    """P5: ``CREATE TABLE IF NOT EXISTS `catalog`.`schema`.`table` USING provider
+    [PARTITIONED BY (...)] LOCATION '...' AS SELECT * FROM source``, the statement
+    form of a copy."""
+    name = F.concat_ws(".", quote_ident_col(F.lit(catalog)), quote_ident_col(schema), quote_ident_col(table))
+    none = F.array().cast("array<string>")
+    cols = F.transform(F.coalesce(partitions, none) if partitions is not None else none, quote_ident_col)
+    layout = F.when(F.size(cols) > 0, F.concat(F.lit(" PARTITIONED BY ("), F.array_join(cols, ", "), F.lit(")"))).otherwise("")
+    at = F.replace(F.replace(location, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    return F.concat(F.lit("CREATE TABLE IF NOT EXISTS "), name, F.lit(" USING "), provider, layout,
+                    F.lit(" LOCATION '"), at, F.lit("' AS SELECT * FROM "), source)
+
+
+def view_statements(views: DataFrame, schemas: Iterable[str] | dict[str, str], catalog: str,
                     old_catalogs: Sequence[str] = (LEGACY_CATALOG,), target_schema: Column | None = None,
                     text_col: str = "view_text") -> DataFrame:
     """V3: (schema_name, view_name, view_stmt) with the text qualified."""
@@ -84,32 +124,60 @@ def view_statements(views: DataFrame, schemas: Iterable[str], catalog: str,
                         view_statement_col(catalog, schema, F.col("view_name"), text).alias("view_stmt"))
 
 
+def dependency_levels(stmts: DataFrame, views: Sequence[str]) -> dict[str, int]:
+    """For each view name how deep its chain of views among ``views`` is, from the
+    names that stand in its statement (a name in a string literal may only raise
+    the level)."""
+    text = {r["view_name"]: r["view_stmt"].split(" AS ", 1)[-1].lower() for r in stmts.toLocalIterator()}
+    words = {v: set(re.findall(r"[^\s`.,()=;'\"]+", t)) for v, t in text.items()}
+    known = {v.lower(): v for v in views}
+    needs = {v: {known[w] for w in words[v] if w in known and known[w] != v} for v in text}
+    level: dict[str, int] = {}
+    while len(level) < len(text):
+        ready = [v for v in text if v not in level and needs[v] <= set(level)]
+        for v in ready or [v for v in text if v not in level]:          # a cycle: all of it at once, the retry decides
+            level[v] = 1 + max((level.get(w, 0) for w in needs[v]), default=0)
+    return level
+
+
 def cut_over_views(spark: SparkSession, stmts: DataFrame, max_rounds: int | None = None,
-                   error_limit: int = 32000) -> DataFrame:
-    """K5: run each view statement; failed ones are retried while a round
-    still makes progress (a view may depend on a view created later in the
-    list), so a chain of any depth resolves; ``max_rounds`` caps the rounds.  Outcome per view: schema_name, view_name, view_stmt, status
-    (success/failed), error (bounded).  Statements are catalog operations and
-    run one by one on the driver; the statement rows are streamed, not the
-    data behind the views."""
-    pending = [(r["schema_name"], r["view_name"], r["view_stmt"]) for r in
-               stmts.select("schema_name", "view_name", "view_stmt").toLocalIterator()]
-    done, errors = [], {}
-    rounds = 0
+                   error_limit: int = 32000, max_workers: int = 8) -> DataFrame:
+    """K5: run each view statement, views that others read first: the statements
+    of one dependency level run side by side in a small pool.  Failed ones are
+    retried while a round still makes progress, so an order that the text did
+    not show still resolves; ``max_rounds`` caps the rounds.  Outcome per view:
+    schema_name, view_name, view_stmt, status (success/failed), error (P6: the
+    first ``error_limit`` characters).  Statements are catalog operations; the
+    statement rows are streamed to the driver, not the data behind the views."""
+    rows = [(r["schema_name"], r["view_name"], r["view_stmt"]) for r in
+            stmts.select("schema_name", "view_name", "view_stmt").toLocalIterator()]
+    level = dependency_levels(records(spark, rows, "schema_name string, view_name string, view_stmt string"),
+                              [r[1] for r in rows])
+    pending, done, errors, rounds = rows, [], {}, 0
+
+    def create(row):
+        try:
+            spark.sql(row[2])
+            return None
+        except Exception as e:  # noqa: BLE001
+            return str(e)
+
     while pending and (max_rounds is None or rounds < max_rounds):
         rounds += 1
         failed = []
-        for row in pending:
-            try:
-                spark.sql(row[2])
-                done.append((*row, "success", ""))
-            except Exception as e:  # noqa: BLE001
-                errors[row[:2]] = str(e)[:error_limit]
-                failed.append(row)
+        for depth in sorted({level[r[1]] for r in pending}):
+            batch = [r for r in pending if level[r[1]] == depth]
+            with ThreadPoolExecutor(max_workers=max(1, min(max_workers, len(batch)))) as pool:
+                for row, error in zip(batch, pool.map(create, batch)):
+                    if error is None:
+                        done.append((*row, "success", ""))
+                    else:
+                        errors[row[:2]] = error
+                        failed.append(row)
         progress = len(failed) < len(pending)
         pending = failed
-        if not pending or not progress:
+        if not progress:
             break
-    done += [(*row, "failed", errors[row[:2]]) for row in pending]
-    return records(spark,
-        done, "schema_name string, view_name string, view_stmt string, status string, error string")
+    done += [(*row, "failed", errors.get(row[:2], "")) for row in pending]
+    out = records(spark, done, "schema_name string, view_name string, view_stmt string, status string, error string")
+    return out.withColumn("error", bounded_text(F.col("error"), error_limit))

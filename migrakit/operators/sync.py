@@ -6,13 +6,13 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.strings import quote_name
 from ..sources.tables import records
 from .copying import needs_copy_predicate
-from .merge import outer_match
+from .merge import both_sides
 
 KEYS = ("database", "table_name")
 
@@ -23,6 +23,7 @@ CHANGED = "CHANGED"
 ORPHAN = "ORPHAN"
 UNSUPPORTED = "UNSUPPORTED"
 VIEWS_NOT_SUPPORTED = "VIEWS_NOT_SUPPORTED"
+DUPLICATE = "DUPLICATE"
 
 SYNC_COLUMNS = ("source_schema", "source_name", "source_type", "source_provider",
                 "target_provider", "location", "status_code")
@@ -36,17 +37,27 @@ def plan_sync(src: DataFrame, dst: DataFrame, prefix: str = "s3", legacy: str =
     UNSUPPORTED: a temporary table, or one that must be copied (not on the
     object store, or on the legacy provider).  EXISTS / CHANGED: in both,
     same / other provider.  TO_CREATE: can be registered over its files.
-    Both sides are matched by one union + aggregation on the keys (one
-    shuffle, skew-safe: see ``merge.outer_match``), no writes."""
+    DUPLICATE: the key is repeated on a side; every distinct row of it is listed,
+    with the other side's columns NULL.  Both sides are one union: equal rows go
+    by a distinct with map-side partial aggregation, then a window over the key
+    brings the two sides together.  No join, no writes."""
     tmp = F.col("is_temporary") if "is_temporary" in src.columns else F.lit(False)
-    m = outer_match(src, dst, keys,
-                    [F.col("table_type"), F.col("provider").alias("source_provider"), F.col("location"),
-                     tmp.alias("tmp")],
-                    [F.col("provider").alias("target_provider")])
+    sides = both_sides(src, dst, keys, [F.col("table_type"), F.col("provider").alias("source_provider"),
+                                        F.col("location"), tmp.alias("tmp")],
+                       [F.col("provider").alias("target_provider")]).distinct()
+    w = Window.partitionBy(*keys)
+    m = sides.select(*keys, F.col("_l").alias("_own_l"), F.col("_r").alias("_own_r"), F.max("_l").over(w).alias("_l"),
+                     F.max("_r").over(w).alias("_r"), F.count("_l").over(w).alias("_l_n"), F.count("_r").over(w).alias("_r_n"))
+    single = (F.col("_l_n") <= 1) & (F.col("_r_n") <= 1)
+    # A single match is told by its source row, or by the target row of an orphan.
+    m = m.where(~single | F.col("_own_l").isNotNull() | (F.col("_l_n") == 0)).select(
+        *keys, F.when(single, F.col("_l")).otherwise(F.col("_own_l")).alias("_l"),
+        F.when(single, F.col("_r")).otherwise(F.col("_own_r")).alias("_r"), single.alias("_single"))
     in_src, in_dst = F.col("_l").isNotNull(), F.col("_r").isNotNull()
     sp, tp = F.col("_l.source_provider"), F.col("_r.target_provider")
     external = F.coalesce(~needs_copy_predicate(F.col("_l.location"), sp, prefix, legacy), F.lit(False))
-    status = (F.when(~in_src, ORPHAN)
+    status = (F.when(~F.col("_single"), DUPLICATE)
+               .when(~in_src, ORPHAN)
                .when(F.col("_l.table_type") == "VIEW", VIEWS_NOT_SUPPORTED)
                .when(F.coalesce(F.col("_l.tmp"), F.lit(False)), UNSUPPORTED)
                .when(in_dst & sp.eqNullSafe(tp), EXISTS)
@@ -80,46 +91,51 @@ def views_of(sync: DataFrame) -> DataFrame:
     return sync.filter(f"status_code = '{VIEWS_NOT_SUPPORTED}'")
 
 
-def apply_sync(spark: SparkSession, sync: DataFrame, target_database: str,
+def apply_sync(spark: SparkSession, sync: DataFrame, target_database: str | dict[str, str],
                statuses: Sequence[str] = (TO_CREATE,), max_workers: int = 8, mode: str = "register",
                base: str | None = None, to_format: str | None = None) -> DataFrame:
     """Y2: carry out the rows of a sync plan with the given statuses.
 
     ``mode='register'``: each table becomes an external table over its own
     files in ``target_database`` (metadata only, no data copied).
-    ``mode='copy'``: each table is copied under ``base`` (K1/K2, layout kept)
-    and registered there.  Returns an outcome row per table: source_schema,
+    ``mode='copy'``: each table is copied to ``base``/schema/table (K1/K2, read by
+    name where the catalog has it, layout kept) and registered there; tables
+    that would share a target name are refused.  ``target_database`` may map each
+    source schema to its own.  Returns an outcome row per table: source_schema,
     source_name, target_name, status, error.  The plan rows are metadata (one
     per table) and are streamed to the driver, never the table data."""
     todo = sync.where(F.col("status_code").isin(list(statuses))).select(
         "source_schema", "source_name", "source_provider", "location")
+    def target(schema: str) -> str:
+        return target_database[schema] if isinstance(target_database, dict) else target_database
+
     if mode == "copy":
         if not base:
             raise ValueError("mode='copy' needs a base folder")
-        from ..sources.tables import TableRef
-        from .copying import copy_tables
+        from .copying import copy_tables, source_ref
         rows = list(todo.toLocalIterator())
-        tasks = [(TableRef(r["source_schema"], r["source_name"], r["source_provider"], r["location"]),
-                  f"{base.rstrip('/')}/{r['source_name']}") for r in rows]
-        names = {(r["source_schema"], r["source_name"]): quote_name(target_database, r["source_name"])
+        tasks = [(source_ref(spark, r["source_schema"], r["source_name"], r["source_provider"], r["location"]),
+                  f"{base.rstrip('/')}/{r['source_schema']}/{r['source_name']}") for r in rows]
+        names = {(r["source_schema"], r["source_name"]): quote_name(target(r["source_schema"]), r["source_name"])
                  for r in rows}
         out = copy_tables(spark, tasks, to_format=to_format, max_workers=max_workers, target_names=names)
-        return out.select(
-            F.col("database").alias("source_schema"), F.col("table_name").alias("source_name"),
-            F.concat_ws(".", F.lit(f"`{target_database}`"),
-                        F.concat(F.lit("`"), F.col("table_name"), F.lit("`"))).alias("target_name"),
-            F.when(F.col("copied_successfully"), "success").otherwise("failed").alias("status"), "error")
+        named = records(spark, [(*k, n) for k, n in names.items()],
+                        "source_schema string, source_name string, target_name string")
+        return out.select(F.col("database").alias("source_schema"), F.col("table_name").alias("source_name"),
+                          F.when(F.col("copied_successfully"), "success").otherwise("failed").alias("status"),
+                          "error").join(named, ["source_schema", "source_name"]).select(
+            "source_schema", "source_name", "target_name", "status", "error")
     if mode != "register":
         raise ValueError("mode is 'register' or 'copy'")
 
     def one(r):
-        name = quote_name(target_database, r["source_name"])
+        name = quote_name(target(r["source_schema"]), r["source_name"])
         try:
             spark.catalog.createTable(name, path=r["location"],
                                       source=r["source_provider"])
             return (r["source_schema"], r["source_name"], name, "success", None)
         except Exception as e:  # noqa: BLE001
-            return (r["source_schema"], r["source_name"], name, "failed", str(e)[:32000])
+            return (r["source_schema"], r["source_name"], name, "failed", str(e))
 
     # Registrations are independent catalog calls: a small pool runs them.
     with ThreadPoolExecutor(max_workers=max_workers) as pool:

@@ -16,6 +16,7 @@ KEYS = ("database", "table_name")
 
 # Fixed verdict values.
 MATCH, MISMATCH, UNKNOWN, MISSING, EXTRA = "match", "mismatch", "unknown", "missing", "extra"
+DUPLICATE = "duplicate"     # a table named more than once in one check
 
 
 def count_verdict(in_src: Column, in_dst: Column, a: Column, b: Column) -> Column:
@@ -58,6 +59,20 @@ def verify_counts(src: DataFrame, dst: DataFrame, keys: Sequence[str] = KEYS,
                     verdict.alias("verdict"))
 
 
+def join_results(planned: DataFrame, outcomes: DataFrame, target_counts: DataFrame,
+                 keys: Sequence[str] = KEYS) -> DataFrame:
+    """One row per planned table: keys, curr_loc, ext_loc,
+    copied_successfully, source_count (from the plan), target_count, verdict.  A
+    planned table without an outcome or a count stays, with NULLs and the verdict
+    ``missing``; a copy that failed is never ``match``."""
+    o = outcomes.select(*keys, "copied_successfully")
+    t = target_counts.select(*keys, F.col("n").alias("target_count"), F.lit(True).alias("_counted"))
+    j = planned.join(o, list(keys), "left").join(t, list(keys), "left")
+    v = count_verdict(F.lit(True), F.col("_counted"), F.col("source_count"), F.col("target_count"))
+    v = F.when((v == MATCH) & ~F.coalesce("copied_successfully", F.lit(False)), MISMATCH).otherwise(v)
+    return j.select(*keys, "curr_loc", "ext_loc", "copied_successfully", "source_count", "target_count", v.alias("verdict"))
+
+
 def split_outcomes(df: DataFrame, col: str = "verdict", ok: str = MATCH) -> tuple[DataFrame, DataFrame]:
     """(rows whose ``col`` equals ``ok``, all other rows).
 
@@ -143,4 +158,5 @@ def verify_copies(spark: SparkSession, pairs: Sequence[tuple[TableRef, TableRef]
     v = count_verdict(F.col("_l"), F.col("_r"), sc, tc)
     v = F.when((v == MATCH) & ~F.col("_l.content_hash").eqNullSafe(F.col("_r.content_hash")),
                MISMATCH).otherwise(v)
+    v = F.when((F.col("_l_n") > 1) | (F.col("_r_n") > 1), DUPLICATE).otherwise(v)
     return m.select(*KEYS, sc.alias("source_count"), tc.alias("target_count"), v.alias("verdict"))

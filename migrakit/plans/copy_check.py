@@ -3,14 +3,18 @@ or adding a partition layout), count and hash again, give a verdict."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.copying import copy_tables, plan_copy
-from ..operators.verify import split_outcomes, verify_copies, verify_counts
-from ..session import work_dir
+from ..functions.strings import quote_name
+from ..operators.copying import bounded_error, copy_from_plan, copy_tables, existing_layout, plan_copy, with_target_path
+from ..operators.verify import join_results, split_outcomes, verify_copies, verify_counts
+from ..session import drop_database, remove_dir, work_dir
 from ..sources import fixtures as fx
-from ..sources.tables import TableRef, count_tables
+from ..sources.catalog import inventory_from_catalog
+from ..sources.tables import TableRef, count_tables, read_table, records
 from .registry import plan
 
 DATABASE = "testdata"
@@ -53,7 +57,9 @@ def copy_and_verify(spark: SparkSession, refs: list[TableRef], base: str,
 def q_copy_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K1/K2/V1: copy all 14 tables (lineitem and orders partitioned) to a
     fresh folder, then compare counts and full-row hashes."""
-    _, verdicts = copy_and_verify(spark, source_refs(sf_dir), work_dir(spark, "copy_verify"))
+    base = work_dir(spark, "copy_verify")
+    _, verdicts = copy_and_verify(spark, source_refs(sf_dir), base)      # both sides are local rows by now
+    remove_dir(spark, base)
     return verdicts
 
 
@@ -71,13 +77,14 @@ def q_copy_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = copy_tables(spark, tasks, if_exists="skip").withColumn("run", F.lit(1))
     second = copy_tables(spark, tasks, if_exists="skip").withColumn("run", F.lit(2))
     rows = count_tables(spark, [r.at(loc) for r, loc in tasks]).withColumnRenamed("n", "target_rows")
+    remove_dir(spark, base)
     return first.unionByName(second).join(rows, ["database", "table_name"], "left").select(
         "database", "table_name", "run", "action", "copied_successfully", "target_rows")
 
 
 @plan("needs_copy", fx.with_fixtures("""
 SELECT i.database, i.table_name, i.location AS curr_loc, i.provider, c.n AS source_count,
-       concat('s3://target/uc', '/', i.table_name) AS ext_loc
+       concat('s3://target/uc/', i.database, '/', i.table_name) AS ext_loc, CAST(NULL AS VARCHAR[]) AS partition_col_list
 FROM inventory i LEFT JOIN source_counts c ON i.database = c.database AND i.table_name = c.table_name
 WHERE (NOT starts_with(i.location, 's3') OR i.provider = 'hive')
   AND NOT coalesce(i.table_type = 'VIEW', false) AND NOT coalesce(i.is_temporary, false)
@@ -115,4 +122,123 @@ def q_outcome_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bad
 
 
+# Tables that are not Parquet, as the legacy catalog may hold them: (table, format,
+# statement that makes one from the source table, partition columns).
+_CATALOG_TABLES = (
+    ("c_nation", "csv", "SELECT n_nationkey, n_name, n_regionkey FROM {src}", "nation", ()),
+    ("o_orders", "orc", "SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM {src}", "orders", ("o_orderstatus",)),
+    ("j_supplier", "json", "SELECT s_suppkey, s_name FROM {src}", "supplier", ()),
+    ("p_maps", "parquet", "SELECT e_id, map('type', event_type) AS attrs FROM (SELECT event_id AS e_id, event_type FROM {src})", "events", ()),
+)
+
+
+@plan("copy_by_name", """
+SELECT 'legacy' AS database, t AS table_name, 'copied' AS action, n AS source_count, n AS target_count, 'match' AS verdict,
+  fields, layout FROM (
+  SELECT 'c_nation' AS t, (SELECT count(*) FROM nation) AS n, 'n_nationkey:int,n_name:string,n_regionkey:int' AS fields, '' AS layout
+  UNION ALL SELECT 'o_orders', (SELECT count(*) FROM orders), 'o_orderkey:bigint,o_custkey:bigint,o_totalprice:double,o_orderstatus:string', 'o_orderstatus'
+  UNION ALL SELECT 'j_supplier', (SELECT count(*) FROM supplier), 's_suppkey:bigint,s_name:string', ''
+  UNION ALL SELECT 'p_maps', (SELECT count(*) FROM events), 'e_id:bigint,attrs:map<string,string>', '')""")
+def q_copy_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 -> K1/K2 over catalog tables in CSV (header, own separator), ORC
+    (partitioned), JSON and Parquet (a map column): the plan comes from the
+    catalog's inventory, the tables are read by name, and every copy is checked
+    on column names, types, layout, row count and content."""
+    tag = uuid.uuid4().hex[:10]
+    db, base = f"mk_formats_{tag}", work_dir(spark, "copy_by_name", tag, fresh=False)
+    spark.sql(f"CREATE DATABASE {quote_name(db)} LOCATION '{base}/db'")
+    for name, fmt, text, table, parts in _CATALOG_TABLES:
+        layout = f" PARTITIONED BY ({', '.join(parts)})" if parts else ""
+        options = " OPTIONS (header 'true', sep '|')" if fmt == "csv" else ""
+        src = f"parquet.`{sf_dir.rstrip('/')}/{table}.parquet`"
+        spark.sql(f"CREATE TABLE {quote_name(db, name)} USING {fmt}{options}{layout} AS {text.format(src=src)}")
+    inv = inventory_from_catalog(spark, [db])
+    plan_rows = plan_copy(inv, count_tables(spark, [TableRef(db, n, name=quote_name(db, n)) for n, *_ in _CATALOG_TABLES]),
+                          f"{base}/copies")
+    done = {r["table_name"]: r for r in copy_from_plan(spark, plan_rows).collect()}
+    pairs = [(TableRef(db, n, name=quote_name(db, n)), TableRef(db, n, "parquet", done[n]["ext_loc"]))
+             for n, *_ in _CATALOG_TABLES]
+    verdicts = {r["table_name"]: r for r in verify_copies(spark, pairs).collect()}
+    rows = []
+    for src, dst in pairs:
+        want = read_table(spark, src).schema
+        got = spark.read.schema(want).parquet(dst.location).schema
+        fields = {f.name: f.dataType.simpleString() for f in got.fields}
+        parts = sorted(existing_layout(spark, dst, read_table(spark, dst)))
+        v = verdicts[src.table]
+        rows.append(("legacy", src.table, done[src.table]["action"], v["source_count"], v["target_count"], v["verdict"],
+                     ",".join(f"{f.name}:{fields[f.name]}" for f in want.fields), ",".join(parts)))
+    drop_database(spark, db)
+    remove_dir(spark, base)
+    return records(spark, rows, "database string, table_name string, action string, source_count long, target_count long, "
+                                "verdict string, fields string, layout string")
+
+
+@plan("copy_safety", """
+SELECT 'd1' AS database, 't' AS table_name, 'copied' AS action, true AS copied_successfully, (SELECT count(*) FROM nation) AS target_rows, '' AS error
+UNION ALL SELECT 'd2', 't', 'copied', true, (SELECT count(*) FROM events), ''
+UNION ALL SELECT 'd3', 'kept', 'skipped', true, (SELECT count(*) FROM region), ''
+UNION ALL SELECT 'd4', 'x', 'refused', false, NULL, 'several tables have the target'
+UNION ALL SELECT 'd5', 'x', 'refused', false, NULL, 'several tables have the target'""")
+def q_copy_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table name in two schemas keeps two targets; a target
+    somebody else wrote, without a success marker, is left alone; two tables
+    sent to one folder are refused.  Checked by the rows left behind; errors are
+    cut to their first characters (P6)."""
+    data, base = sf_dir.rstrip("/"), work_dir(spark, "copy_safety")
+    spark.read.parquet(f"{data}/region.parquet").write.option(
+        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{base}/d3/kept")
+    listed = records(spark, [("d1", "t", f"{data}/nation.parquet"), ("d2", "t", f"{data}/events.parquet"),
+                             ("d3", "kept", f"{data}/nation.parquet")], "database string, table_name string, location string")
+    tasks = [(TableRef(r["database"], r["table_name"], "parquet", r["location"]), r["ext_loc"])
+             for r in with_target_path(listed, base).collect()]
+    tasks += [(TableRef(d, "x", "parquet", f"{data}/{t}.parquet"), f"{base}/shared/x") for d, t in (("d4", "nation"), ("d5", "region"))]
+    out = bounded_error(copy_tables(spark, tasks).withColumn("error", F.coalesce("error", F.lit(""))), limit=30)
+    left = count_tables(spark, [r.at(loc) for r, loc in tasks]).withColumnRenamed("n", "target_rows")
+    remove_dir(spark, base)
+    return out.join(left, ["database", "table_name"], "left").select(
+        "database", "table_name", "action", "copied_successfully", "target_rows", "error")
+
+
+@plan("copy_results", "\nUNION ALL ".join(
+    f"SELECT '{DATABASE}' AS database, '{t}' AS table_name, '{t}' AS source_name, true AS copied_successfully, "
+    f"count(*) AS source_count, count(*) AS target_count, 'match' AS verdict, false AS any_bad FROM {t}" for t in ("region", "nation", "supplier", "events")))
+def q_copy_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copy plan joined with its outcomes, both counts and the verdict
+    in one row per table, and whether any copy is bad at all."""
+    data, base = sf_dir.rstrip("/"), work_dir(spark, "copy_results")
+    refs = [TableRef(DATABASE, t, "parquet", f"{data}/{t}.parquet") for t in ("region", "nation", "supplier", "events")]
+    listed = records(spark, [(r.database, r.table, "parquet", r.location, "TABLE") for r in refs],
+                     "database string, table_name string, provider string, location string, table_type string")
+    planned = plan_copy(listed, count_tables(spark, refs), base)
+    outcomes = copy_from_plan(spark, planned)
+    counts = count_tables(spark, [r.at(f"{base}/{r.database}/{r.table}") for r in refs])
+    results = join_results(planned, outcomes, counts)
+    _, bad = split_outcomes(results)
+    any_bad = not bad.isEmpty()
+    remove_dir(spark, base)
+    return results.select("database", "table_name", F.regexp_extract("curr_loc", r"([^/]+)\.parquet$", 1).alias("source_name"),
+                          "copied_successfully", "source_count", "target_count", "verdict", F.lit(any_bad).alias("any_bad"))
+
+
+@plan("content_check", f"""
+SELECT '{DATABASE}' AS database, t AS table_name, n AS source_count, n AS target_count, v AS verdict
+FROM (SELECT count(*) AS n FROM events), (VALUES ('shifted', 'mismatch'), ('same', 'match')) AS x(t, v)""")
+def q_content_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V1 on content: a copy in which values have moved across NULLs (every row
+    has one value and one NULL, in the other column) has the right count and is a
+    mismatch; an honest copy in another row order is a match."""
+    base = work_dir(spark, "content_check")
+    e = fx.base(spark, sf_dir, "events")
+    even = F.col("event_id") % 2 == 0
+    a, b = F.when(even, F.col("event_type")), F.when(~even, F.col("event_type"))
+    e.select("event_id", a.alias("a"), b.alias("b")).write.parquet(f"{base}/src")
+    e.select("event_id", b.alias("a"), a.alias("b")).write.parquet(f"{base}/shifted")
+    spark.read.parquet(f"{base}/src").repartition(3, "b").write.parquet(f"{base}/same")
+    src = [TableRef(DATABASE, t, "parquet", f"{base}/src") for t in ("shifted", "same")]
+    verdicts = verify_copies(spark, [(r, r.at(f"{base}/{r.table}")) for r in src])
+    remove_dir(spark, base)
+    return verdicts
+
+
 __all__ = ["copy_and_verify", "source_refs"]

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.maps import drop_keys, set_key
-from ..functions.parallel import parse_json, spread
+from ..functions.parallel import parse_json
 from ..functions.versions import floor_version
 from ..operators import documents as D
 from ..operators.projections import stringify
@@ -27,7 +27,7 @@ PARAMS = D.ClusterParams(volume_path=VOLUME, single_user=ML_USER, policy_id=POLI
 
 def _config(spark, sf_dir) -> DataFrame:
     """config_docs parsed (once per row) with the job document schema."""
-    return parse_json(spread(fx.config_docs(spark, sf_dir)), "doc", D.JOB_DOC_DDL, "d", keep=("doc_id",))
+    return parse_json(fx.config_docs(spark, sf_dir), "doc", D.JOB_DOC_DDL, "d", keep=("doc_id",))
 
 
 def _settings(spark, sf_dir) -> DataFrame:
@@ -254,6 +254,10 @@ def q_each_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
         "e.existing_cluster_id")
 
 
+# Documents of one event type are cut short by one character.
+_BROKEN = "CASE WHEN event_type = 'error' THEN substr(props, 1, length(props) - 1) ELSE props END"
+
+
 # ---- event properties --------------------------------------------------
 
 @plan("set_key", """
@@ -267,16 +271,17 @@ def q_set_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan("edit_json", """
-SELECT event_id, CAST(to_json(map_concat(map_from_entries(list_filter(map_entries(from_json(props, '"MAP(VARCHAR, JSON)"')),
+SELECT event_id, CASE WHEN json_valid(props) THEN CAST(to_json(map_concat(map_from_entries(list_filter(map_entries(from_json(props, '"MAP(VARCHAR, JSON)"')),
   lambda e: e.key NOT IN (""" + ", ".join(f"'{k}'" for k in (*D.LEGACY_CONF_KEYS, "type")) + """))),
-  MAP {'type': to_json(event_type)})) AS VARCHAR) AS props FROM events""")
+  MAP {'type': to_json(event_type)})) AS VARCHAR) END AS props, CASE WHEN NOT json_valid(props) THEN props END AS bad_doc
+FROM (SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN substr(props, 1, length(props) - 1) ELSE props END AS props FROM events)""")
 def q_edit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON text parsed, edited (legacy keys out, a key set) and
     written back; values keep their JSON types."""
-    e = spread(fx.base(spark, sf_dir, "events"))
+    e = fx.base(spark, sf_dir, "events").withColumn("props", F.expr(_BROKEN))
     out = D.edit_json(e, "props", lambda m: set_key(drop_keys(m, D.LEGACY_CONF_KEYS), "type",
                                                      F.col("event_type"), value_type="variant"))
-    return out.select("event_id", "props")
+    return out.select("event_id", "props", "bad_doc")
 
 
 @plan("stringify", """
@@ -289,9 +294,6 @@ def q_stringify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stringify(e)
 
 
-_BROKEN = "CASE WHEN event_type = 'error' THEN substr(props, 1, length(props) - 1) ELSE props END"
-
-
 def _broken_events(spark, sf_dir) -> DataFrame:
     e = fx.base(spark, sf_dir, "events")
     return e.select("event_id", F.when(F.col("event_type") == "error",
@@ -306,11 +308,11 @@ SELECT event_id, CASE WHEN json_valid(doc) THEN TRY_CAST(json_extract(doc, '$.k'
 FROM (SELECT event_id, {_BROKEN} AS doc FROM events)""")
 def q_read_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents parsed to a typed struct; broken ones set aside whole."""
-    parsed = D.parse_docs(_broken_events(spark, sf_dir), "doc", "k long")
-    bad = F.col("_corrupt_record").isNotNull()
+    parsed = D.parse_docs(_broken_events(spark, sf_dir), "doc", "k long", corrupt_col="raw")
+    bad = F.col("raw").isNotNull()
     return parsed.select("event_id", F.col("doc.k").alias("k"),
                          F.when(bad, "bad").otherwise("good").alias("status"),
-                         F.col("_corrupt_record").alias("raw"))
+                         "raw")
 
 
 @plan("filter_ids", fx.with_fixtures("""
@@ -323,18 +325,32 @@ def q_filter_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.filter_ids(docs, "doc_id", fx.id_map(spark, sf_dir), id_col="old_id")
 
 
+ID_LIST = " 7, 42 ,,9,not-an-id, 100,100"
+
+
+@plan("filter_id_list", fx.with_fixtures("""
+SELECT doc_id, json_extract_string(doc, '$.settings.name') AS name FROM config_docs
+WHERE CAST(doc_id AS VARCHAR) IN (SELECT trim(x) FROM (SELECT unnest(string_split('""" + ID_LIST + """', ',')) AS x))""", "config_docs"))
+def q_filter_id_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 as a user types it: a comma-separated string with blanks and a
+    value that is no id."""
+    docs = _settings(spark, sf_dir).select("doc_id", F.col("settings.name").alias("name"))
+    return D.filter_ids(docs, "doc_id", ID_LIST)
+
+
 # ---- policy definitions ------------------------------------------------
 
 def _policy_docs(spark, sf_dir) -> DataFrame:
-    e = spread(fx.base(spark, sf_dir, "events"))
+    e = fx.base(spark, sf_dir, "events")
     definition = F.concat(
         F.lit('{"spark_conf.spark.databricks.repl.allowedLanguages":{"type":"fixed","value":"python,sql"},'
               '"autotermination_minutes":{"type":"range","maxValue":'), F.col("user_id").cast("string"),
         F.lit('},"init_scripts.0.workspace.destination":{"type":"fixed","value":"/w/'), F.col("event_type"),
         F.lit('.sh"},"custom_tags.team":{"type":"fixed","value":"'), F.col("event_type"), F.lit('"}}'))
-    return e.select(F.col("event_id").cast("string").alias("policy_id"),
-                    F.concat(F.lit("policy-"), F.col("event_id").cast("string")).alias("name"),
-                    definition.alias("definition"))
+    cut = F.when(F.col("event_type") == "error", F.expr("substr(definition, 2, length(definition))")).otherwise(F.col("definition"))
+    return e.select("event_id", "event_type", definition.alias("definition")).select(
+        F.col("event_id").cast("string").alias("policy_id"),
+        F.concat(F.lit("policy-"), F.col("event_id").cast("string")).alias("name"), cut.alias("definition"))
 
 
 _POLICY_DUCK = """concat('{"spark_conf.spark.databricks.repl.allowedLanguages":{"type":"fixed","value":"python,sql"},"autotermination_minutes":{"type":"range","maxValue":',
@@ -344,30 +360,33 @@ _POLICY_DUCK = """concat('{"spark_conf.spark.databricks.repl.allowedLanguages":{
 
 @plan("policy_rewrite", f"""
 SELECT CAST(event_id AS VARCHAR) AS policy_id, concat('policy-', CAST(event_id AS VARCHAR), '-uc') AS name,
-  CAST(to_json(map_from_entries(list_transform(list_filter(map_entries(from_json({_POLICY_DUCK}, '"MAP(VARCHAR, JSON)"')),
+  CASE WHEN event_type = 'error' THEN NULL ELSE
+  CAST(to_json(map_from_entries(list_transform(list_filter(map_entries(from_json(d, '"MAP(VARCHAR, JSON)"')),
     lambda e: e.key NOT IN ({", ".join(f"'{k}'" for k in D.LEGACY_POLICY_KEYS)})),
     lambda e: {{'key': e.key, 'value': CASE WHEN json_type(e.value) = 'OBJECT'
-      THEN to_json(map_from_entries(list_sort(map_entries(from_json(e.value, '"MAP(VARCHAR, JSON)"'))))) ELSE e.value END}}))) AS VARCHAR) AS definition
-FROM events""")
+      THEN to_json(map_from_entries(list_sort(map_entries(from_json(e.value, '"MAP(VARCHAR, JSON)"'))))) ELSE e.value END}}))) AS VARCHAR) END AS definition,
+  CASE WHEN event_type = 'error' THEN substr(d, 2) END AS bad_doc
+FROM (SELECT *, {_POLICY_DUCK} AS d FROM events)""")
 def q_policy_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policy definitions (JSON in a string column) without the
     legacy keys, names suffixed; nested values stay objects (written with
-    their keys in sorted order, the canonical form of a variant value)."""
+    their keys in sorted order, the canonical form of a variant value).
+    Definitions that do not parse are set aside whole."""
     p = D.rewrite_policy_definition(_policy_docs(spark, sf_dir))
-    return p.select("policy_id", D.with_suffix(F.col("name"), D.POLICY_SUFFIX).alias("name"), "definition")
+    return p.select("policy_id", D.with_suffix(F.col("name"), D.POLICY_SUFFIX).alias("name"), "definition", "bad_doc")
 
 
 # ---- access lists ------------------------------------------------------
 
 _ACL_DUCK = """
-acl AS (SELECT object_id, unnest(from_json(doc, '{"access_control_list":[{"group_name":"VARCHAR","user_name":"VARCHAR","service_principal_name":"VARCHAR","all_permissions":[{"permission_level":"VARCHAR","inherited":"BOOLEAN"}]}]}').access_control_list) AS e FROM acl_docs),
-perm AS (SELECT object_id, e, unnest(e.all_permissions) AS p FROM acl),
+acl AS (SELECT object_id, generate_subscripts(from_json(doc, '{"access_control_list":["JSON"]}').access_control_list, 1) AS i, unnest(from_json(doc, '{"access_control_list":[{"group_name":"VARCHAR","user_name":"VARCHAR","service_principal_name":"VARCHAR","all_permissions":[{"permission_level":"VARCHAR","inherited":"BOOLEAN"}]}]}').access_control_list) AS e FROM acl_docs),
+perm AS (SELECT object_id, i, e, generate_subscripts(e.all_permissions, 1) AS j, unnest(e.all_permissions) AS p FROM acl),
 flat AS (
-  SELECT object_id, 'group_name' AS principal_type, e.group_name AS principal, p.permission_level FROM perm
+  SELECT object_id, i, j, 'group_name' AS principal_type, e.group_name AS principal, p.permission_level FROM perm
     WHERE e.group_name IS NOT NULL AND p.permission_level IS NOT NULL AND p.inherited = false
-  UNION ALL SELECT object_id, 'user_name', e.user_name, p.permission_level FROM perm
+  UNION ALL SELECT object_id, i, j, 'user_name', e.user_name, p.permission_level FROM perm
     WHERE e.user_name IS NOT NULL AND p.permission_level IS NOT NULL AND p.inherited = false
-  UNION ALL SELECT object_id, 'service_principal_name', e.service_principal_name, p.permission_level FROM perm
+  UNION ALL SELECT object_id, i, j, 'service_principal_name', e.service_principal_name, p.permission_level FROM perm
     WHERE e.service_principal_name IS NOT NULL AND p.permission_level IS NOT NULL AND p.inherited = false),
 full_acl AS (
   SELECT a.object_id, f.principal_type, f.principal, f.permission_level
@@ -382,7 +401,7 @@ def _acl_sql(select: str) -> str:
 
 
 def _flat_acl(spark, sf_dir) -> DataFrame:
-    a = parse_json(spread(fx.acl_docs(spark, sf_dir)), "doc", D.ACL_DOC_DDL, "d", keep=("object_id",))
+    a = parse_json(fx.acl_docs(spark, sf_dir), "doc", D.ACL_DOC_DDL, "d", keep=("object_id",))
     entries = D.principal_rows(D.flatten_acl(F.col("d.access_control_list")))
     return a.select("object_id", F.explode_outer(entries).alias("e")).select(
         "object_id", "e.principal_type", "e.principal", "e.permission_level")
@@ -399,15 +418,31 @@ def q_flatten_acl(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT f.object_id, m.new_id, f.principal_type, f.principal, f.permission_level
 FROM full_acl f JOIN id_map m ON f.object_id = m.old_id"""))
 def q_remap_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flattened permissions moved to the new object ids."""
-    return D.remap_ids(_flat_acl(spark, sf_dir), fx.id_map(spark, sf_dir), "object_id").select(
-        "object_id", "new_id", "principal_type", "principal", "permission_level")
+    """The flattened permissions moved to the new object ids; the ids are
+    joined before the documents are parsed."""
+    docs = D.remap_ids(fx.acl_docs(spark, sf_dir), fx.id_map(spark, sf_dir), "object_id")
+    a = parse_json(docs, "doc", D.ACL_DOC_DDL, "d", keep=("object_id", "new_id"))
+    entries = D.principal_rows(D.flatten_acl(F.col("d.access_control_list")))
+    return a.select("object_id", "new_id", F.explode_outer(entries).alias("e")).select(
+        "object_id", "new_id", "e.principal_type", "e.principal", "e.permission_level")
+
+
+@plan("acl_by_object", _acl_sql("""
+SELECT a.object_id, m.new_id, concat('[', coalesce(string_agg(concat('{"', f.principal_type, '":"', f.principal,
+  '","permission_level":"', f.permission_level, '"}'), ',' ORDER BY f.i, f.j) FILTER (WHERE f.principal IS NOT NULL), ''), ']') AS access_control_list
+FROM acl_docs a JOIN id_map m ON a.object_id = m.old_id LEFT JOIN flat f ON a.object_id = f.object_id
+WHERE json_extract(a.doc, '$.access_control_list') IS NOT NULL GROUP BY a.object_id, m.new_id"""))
+def q_acl_by_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The access list of every object under its new id, as one JSON list;
+    objects without a list are left out, an empty list stays."""
+    d = D.acl_by_object(fx.acl_docs(spark, sf_dir), fx.id_map(spark, sf_dir))
+    return d.select("object_id", "new_id", F.to_json("access_control_list").alias("access_control_list"))
 
 
 # ---- cluster libraries -------------------------------------------------
 
 def _library_docs(spark, sf_dir) -> DataFrame:
-    e = spread(fx.base(spark, sf_dir, "events"))
+    e = fx.base(spark, sf_dir, "events")
     doc = F.concat(
         F.lit('{"cluster_id":"'), F.col("event_id").cast("string"),
         F.lit('","library_statuses":[{"library":{"jar":"dbfs:/FileStore/jars/'), F.col("event_type"),

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parallel import spread
-from ..operators.grants import (dedup_grants, grant_changes, grants_by_principal, tables_by_schema,
+from ..operators.grants import (dedup_grants, grant_changes, grants_by_principal, tables_by_schema, tables_of,
                                 translate_privileges, with_usage)
-from ..operators.projections import list_size
+from ..operators.projections import explode_list, list_size
 from ..sources import fixtures as fx
 from ..sources.tables import union_all
 from .registry import plan
@@ -60,9 +59,7 @@ def _grant_sql(select: str) -> str:
 
 
 def _grants(spark, sf_dir):
-    """The grants relation; its single-split input is spread over the cores
-    first, as collecting privilege sets is CPU-heavy (no-op on large input)."""
-    return fx.grants_from(spread(fx.base(spark, sf_dir, "lineitem")))
+    return fx.grants(spark, sf_dir)
 
 
 def _translated(spark, sf_dir):
@@ -77,6 +74,21 @@ def q_tables_by_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables_by_schema(fx.inventory(spark, sf_dir))
 
 
+@plan("table_list", fx.with_fixtures("""
+SELECT database AS schema_name, table_name FROM inventory WHERE NOT coalesce(is_temporary, false)""", "inventory"))
+def q_table_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The non-temporary tables as flat rows."""
+    return tables_of(fx.inventory(spark, sf_dir))
+
+
+@plan("privilege_rows", fx.with_fixtures("""
+SELECT DISTINCT schema_name, table_name, principal, object_type AS object_level, action_type AS privilege
+FROM grants WHERE action_type IS NOT NULL""", "grants"))
+def q_privilege_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The privilege lists flattened to one row per privilege."""
+    return explode_list(grants_by_principal(_grants(spark, sf_dir)), "permission_list", "privilege")
+
+
 @plan("grants_by_principal", fx.with_fixtures("""
 SELECT schema_name, table_name, principal, object_type AS object_level,
   string_agg(DISTINCT action_type, ',' ORDER BY action_type) AS permission_list,

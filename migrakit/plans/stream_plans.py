@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.verify import verify_copies
-from ..session import work_dir
+from ..session import remove_dir, work_dir
 from ..streaming.resumable_copy import copy_resumable
 from .copy_check import _counts_sql, source_refs
 from .registry import plan
@@ -24,4 +24,6 @@ def q_resumable_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks = [(r, f"{base}/data/{r.table}", f"{base}/checkpoints/{r.table}") for r in refs]
     with ThreadPoolExecutor(max_workers=4) as pool:
         list(pool.map(lambda t: copy_resumable(spark, t[0], t[1], checkpoint=t[2]), tasks))
-    return verify_copies(spark, [(r, r.at(loc)) for r, loc, _ in tasks])
+    verdicts = verify_copies(spark, [(r, r.at(loc)) for r, loc, _ in tasks])
+    remove_dir(spark, base)
+    return verdicts

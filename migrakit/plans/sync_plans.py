@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import quote_ident
 from ..operators.projections import attributes_wide
-from ..operators.sync import apply_sync, plan_sync, sync_report, views_of
+from ..operators.sync import SYNC_COLUMNS, apply_sync, plan_sync, sync_report, views_of
 from ..operators.verify import verify_counts
-from ..session import work_dir
+from ..session import drop_database, remove_dir, work_dir
 from ..sources import fixtures as fx
 from ..sources.tables import TableRef, count_tables, records
 from .copy_check import DATABASE, _counts_sql, source_refs
@@ -95,4 +95,69 @@ def q_sync_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = apply_sync(spark, sync, target_db)
     created = [r["source_name"] for r in outcomes.where("status = 'success'").collect()]
     dst_refs = [TableRef(DATABASE, t, name=f"{quote_ident(target_db)}.{quote_ident(t)}") for t in created]
-    return verify_counts(count_tables(spark, refs), count_tables(spark, dst_refs))
+    verdicts = verify_counts(count_tables(spark, refs), count_tables(spark, dst_refs))     # counts are here: local rows
+    drop_database(spark, target_db)
+    return verdicts
+
+
+@plan("sync_apply_copy", """
+SELECT s AS source_schema, t AS source_name, 'success' AS status, n AS target_rows FROM (
+  SELECT 'a' AS s, 'nation' AS t, count(*) AS n FROM nation UNION ALL SELECT 'a', 'events', count(*) FROM events
+  UNION ALL SELECT 'b', 'nation', count(*) FROM supplier UNION ALL SELECT 'b', 'orders', count(*) FROM orders)
+UNION ALL SELECT 'c', 'orders', 'failed', NULL UNION ALL SELECT 'd', 'orders', 'failed', NULL""")
+def q_sync_apply_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Y2 by copy: two schemas hold a table of the same name (with other rows),
+    each schema has a target database of its own; two more schemas share one
+    target database and a table name, and are refused.  Checked by the rows
+    that the targets hold."""
+    tag = uuid.uuid4().hex[:10]
+    base = work_dir(spark, "sync_copy", tag, fresh=False)
+    targets = {"a": f"mk_a_{tag}", "b": f"mk_b_{tag}", "c": f"mk_c_{tag}", "d": f"mk_c_{tag}"}
+    for db in sorted(set(targets.values())):
+        spark.sql(f"CREATE DATABASE {quote_ident(db)} LOCATION '{base}/{db}.db'")
+    data = sf_dir.rstrip("/")
+    rows = [(s, t, "TABLE", "parquet", None, f"{data}/{f}.parquet", "TO_CREATE") for s, t, f in (
+        ("a", "nation", "nation"), ("a", "events", "events"), ("b", "nation", "supplier"), ("b", "orders", "orders"),
+        ("c", "orders", "orders"), ("d", "orders", "orders"))]
+    sync = records(spark, rows, ", ".join(f"{c} string" for c in SYNC_COLUMNS))
+    out = apply_sync(spark, sync, targets, mode="copy", base=f"{base}/copies").collect()
+    done = [r for r in out if r["status"] == "success"]
+    counts = count_tables(spark, [TableRef(r["source_schema"], r["source_name"], name=r["target_name"]) for r in done])
+    got = records(spark, [(r["source_schema"], r["source_name"], r["status"]) for r in out],
+                  "source_schema string, source_name string, status string")
+    counts = counts.withColumnsRenamed({"database": "source_schema", "table_name": "source_name", "n": "target_rows"})
+    for db in sorted(set(targets.values())):
+        drop_database(spark, db)
+    remove_dir(spark, base)
+    return got.join(counts, ["source_schema", "source_name"], "left")
+
+
+_REPEATED = """
+SELECT database, table_name, provider, location, table_type, is_temporary FROM inventory
+UNION ALL SELECT database, table_name, provider, location, table_type, is_temporary FROM inventory
+  WHERE table_name LIKE '%7'
+UNION ALL SELECT database, table_name, 'orc' AS provider, location, table_type, is_temporary FROM inventory
+  WHERE table_name LIKE '%3'"""
+
+
+def _with_repeated(select: str) -> str:
+    sql = fx.with_fixtures("SELECT 1", "inventory", "target_inventory")
+    head = sql[: sql.rindex("SELECT 1")].rstrip()
+    return (f"{head},\nonce AS (SELECT DISTINCT * FROM ({_REPEATED})),\n"
+            f"s AS (SELECT *, count(*) OVER (PARTITION BY database, table_name) AS n FROM once)\n{select.strip()}")
+
+
+@plan("sync_duplicates", _with_repeated("""
+SELECT database AS source_schema, table_name AS source_name, table_type AS source_type, provider AS source_provider,
+  NULL AS target_provider, location, 'DUPLICATE' AS status_code FROM s WHERE n > 1
+UNION ALL
+SELECT d.database, d.table_name, NULL, NULL, d.provider, NULL, 'DUPLICATE' FROM target_inventory d
+  WHERE (d.database, d.table_name) IN (SELECT (database, table_name) FROM s WHERE n > 1)"""))
+def q_sync_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3/Y1 on an inventory that lists some tables twice, equal or with another
+    provider: equal rows are one, differing ones are told, none is lost."""
+    inv = fx.inventory(spark, sf_dir)
+    src = inv.unionByName(inv.where(F.col("table_name").endswith("7"))).unionByName(
+        inv.where(F.col("table_name").endswith("3")).withColumn("provider", F.lit("orc")))
+    s = plan_sync(src, fx.target_inventory(spark, sf_dir))
+    return s.where("status_code = 'DUPLICATE'")

@@ -8,12 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.parallel import spread
 from ..functions.strings import quote_ident, quote_name
 from ..operators.projections import attributes_wide
 from ..operators.sqltext import cut_over_views, qualify_sql, qualify_sql_duckdb, view_statements
 from ..operators.verify import verify_counts
-from ..session import work_dir
+from ..session import drop_database, work_dir
 from ..sources import fixtures as fx
 from ..sources.catalog import describe_long
 from ..sources.tables import TableRef, count_tables
@@ -31,7 +30,7 @@ _QUALIFIED = qualify_sql_duckdb("view_text", SCHEMAS, CATALOG, OLD_CATALOGS)
     f"SELECT schema_name, view_name, {_QUALIFIED} AS view_text FROM view_texts", "view_texts"))
 def q_qualify_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schema names in every view text put under the new catalog."""
-    return qualify_sql(spread(fx.view_texts(spark, sf_dir)), "view_text", SCHEMAS, CATALOG, OLD_CATALOGS)
+    return qualify_sql(fx.view_texts(spark, sf_dir), "view_text", SCHEMAS, CATALOG, OLD_CATALOGS)
 
 
 @plan("view_statements", fx.with_fixtures(
@@ -40,7 +39,7 @@ def q_qualify_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     "view_texts"))
 def q_view_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3/P5: one create statement per view."""
-    return view_statements(spread(fx.view_texts(spark, sf_dir)), SCHEMAS, CATALOG, OLD_CATALOGS)
+    return view_statements(fx.view_texts(spark, sf_dir), SCHEMAS, CATALOG, OLD_CATALOGS)
 
 
 # Views of the legacy schema used by the cut-over plan: (name, text, oracle).
@@ -59,6 +58,8 @@ CUT_OVER_VIEWS = (
     ("v_doc_langs", "SELECT d.doc_id, d.lang, l.quality FROM {db}.documents d "
                     "LEFT JOIN {db}.labels l ON d.doc_id = l.doc_id",
      "SELECT count(*) FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
+    *((f"v_{t}", f"SELECT * FROM {{db}}.{t}", f"SELECT count(*) FROM {t}")
+      for t in fx.ALL_TABLES if t not in ("lineitem", "orders", "events", "documents", "labels")),
 )
 
 
@@ -86,9 +87,18 @@ def q_view_cut_over(spark: SparkSession, sf_dir: str) -> DataFrame:
         described.select(F.col("table_name").alias("entity"), "ordinal", "attr", "val"), ["View Text"]
     ).select(F.lit(legacy).alias("schema_name"), F.col("entity").alias("view_name"),
              F.col("View_Text").alias("view_text"))
-    stmts = view_statements(texts, [legacy], "spark_catalog", target_schema=F.lit(target))
+    # The tables move too: target views read target tables and target views only.
+    for r in source_refs(sf_dir):
+        spark.catalog.createTable(quote_name(target, r.table), path=r.location, source=r.provider)
+    stmts = view_statements(texts, {legacy: target}, "spark_catalog", target_schema=F.lit(target))
     outcomes = cut_over_views(spark, stmts)
     ok = [r["view_name"] for r in outcomes.where("status = 'success'").collect()]
+    reads = describe_long(spark, [(target, n) for n in ok]).where(
+        (F.col("attr") == "View Text") & F.lower("val").contains(legacy)).select("table_name").collect()
+    ok = [n for n in ok if n not in {r["table_name"] for r in reads}]       # a view on the old schema is not moved
     src = [TableRef("legacy", n, name=quote_name(legacy, n)) for n, _, _ in CUT_OVER_VIEWS]
     dst = [TableRef("legacy", n, name=quote_name(target, n)) for n in ok]
-    return verify_counts(count_tables(spark, src), count_tables(spark, dst))
+    verdicts = verify_counts(count_tables(spark, src), count_tables(spark, dst))
+    for db in (legacy, target):
+        drop_database(spark, db)
+    return verdicts

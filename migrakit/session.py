@@ -1,8 +1,9 @@
 """Session helpers: a builder with defaults sized for the copy/check work, and
 the shared work folder every job writes to.
 
-Library operators never change a caller's session; only ``build_session``
-(used by tests, the bench and scripts) sets configuration.
+Library operators never change a caller's configuration; only ``build_session``
+(used by tests, the bench and scripts) sets any.  A local session without a
+checkpoint folder is given a temporary one when it first needs it.
 """
 
 from __future__ import annotations
@@ -54,17 +55,14 @@ def shared_root(spark: SparkSession) -> str:
     other executors and would not survive their loss).  Only a local session
     without one gets a fresh folder of its own.
     """
-    root = spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not _is_local(spark):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        root = tempfile.mkdtemp(prefix="migrakit-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
+    root = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not _is_local(spark):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    # A local session without a folder: one of its own, for this session only.
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="migrakit-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def work_dir(spark: SparkSession, *parts: str, fresh: bool = True) -> str:
@@ -73,3 +71,17 @@ def work_dir(spark: SparkSession, *parts: str, fresh: bool = True) -> str:
     if fresh:
         segs.append(uuid.uuid4().hex[:12])
     return shared_root(spark) + "/" + "/".join(segs)
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Deletes a run's folder under the shared root (and nothing outside it)."""
+    root = shared_root(spark)
+    if not path.rstrip("/").startswith(root + "/migrakit/"):
+        raise ValueError(f"{path} is not a run folder of {root}")
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_database(spark: SparkSession, name: str) -> None:
+    """Drops a run's database with its views and external registrations."""
+    spark.sql(f"DROP DATABASE IF EXISTS `{name.replace('`', '``')}` CASCADE")

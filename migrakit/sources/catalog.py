@@ -17,34 +17,37 @@ from .tables import records
 
 # The describe rows an inventory keeps.
 DESCRIBE_KEYS = ("Provider", "Location", "Owner", "Type", "View Text")
+ERROR_KEY = "Error"
 LONG_SCHEMA = "database string, table_name string, ordinal long, attr string, val string"
 
 
 def list_tables(spark: SparkSession, databases: Sequence[str], max_workers: int = 8) -> DataFrame:
-    """(database, table_name, is_temporary) of every table and view; a
-    database that cannot be listed gives no rows."""
+    """(database, table_name, is_temporary, error) of every table and view; a
+    database that cannot be listed is one row with a NULL table and its error."""
     def one(db):
         try:
-            return [(db, t.name, bool(t.isTemporary)) for t in spark.catalog.listTables(db)]
-        except Exception:  # noqa: BLE001
-            return []
+            return [(db, t.name, bool(t.isTemporary), None) for t in spark.catalog.listTables(db)]
+        except Exception as e:  # noqa: BLE001
+            return [(db, None, None, str(e))]
 
     with ThreadPoolExecutor(max_workers=max_workers) as pool:
         rows = [r for part in pool.map(one, databases) for r in part]
-    return records(spark, rows, "database string, table_name string, is_temporary boolean")
+    return records(spark, rows, "database string, table_name string, is_temporary boolean, error string")
 
 
 def describe_long(spark: SparkSession, tables: Sequence[tuple[str, str]], max_workers: int = 8) -> DataFrame:
     """The ``DESCRIBE TABLE EXTENDED`` rows of each (database, table) as
     (database, table_name, ordinal, attr, val); a table whose describe fails
-    gives no rows (its attributes are then NULL after the pivot)."""
+    is one row with attr ``Error``.  Only the rows an inventory keeps, and the
+    attributes asked for, leave the call."""
     def one(t):
         db, name = t
         try:
             rows = spark.sql(f"DESCRIBE TABLE EXTENDED {quote_name(db, name)}").collect()
-            return [(db, name, i, r["col_name"], r["data_type"]) for i, r in enumerate(rows)]
-        except Exception:  # noqa: BLE001
-            return []
+            return [(db, name, i, r["col_name"], r["data_type"]) for i, r in enumerate(rows)
+                    if r["col_name"] in DESCRIBE_KEYS]
+        except Exception as e:  # noqa: BLE001
+            return [(db, name, 0, ERROR_KEY, str(e))]
 
     with ThreadPoolExecutor(max_workers=max_workers) as pool:
         rows = [r for part in pool.map(one, tables) for r in part]
@@ -53,14 +56,15 @@ def describe_long(spark: SparkSession, tables: Sequence[tuple[str, str]], max_wo
 
 def inventory_from_catalog(spark: SparkSession, databases: Sequence[str]) -> DataFrame:
     """(database, table_name, provider, location, owner, table_type,
-    view_text, is_temporary, partition_columns) per table, the shape the copy
-    and sync operators take.  ``table_type`` is VIEW for views, TABLE else."""
+    view_text, is_temporary, partition_columns, error) per table, the shape the
+    copy and sync operators take.  ``table_type`` is VIEW for views, TABLE else.
+    What cannot be listed or described stays in the inventory with its error."""
     listed = list_tables(spark, databases)
-    pairs = [(r.database, r.table_name) for r in listed.collect()]
+    pairs = [(r.database, r.table_name) for r in listed.where("table_name IS NOT NULL").toLocalIterator()]
     long = describe_long(spark, pairs)
     wide = attributes_wide(
         long.select(F.concat_ws(".", "database", "table_name").alias("entity"), "ordinal", "attr", "val"),
-        DESCRIBE_KEYS, missing=None)
+        (*DESCRIBE_KEYS, ERROR_KEY), missing=None)
 
     def parts(t):
         db, name = t
@@ -72,11 +76,12 @@ def inventory_from_catalog(spark: SparkSession, databases: Sequence[str]) -> Dat
     with ThreadPoolExecutor(max_workers=8) as pool:
         part_rows = list(pool.map(parts, pairs))
     partitions = records(spark, part_rows, "database string, table_name string, partition_columns array<string>")
-    inv = (listed.withColumn("entity", F.concat_ws(".", "database", "table_name"))
+    inv = (listed.withColumnRenamed("error", "list_error").withColumn("entity", F.concat_ws(".", "database", "table_name"))
            .join(wide, "entity", "left").drop("entity")
            .join(partitions, ["database", "table_name"], "left"))
     return inv.select(
         "database", "table_name", F.lower(F.col("Provider")).alias("provider"),
         F.col("Location").alias("location"), F.col("Owner").alias("owner"),
         F.when(F.upper(F.col("Type")) == "VIEW", "VIEW").otherwise("TABLE").alias("table_type"),
-        F.col("View_Text").alias("view_text"), "is_temporary", "partition_columns")
+        F.col("View_Text").alias("view_text"), "is_temporary", "partition_columns",
+        F.coalesce("list_error", F.col("Error")).alias("error"))

@@ -139,17 +139,17 @@ def config_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(k.alias("doc_id"), doc.alias("doc"))
 
 
+# Access lists, in SQL that Spark and DuckDB both read: some objects have no
+# list, an empty one, or an entry without permissions.
+ACL_DOC = """CASE event_id % 8 WHEN 6 THEN '{}' WHEN 7 THEN '{"access_control_list":[]}' ELSE
+  concat('{"access_control_list":[{"user_name":"u', CAST(user_id AS STRING), '","all_permissions":[{"permission_level":"CAN_RUN","inherited":', CASE WHEN event_id % 3 = 0 THEN 'true' ELSE 'false' END,
+  '},{"permission_level":"CAN_VIEW"}]},', CASE WHEN event_id % 8 = 5 THEN '{"group_name":"bare"},' ELSE '' END, '{"group_name":"', event_type,
+  '","all_permissions":[{"permission_level":"CAN_MANAGE","inherited":', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, '}]}]}') END"""
+
+
 def acl_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = base(spark, sf_dir, "events")
-    k = F.col("event_id")
-    doc = F.concat(
-        F.lit('{"access_control_list":[{"user_name":"u'), _s("user_id"),
-        F.lit('","all_permissions":[{"permission_level":"CAN_RUN","inherited":'),
-        F.when(k % 3 == 0, "true").otherwise("false"),
-        F.lit('},{"permission_level":"CAN_VIEW"}]},{"group_name":"'), F.col("event_type"),
-        F.lit('","all_permissions":[{"permission_level":"CAN_MANAGE","inherited":'),
-        F.when(k % 2 == 0, "true").otherwise("false"), F.lit("}]}]}"))
-    return e.select(_s(k).alias("object_id"), doc.alias("doc"))
+    return e.select(_s("event_id").alias("object_id"), F.expr(ACL_DOC).alias("doc"))
 
 
 def id_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,10 +201,7 @@ SELECT event_id AS doc_id, concat('{"settings":{"name":"n', CAST(event_id AS VAR
   ',"spark_conf":{"acl":"true","', event_type, '":"', CAST(user_id AS VARCHAR), '"},"init_scripts":[{"workspace":{"destination":"/w/a/', CAST(user_id AS VARCHAR), '.sh"}},{"s3":{"destination":"s3://b/i.sh"}},{"dbfs":{"destination":"dbfs:/x"}}]},"run_as_user_name":"',
   CASE WHEN event_id % 2 = 0 THEN 'u@x.org' ELSE 'sp-1' END, '"}') AS doc
 FROM events""",
-    "acl_docs": """
-SELECT CAST(event_id AS VARCHAR) AS object_id, concat('{"access_control_list":[{"user_name":"u', CAST(user_id AS VARCHAR), '","all_permissions":[{"permission_level":"CAN_RUN","inherited":', CASE WHEN event_id % 3 = 0 THEN 'true' ELSE 'false' END,
-  '},{"permission_level":"CAN_VIEW"}]},{"group_name":"', event_type, '","all_permissions":[{"permission_level":"CAN_MANAGE","inherited":', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, '}]}]}') AS doc
-FROM events""",
+    "acl_docs": f"SELECT CAST(event_id AS VARCHAR) AS object_id, {ACL_DOC} AS doc FROM events",
     "id_map": """
 SELECT CAST(event_id AS VARCHAR) AS old_id, CAST(event_id + 1000000 AS VARCHAR) AS new_id FROM events WHERE event_id % 7 <> 0""",
 }

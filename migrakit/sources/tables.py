@@ -7,9 +7,11 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from typing import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType, VariantType
+
+from ..functions.strings import quote_ident
 
 # Providers that can be copied file for file in the same format.
 SAME_FORMAT_PROVIDERS = ("delta", "iceberg", "parquet")
@@ -177,15 +179,42 @@ def count_tables(spark: SparkSession, refs: Iterable[TableRef], isolate: bool =
     return union_all(frames)
 
 
-def fingerprint_exprs(columns: Sequence[str]) -> list:
-    """(n, content_hash) aggregate expressions over ``columns``, in order.
+def hashable(c: Column, kind: DataType) -> Column:
+    """A value in a form whose hash tells NULLs, places and map contents apart.
+
+    Hash functions skip NULLs, so every field and element carries a NULL flag; a
+    map, which has no hash, becomes its entries in sorted order; a variant its
+    JSON text.  The same at any depth."""
+    def flagged(x: Column, t: DataType) -> Column:
+        return F.struct(x.isNull().alias("n"), hashable(x, t).alias("v"))
+
+    if isinstance(kind, MapType):
+        return F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(
+            hashable(e["key"], kind.keyType).alias("k"), flagged(e["value"], kind.valueType).alias("v"))))
+    if isinstance(kind, ArrayType):
+        return F.transform(c, lambda x: flagged(x, kind.elementType))
+    if isinstance(kind, StructType):
+        return F.struct(*[flagged(c.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)])
+    if isinstance(kind, VariantType):
+        return F.to_json(c)
+    return c
+
+
+def fingerprint_exprs(schema: StructType) -> list:
+    """(n, content_hash) aggregate expressions over the fields of ``schema``, in order.
 
     The hash is the exact (decimal) sum of a 64-bit hash of every row, so
-    duplicates count and no overflow occurs at any table size."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in columns]).cast("decimal(38,0)")
+    duplicates count and no overflow occurs at any table size.  Every column
+    enters with a NULL flag, so a value moved across a NULL changes it."""
+    parts = []
+    for f in schema.fields:
+        c = F.col(quote_ident(f.name))
+        parts += [c.isNull(), hashable(c, f.dataType)]
+    h = F.xxhash64(*parts).cast("decimal(38,0)")
     return [F.count(F.lit(1)).alias("n"), F.sum(h).alias("content_hash")]
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Row count and an order-free content hash of a frame (one row)."""
-    return df.agg(*fingerprint_exprs(list(columns or df.columns)))
+    fields = [df.schema[c] for c in columns] if columns else df.schema.fields
+    return df.agg(*fingerprint_exprs(StructType(fields)))

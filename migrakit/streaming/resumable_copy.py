@@ -18,9 +18,12 @@ from ..sources.tables import TableRef, partition_columns, read_table
 
 
 def copy_resumable(spark: SparkSession, src: TableRef, ext_loc: str, checkpoint: str | None = None,
-                   to_format: str = "parquet", max_files_per_trigger: int | None = None) -> dict:
+                   to_format: str = "parquet", max_files_per_trigger: int = 1000) -> dict:
     """Copy the files of ``src`` to ``ext_loc`` as an available-now stream.
 
+    A micro-batch takes ``max_files_per_trigger`` files, so a restart repeats at
+    most that many.  Files are taken however old they are.
+
     ``checkpoint`` must be in shared storage and stay with the target (a new
     one means a new copy); by default it is a folder under the session's
     shared root.  Each micro-batch writes narrow (no shuffle): right for
@@ -31,8 +34,7 @@ def copy_resumable(spark: SparkSession, src: TableRef, ext_loc: str, checkpoint:
         raise ValueError("a resumable copy reads files: the source needs a location")
     schema = read_table(spark, src).schema  # a file stream needs its schema up front
     reader = spark.readStream.format(src.provider or "parquet").schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger)).option("maxFileAge", "36500d")
     for k, v in src.options:
         reader = reader.option(k, v)
     location = src.location.rstrip("/")
@@ -42,20 +44,24 @@ def copy_resumable(spark: SparkSession, src: TableRef, ext_loc: str, checkpoint:
         parent, name = location.rsplit("/", 1)
         location = f"{parent}/{{{name}}}"
     stream = reader.load(location)
+    parts = partition_columns(spark, src)
     ckpt = checkpoint or work_dir(spark, "checkpoints", src.database, src.table)
     writer = (stream.writeStream.format(to_format).option("checkpointLocation", ckpt)
               .trigger(availableNow=True).queryName(f"copy_{src.database}_{src.table}"))
-    parts = partition_columns(spark, src)
     if parts:
         writer = writer.partitionBy(*parts)
     query = writer.start(ext_loc)
-    query.awaitTermination()
+    # A query remembers only its latest progress entries (100 by default), so
+    # they are gathered while it runs; no query commits 100 batches in half a second.
+    seen: dict[int, int] = {}
+    ended = False
+    while not ended:
+        ended = query.awaitTermination(0.5)
+        seen.update({p["batchId"]: p["numInputRows"] for p in query.recentProgress})
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
-    progress = query.recentProgress
-    rows = sum(p.get("numInputRows", 0) for p in progress if isinstance(p, dict)) if progress else 0
     return {"database": src.database, "table_name": src.table, "ext_loc": ext_loc,
-            "checkpoint": ckpt, "batches": len(progress or []), "rows": rows}
+            "checkpoint": ckpt, "batches": len(seen), "rows": sum(seen.values())}
 
 
 def _is_file(spark: SparkSession, location: str) -> bool:

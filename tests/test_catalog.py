@@ -19,11 +19,12 @@ def test_inventory_from_catalog(spark):
     assert copy_table(spark, src, f"{base}/orders", target_name=f"{db}.orders")["copied_successfully"]
     spark.sql(f"CREATE VIEW {db}.v AS SELECT r_name FROM {db}.region")
     inv = {r.table_name: r for r in inventory_from_catalog(spark, [db, "no_such_db"]).collect()}
-    assert set(inv) == {"region", "orders", "v"}
+    assert set(inv) == {"region", "orders", "v", None}
+    assert inv[None].database == "no_such_db" and inv[None].error and inv["v"].error is None
     assert inv["region"].provider == "parquet" and inv["region"].location.endswith("region.parquet")
     assert inv["orders"].partition_columns == ["o_orderstatus"]
     assert inv["v"].table_type == "VIEW" and "r_name" in inv["v"].view_text
-    assert list_tables(spark, ["no_such_db"]).count() == 0
+    assert [r.table_name for r in list_tables(spark, ["no_such_db"]).collect()] == [None]
     full = inventory_from_catalog(spark, [db])
     chosen = {r.table_name for r in needs_copy(full, prefix="file:").collect()}
     assert chosen == set()                                  # both tables are on "external" storage

@@ -23,7 +23,7 @@ def test_copy_workflow(spark):
     plan = mk.plan_copy(inv, counts, f"{base}/copies")          # local paths are not on "s3": all copied
     outcomes = mk.copy_from_plan(spark, plan)
     assert {r.table_name: r.action for r in outcomes.collect()} == {"orders": "copied", "region": "copied"}
-    pairs = [(r, r.at(f"{base}/copies/{r.table}")) for r in refs]
+    pairs = [(r, r.at(f"{base}/copies/{r.database}/{r.table}")) for r in refs]
     ok, bad = mk.split_outcomes(mk.verify_copies(spark, pairs))
     assert ok.count() == 2 and bad.count() == 0
 

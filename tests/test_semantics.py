@@ -105,18 +105,20 @@ def test_usage_closure_then_dedup_has_no_duplicates(spark):
     assert all(c.body.startswith('{"changes":[{"principal":"p","add":[') for c in changes)
 
 
-def test_rules_from_a_table_are_size_checked(spark):
-    rules = records(spark, [("TABLE", "SELECT", ["SELECT", "READ"])],
+def test_rules_as_a_frame_are_joined(spark):
+    g = records(spark, [("s", "t", "p", "TABLE", ["MODIFY", "SELECT"]), ("s", None, "p", "DATABASE", ["OWN", "X"])],
+                "schema_name string, table_name string, principal string, object_level string, permission_list array<string>")
+    rules = records(spark, [("TABLE", "SELECT", ["SELECT", "READ"]), ("DATABASE", "OWN", None)]
+                    + [("TABLE", f"P{i}", ["X"]) for i in range(20000)],
                     "level string, privilege string, result array<string>")
-    got = G.rules_from_frame(rules)
-    assert got == (("TABLE", "SELECT", ("SELECT", "READ")),)
-    big = spark.range(20).select(F.lit("TABLE").alias("l"), F.col("id").cast("string").alias("p"),
-                                 F.array(F.lit("x")).alias("r"))
-    try:
-        G.rules_from_frame(big, limit=10)
-        raise AssertionError("expected a size error")
-    except ValueError:
-        pass
+    got = {r.securable_name: r.permission_list for r in G.translate_privileges(g, "main", rules).collect()}
+    assert got == {"main.s.t": ["READ", "SELECT"], "main.s": ["X"]}
+
+
+def test_a_null_part_names_no_object(spark):
+    g = records(spark, [(None, "t1", "p", "TABLE", ["SELECT"]), ("s", "t1", "p", "TABLE", ["SELECT"])],
+                "schema_name string, table_name string, principal string, object_level string, permission_list array<string>")
+    assert [r.securable_name for r in G.translate_privileges(g, "main").collect()] == ["main.s.t1"]
 
 
 def test_tables_by_schema_lists_empty_schemas(spark):

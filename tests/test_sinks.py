@@ -86,7 +86,7 @@ def test_plan_copy_and_apply_sync(spark):
                   "table_type string, is_temporary boolean")
     counts = records(spark, [("db", "nation", 25)], "database string, table_name string, n long")
     plan = plan_copy(inv, counts, "s3://t/", prefix="/root/testdata").collect()
-    assert [(r.table_name, r.source_count, r.ext_loc) for r in plan] == [("nation", 25, "s3://t/nation")]
+    assert [(r.table_name, r.source_count, r.ext_loc) for r in plan] == [("nation", 25, "s3://t/db/nation")]
     db = "s_" + uuid.uuid4().hex[:8]
     spark.sql(f"CREATE DATABASE {db} LOCATION '{work_dir(spark, 'tests', db)}'")
     empty = records(spark, [], "database string, table_name string, provider string")
@@ -106,20 +106,51 @@ def test_resumable_copy_resumes(spark):
     assert verify_copies(spark, [(src, src.at(f"{base}/data"))]).first().verdict == "match"
 
 
-def test_skip_rewrites_an_incomplete_target(spark):
+def test_skip_never_overwrites_a_target_it_did_not_begin(spark):
+    from migrakit.operators.copying import _mark, target_state
     base = work_dir(spark, "tests", "resume")
     src = _ref("nation")
-    # Files of a run that never committed: no _SUCCESS marker.
-    read_table(spark, _ref("region")).write.parquet(f"{base}/nation")
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{base}/nation/_SUCCESS")
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, False)
-    out = copy_table(spark, src, f"{base}/nation")
-    assert out["action"] == "copied"
+    # Files of somebody else, without a _SUCCESS marker: left as they are.
+    read_table(spark, _ref("region")).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{base}/nation")
+    assert target_state(spark, f"{base}/nation") == "present"
+    assert copy_table(spark, src, f"{base}/nation")["action"] == "skipped"
+    assert read_table(spark, src.at(f"{base}/nation")).count() == 5
+    # A copy of ours that recorded its start and not its end: written again.
+    _mark(spark, f"{base}/nation", True)
+    assert target_state(spark, f"{base}/nation") == "unfinished"
+    assert copy_table(spark, src, f"{base}/nation")["action"] == "copied"
     assert verify_copies(spark, [(src, src.at(f"{base}/nation"))]).first().verdict == "match"
     assert copy_table(spark, src, f"{base}/nation")["action"] == "skipped"
 
 
+def test_tables_with_one_target_are_refused(spark):
+    base = work_dir(spark, "tests", "clash")
+    tasks = [(_ref("nation"), f"{base}/t"), (_ref("region"), f"{base}/t/"), (_ref("supplier"), f"{base}/s")]
+    out = {r.table_name: (r.action, r.copied_successfully) for r in copy_tables(spark, tasks).collect()}
+    assert out == {"nation": ("refused", False), "region": ("refused", False), "supplier": ("copied", True)}
+
+
+def test_map_columns_are_copied_and_hashed(spark):
+    base = work_dir(spark, "tests", "maps")
+    df = spark.sql("SELECT id, map('b', id, 'a', CAST(NULL AS BIGINT)) AS m, array(map(id, struct('x' AS k))) AS deep FROM range(50)")
+    df.write.parquet(f"{base}/src")
+    src = TableRef("d", "m", "parquet", f"{base}/src")
+    out = copy_table(spark, src, f"{base}/dst")
+    assert out["action"] == "copied" and out["source_rows"] == 50 and out["source_hash"] is not None
+    assert verify_copies(spark, [(src, src.at(f"{base}/dst"))]).first().verdict == "match"
+
+
+def test_content_hash_tells_nulls_apart(spark):
+    from migrakit.sources.tables import table_fingerprint
+    h = lambda rows, t: table_fingerprint(spark.createDataFrame(rows, t)).first()["content_hash"]
+    assert h([(None, "x")], "a string, b string") != h([("x", None)], "a string, b string")
+    t = "a struct<x:string,y:string>, b array<string>"
+    assert h([((None, "x"), ["p"])], t) != h([(("x", None), ["p"])], t)
+    assert h([(("x", "y"), [None, "p"])], t) != h([(("x", "y"), ["p", None])], t)
+    m = "a map<string,int>"
+    assert h([({"p": 1, "q": 2},)], m) == h([({"q": 2, "p": 1},)], m) != h([({"p": 2, "q": 1},)], m)
+
+
 def test_copy_from_plan_and_count_only_check(spark):
     from migrakit.operators.copying import copy_from_plan
     base = work_dir(spark, "tests", "fromplan")

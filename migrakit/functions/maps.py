@@ -21,8 +21,3 @@ def set_key(m: Column, key: str, value: Column | str, value_type: str = "string"
     empty = F.create_map().cast(f"map<string,{value_type}>")
     base = F.map_filter(F.coalesce(m, empty), lambda k, _: k != key)
     return F.map_concat(base, F.create_map(F.lit(key), v.cast(value_type)))
-
-
-def has_key(m: Column, key: str) -> Column:
-    """F8 on a map: NULL map -> false."""
-    return F.coalesce(F.map_contains_key(m, key), F.lit(False))

@@ -16,11 +16,6 @@ def basename(c: Column, sep: str = "/") -> Column:
     return F.substring_index(c, sep, -1)
 
 
-def rstrip_char(c: Column, ch: str = "/") -> Column:
-    """Python ``rstrip(ch)`` for one character."""
-    return F.regexp_replace(c, "(?:" + _java_literal(ch) + ")+$", "")
-
-
 def join_path(base: str, name: Column) -> Column:
     """``base.rstrip('/') + '/' + name``."""
     return F.concat(F.lit(base.rstrip("/")), F.lit("/"), name)
@@ -42,7 +37,3 @@ def quote_name(*parts: str) -> str:
 def quote_ident_col(c: Column) -> Column:
     """``quote_ident`` as a column expression."""
     return F.concat(F.lit("`"), F.replace(c, F.lit("`"), F.lit("``")), F.lit("`"))
-
-
-def _java_literal(s: str) -> str:
-    return "".join("\\x{%x}" % ord(ch) if not ch.isalnum() else ch for ch in s)

@@ -11,6 +11,7 @@ from ..functions.parallel import parse_json
 from ..functions.versions import floor_version
 from ..operators import documents as D
 from ..operators.projections import stringify
+from ..session import work_dir
 from ..sources import fixtures as fx
 from .registry import plan
 
@@ -315,6 +316,21 @@ def q_read_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "raw")
 
 
+@plan("read_doc_files", f"""
+SELECT CASE WHEN json_valid(doc) THEN TRY_CAST(json_extract(doc, '$.k') AS BIGINT) END AS k,
+  CASE WHEN NOT json_valid(doc) THEN doc END AS line
+FROM (SELECT {_BROKEN} AS doc FROM events)""")
+def q_read_doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 over files: JSON lines written and read back, lines that do not parse
+    set aside whole.  (The folder stays: the result reads it.)"""
+    path = work_dir(spark, "read_doc_files")
+    _broken_events(spark, sf_dir).select("doc").write.text(path)
+    good, bad = D.read_doc_files(spark, path, "k long", corrupt_col="line")
+    none = F.lit(None)
+    return good.select(F.col("doc.k").alias("k"), none.cast("string").alias("line")).unionByName(
+        bad.select(none.cast("long").alias("k"), "line"))
+
+
 @plan("filter_ids", fx.with_fixtures("""
 SELECT doc_id, json_extract_string(doc, '$.settings.name') AS name FROM config_docs
 WHERE CAST(doc_id AS VARCHAR) IN (SELECT old_id FROM id_map)""", "config_docs", "id_map"))

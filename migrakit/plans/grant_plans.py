@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.grants import (dedup_grants, grant_changes, grants_by_principal, tables_by_schema, tables_of,
                                 translate_privileges, with_usage)
-from ..operators.projections import explode_list, list_size
+from ..operators.projections import explode_list, with_list_size
 from ..sources import fixtures as fx
 from ..sources.tables import union_all
 from .registry import plan
@@ -96,9 +96,8 @@ SELECT schema_name, table_name, principal, object_type AS object_level,
 FROM grants GROUP BY schema_name, table_name, principal, object_type""", "grants"))
 def q_grants_by_principal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Privileges per table, principal and level."""
-    g = grants_by_principal(_grants(spark, sf_dir))
-    return g.select("schema_name", "table_name", "principal", "object_level", _joined("permission_list"),
-                    list_size(F.col("permission_list")).alias("n_privileges"))
+    g = with_list_size(grants_by_principal(_grants(spark, sf_dir)), "permission_list", "n_privileges")
+    return g.withColumn("permission_list", _joined("permission_list"))
 
 
 @plan("translate_privileges", _grant_sql("""

@@ -5,11 +5,11 @@ the same format; the replacement is a permutation under a secret key, so equal
 values become equal pseudonyms in every document, different values different
 ones, and the key's holder can invert it.
 
-Kinds: payment cards (13-19 digits, Luhn; first digit kept, check digit set
-anew), North American phone numbers, IPv4 addresses, social security numbers,
+Kinds: payment cards (13-19 digits in one run, or in groups of 4-4-4-4 or
+4-6-5; Luhn; first digit kept, check digit set anew), North American phone numbers, IPv4 addresses, social security numbers,
 IBANs (modulo 97; digits permuted, letters kept, check digits set anew),
-calendar dates of the years 1800-2199 (ISO, and day.month.year or
-day/month/year; one that is a date only month first keeps month and day and has
+calendar dates of the years 1800-2199 (year first or day first, with "-", "/" or
+"."; one that is a date only month first keeps month and day and has
 its year permuted, 29 February excepted) and the letters and digits of an e-mail
 address's local part.  Punctuation stays where it stood; a number that fails its
 check stays as it is.
@@ -41,12 +41,12 @@ _D0, _D1 = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 FORMATS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
-    "ymd": r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    "dmy": r"[0-9]{2}[./][0-9]{2}[./][0-9]{4}",
+    "ymd": r"[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{2}",
+    "dmy": r"[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/|-[0-9]{2}-)[0-9]{4}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "ip": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "phone": r"(?:\+?1[ .\-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .\-])[2-9][0-9]{2}[ .\-][0-9]{4}",
-    "card": r"[0-9](?:[ \-]?[0-9]){12,18}",
+    "card": r"(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})",
 }
 _EDGE = {"ip": (_D0 + r"(?<![0-9]\.)", _D1), "phone": (r"(?<![0-9A-Za-z+])", _D1), "email": (r"(?<![A-Za-z0-9._%+\-])", _D1)}
 VALUE = "(?:" + "|".join(f"{_EDGE.get(k, (_D0, _D1))[0]}{p}{_EDGE.get(k, (_D0, _D1))[1]}" for k, p in FORMATS.items()) + ")"
@@ -174,7 +174,7 @@ def _rules(key: str, v: Column, back: bool) -> list[tuple[str, Column, Column, C
     iban = F.transform(F.array(body2), lambda b: F.concat(head, _pad(F.lit(98) - _mod97(F.concat(b, head, F.lit("00"))), 2), b))[0]
     ymd = _date_in(cut(1, 4), cut(5, 2), cut(7, 2))
     dmy = _date_in(cut(5, 4), cut(3, 2), cut(1, 2))
-    mdy = F.when(v.contains("/"), _date_in(cut(5, 4), cut(1, 2), cut(3, 2)))
+    mdy = F.when(~v.contains("."), _date_in(cut(5, 4), cut(1, 2), cut(3, 2)))
     sep = F.substr(v, F.lit(3), F.lit(1))
     day_first = F.replace(_date_out(key, dmy, "dd.MM.yyyy", back), F.lit("."), sep)
     year = _num(cut(5, 4)) - 1800
@@ -198,7 +198,7 @@ def _rules(key: str, v: Column, back: bool) -> list[tuple[str, Column, Column, C
     return [
         ("email", whole("email"), F.lit(True), F.concat(_letters(key, user, back), F.lit("@"), F.substr(v, F.length(user) + 2, F.length(v)))),
         ("iban", whole("iban"), _mod97(F.concat(body, F.substr(flat, F.lit(1), F.lit(4)))) == 1, _refill(v, iban)),
-        ("date", whole("ymd"), ymd.isNotNull(), _date_out(key, ymd, "yyyy-MM-dd", back)),
+        ("date", whole("ymd"), ymd.isNotNull(), F.replace(_date_out(key, ymd, "yyyy-MM-dd", back), F.lit("-"), F.substr(v, F.lit(5), F.lit(1)))),
         ("date", whole("dmy") & (dmy.isNotNull() | mdy.isNull()), dmy.isNotNull(), day_first),
         ("date", whole("dmy"), mdy.isNotNull() & (cut(1, 4) != "0229"), month_first),
         ("ssn", whole("ssn"), _num(cut(1, 3)).between(1, 899) & (cut(1, 3) != "666") & (cut(4, 2) != "00") & (cut(6, 4) != "0000"), ssn),

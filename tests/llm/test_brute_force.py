@@ -324,6 +324,15 @@ def test_pseudonyms_are_valid_linked_distinct_and_invertible(spark):
     assert {r[0]: r[1] for r in other} != {r["doc_id"]: r["text"] for r in out}
 
 
+def test_neighbouring_numbers_are_told_apart(spark):
+    text = "4337166598464399 42.144.35.254 4041-8949-7460-8795 +1 (988) 555-2485 4337166598464399 1999/12/31 31-12-1999 99.99.1"
+    r = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert r["kinds"] == ["card", "ip", "card", "phone", "card", "date", "date"]
+    new = r["text"].split(" ")
+    assert new[0] == new[6] != "4337166598464399" and new[-1] == "99.99.1" and re.fullmatch(r"\d{4}/\d\d/\d\d", new[-3])
+    assert not set(new[:-1]) & set(text.split(" ")[:-1]) - {"+1"}
+
+
 def test_two_halves_are_permuted_exactly(spark):
     n = spark.range(6 * 7).select(F.col("id"), pii._permute("k", "t", (F.col("id") / 7).cast("long"), F.col("id") % 7, F.lit(6), F.lit(7)).alias("p"))
     assert sorted(r["p"]["l"] * 7 + r["p"]["r"] for r in n.collect()) == list(range(42))

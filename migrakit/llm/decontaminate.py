@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_ascii, outside, packed_columns, row_key, whole_text
+from .common import fold_ascii, outside, packed_columns, row_key, settled, whole_text
 
 #: Digits, letters of ASCII and everything beyond it: before or after A-Z are
 #: lower-cased, the words of [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.  A positive class of
@@ -89,8 +89,10 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 10, block: int = 200_000) -
     none = F.filter(F.array(empty), lambda s: s["begin"] >= 0)
     spans = F.aggregate("at", F.struct(none.alias("done"), empty.alias("last")), step,
                         lambda a: F.concat(a["done"], F.array(a["last"])))
-    return (grouped.select("rk", spans.alias("spans"), "items")
-            .withColumn("n_hit", F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["begin"])))
+    # Checkpointed: the join with the documents is between two plain shuffles,
+    # so many equal rows of one document are split by AQE.
+    return settled(grouped.select("rk", spans.alias("spans"), "items")
+                   .withColumn("n_hit", F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["begin"])))
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 10, block: int = 200_000,

@@ -50,8 +50,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2) -> Data
         held = (lines.select("h1", "h2", "doc_id").distinct().groupBy("h1", "h2")
                 .agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs))
     held = settled(held.select("h1", "h2", "keep"))
+    # Checkpointed, so that the join with the texts is between two plain shuffles too.
     lost = (lines.join(held, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keep")))
             .groupBy("rk").agg(F.sort_array(F.collect_set("pos")).alias("lost")))
+    lost = settled(lost)
     spans = F.transform("lost", lambda p: F.struct(p.alias("begin"), (p + 1).alias("end")))
     kept = F.array_join(outside(F.split("text", "\n", -1), spans), "\n")
     newlines = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit("")))

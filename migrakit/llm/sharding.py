@@ -57,7 +57,8 @@ def shard(docs: DataFrame, shards: int = 8, order: list[Column] | None = None, s
     columns ``keep`` (default: all).  ``order``: columns of ``docs`` to sort by in
     place of (digest, doc_id)."""
     text = F.encode(whole_text("text"), "UTF-8")
-    place = order or [F.md5(text), F.col("doc_id")]
+    # The last key splits even a range of equal rows over several partitions.
+    place = [*(order or [F.md5(text), F.col("doc_id")]), F.monotonically_increasing_id()]
     keys = [f"place{i}" for i in range(len(place))]
     base = docs.select(packed_columns(docs, keep), *[c.alias(k) for k, c in zip(keys, place)],
                        (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"),

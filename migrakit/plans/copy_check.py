@@ -8,13 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.strings import quote_name
+from ..functions.strings import quote_ident_col, quote_name
 from ..operators.copying import bounded_error, copy_from_plan, copy_tables, existing_layout, plan_copy, with_target_path
+from ..operators.sqltext import copy_statement_col
 from ..operators.verify import join_results, split_outcomes, verify_copies, verify_counts
 from ..session import drop_database, remove_dir, work_dir
 from ..sources import fixtures as fx
 from ..sources.catalog import inventory_from_catalog
-from ..sources.tables import TableRef, count_tables, read_table, records
+from ..sources.tables import SAME_FORMAT_PROVIDERS, TableRef, count_tables, read_table, records
 from .registry import plan
 
 DATABASE = "testdata"
@@ -94,6 +95,25 @@ def q_needs_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_copy(fx.inventory(spark, sf_dir), fx.source_counts(spark, sf_dir), "s3://target/uc")
 
 
+@plan("copy_statements", fx.with_fixtures("""
+SELECT database, table_name, concat('CREATE TABLE IF NOT EXISTS `main`.`', database, '`.`', table_name, '` USING ',
+  CASE WHEN provider IN ('parquet', 'delta') THEN provider ELSE 'parquet' END,
+  CASE WHEN provider = 'delta' THEN ' PARTITIONED BY (`day`, `a b`)' ELSE '' END, ' LOCATION ''s3://target/uc/', database, '/',
+  table_name, ''' AS SELECT * FROM `', database, '`.`', table_name, '`') AS stmt
+FROM inventory
+WHERE (NOT starts_with(location, 's3') OR provider = 'hive')
+  AND NOT coalesce(table_type = 'VIEW', false) AND NOT coalesce(is_temporary, false)""", "inventory"))
+def q_copy_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copy plan as statements, partition columns carried through."""
+    parts = F.when(F.col("provider") == "delta", F.array(F.lit("day"), F.lit("a b")))
+    inv = fx.inventory(spark, sf_dir).withColumn("partition_col_list", parts)
+    p = plan_copy(inv, fx.source_counts(spark, sf_dir), "s3://target/uc")
+    source = F.concat_ws(".", quote_ident_col(F.col("database")), quote_ident_col(F.col("table_name")))
+    fmt = F.when(F.col("provider").isin(*SAME_FORMAT_PROVIDERS), F.col("provider")).otherwise(F.lit("parquet"))
+    return p.select("database", "table_name", copy_statement_col("main", F.col("database"), F.col("table_name"), source, fmt,
+                                                                 F.col("ext_loc"), F.col("partition_col_list")).alias("stmt"))
+
+
 @plan("verify_counts", fx.with_fixtures("""
 SELECT coalesce(s.database, t.database) AS database, coalesce(s.table_name, t.table_name) AS table_name,
        s.n AS source_count, t.n AS target_count,

@@ -38,10 +38,10 @@ flat AS (
 translated AS (
   SELECT schema_name, table_name, principal, object_level,
     CASE object_level WHEN 'CATALOG$' THEN 'catalog' WHEN 'DATABASE' THEN 'schema' ELSE 'table' END AS securable_type,
-    CASE object_level WHEN 'CATALOG$' THEN '{CATALOG}' WHEN 'DATABASE' THEN concat('{CATALOG}.', schema_name)
-         ELSE concat('{CATALOG}.', schema_name, '.', table_name) END AS securable_name,
+    CASE object_level WHEN 'CATALOG$' THEN '{CATALOG}' WHEN 'DATABASE' THEN '{CATALOG}.' || schema_name
+         ELSE '{CATALOG}.' || schema_name || '.' || table_name END AS securable_name,
     list_sort(list(DISTINCT privilege)) AS permission_list
-  FROM flat GROUP BY ALL),
+  FROM flat WHERE object_level NOT IN ('DATABASE', 'TABLE') OR schema_name IS NOT NULL GROUP BY ALL),
 usage AS (
   SELECT schema_name, table_name, principal, object_level, securable_type, securable_name, permission_list FROM translated
   UNION ALL SELECT schema_name, table_name, principal, object_level, 'schema', concat('{CATALOG}.', schema_name), ['USAGE']

@@ -108,7 +108,8 @@ def grants_from(li: DataFrame) -> DataFrame:
     """``grants`` over a given lineitem frame."""
     o, p = F.col("l_orderkey"), F.col("l_partkey")
     return li.select(
-        F.concat(F.lit("s"), _s(F.col("l_suppkey") % 10)).alias("schema_name"),
+        # A few grants name no schema: they must not become grants on another object.
+        F.when(o % 41 != 0, F.concat(F.lit("s"), _s(F.col("l_suppkey") % 10))).alias("schema_name"),
         F.concat(F.lit("t"), _s(p % 50)).alias("table_name"),
         F.when(o % 20 == 0, "users").when(o % 31 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("p"), _s(o % 100))).alias("principal"),
@@ -187,7 +188,7 @@ SELECT concat('db', CAST(doc_id % 5 AS VARCHAR)) AS schema_name, concat('v', CAS
   concat('SELECT ''', replace(text, '''', ''), ''' AS s FROM ', CASE doc_id % 4 WHEN 0 THEN 'sales.t' WHEN 1 THEN '`Sales`.t' WHEN 2 THEN 'old_catalog.sales.t' ELSE 'presales.t' END, CAST(doc_id % 7 AS VARCHAR), ',hr.u h WHERE h.sales = 1') AS view_text
 FROM documents""",
     "grants": """
-SELECT concat('s', CAST(l_suppkey % 10 AS VARCHAR)) AS schema_name, concat('t', CAST(l_partkey % 50 AS VARCHAR)) AS table_name,
+SELECT CASE WHEN l_orderkey % 41 <> 0 THEN concat('s', CAST(l_suppkey % 10 AS VARCHAR)) END AS schema_name, concat('t', CAST(l_partkey % 50 AS VARCHAR)) AS table_name,
   CASE WHEN l_orderkey % 20 = 0 THEN 'users' WHEN l_orderkey % 31 = 0 THEN NULL ELSE concat('p', CAST(l_orderkey % 100 AS VARCHAR)) END AS principal,
   CASE l_orderkey % 4 WHEN 0 THEN 'CATALOG$' WHEN 1 THEN 'DATABASE' WHEN 2 THEN 'TABLE' ELSE 'ANY_FILE' END AS object_type,
   CASE l_partkey % 7 WHEN 0 THEN 'SELECT' WHEN 1 THEN 'MODIFY' WHEN 2 THEN 'READ_METADATA' WHEN 3 THEN 'OWN' WHEN 4 THEN 'CREATE' WHEN 5 THEN 'CREATE_NAMED_FUNCTION' ELSE 'USAGE' END AS action_type

@@ -107,3 +107,28 @@ def test_trie_alternation_many_names(spark):
     assert not rx.match("s300") and not rx.match("sale")
     out = _spark_qualify(spark, ["SELECT * FROM sales_eu.t, S12.u, s.v, sale.w"], names)
     assert out == ["SELECT * FROM main.sales_eu.t, main.S12.u, main.s.v, sale.w"]
+
+
+def test_names_that_need_quotes_parse_again(spark):
+    text = "SELECT * FROM `my-schema`.t JOIN plain.u ON t.id = u.id"
+    df = spark.createDataFrame([(text,)], "view_text string")
+    out = df.select(qualify_sql_col(F.col("view_text"), ["my-schema", "plain"], "my-cat").alias("v")).first().v
+    assert out == "SELECT * FROM `my-cat`.`my-schema`.t JOIN `my-cat`.`plain`.u ON t.id = u.id"
+    spark._jsparkSession.sessionState().sqlParser().parsePlan(out)
+    again = spark.createDataFrame([(out,)], "v string").select(qualify_sql_col(F.col("v"), ["my-schema", "plain"], "my-cat").alias("v"))
+    assert again.first().v == out
+
+
+def test_schemas_can_be_renamed(spark):
+    df = spark.createDataFrame([("SELECT * FROM old.a, `Old`.b, cold.c",)], "v string")
+    assert df.select(qualify_sql_col(F.col("v"), {"old": "new-1"}, "main").alias("v")).first().v == \
+        "SELECT * FROM `main`.`new-1`.a, `main`.`new-1`.b, cold.c"
+
+
+def test_dependency_levels(spark):
+    from migrakit.operators.sqltext import dependency_levels
+    rows = [("s", "c", "CREATE VIEW x AS SELECT * FROM s.b"), ("s", "b", "CREATE VIEW x AS SELECT * FROM s.a"),
+            ("s", "a", "CREATE VIEW x AS SELECT 1"), ("s", "p", "CREATE VIEW x AS SELECT * FROM q"),
+            ("s", "q", "CREATE VIEW x AS SELECT * FROM p")]
+    got = dependency_levels(spark.createDataFrame(rows, "schema_name string, view_name string, view_stmt string"), [r[1] for r in rows])
+    assert got["a"] < got["b"] < got["c"] and set(got) == {"a", "b", "c", "p", "q"}

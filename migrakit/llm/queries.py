@@ -154,9 +154,36 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), "contaminated")
 
 
-# --- 8: sharding (no statement: DuckDB has no CRC-32) ------------------------
+# --- 8: sharding --------------------------------------------------------------
 
-@query("op8_shard_bytes")
+OP8_SQL = """
+WITH t AS (   -- table of CRC-32 (reversed polynomial EDB88320)
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc),
+h AS (SELECT doc_id, md5(coalesce(text, '')) AS digest, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+b AS (
+  SELECT doc_id, digest, CAST(length(hx) // 2 + 1 AS BIGINT) AS size,
+         list_transform(range(0, CAST(length(hx) AS BIGINT), 2), lambda i: CAST(concat('0x', substr(hx, i + 1, 2)) AS BIGINT)) AS bytes
+  FROM h),
+d AS (
+  SELECT doc_id, digest, size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes),
+         lambda a, x: xor(a >> 8, crc[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, t),
+p AS (
+  SELECT *, CAST(sum(size) OVER (ORDER BY digest, doc_id) - size AS DOUBLE) AS before, CAST(sum(size) OVER () AS DOUBLE) AS total
+  FROM d),
+k AS (
+  SELECT *, least(floor((before + size / 2.0::DOUBLE) * 8.0::DOUBLE / total), 7) AS cut,
+         CAST(sum(size) OVER (PARTITION BY digest) AS DOUBLE) AS grp, min(before) OVER (PARTITION BY digest) AS beg FROM p),
+s AS (   -- a group of equal texts of at most a hundredth of a shard is not cut
+  SELECT *, CAST(CASE WHEN grp * 8.0::DOUBLE <= total * 0.01::DOUBLE
+                      THEN least(floor((beg + grp / 2.0::DOUBLE) * 8.0::DOUBLE / total), 7) ELSE cut END AS INTEGER) AS shard FROM k)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY digest, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s
+"""
+
+
+@query("op8_shard_bytes", OP8_SQL)
 def op8_shard_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sharding.shard(table(spark, sf_dir, "documents"), shards=8, keep=["doc_id"])
     return s.select("row.doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",

@@ -217,3 +217,11 @@ def test_fingerprint_observed_during_copy_equals_a_read_of_the_source(spark):
         known = {(src.database, src.table): (out["source_rows"], out["source_hash"])}
         v = verify_copies(spark, [(src, src.at(f"{base}/{src.table}"))], known_sources=known).first()
         assert v.verdict == "match" and v.source_count == fp.n
+
+
+def test_resumable_copy_counts_every_batch(spark):
+    base = work_dir(spark, "tests", "many")
+    spark.range(0, 240, 1, 120).write.parquet(f"{base}/src")
+    out = copy_resumable(spark, TableRef("d", "many", "parquet", f"{base}/src"), f"{base}/data",
+                         checkpoint=f"{base}/ckpt", max_files_per_trigger=1)
+    assert (out["batches"], out["rows"]) == (120, 240)

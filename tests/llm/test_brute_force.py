@@ -82,10 +82,12 @@ def test_ctw_equals_plain_recursion(spark, depth):
         assert got[i] == pytest.approx(tree.score(t), rel=1e-4), (i, t)
 
 
-def test_ctw_is_a_distribution(spark):
-    """Probabilities of all bytes after a context add up to 1, inside and outside the tree."""
+@pytest.mark.parametrize("max_nodes", [2_000_000, 40, 0])
+def test_ctw_is_a_distribution(spark, max_nodes):
+    """Probabilities of all bytes after a context add up to 1, inside and outside the
+    tree, however small a part of it is kept."""
     docs = spark.createDataFrame([(1, "abra cadabra abra")], "doc_id long, text string")
-    model = lm_score.train(lm_score.blocks(docs, F.lit(False)), depth=3)
+    model = lm_score.train(lm_score.blocks(docs, F.lit(False)), depth=3, max_nodes=max_nodes, max_known=max_nodes)
     for ctx in (b"bra", b"zzz", b"\nab"):
         g = np.array([int.from_bytes(ctx[::-1] + bytes([b]), "big") for b in range(256)], np.uint64)
         assert (10 ** lm_score.evaluate(g, model["tree"].value, 3)).sum() == pytest.approx(1, abs=1e-4)

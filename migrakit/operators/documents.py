@@ -2,7 +2,11 @@
 configuration documents (cluster, job and policy definitions, access lists)
 as column expressions.  Every rule is a per-row JVM expression over typed
 structs, maps and arrays, so a table of any size is rewritten in one narrow
-stage: no shuffle, no UDF, no document on the driver."""
+stage: no shuffle, no UDF, no document on the driver.
+
+A typed struct holds the declared fields only.  These forms answer questions
+about single fields; ``whole_docs`` has the same rules for documents that are
+written back with every other key kept."""
 
 from __future__ import annotations
 

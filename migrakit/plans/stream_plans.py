@@ -23,7 +23,9 @@ def q_resumable_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = source_refs(sf_dir)
     tasks = [(r, f"{base}/data/{r.table}", f"{base}/checkpoints/{r.table}") for r in refs]
     with ThreadPoolExecutor(max_workers=4) as pool:
-        list(pool.map(lambda t: copy_resumable(spark, t[0], t[1], checkpoint=t[2]), tasks))
-    verdicts = verify_copies(spark, [(r, r.at(loc)) for r, loc, _ in tasks])
+        runs = list(pool.map(lambda t: copy_resumable(spark, t[0], t[1], checkpoint=t[2]), tasks))
+    known = {(o["database"], o["table_name"]): (o["source_rows"], o["source_hash"])
+             for o in runs if o["source_rows"] is not None}
+    verdicts = verify_copies(spark, [(r, r.at(loc)) for r, loc, _ in tasks], known_sources=known)
     remove_dir(spark, base)
     return verdicts

@@ -11,10 +11,12 @@ the target see only committed batches.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import SparkSession
 
 from ..session import work_dir
-from ..sources.tables import TableRef, partition_columns, read_table
+from ..sources.tables import TableRef, fingerprint_exprs, partition_columns, read_table
 
 
 def copy_resumable(spark: SparkSession, src: TableRef, ext_loc: str, checkpoint: str | None = None,
@@ -28,8 +30,10 @@ def copy_resumable(spark: SparkSession, src: TableRef, ext_loc: str, checkpoint:
     one means a new copy); by default it is a folder under the session's
     shared root.  Each micro-batch writes narrow (no shuffle): right for
     keeping a source's layout; a copy into a new partition layout is better
-    done by the batch ``copy_table``, whose rebalance AQE can split.  Returns (database, table_name, ext_loc, checkpoint,
-    batches, rows) for the run."""
+    done by the batch ``copy_table``, whose rebalance AQE can split.  What is
+    written is fingerprinted in the write, batch by batch, so the check of a
+    copy made in one run reads only the copy.  Returns (database, table_name,
+    ext_loc, checkpoint, batches, rows, source_rows, source_hash) for the run."""
     if not src.location:
         raise ValueError("a resumable copy reads files: the source needs a location")
     schema = read_table(spark, src).schema  # a file stream needs its schema up front
@@ -44,6 +48,10 @@ def copy_resumable(spark: SparkSession, src: TableRef, ext_loc: str, checkpoint:
         parent, name = location.rsplit("/", 1)
         location = f"{parent}/{{{name}}}"
     stream = reader.load(location)
+    try:
+        stream = stream.observe("copied", *fingerprint_exprs(schema))
+    except Exception:  # noqa: BLE001 - types that cannot be hashed: the copy goes on without
+        pass
     parts = partition_columns(spark, src)
     ckpt = checkpoint or work_dir(spark, "checkpoints", src.database, src.table)
     writer = (stream.writeStream.format(to_format).option("checkpointLocation", ckpt)
@@ -53,15 +61,28 @@ def copy_resumable(spark: SparkSession, src: TableRef, ext_loc: str, checkpoint:
     query = writer.start(ext_loc)
     # A query remembers only its latest progress entries (100 by default), so
     # they are gathered while it runs; no query commits 100 batches in half a second.
-    seen: dict[int, int] = {}
+    seen: dict[int, tuple] = {}
     ended = False
     while not ended:
         ended = query.awaitTermination(0.5)
-        seen.update({p["batchId"]: p["numInputRows"] for p in query.recentProgress})
+        for p in query.recentProgress:
+            seen[p["batchId"]] = (p["numInputRows"], p["observedMetrics"].get("copied"))
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
     return {"database": src.database, "table_name": src.table, "ext_loc": ext_loc,
-            "checkpoint": ckpt, "batches": len(seen), "rows": sum(seen.values())}
+            "checkpoint": ckpt, "batches": len(seen), "rows": sum(n for n, _ in seen.values()),
+            **_fingerprint(seen)}
+
+
+def _fingerprint(seen: dict[int, tuple]) -> dict:
+    """Rows and content hash of everything the checkpoint has copied, summed over
+    its batches; NULL for a run that resumed one (earlier batches were observed
+    by another run)."""
+    parts = [m for _, m in seen.values()]
+    if sorted(seen) != list(range(len(seen))) or any(m is None for m in parts):
+        return {"source_rows": None, "source_hash": None}
+    hashes = [m["content_hash"] for m in parts if m["content_hash"] is not None]
+    return {"source_rows": sum(m["n"] for m in parts), "source_hash": sum(hashes, Decimal(0)) if hashes else None}
 
 
 def _is_file(spark: SparkSession, location: str) -> bool:

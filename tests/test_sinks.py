@@ -224,4 +224,12 @@ def test_resumable_copy_counts_every_batch(spark):
     spark.range(0, 240, 1, 120).write.parquet(f"{base}/src")
     out = copy_resumable(spark, TableRef("d", "many", "parquet", f"{base}/src"), f"{base}/data",
                          checkpoint=f"{base}/ckpt", max_files_per_trigger=1)
-    assert (out["batches"], out["rows"]) == (120, 240)
+    assert (out["batches"], out["rows"], out["source_rows"]) == (120, 240, 240)
+    from migrakit.sources.tables import table_fingerprint
+    assert out["source_hash"] == table_fingerprint(spark.read.parquet(f"{base}/src")).first()["content_hash"]
+
+
+def test_a_provider_that_cannot_be_read_is_a_failed_outcome(spark):
+    base = work_dir(spark, "tests", "hive")
+    out = copy_table(spark, TableRef("d", "h", "hive", f"{SF_SMALL}/nation.parquet"), f"{base}/h")
+    assert out["action"] == "failed" and not out["copied_successfully"] and "Hive" in out["error"]

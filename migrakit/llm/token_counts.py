@@ -11,7 +11,7 @@ A state is a folder with three tables, one sub-folder per batch: ``deltas``
 ``commits``.  A batch writes its deltas, then its rollup from the written
 deltas, then its commit row.  Readers see committed batches only: a batch that
 broke off is written over when it is run again, and a committed one does
-nothing.
+nothing.  ``compact`` sums a history of batches up in one.
 
 Per batch, one aggregation over the batch's rows and one join of the ledger with
 the batch's doc_ids; groups are summed map-side first, so a source with a third
@@ -38,6 +38,7 @@ from .common import settled, whole_text, word_count
 
 KEYS = ["doc_id", "source", "lang", "tokenizer"]
 GROUP = ["source", "lang", "tokenizer"]
+COMMIT = "batch string, replaces array<string>"
 Counter = Callable[[Column], Column]
 
 
@@ -83,15 +84,24 @@ class Rollup:
     def __init__(self, spark: SparkSession, path: str, doc_id: str = "long"):
         self.spark, self.path = spark, path.rstrip("/")
         self.schema = f"doc_id {doc_id}, source string, lang string, tokenizer string, docs long, tokens long"
-        (spark.createDataFrame([("",)], "batch string").coalesce(1).write.mode("ignore").parquet(f"{self.path}/commits/begin"))
+        self._write_commit("begin", [], "ignore")
+
+    def _write_commit(self, batch: str, replaces: list[str], mode: str = "overwrite") -> None:
+        (self.spark.createDataFrame([(batch, replaces)], COMMIT).coalesce(1)
+         .write.mode(mode).parquet(f"{self.path}/commits/{batch}"))
+
+    def _commits(self) -> dict[str, list[str]]:
+        rows = self.spark.read.schema(COMMIT).parquet(f"{self.path}/commits/*").collect()      # one row per batch
+        return {r["batch"]: r["replaces"] for r in rows if r["batch"] != "begin"}
 
     def committed(self) -> list[str]:
-        """Names of the committed batches (one row per batch)."""
-        rows = self.spark.read.schema("batch string").parquet(f"{self.path}/commits/*").collect()
-        return sorted(r["batch"] for r in rows if r["batch"])
+        """Names of the committed batches, compacted ones included."""
+        return sorted(self._commits())
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        paths = [f"{self.path}/{name}/{b}" for b in self.committed()]
+        commits = self._commits()
+        gone = {b for replaced in commits.values() for b in replaced}
+        paths = [f"{self.path}/{name}/{b}" for b in sorted(commits) if b not in gone]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def ledger(self) -> DataFrame:
@@ -121,15 +131,27 @@ class Rollup:
             old = now.join(t, hit, "left_semi")
             signed.append(old.select(*KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
         rows = reduce(DataFrame.unionByName, signed) if signed else self.spark.createDataFrame([], self.schema)
+        self._store(batch, rows, [])
+        return True
+
+    def compact(self, batch: str) -> bool:
+        """Sums up all batches in one of name ``batch``, so that a long history costs
+        one folder to read.  Its commit row names the batches it stands for: they are
+        no longer read, and stay known, so a batch sent again still does nothing."""
+        live = self.committed()
+        if batch in live:
+            return False
+        self._store(batch, self._read("deltas", self.schema), live)
+        return True
+
+    def _store(self, batch: str, rows: DataFrame, replaces: list[str]) -> None:
         sums = [F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")]
         changed = "docs <> 0 OR tokens <> 0"
         at = f"{self.path}/deltas/{batch}"
         rows.groupBy(*KEYS).agg(*sums).where(changed).write.mode("overwrite").parquet(at)
         (self.spark.read.schema(self.schema).parquet(at).groupBy(*GROUP).agg(*sums).where(changed)
          .write.mode("overwrite").parquet(f"{self.path}/rollups/{batch}"))
-        (self.spark.createDataFrame([(batch,)], "batch string").coalesce(1)
-         .write.mode("overwrite").parquet(f"{self.path}/commits/{batch}"))
-        return True
+        self._write_commit(batch, replaces)
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens), from the rollups alone."""

@@ -177,7 +177,13 @@ def test_broken_batch_is_written_over(spark, tmp_path):
     assert state.commit("b1", stated=rows)
     assert [tuple(r) for r in state.totals().collect()] == [("a", "en", "w", 2, 12)]
     state.commit("b2", stated=rows.where("doc_id = 1").withColumn("tokens", F.lit(9).cast("long")).withColumn("source", F.lit("b")))
-    assert {tuple(r) for r in state.totals().collect()} == {("a", "en", "w", 1, 7), ("b", "en", "w", 1, 9)}
+    want = {("a", "en", "w", 1, 7), ("b", "en", "w", 1, 9)}
+    assert {tuple(r) for r in state.totals().collect()} == want
+    assert state.compact("c1") and not state.compact("c1")
+    assert {tuple(r) for r in state.totals().collect()} == want and not state.commit("b1", stated=rows)
+    state.commit("b3", deleted=rows.where("doc_id = 2").select("doc_id"))
+    assert [tuple(r) for r in state.totals().collect()] == [("b", "en", "w", 1, 9)]
+    assert state.compact("c2") and [tuple(r) for r in state.totals().collect()] == [("b", "en", "w", 1, 9)]
 
 
 # --- 8: sharding ---------------------------------------------------------------------

@@ -19,6 +19,44 @@ from tests.conftest import SF_SMALL
 TEXTS = ["the cat sat on the mat", "the cat sat on the hat", "a dog ate the cat", "", None, "zebra crossing", "the the the the"]
 
 
+# --- 1: mixing ------------------------------------------------------------------------
+
+def test_schedules_are_integrated_and_inverted(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 30)), "ab"[i % 2]) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    weights = spark.createDataFrame([("a", 3.0), ("b", 1.0)], "source string, weight double")
+    knots = spark.createDataFrame([("a", 0.0, 2.0), ("a", 0.5, 0.0), ("a", 1.0, 0.0), ("b", 0.0, 1.0), ("b", 1.0, 1.0)],
+                                  "source string, t double, rate double")
+    m = mixing.mix(docs, weights, knots)
+    got = m.select("doc_id", "source", "size", "source_size", "target", "copies", "positions").collect()
+    size = Counter()
+    for r in got:
+        size[r["source"]] += r["size"]
+    total = sum(size.values())
+    for s, share in (("a", 0.75), ("b", 0.25)):
+        mine = [r for r in got if r["source"] == s]
+        assert mine[0]["target"] == pytest.approx(share * total)
+        taken = sum(r["size"] * r["copies"] for r in mine)
+        assert abs(taken - mine[0]["target"]) <= 15                      # half of the longest document
+        placed = sorted((p, r["size"]) for r in mine for p in r["positions"])
+        before = 0
+        for p, n in placed:                                            # the inverse of the integral of the rate
+            u = (before + n / 2) / mine[0]["target"]
+            want = (1 - math.sqrt(max(0, 1 - u))) / 2 if s == "a" else u
+            assert p == pytest.approx(want, abs=1e-9)
+            before += n
+    order = [r["doc_id"] for r in mixing.training_order(m).collect()]
+    assert order == [d for _, d in sorted((p, r["doc_id"]) for r in got for p in r["positions"])]
+
+
+def test_full_sources_pass_their_excess_on(spark):
+    rows = [(1, "w " * 10, "small"), (2, "w " * 100, "big"), (3, "w " * 100, "big"), (4, "w " * 50, None)]
+    m = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    # big weighs 1, small 2, null 3 of 260: small is full at 30, null at 150; big gets the rest.
+    assert {r["source"]: r["target"] for r in m.collect()} == {"big": 80.0, "small": 30.0, None: 150.0 * 1.0}
+
+
 # --- 2: context-tree weighting ---------------------------------------------------
 
 def _kt(a, b):

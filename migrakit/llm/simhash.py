@@ -15,7 +15,9 @@
    the shared checkpoint folder.
 
 Sizes: the tree has at most 2^``max_depth`` nodes of 9 bytes; the sample is at
-most ``sample`` points; leaves aim at ``leaf`` points.  Copies of one text, however
+most ``sample`` points; leaves aim at ``leaf`` points.  A leaf that outgrows that (more
+points than the tree's depth can part, or a dense cluster) is searched in
+groups of at most two chunks, every two chunks once, so no task gets it whole.  Copies of one text, however
 many, are one point.  Guests grow as about N^0.68 per point for fingerprints
 spread at random, the price of a radius of 3 in 64 bits.
 
@@ -141,6 +143,36 @@ def route(points: np.ndarray, vantage, radii, radius: int):
     return [np.concatenate(x) for x in zip(*leaves)]
 
 
+def groups(leaves: np.ndarray, home: np.ndarray, points: np.ndarray, n_home: np.ndarray, n_guest: np.ndarray):
+    """(index of the visit, a, b): the groups of its leaf that a visit goes to.
+
+    A leaf's home points are cut into ``n_home[leaf]`` chunks and its guests into
+    ``n_guest[leaf]``; there is a group for every two home chunks and for every home
+    chunk with every guest chunk, so all pairs with an end at home meet and no group
+    holds more than two chunks."""
+    at, a, b = [], [], []
+
+    def add(i, x, y):
+        at.append(i)
+        a.append(np.broadcast_to(np.asarray(x, np.int32), len(i)))
+        b.append(np.broadcast_to(np.asarray(y, np.int32), len(i)))
+
+    whole = (n_home[leaves] <= 1) & (n_guest[leaves] <= 1)
+    add(np.nonzero(whole)[0], 0, 0)
+    spread = (points * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    for leaf in np.unique(leaves[~whole]):
+        h, g = max(1, int(n_home[leaf])), int(n_guest[leaf])
+        mine, guest = (np.nonzero((leaves == leaf) & x)[0] for x in (home, ~home))
+        c, k = (spread[mine] % np.uint64(h)).astype(np.int32), (spread[guest] % np.uint64(max(g, 1))).astype(np.int32)
+        for j in range(h):
+            other = c != j
+            add(mine[other], np.minimum(c[other], j), np.maximum(c[other], j))
+            add(guest, j, h + k)
+        for j in range(g):
+            add(mine, c, h + j)
+    return np.concatenate(at), np.concatenate(a), np.concatenate(b)
+
+
 def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Unites the classes of the pairs (a, b); label[i] is always a root."""
     while len(a):
@@ -181,9 +213,11 @@ def leaf_links(points: np.ndarray, home: np.ndarray, radius: int, block: int = 2
     return points[child], points[label[child]]
 
 
-def links(nodes: DataFrame, distance: int = 3, leaf: int = 8192, sample: int = 100_000, max_depth: int = 14) -> DataFrame:
+def links(nodes: DataFrame, distance: int = 3, leaf: int = 8192, sample: int = 100_000, max_depth: int = 14,
+          chunk: int = 250_000) -> DataFrame:
     """Links (u, v) between distinct fingerprints (column ``fp``): for every two
-    within ``distance`` bits, a path of returned links."""
+    within ``distance`` bits, a path of returned links.  Leaves that hold more than
+    ``chunk`` points at home or as guests are searched in several groups."""
     spark = nodes.sparkSession
     n = nodes.count()
     depth = min(max_depth, max(0, int(np.ceil(np.log2(max(n, 1) / leaf)))))
@@ -200,21 +234,41 @@ def links(nodes: DataFrame, distance: int = 3, leaf: int = 8192, sample: int = 1
         vantage, radii = np.zeros(0, np.uint64), np.zeros(0, np.int32)
     shared = spark.sparkContext.broadcast((vantage, radii))
 
+    def tally(batches):
+        count = np.zeros((2, len(shared.value[1]) + 1), np.int64)
+        for b in batches:
+            pts = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            if len(pts):
+                leaves, _, home = route(pts, *shared.value, distance)
+                count[0] += np.bincount(leaves[home], minlength=count.shape[1])
+                count[1] += np.bincount(leaves[~home], minlength=count.shape[1])
+        here = np.nonzero(count.any(axis=0))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.array(count[0][here]), pa.array(count[1][here])],
+                                         ["leaf", "home", "guest"])
+
+    sizes = (nodes.select("fp").mapInArrow(tally, "leaf int, home long, guest long").groupBy("leaf")
+             .agg(F.sum("home").alias("home"), F.sum("guest").alias("guest")).toPandas())       # 2^max_depth rows at most
+    chunks = np.zeros((2, len(radii) + 1), np.int64)
+    for i, kind in enumerate(("home", "guest")):
+        chunks[i][sizes["leaf"].to_numpy(np.int64)] = -(-sizes[kind].to_numpy(np.int64) // chunk)
+    cuts = spark.sparkContext.broadcast(chunks)
+
     def visit(batches):
         for b in batches:
             pts = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             if len(pts):
                 leaves, at, home = route(pts, *shared.value, distance)
-                yield pa.RecordBatch.from_arrays([pa.array(leaves), pa.array(pts[at].view(np.int64)), pa.array(home)],
-                                                 ["leaf", "fp", "home"])
+                i, x, y = groups(leaves, home, pts[at], *cuts.value)
+                yield pa.RecordBatch.from_arrays([pa.array(leaves[i]), pa.array(x), pa.array(y), pa.array(pts[at][i].view(np.int64)),
+                                                  pa.array(home[i])], ["leaf", "a", "b", "fp", "home"])
 
     def search(group: pa.Table) -> pa.Table:
         pts = group.column("fp").to_numpy().view(np.uint64)
         u, v = leaf_links(pts, group.column("home").to_numpy(), distance)
         return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    visits = nodes.select("fp").mapInArrow(visit, "leaf int, fp long, home boolean")
-    return visits.groupBy("leaf").applyInArrow(search, "u long, v long")
+    visits = nodes.select("fp").mapInArrow(visit, "leaf int, a int, b int, fp long, home boolean")
+    return visits.groupBy("leaf", "a", "b").applyInArrow(search, "u long, v long")
 
 
 # --- components ----------------------------------------------------------------

@@ -303,12 +303,28 @@ def test_tree_loses_no_link(depth):
     assert label.tolist() == _classes(pts, 3)
 
 
-def test_components_over_a_tree(spark):
+@pytest.mark.parametrize("n_home, n_guest", [(1, 1), (1, 0), (3, 2), (2, 0), (1, 4)])
+def test_chunked_leaves_lose_no_link(n_home, n_guest):
+    pts = _planted(400, 9)
+    vantage, radii = simhash.build_tree(pts, 3, 2)
+    leaves, at, home = simhash.route(pts, vantage, radii, 3)
+    label, size = np.arange(len(pts)), len(radii) + 1
+    i, a, b = simhash.groups(leaves, home, pts[at], np.full(size, n_home), np.full(size, max(n_guest, 1)))
+    for key in {(x, y, z) for x, y, z in zip(leaves[i], a, b)}:
+        here = i[(leaves[i] == key[0]) & (a == key[1]) & (b == key[2])]
+        assert len(set(here)) == len(here)
+        u, v = simhash.leaf_links(pts[at[here]], home[here], 3)
+        simhash._join(label, np.searchsorted(pts, u), np.searchsorted(pts, v))
+    assert label.tolist() == _classes(pts, 3)
+
+
+@pytest.mark.parametrize("chunk", [250_000, 10])
+def test_components_over_a_tree(spark, chunk):
     pts = _planted(300, 5)
     rows = [(i, int(np.int64(np.uint64(p)))) for i, p in enumerate(pts)]
     random.Random(3).shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, fp long").select(F.struct("doc_id").alias("row"), F.col("doc_id").alias("rid"), "fp")
-    got = {r["fp"]: r["component_id"] for r in simhash.components(df, 3, leaf=32, sample=100).collect()}
+    got = {r["fp"]: r["component_id"] for r in simhash.components(df, 3, leaf=32, sample=100, chunk=chunk).collect()}
     ids = dict((fp, i) for i, fp in rows)
     label = _classes(pts, 3)
     for i, p in enumerate(pts):

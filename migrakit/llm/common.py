@@ -7,7 +7,11 @@ otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_root, work_dir
@@ -63,6 +67,20 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(packed_columns(docs))
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per Spark context: functions that
+    run there are found by module name, and an executor need not have it installed."""
+    sc, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(sc, "_migrakit_sent", False) or not package.is_dir():
+        return
+    target = Path(tempfile.mkdtemp(prefix="migrakit-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(target))
+    sc._migrakit_sent = True
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder: its
     lineage is cut there, every executor can read it, and a join that follows

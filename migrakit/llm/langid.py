@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 PIECE = 1_000_000
 UNKNOWN = "und"
 #: More distinct lang values than this are not a language column.
@@ -111,6 +113,7 @@ def _chunks(texts):
 
 def learn(rows: DataFrame, dim: int = 1024, n: int = 3, seed: int = 20) -> dict:
     """The model of (text, lang) rows; rows without either teach nothing."""
+    ship(rows.sparkSession)
     labelled = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).dropna()
 
     def run(batches):
@@ -158,6 +161,7 @@ def predict(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarray
 
 def identify(docs: DataFrame, model: dict, name: str = "lang_id") -> DataFrame:
     """``docs`` with a column ``name``: struct of ``lang`` and ``score``."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
 

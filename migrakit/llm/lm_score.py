@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from .common import packed_columns, settled, whole_text, written
+from .common import packed_columns, settled, ship, whole_text, written
 
 END = 10
 GROUP = 3
@@ -67,6 +67,7 @@ def _block(raws):
 def blocks(docs: DataFrame, held_out) -> DataFrame:
     """(block, row, held, words, train, codes, tokens), written once.  ``row`` are
     the packed rows of the texts, ``train`` the words' counts in training texts."""
+    ship(docs.sparkSession)
     base = docs.select(packed_columns(docs, [c for c in docs.columns if c != "text"]), held_out.alias("held"),
                        F.encode(whole_text("text"), "UTF-8").alias("raw"))
     kind = base.schema["row"].dataType
@@ -252,6 +253,7 @@ def _by_size(df: DataFrame) -> dict[int, int]:
 
 def train(cut: DataFrame, depth: int = 5, max_nodes: int = 2_000_000, max_known: int = 1_000_000) -> dict:
     """The model of the training texts in ``cut`` (see ``blocks``)."""
+    ship(cut.sparkSession)
     top = min(GROUP, depth)
 
     def count(batches):

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import packed_columns, whole_text, written
+from .common import packed_columns, ship, whole_text, written
 
 _ADDED = StructType([StructField("part", IntegerType()), StructField("at", LongType()), StructField("before", LongType())])
 
@@ -56,6 +56,7 @@ def shard(docs: DataFrame, shards: int = 8, order: list[Column] | None = None, s
     from 0 without gaps inside a shard, in the sorted order.  ``row`` holds the
     columns ``keep`` (default: all).  ``order``: columns of ``docs`` to sort by in
     place of (digest, doc_id)."""
+    ship(docs.sparkSession)
     text = F.encode(whole_text("text"), "UTF-8")
     # The last key splits even a range of equal rows over several partitions.
     place = [*(order or [F.md5(text), F.col("doc_id")]), F.monotonically_increasing_id()]

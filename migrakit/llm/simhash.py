@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import packed_columns, settled, written
+from .common import packed_columns, settled, ship, written
 
 SEED = 42
 
@@ -62,6 +62,7 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3, keep: list[str] | None = None) -> DataFrame:
     """(row, rid, fp), written once: ``row`` holds the columns ``keep`` (default all),
     ``rid`` names the row, ``fp`` is the fingerprint as a signed long."""
+    ship(docs.sparkSession)
     base = docs.select(packed_columns(docs, keep), F.monotonically_increasing_id().alias("rid"),
                        F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("raw"))
 
@@ -219,6 +220,7 @@ def links(nodes: DataFrame, distance: int = 3, leaf: int = 8192, sample: int = 1
     within ``distance`` bits, a path of returned links.  Leaves that hold more than
     ``chunk`` points at home or as guests are searched in several groups."""
     spark = nodes.sparkSession
+    ship(spark)
     n = nodes.count()
     depth = min(max_depth, max(0, int(np.ceil(np.log2(max(n, 1) / leaf)))))
     if depth:

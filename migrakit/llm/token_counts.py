@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, whole_text, word_count
+from .common import settled, ship, whole_text, word_count
 
 KEYS = ["doc_id", "source", "lang", "tokenizer"]
 GROUP = ["source", "lang", "tokenizer"]
@@ -53,6 +53,7 @@ def _encoding(ranks: bytes, pattern: str):
 def bpe(spark: SparkSession, path: str, pattern: str) -> Counter:
     """A counter of byte-level BPE tokens; ``path`` names a vocabulary file of
     ranks (its size is that of the vocabulary: about 1 MB)."""
+    ship(spark)
     with open(path, "rb") as f:
         ranks = spark.sparkContext.broadcast(f.read())
 

@@ -169,3 +169,26 @@ def test_stages(spark, docs, none, k, tmp_path_factory):
     assert got.columns == docs.columns + (["shard", "slot"] if k == 4 else [])
     assert got.count() >= 8
     assert stage(spark, none, str(items)).count() == 0
+
+
+def test_executors_need_not_have_the_package(tmp_path):
+    """A session started in a folder from which the workers cannot import it."""
+    import subprocess
+    import sys
+
+    import migrakit
+
+    root = migrakit.__file__.rsplit("/", 2)[0]
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from migrakit.llm import simhash
+docs = spark.createDataFrame([(1, "a b c d"), (2, "A  b c d")], "doc_id long, text string")
+print("KEPT", simhash.dedup(docs).count())
+"""
+    import os
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "KEPT 1" in out.stdout, out.stderr[-2000:]

@@ -14,11 +14,12 @@ How it runs.  Texts are cut once into blocks (a dictionary of words and a code
 per token), written to the shared folder.  Counts of byte strings of
 depth + 1 bytes are summed per task and shuffled: what is gathered grows with
 the corpus.  The tree is built where the counts lie, partitioned by the first
-``GROUP`` context bytes; only the part above that (at most 256^GROUP contexts)
-is put together on the driver.  Tasks get a bounded part of the tree, at most
-``max_nodes`` nodes of 16 bytes: those of contexts seen most often, from a
-threshold that the counts of nodes per frequency give.  A context outside it is
-answered by the longest context inside, and weights always come from all counts.
+``GROUP`` context bytes, and every distinct byte string of all texts, held-out
+ones included, is answered there, where the whole subtree is; only the part
+above that (at most 256^GROUP contexts) is put together on the driver and sent
+to tasks.  No part of the tree is left out: a task works on whole subtrees,
+about ``max_nodes`` nodes at a time.  The ``max_known`` answers asked for most
+often are sent to tasks, the others are joined back by byte string and block.
 
 Word counts for the base score are looked up per block and distinct word, not
 per token: one shuffle by word, where a window adds up its training count, and
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from .common import packed_columns, settled, ship, whole_text, written
+from .common import packed_columns, ship, whole_text, written
 
 END = 10
 GROUP = 3
@@ -150,8 +151,20 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z ** 3) + 1 / (1260 * z ** 5) - down
 
 
+_SMALL = np.arange(1 << 12)
+_HALVES, _WHOLES = _lgamma(_SMALL + 0.5), _lgamma(_SMALL + 1.0)
+
+
+def _lgamma_from(table: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log Gamma(n + table's offset), looked up for small counts."""
+    out = table[np.minimum(n, len(table) - 1)]
+    big = np.nonzero(n >= len(table))[0]
+    out[big] = _lgamma(n[big] + (0.5 if table is _HALVES else 1.0))
+    return out
+
+
 def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _lgamma(a + 0.5) + _lgamma(b + 0.5) - _lgamma(a + b + 1) - 1.1447298858494002     # 2 log Gamma(1/2)
+    return _lgamma_from(_HALVES, a) + _lgamma_from(_HALVES, b) - _lgamma_from(_WHOLES, a + b) - 1.1447298858494002     # 2 log Gamma(1/2)
 
 
 def _sums(keys: np.ndarray, n: np.ndarray):
@@ -175,7 +188,7 @@ def level(key: np.ndarray, n: np.ndarray, below=None):
         both = _sums(node, n)[1]
         out.append((nodes, both - ones, ones))
     nodes = np.concatenate([o[0] for o in out])
-    zeros, ones = (np.concatenate([o[i] for o in out]).astype(np.float64) for i in (1, 2))
+    zeros, ones = (np.concatenate([o[i] for o in out]) for i in (1, 2))
     order = np.argsort(nodes, kind="stable")
     nodes, zeros, ones = nodes[order], zeros[order], ones[order]
     kt = _log_kt(zeros, ones)
@@ -211,14 +224,14 @@ def levels(gram: np.ndarray, n: np.ndarray, depth: int, low: int, below=None):
         below = _parents(nodes)
 
 
-def evaluate(grams: np.ndarray, tree: list, depth: int) -> np.ndarray:
-    """log10 of the mixed probability of every gram's byte after its context."""
-    out = np.zeros(len(grams))
+def _bits(grams: np.ndarray, tree: list, depth: int, start: float = 0.5, found_below: bool = False):
+    """Mixed probabilities of the eight bits of every gram's byte after its context, from
+    ``start``: what the contexts below the tree say, if ``found_below``."""
     byte = grams & np.uint64(255)
     for j in range(8):
         prefix = np.uint64(1 << j) | (byte >> np.uint64(8 - j))
         bit = ((byte >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
-        p, deeper = np.full(len(grams), 0.5), np.zeros(len(grams), bool)
+        p, deeper = np.full(len(grams), start), np.full(len(grams), found_below)
         for d in range(depth, -1, -1):
             keys, one, own = tree[d]
             if not len(keys):
@@ -230,8 +243,59 @@ def evaluate(grams: np.ndarray, tree: list, depth: int) -> np.ndarray:
             here = np.where(bit, here, 1 - here)
             p = np.where(found, w * here + (1 - w) * p, p)
             deeper |= found
-        out += np.log10(p)
-    return out
+        yield p
+
+
+def evaluate(grams: np.ndarray, tree: list, depth: int) -> np.ndarray:
+    """log10 of the mixed probability of every gram's byte after its context."""
+    return sum((np.log10(p) for p in _bits(grams, tree, depth)), np.zeros(len(grams)))
+
+
+def _starts(keys: np.ndarray):
+    """Of sorted keys: where each distinct one begins, and every key's place among them."""
+    first = np.concatenate(([True], keys[1:] != keys[:-1]))
+    return np.nonzero(first)[0], np.cumsum(first) - 1
+
+
+def subtrees(gram: np.ndarray, n: np.ndarray, depth: int, low: int, least: int):
+    """Whole subtrees of depth ``low`` >= 1 from their sorted distinct grams and counts (0:
+    not seen in training).  Returns the mixed probabilities (8, grams) of the grams'
+    bits by the contexts from depth ``low`` down, NaN where none was seen ``least``
+    times, and (node key, log Pw) of the nodes of depth ``low``."""
+    p, deeper = np.full((8, len(gram)), 0.5), np.zeros((8, len(gram)), bool)
+    key, count, of, up, below = gram, n, np.arange(len(gram)), None, None
+    for d in range(depth, low - 1, -1):
+        if d < depth:
+            short = ((key >> np.uint64(16)) << np.uint64(8)) | (key & np.uint64(255))
+            order = np.argsort(short, kind="stable")
+            at, place = _starts(short[order])
+            up = np.empty(len(short), np.int64)
+            up[order] = place
+            key, count, of = short[order][at], np.add.reduceat(count[order], at), up[of]
+        at, place = _starts(key >> np.uint64(8))
+        often = (np.add.reduceat(count, at) >= least)[place]
+        byte, nodes, kept = key & np.uint64(255), [], []
+        for j in range(8):
+            node = (key ^ byte) | np.uint64(1 << j) | (byte >> np.uint64(8 - j))
+            bit = (byte >> np.uint64(7 - j)) & np.uint64(1) == 1
+            at, place = _starts(node)
+            both, ones = np.add.reduceat(count, at), np.add.reduceat(np.where(bit, count, 0), at)
+            kt = _log_kt(both - ones, ones)
+            if below is None:
+                own, pw = np.ones(len(at)), kt
+            else:
+                deep = np.bincount(place[up[below[j][0]]], weights=below[j][1], minlength=len(at))
+                own = 1 / (1 + np.exp(np.clip(deep - kt, -700, 700)))
+                pw = np.logaddexp(kt, deep) - np.log(2)
+            kept.append((at, pw))
+            nodes.append((node[at][both > 0], pw[both > 0]))
+            i, one = place[of], (ones + 0.5) / (both + 1)
+            here = np.where(bit[of], one[i], 1 - one[i])
+            found, w = ((both > 0) & often[at])[i], np.where(deeper[j], own[i], 1.0)
+            p[j] = np.where(found, w * here + (1 - w) * p[j], p[j])
+            deeper[j] |= found
+        below = kept
+    return np.where(deeper, p, np.nan), tuple(np.concatenate(x) for x in zip(*nodes))
 
 
 def _histogram_floor(counts: dict[int, int], most: int) -> int:
@@ -251,8 +315,12 @@ def _by_size(df: DataFrame) -> dict[int, int]:
     return {r["b"]: r["count"] for r in rows}                     # 64 rows at most
 
 
-def train(cut: DataFrame, depth: int = 5, max_nodes: int = 2_000_000, max_known: int = 1_000_000) -> dict:
-    """The model of the training texts in ``cut`` (see ``blocks``)."""
+def train(cut: DataFrame, depth: int = 5, max_nodes: int = 2_000_000, max_known: int = 1_000_000, least: int = 2) -> dict:
+    """The model of the training texts in ``cut`` (see ``blocks``): ``tree``, the part of
+    the tree above depth ``GROUP``; ``answers`` (gram, n, p) of every byte string of all
+    texts; ``known``, those of at least ``floor`` training counts.  A context seen
+    fewer than ``least`` times gives no estimate of its own; weights come from all
+    counts."""
     ship(cut.sparkSession)
     top = min(GROUP, depth)
 
@@ -268,8 +336,11 @@ def train(cut: DataFrame, depth: int = 5, max_nodes: int = 2_000_000, max_known:
                 mask = ~b.column(0)[i].values.to_numpy(zero_copy_only=False).astype(bool)
                 words, codes, tokens = (b.column(c)[i].values for c in (1, 2, 3))
                 for g, text in _pieces(words, codes.to_numpy(), tokens.to_numpy(), depth):
-                    waiting.append(np.unique(g[mask[text]], return_counts=True))
-                    held += len(waiting[-1][0])
+                    learned = mask[text]
+                    for part, times in ((g[learned], 1), (g[~learned], 0)):
+                        k, c = np.unique(part, return_counts=True)
+                        waiting.append((k, c * times))
+                        held += len(k)
                     if held > max(1_000_000, len(keys) // 2):
                         keys, sums = merged()
                         waiting, held = [], 0
@@ -277,55 +348,78 @@ def train(cut: DataFrame, depth: int = 5, max_nodes: int = 2_000_000, max_known:
         for s in range(0, len(keys), 1 << 18):
             yield pa.RecordBatch.from_arrays([pa.array(keys[s:s + (1 << 18)].view(np.int64)), pa.array(sums[s:s + (1 << 18)])], ["gram", "n"])
 
-    grams = settled(cut.select("held", "words", "codes", "tokens").mapInArrow(count, "gram long, n long")
-                    .groupBy("gram").agg(F.sum("n").alias("n")))
+    grams = (cut.select("held", "words", "codes", "tokens").mapInArrow(count, "gram long, n long")
+             .groupBy("gram").agg(F.sum("n").alias("n")))
     lead = F.shiftrightunsigned("gram", 8 * (depth - top) + 8)
+    bits = [f"b{j}" for j in range(8)]
+
+    def rows(kind, key, n=None, pw=None, p=None):
+        for s in range(0, len(key), 1 << 18):
+            cut_ = slice(s, s + (1 << 18))
+            size = len(key[cut_])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(size, kind, np.int32)), pa.array(key[cut_].view(np.int64)),
+                 pa.nulls(size, pa.int64()) if n is None else pa.array(n[cut_]),
+                 pa.nulls(size, pa.float64()) if pw is None else pa.array(pw[cut_]),
+                 *[pa.nulls(size, pa.float32()) if p is None else pa.array(x[cut_].astype(np.float32)) for x in p or [None] * 8]],
+                ["kind", "key", "n", "pw", *bits])
 
     def grow(batches):
         got = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches if b.num_rows]
         if not got:
             return
         gram, n = (np.concatenate(x) for x in zip(*got))
+        del got
         order = np.argsort(gram)
-        for d, t in levels(gram[order], n[order], depth, top):
-            keep = (t["n"] > 1) | (d == top)
-            t = {k: v[keep] for k, v in t.items()}
-            for s in range(0, len(t["key"]), 1 << 18):
-                u = {k: v[s:s + (1 << 18)] for k, v in t.items()}
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(u["key"]), d, np.int32)), pa.array(u["key"].view(np.int64)), pa.array(u["one"].astype(np.float32)),
-                     pa.array(u["own"].astype(np.float32)), pa.array(u["pw"]), pa.array(u["n"])], ["d", "key", "one", "own", "pw", "n"])
-
-    nodes = written(grams.repartition(lead).select("gram", "n")
-                    .mapInArrow(grow, "d int, key long, one float, own float, pw double, n long"), "lm-nodes")
+        gram, n = gram[order], n[order]
+        # A gram has up to eight nodes a level.
+        begins = np.append(_starts(gram >> np.uint64(8 * (depth - top) + 8))[0], len(gram))
+        size, start = max(1, max_nodes // 8), 0
+        while start < len(gram):
+            stop = begins[max(np.searchsorted(begins, start + size, "right") - 1, np.searchsorted(begins, start, "right"))]
+            g, c = gram[start:stop], n[start:stop]
+            p, (key, pw) = subtrees(g, c, depth, top, least)
+            yield from rows(0, g, n=c, p=list(p))
+            for kind, whole, x in ((1, ((key >> np.uint64(16)) << np.uint64(8)) | (key & np.uint64(255)), pw),
+                                   (2, ((g >> np.uint64(8 * (depth - top + 1) + 8)) << np.uint64(8)) | (g & np.uint64(255)), c)):
+                order = np.argsort(whole, kind="stable")
+                whole, x = _sums(whole[order], x[order])
+                yield from rows(kind, whole, **{"pw" if kind == 1 else "n": x})
+            start = stop
+
+    grown = written(grams.repartition(lead).select("gram", "n")
+                    .mapInArrow(grow, "kind int, key long, n long, pw double, " + ", ".join(f"{b} float" for b in bits)), "lm-grown")
     # The top of the tree: at most 256^GROUP contexts, whatever the corpus.
-    up = (nodes.where(F.col("d") == top)
-          .groupBy(F.shiftleft(F.shiftrightunsigned("key", 16), 8).bitwiseOR(F.col("key").bitwiseAND(255)).alias("key"))
-          .agg(F.sum("pw").alias("pw")).toPandas())
-    gram_up = F.shiftleft(F.shiftrightunsigned("gram", 8 * (depth - top + 1) + 8), 8).bitwiseOR(F.col("gram").bitwiseAND(255))
-    heads = grams.groupBy(gram_up.alias("gram")).agg(F.sum("n").alias("n")).orderBy("gram").toPandas()
+    up = grown.where("kind = 1").groupBy("key").agg(F.sum("pw").alias("pw")).orderBy("key").toPandas()
+    heads = grown.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0").orderBy("key").toPandas()
     tree = [(np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.float32))] * (depth + 1)
-    whole = levels(heads["gram"].to_numpy(np.uint64), heads["n"].to_numpy(np.int64), top - 1, 0,
+    whole = levels(heads["key"].to_numpy(np.uint64), heads["n"].to_numpy(np.int64), top - 1, 0,
                    (up["key"].to_numpy(np.uint64), up["pw"].to_numpy(np.float64)))
     for d, t in whole:
-        seen = (t["n"] > 1) | (d == 0)
+        seen = (t["n"] >= least) | (d == 0)
         tree[d] = (t["key"][seen], t["one"][seen].astype(np.float32), t["own"][seen].astype(np.float32))
-    kept = nodes.where(F.col("n") >= max(2, _histogram_floor(_by_size(nodes), max_nodes)))
-    for d in range(top, depth + 1):
-        t = kept.where(F.col("d") == d).select("key", "one", "own").toArrow()
-        key = t.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        tree[d] = (key[order], t.column("one").to_numpy()[order], t.column("own").to_numpy()[order])
     shared = cut.sparkSession.sparkContext.broadcast(tree)
 
-    def known(batches):
+    def answer(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
+            # A mixture is linear in what the deeper contexts say: three values a bit serve all grams of a head.
             g = b.column(0).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(evaluate(g, shared.value, depth).astype(np.float32))], ["gram", "p"])
-
-    often = grams.where(F.col("n") >= _histogram_floor(_by_size(grams), max_known))
-    table = often.select("gram").mapInArrow(known, "gram long, p float").toArrow()
-    return {"depth": depth, "tree": shared,
+            part = ((g >> np.uint64(8 * (depth - top + 1) + 8)) << np.uint64(8)) | (g & np.uint64(255))
+            head, of = np.unique(part, return_inverse=True)
+            out = np.zeros(len(g))
+            for j, (low, high, alone) in enumerate(zip(_bits(head, shared.value, top - 1, 0.0, True), _bits(head, shared.value, top - 1, 1.0, True),
+                                                       _bits(head, shared.value, top - 1))):
+                deep = b.column(2 + j).to_numpy().astype(np.float64)
+                out += np.log10(np.where(np.isnan(deep), alone[of], low[of] + (high - low)[of] * deep))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out.astype(np.float32))], ["gram", "n", "p"])
+
+    every = grown.where("kind = 0")
+    floor = _histogram_floor(_by_size(every.where("n > 0")), max_known)
+    found = lambda rows: rows.select(F.col("key").alias("gram"), "n", *bits).mapInArrow(answer, "gram long, n long, p float")
+    table = found(every.where(F.col("n") >= floor)).select("gram", "p").toArrow()
+    return {"depth": depth, "tree": shared, "answers": found(every.where(F.col("n") < floor)),
             "known": _hashed(table.column("gram").to_numpy().view(np.uint64), table.column("p").to_numpy())}
 
 
@@ -368,17 +462,47 @@ def _lookup(table: dict, keys: np.ndarray):
     return out, found
 
 
-def _text_scores(words, codes, tokens, tree: list, known: dict, depth: int) -> np.ndarray:
+def _asked(words, codes, tokens, known: dict, depth: int) -> np.ndarray:
+    """The distinct grams of a block that are not in ``known``, sorted."""
+    rare = np.zeros(0, np.uint64)
+    for g, _ in _pieces(words, codes, tokens, depth):
+        rare = np.union1d(rare, g[~_lookup(known, g)[1]])
+    return rare
+
+
+def _text_scores(words, codes, tokens, known: dict, rare: np.ndarray, values: np.ndarray, depth: int) -> np.ndarray:
+    """``rare`` (sorted) and ``values``: the block's grams outside ``known``."""
     out = np.zeros(len(tokens))
     for g, text in _pieces(words, codes, tokens, depth):
         p, found = _lookup(known, g)
         if not found.all():
-            rare, back = np.unique(g[~found], return_inverse=True)
-            p[~found] = evaluate(rare, tree, depth)[back]
+            p[~found] = values[np.searchsorted(rare, g[~found])]
         out += np.bincount(text, weights=p, minlength=len(tokens))
     return out
 
 
+def _answered(cut: DataFrame, model: dict, known, depth: int) -> DataFrame:
+    """(block, gram array, p array) of the byte strings of every block outside ``known``."""
+    def ask(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                words, codes, tokens = (b.column(c)[i].values for c in (1, 2, 3))
+                rare = _asked(words, codes.to_numpy(), tokens.to_numpy(), known.value, depth)
+                for s in range(0, len(rare), 1 << 18):
+                    g = rare[s:s + (1 << 18)]
+                    yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), b.column(0)[i].as_py()))], ["gram", "block"])
+
+    def gather(rows: pa.Table) -> pa.Table:
+        order = np.argsort(rows.column("gram").to_numpy().view(np.uint64))
+        listed = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a))
+        return pa.Table.from_arrays([rows.column("block")[:1], listed(rows.column("gram").to_numpy()[order]), listed(rows.column("p").to_numpy()[order])],
+                                    names=["block", "gram", "p"])
+
+    asked = cut.select("block", "words", "codes", "tokens").mapInArrow(ask, "gram long, block long")
+    return (asked.join(model["answers"].select("gram", "p"), "gram").select("block", "gram", "p")
+            .groupBy("block").applyInArrow(gather, "block long, gram array<long>, p array<float>"))
+
+
 def score(docs: DataFrame, held_out, depth: int = 5, **bounds) -> DataFrame:
     """(row, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes) of
     every text; ``row`` holds the other columns.  Learns from rows where
@@ -395,14 +519,16 @@ def score(docs: DataFrame, held_out, depth: int = 5, **bounds) -> DataFrame:
                    .select("block", F.col("c.c").alias("c"), "new"), "lm-counts")
     v = told.agg(F.sum("new")).first()[0] or 0
     n = cut.agg(F.sum(F.aggregate("train", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    known, tree = cut.sparkSession.sparkContext.broadcast(model["known"]), model["tree"]
-    joined = cut.select("block", "row", "held", "words", "codes", "tokens").join(told.select("block", "c"), "block").drop("block")
+    known = cut.sparkSession.sparkContext.broadcast(model["known"])
+    told = told.select("block", "c").join(written(_answered(cut, model, known, depth), "lm-answers"), "block", "left")
+    joined = cut.select("block", "row", "held", "words", "codes", "tokens").join(told, "block").drop("block")
     kind = cut.schema["row"].dataType.elementType
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 row, held, words, codes, tokens, c = (b.column(k)[i].values for k in range(6))
+                rare, values = (np.zeros(0) if (x := b.column(k)[i].values) is None else x.to_numpy() for k in (6, 7))
                 codes, tokens, c = codes.to_numpy(), tokens.to_numpy(), c.to_numpy()
                 first = np.concatenate(([0], np.cumsum(tokens)[:-1]))
                 base = np.add.reduceat(np.log10(c + 1.0)[codes], first) - tokens * np.log10(n + v + 1.0)
@@ -410,7 +536,7 @@ def score(docs: DataFrame, held_out, depth: int = 5, **bounds) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [row, held, pa.array(tokens.astype(np.int64)), pa.array(np.add.reduceat((c > 0)[codes].astype(np.int64), first)),
                      pa.array(np.full(len(tokens), n, np.int64)), pa.array(base),
-                     pa.array(_text_scores(words, codes, tokens, tree.value, known.value, depth)),
+                     pa.array(_text_scores(words, codes, tokens, known.value, rare.astype(np.int64).view(np.uint64), values, depth)),
                      pa.array(np.add.reduceat(size[codes].astype(np.int64), first))],
                     ["row", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
 

@@ -131,6 +131,16 @@ def test_ctw_is_a_distribution(spark, max_nodes):
         assert (10 ** lm_score.evaluate(g, model["tree"].value, 3)).sum() == pytest.approx(1, abs=1e-4)
 
 
+@pytest.mark.parametrize("bounds", [{"max_nodes": 0, "max_known": 0}, {"max_nodes": 400, "max_known": 30}])
+def test_no_bound_cuts_the_tree(spark, bounds):
+    """However little a task takes at a time, texts are scored by the whole tree."""
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(2)
+    got = {r[0]: r[1] for r in lm_score.score(docs, F.col("doc_id") > 3, depth=4, **bounds).select("row.doc_id", "score").collect()}
+    tree = Tree(TEXTS[:4], 4)
+    for i, t in enumerate(TEXTS):
+        assert got[i] == pytest.approx(tree.score(t), rel=1e-5), (i, t)
+
+
 def test_base_scores_and_held_out_gain(spark):
     rows = queries.QUERIES["op2_ctw_score"](spark, SF_SMALL).collect()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}

@@ -20,6 +20,9 @@ above that (at most 256^GROUP contexts) is put together on the driver and sent
 to tasks.  No part of the tree is left out: a task works on whole subtrees,
 about ``max_nodes`` nodes at a time.  The ``max_known`` answers asked for most
 often are sent to tasks, the others are joined back by byte string and block.
+``least`` is the number of times that a context must be seen to give an estimate: 1
+is context-tree weighting over all depths; at 2, the default, a context seen once is
+answered by the next shorter one alone.
 
 Word counts for the base score are looked up per block and distinct word, not
 per token: one shuffle by word, where a window adds up its training count, and

@@ -234,7 +234,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
-    s = lm_score.score(docs, held, depth=5)
+    s = lm_score.score(docs, held, depth=5, least=1)
     return s.select("row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",
                     (-F.col("score") * 3.321928094887362 / F.col("n_bytes")).alias("bits_per_byte"))
 

@@ -131,6 +131,22 @@ def test_ctw_is_a_distribution(spark, max_nodes):
         assert (10 ** lm_score.evaluate(g, model["tree"].value, 3)).sum() == pytest.approx(1, abs=1e-4)
 
 
+class WholeTree(Tree):
+    """Contexts seen once count as well."""
+
+    def __init__(self, texts, depth):
+        super().__init__(texts, depth)
+        self.seen = defaultdict(lambda: 2)
+
+
+def test_query_uses_contexts_seen_once(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in queries.QUERIES["op2_ctw_score"](spark, str(tmp_path)).collect()}
+    tree = WholeTree([t for i, t in enumerate(TEXTS) if not rows[i]["held_out"]], 5)
+    for i, t in enumerate(TEXTS):
+        assert rows[i]["score"] == pytest.approx(tree.score(t), rel=1e-5), (i, t)
+
+
 @pytest.mark.parametrize("bounds", [{"max_nodes": 0, "max_known": 0}, {"max_nodes": 400, "max_known": 30}])
 def test_no_bound_cuts_the_tree(spark, bounds):
     """However little a task takes at a time, texts are scored by the whole tree."""

@@ -7,7 +7,8 @@ ones, and the key's holder can invert it.
 
 Kinds: payment cards (13-19 digits in one run, or in groups of 4-4-4-4 or
 4-6-5; Luhn; first digit kept, check digit set anew), North American phone numbers, IPv4 addresses, social security numbers,
-IBANs (modulo 97; digits permuted, letters kept, check digits set anew),
+IBANs (of
+the country's length, or of any length if none of that stands there; modulo 97; digits permuted, letters kept, check digits set anew),
 calendar dates of the years 1800-2199 (year first or day first, with "-", "/" or
 "."; one that is a date only month first keeps month and day and has
 its year permuted, 29 February excepted) and the letters and digits of an e-mail
@@ -19,8 +20,12 @@ to the other, modulo the half's size, so every pair of sizes is permuted
 exactly, without cycle walking (400 Gregorian years are 146,097 = 189 x 773
 days).  Local parts use the same network letter by letter.
 
-All of it is column expressions in one narrow stage: the text is cut at the
-values by one regular expression, the values are replaced, and the pieces joined.
+All of it is column expressions in one narrow stage: the text is cut where one
+regular expression finds that a value may begin, also inside another such match; from
+left to right, what passes its check is replaced, and the pieces are joined.  So a
+match that fails hides no value in it.  On the way back, groups before a card that happen to
+make a valid number with the pseudonym's first groups are taken first (one in ten
+of the cards that follow four such digits): those are not inverted.
 Nothing is shuffled, so keys and sources cannot be hot.
 
 Defined results: a null text stays null, with no values; empty and repeated rows
@@ -37,10 +42,26 @@ from .common import packed_columns
 
 ROUNDS = 8
 _D0, _D1 = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
+#: Length of an IBAN by country code.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA YE", 30: "JO KW MU", 31: "MT SC",
+    32: "LC", 33: "RU"}
+
+
+def _iban_pattern() -> str:
+    """The country's length, in groups of four or in one run; else any length."""
+    fixed = "|".join(f"(?:{cc.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+                     + _D1 for n, cc in IBAN_LENGTHS.items())
+    return rf"(?:{fixed}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)"
+
+
 #: Fixed formats, tried in this order; the check decides whether a match is a value.
 FORMATS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "iban": _iban_pattern(),
     "ymd": r"[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{2}",
     "dmy": r"[0-9]{2}(?:\.[0-9]{2}\.|/[0-9]{2}/|-[0-9]{2}-)[0-9]{4}",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
@@ -226,6 +247,12 @@ def pseudonym(v: Column, key: str, back: bool = False) -> Column:
     return F.coalesce(case, F.struct(F.lit(None).cast("string").alias("kind"), v.alias("value")))
 
 
+def _pieces(text: Column, begin: str) -> Column:
+    """The text from every place where ``begin`` matches to the next one."""
+    cut = F.split(text, begin, -1)
+    return F.slice(cut, F.size(cut) - F.regexp_count(text, F.lit(begin)) + 1, F.regexp_count(text, F.lit(begin)))
+
+
 def pseudonymise(docs: DataFrame, key: str, back: bool = False, keep: list[str] | None = None) -> DataFrame:
     """(row, text, kinds): ``row`` holds the columns ``keep`` (default all), ``text`` the text
     with pseudonyms in place of the values, ``kinds`` the kind of every value in
@@ -233,11 +260,24 @@ def pseudonymise(docs: DataFrame, key: str, back: bool = False, keep: list[str]
     text = F.col("text").cast("string")
     some = text.rlike("[0-9]|@")
     none = F.array().cast("array<struct<kind:string,value:string>>")
-    found = F.when(some, F.transform(F.regexp_extract_all(text, F.lit(VALUE), F.lit(0)), lambda v: pseudonym(v, key, back)))
+    begin = f"(?=({VALUE}))"
+    found = F.when(some, F.zip_with(F.regexp_extract_all(text, F.lit(begin), F.lit(1)), _pieces(text, begin), lambda v, g: F.struct(
+        pseudonym(v, key, back).alias("new"), F.length(v).alias("n"), g.alias("piece"))))
+    none = F.array().cast("array<struct<new:struct<kind:string,value:string>,n:int,piece:string>>")
     # One row per text through a one-element generator: the values are worked out once.
     cut = docs.select(packed_columns(docs, keep), text.alias("text"), F.explode(F.array(F.coalesce(found, none))).alias("found"))
-    gaps = F.split("text", VALUE, -1)
-    whole = F.array_join(F.zip_with(gaps, F.concat(F.transform("found", lambda f: f["value"]), F.array(F.lit(""))),
-                                    lambda g, x: F.concat(g, x)), "")
-    return cut.select("row", F.when(F.size("found") > 0, whole).otherwise(F.col("text")).alias("text"),
-                      F.filter(F.transform("found", lambda f: f["kind"]), lambda k: k.isNotNull()).alias("kinds"))
+
+    def step(s, f):
+        """``over``: characters of the next pieces that belong to a value already replaced."""
+        size, taken = F.length(f["piece"]), (s["over"] == 0) & f["new"]["kind"].isNotNull()
+        over = F.when(taken, f["n"]).otherwise(s["over"])
+        return F.struct(
+            F.concat(s["parts"], F.array(F.concat(F.when(taken, f["new"]["value"]).otherwise(""), F.substr(f["piece"], over + 1, size)))).alias("parts"),
+            F.when(taken, F.concat(s["kinds"], F.array(f["new"]["kind"]))).otherwise(s["kinds"]).alias("kinds"),
+            F.greatest(over - size, F.lit(0)).alias("over"))
+
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.array().cast("array<string>").alias("kinds"), F.lit(0).alias("over"))
+    told = cut.select("row", "text", F.explode(F.array(F.aggregate("found", start, step))).alias("told"), F.aggregate(
+        "found", F.lit(0), lambda n, f: n + F.length(f["piece"])).alias("rest"))
+    whole = F.concat(F.substr("text", F.lit(1), F.length("text") - F.col("rest")), F.array_join("told.parts", ""))
+    return told.select("row", F.when(F.size("told.parts") > 0, whole).otherwise(F.col("text")).alias("text"), F.col("told.kinds").alias("kinds"))

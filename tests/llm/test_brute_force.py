@@ -421,6 +421,23 @@ def test_neighbouring_numbers_are_told_apart(spark):
     assert not set(new[:-1]) & set(text.split(" ")[:-1]) - {"+1"}
 
 
+@pytest.mark.parametrize("value, text", [
+    ("ES91 2100 0418 4502 0005 1332", "{} BIC CAIXESBB"), ("AT611904300234573201", "{} EUR"), ("BE68539007547034", "{} 2024"),
+    ("DE89 3704 0044 0532 0130 00", "REF AB12 {} EUR"), ("PL61109010140000071219812874", "{} PLN 20"), ("NO93 8601 1117 947", "to {} NOK"),
+    ("ES91 2100 0418 4502 0005 1332", "{}"), ("4111 1111 1111 1111", "2024 {}"), ("4111-1111-1111-1111", "{}-2024"),
+    ("4111 1111 1111 1111", "2024 2025 {} 12/26, {}"), ("4111 1111 1111 1111", "AT61 {} é")])
+def test_neighbours_hide_no_value(spark, value, text):
+    r = pii.pseudonymise(spark.createDataFrame([(1, text.replace("{}", value))], "doc_id long, text string"), "k").first()
+    kind = "card" if value[0] == "4" else "iban"
+    new = re.fullmatch(re.escape(text).replace(r"\{\}", "(.+?)", 1).replace(r"\{\}", r"\1"), r["text"]).group(1)
+    assert r["kinds"] == [kind] * text.count("{}") and new != value and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", value)
+    if kind == "card":
+        assert _luhn(re.sub("[^0-9]", "", new))
+    else:
+        flat = new.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+
+
 def test_two_halves_are_permuted_exactly(spark):
     n = spark.range(6 * 7).select(F.col("id"), pii._permute("k", "t", (F.col("id") / 7).cast("long"), F.col("id") % 7, F.lit(6), F.lit(7)).alias("p"))
     assert sorted(r["p"]["l"] * 7 + r["p"]["r"] for r in n.collect()) == list(range(42))

@@ -10,8 +10,8 @@ Kinds: payment cards (13-19 digits in one run, or in groups of 4-4-4-4 or
 IBANs (of
 the country's length, or of any length if none of that stands there; modulo 97; digits permuted, letters kept, check digits set anew),
 calendar dates of the years 1800-2199 (year first or day first, with "-", "/" or
-"."; one that is a date only month first keeps month and day and has
-its year permuted, 29 February excepted) and the letters and digits of an e-mail
+"."; one that is a date only month first stays one: the 88,497 = 9 x 9,833
+days above the 12th of a month are permuted among themselves) and the letters and digits of an e-mail
 address's local part.  Punctuation stays where it stood; a number that fails its
 check stays as it is.
 
@@ -159,6 +159,23 @@ def _date_out(key: str, date: Column, pattern: str, back: bool) -> Column:
         F.date_add(F.lit("1800-01-01").cast("date"), (s["l"] * 773 + s["r"]).cast("int")), pattern))[0]
 
 
+def _month_first(key: str, date: Column, back: bool) -> Column:
+    """A day above the 12th permuted among those of 1800-2199, as MM.dd.yyyy."""
+    first = F.lit("1800-01-01").cast("date")
+    months = (F.year(date) - 1800) * 12 + F.month(date)                   # so many times were 12 days left out
+    at = F.datediff(date, first) - months * 12
+    p = _permute(key, "month", (at / 9833).cast("long"), at % 9833, F.lit(9), F.lit(9833), back)
+    before = lambda k: F.datediff(F.add_months(first, k), first) - k * 12
+
+    def out(i):
+        # The month is within one of the place in 4,800 equal months.
+        k = (i * 4800 / 88497).cast("int")
+        k = k - 1 + (before(k) <= i).cast("int") + (before(k + 1) <= i).cast("int")
+        return F.date_format(F.date_add(first, i + (k + 1) * 12), "MM.dd.yyyy")
+
+    return F.transform(F.transform(F.array(p), lambda s: (s["l"] * 9833 + s["r"]).cast("int")), out)[0]
+
+
 def _letters(key: str, v: Column, back: bool) -> Column:
     """A string permuted among those of the same kinds of letters, by halves."""
     n = F.length(v)
@@ -198,9 +215,7 @@ def _rules(key: str, v: Column, back: bool) -> list[tuple[str, Column, Column, C
     mdy = F.when(~v.contains("."), _date_in(cut(5, 4), cut(1, 2), cut(3, 2)))
     sep = F.substr(v, F.lit(3), F.lit(1))
     day_first = F.replace(_date_out(key, dmy, "dd.MM.yyyy", back), F.lit("."), sep)
-    year = _num(cut(5, 4)) - 1800
-    month_first = F.transform(F.array(_permute(key, "year", (year / 20).cast("long"), year % 20, F.lit(20), F.lit(20), back)), lambda s: F.concat(
-        F.substr(v, F.lit(1), F.lit(6)), (s["l"] * 20 + s["r"] + 1800).cast("string")))[0]
+    month_first = F.replace(_month_first(key, mdy, back), F.lit("."), sep)
     ssn_l = (_num(cut(1, 3)) - 1 - F.when(_num(cut(1, 3)) > 666, 1).otherwise(0)) * 99 + _num(cut(4, 2)) - 1
     ssn = F.transform(F.array(_permute(key, "ssn", ssn_l, _num(cut(6, 4)) - 1, F.lit(88902), F.lit(9999), back)), lambda s: F.concat_ws(
         "-", _pad((s["l"] / 99).cast("long") + 1 + F.when(s["l"] >= 665 * 99, 1).otherwise(0), 3), _pad(s["l"] % 99 + 1, 2), _pad(s["r"] + 1, 4)))[0]
@@ -221,7 +236,7 @@ def _rules(key: str, v: Column, back: bool) -> list[tuple[str, Column, Column, C
         ("iban", whole("iban"), _mod97(F.concat(body, F.substr(flat, F.lit(1), F.lit(4)))) == 1, _refill(v, iban)),
         ("date", whole("ymd"), ymd.isNotNull(), F.replace(_date_out(key, ymd, "yyyy-MM-dd", back), F.lit("-"), F.substr(v, F.lit(5), F.lit(1)))),
         ("date", whole("dmy") & (dmy.isNotNull() | mdy.isNull()), dmy.isNotNull(), day_first),
-        ("date", whole("dmy"), mdy.isNotNull() & (cut(1, 4) != "0229"), month_first),
+        ("date", whole("dmy"), mdy.isNotNull(), month_first),
         ("ssn", whole("ssn"), _num(cut(1, 3)).between(1, 899) & (cut(1, 3) != "666") & (cut(4, 2) != "00") & (cut(6, 4) != "0000"), ssn),
         ("ip", whole("ip"), F.forall(F.split(v, r"\."), lambda o: (_num(o) <= 255) & ((o == "0") | ~o.startswith("0"))), ip),
         ("phone", whole("phone"), F.lit(True), _refill(v, phone)),

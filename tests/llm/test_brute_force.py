@@ -438,6 +438,20 @@ def test_neighbours_hide_no_value(spark, value, text):
         assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
 
 
+def test_month_first_dates_are_permuted_whole(spark):
+    import datetime
+    days = [datetime.date(1800, 1, 1) + datetime.timedelta(i) for i in range(146097)]
+    days = [d for d in days if d.day > 12]
+    old = {i: f"{d.month:02d}{'/-'[i % 2]}{d.day:02d}{'/-'[i % 2]}{d.year}" for i, d in enumerate(days)}
+    out = pii.pseudonymise(spark.createDataFrame(list(old.items()), "doc_id long, text string"), "k").select("row.doc_id", "text", "kinds")
+    rows = out.collect()
+    assert all(r["kinds"] == ["date"] and r["text"][2] == old[r["doc_id"]][2] for r in rows)
+    assert sorted(datetime.datetime.strptime(r["text"].replace("-", "/"), "%m/%d/%Y").date() for r in rows) == days
+    assert sum(r["text"][:5] == old[r["doc_id"]][:5] for r in rows) < 1000
+    back = pii.pseudonymise(out.select("doc_id", "text"), "k", back=True).select("row.doc_id", "text").collect()
+    assert {r[0]: r[1] for r in back} == old
+
+
 def test_two_halves_are_permuted_exactly(spark):
     n = spark.range(6 * 7).select(F.col("id"), pii._permute("k", "t", (F.col("id") / 7).cast("long"), F.col("id") % 7, F.lit(6), F.lit(7)).alias("p"))
     assert sorted(r["p"]["l"] * 7 + r["p"]["r"] for r in n.collect()) == list(range(42))

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_dir
-from . import decontaminate, exact_dedup, langid, line_dedup, lm_score, mixing, pii, sharding, simhash, token_counts
+from . import (decontaminate, exact_dedup, hard_negatives, langid, line_dedup, lm_score, mixing, pii, prefix_trie, sharding, simhash,
+               substring_dedup, token_counts)
 from .common import settled
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -277,3 +278,105 @@ def op10_pseudonymise(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("kinds", lambda x: x == k)).alias(f"n_{k}")
     return p.select("row.doc_id", "text", F.size("kinds").alias("n_values"),
                     *[count(k) for k in ("email", "card", "phone", "ip", "iban", "ssn", "date")])
+
+
+# --- 11: hard-negative mining -----------------------------------------------
+
+OP11_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS u, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256.0::DOUBLE * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.u, a.vec_id AS anchor_id, b.vec_id AS id, b.label = a.label AS same,
+         CASE WHEN len(a.e) = 0 THEN 0 ELSE CAST(list_dot_product(a.e, b.e) AS BIGINT) END AS score
+  FROM v a JOIN v b ON a.u <> b.u AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT u, anchor_id, id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY u ORDER BY score DESC, id) AS place
+  FROM s WHERE same QUALIFY place <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, s.id AS negative_id, positive_score, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.u, place ORDER BY s.score DESC, s.id) AS INTEGER) AS rank
+  FROM p JOIN s ON s.u = p.u AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+  QUALIFY rank <= 10)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n
+"""
+
+
+@query("op11_hard_negatives", OP11_SQL)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vec.select("vec_id", moved.alias("label"), hard_negatives.quantised(F.col("embedding"), 256).alias("vector"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, window=(30, 90))
+
+
+# --- 12: conversation prefix trie ---------------------------------------------
+
+OP12_SQL = """
+WITH t AS (   -- table of CRC-32 (reversed polynomial EDB88320)
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS crc),
+o AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS k,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, count(*) AS n, hex(encode(CAST(c AS VARCHAR))) AS hx FROM o GROUP BY c),
+h AS (
+  SELECT c, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, CAST(length(hx) AS BIGINT), 2),
+         lambda i: CAST(concat('0x', substr(hx, i + 1, 2)) AS BIGINT))),
+         lambda a, x: xor(a >> 8, crc[(xor(a, x) & 255) + 1])), 4294967295) % 6 AS h FROM l, t),
+m AS (SELECT h.c, h.h, h.c - h.c % 100 AS base, least(h.h, coalesce(b.n, 0)) AS m FROM h LEFT JOIN l b ON b.c = h.c - h.c % 100),
+r AS (
+  SELECT m.c, pos - h + m AS pos, k, length(text) AS chars FROM m JOIN o ON o.c = m.c WHERE pos >= h
+  UNION ALL SELECT m.c, pos, k, length(text) FROM m JOIN o ON o.c = m.base WHERE pos < m),
+s AS (SELECT m.c, coalesce(list(k ORDER BY pos) FILTER (WHERE k IS NOT NULL), []) AS seq FROM m LEFT JOIN r ON r.c = m.c GROUP BY m.c),
+p AS (SELECT c, len(seq) AS n, seq[1:d] AS path, d FROM (SELECT c, seq, unnest(range(0, len(seq) + 1)) AS d FROM s)),
+g AS (
+  SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, path[1:d - 1] AS above,
+         coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '') AS ends FROM p GROUP BY path, d),
+n AS (
+  SELECT g.*, up.conv_id AS parent_conv_id, coalesce((g.n_convs - 1) * r.chars, 0) AS saving,
+         (SELECT count(*) FROM g x WHERE x.d = g.d + 1 AND x.above = g.path) AS n_children
+  FROM g LEFT JOIN g up ON g.d > 0 AND up.d = g.d - 1 AND up.path = g.above LEFT JOIN r ON r.c = g.conv_id AND r.pos = g.d - 1),
+u AS (   -- every node under each of its ancestors, itself included
+  SELECT path[1:i] AS top, i, n_children = 0 AS leaf, saving FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM n)),
+v AS (SELECT top, i, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saving) AS saved FROM u GROUP BY top, i)
+SELECT conv_id, CAST(d AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       sha256(ends) AS ends_sha256
+FROM n JOIN v ON v.i = n.d AND v.top = n.path
+"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = prefix_trie.turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(*prefix_trie.with_shared_heads(own, family=100, heads=6))
+
+
+# --- 13: substring dedup -----------------------------------------------------------
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (
+  SELECT u, i, md5(array_to_string(w[i : i + 34], ' ')) AS h
+  FROM (SELECT u, w, unnest(range(1, CAST(len(w) AS BIGINT) - 33)) AS i FROM d WHERE len(w) >= 35)),
+a AS (SELECT h FROM p GROUP BY h HAVING count(*) > 1),
+c AS (SELECT DISTINCT u, j FROM (SELECT u, unnest(range(i, i + 35)) AS j FROM p JOIN a ON p.h = a.h)),
+k AS (
+  SELECT x.u, string_agg(x.word, ' ' ORDER BY x.j) FILTER (WHERE c.j IS NULL) AS kept, count(c.j) AS gone
+  FROM (SELECT u, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d) x LEFT JOIN c ON c.u = x.u AND c.j = x.j GROUP BY x.u)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.u = d.u
+"""
+
+
+@query("op13_substring_dedup", OP13_SQL)
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"], digest=True, window=35)
+    return d.select("row.doc_id", "n_words", "n_removed", "kept_sha256")

@@ -386,8 +386,9 @@ def repeated(docs: DataFrame, window: int = 35, phrase: int = 8, shard_bytes: in
     ship(docs.sparkSession)
     texts = docs.select(F.encode(whole_text("text"), "UTF-8").alias("text"), *_names())
     places = written(texts.mapInArrow(_phrases(window, phrase), _PLACE), "substring-places")
-    owners = (places.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.min("u1").alias("owner"))
-              .where("n > 1").select("phrase", "owner"))
+    # Written, so that a phrase in many texts can be split in the join below.
+    owners = written(places.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"), F.min("u1").alias("owner"))
+                     .where("n > 1").select("phrase", "owner"), "substring-owners")
     again = (places.join(owners, "phrase").groupBy("u1", "u2")
              .agg(F.collect_set(F.struct("first", "last", "owner")).alias("places")))     # at most the text's words
     distinct = texts.groupBy("u1", "u2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))

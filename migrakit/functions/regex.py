@@ -50,11 +50,6 @@ def alternation(names: Iterable[str]) -> str:
     return render(trie)
 
 
-def java_replacement(text: str) -> str:
-    """Escape ``\\`` and ``$`` for a Java replacement string."""
-    return text.replace("\\", "\\\\").replace("$", "\\$")
-
-
 def re2_replacement(text: str) -> str:
     """Escape ``\\`` for an RE2 replacement string."""
     return text.replace("\\", "\\\\")

@@ -10,40 +10,62 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.regex import alternation, java_replacement, re2_replacement
+from ..functions.regex import alternation, re2_replacement
 from ..functions.strings import bounded_text, quote_ident, quote_ident_col
 from ..sources.tables import records
 
 # Fixed value: the legacy catalog prefix dropped from view texts.
 LEGACY_CATALOG = "hive_metastore"
 
-# A name may follow only a character that cannot be part of a longer name or
-# of a qualified name (so ``presales.`` and ``h.sales`` are left alone).
-_BEFORE = "(^|[^A-Za-z0-9_`.])"
+# --- lexical rules ---------------------------------------------------------
+# Quantifiers are possessive (Java), so that long literals need no deep stack.
+_GAP = r"(?:\s++|--[^\n]*+|/\*[^*]*+\*++(?:[^/*][^*]*+\*++)*+/)"
+_NAME = r"(?:`[^`]*+(?:``[^`]*+)*+`|[A-Za-z0-9_\x{80}-\x{10ffff}]++)"
+_CHAIN = _NAME + r"(?:\s*+\.\s*+(?:" + _NAME + r"|\*))*+"
+_STRING = "'[^'\\\\]*+(?:\\\\[\\s\\S][^'\\\\]*+)*+'"
+_TOKEN = "(" + _GAP + "*+)(" + _STRING + "|" + _STRING.replace("'", '"') + "|" + _CHAIN + r"|[\s\S]|\z)"
 
+#: Keywords that begin a clause; after those of ``_RELATIONS`` a comma-separated list of relations follows.
+_RELATIONS = ("from", "join", "table", "into")
+_CLAUSES = (*_RELATIONS, "select", "where", "on", "using", "group", "having", "order", "union", "intersect", "except",
+            "with", "lateral", "values", "window", "limit", "qualify", "set", "cluster", "distribute", "sort", "pivot")
+#: Words after which a bare name is no alias.
+_NO_ALIAS = (*_CLAUSES, "distinct", "all", "and", "or", "not", "in", "is", "like", "between", "by", "case", "when", "then",
+             "else", "end", "as", "left", "right", "full", "inner", "outer", "cross", "natural", "semi", "anti", "recursive")
 
-def qualify_pattern(schemas: Iterable[str], catalog: str,
-                    old_catalogs: Sequence[str] = (LEGACY_CATALOG,)) -> str:
-    """The one regex of V2.  Group 1: the character before the name; group 2:
-    the schema name.  An old or new catalog prefix is part of the match, so
-    it is replaced, never doubled: running the rewrite twice changes
-    nothing."""
-    prefix = "(?:`?(?:" + alternation([*old_catalogs, catalog]) + ")`?\\x{2e})?"
-    return _BEFORE + prefix + "`?(" + alternation(schemas) + ")`?\\x{2e}"
+
+def _clauses(text: Column) -> Column:
+    """The text cut where a clause begins (never inside a literal, a comment or a
+    longer name)."""
+    word = "(?i:" + "|".join(_CLAUSES) + r")(?![A-Za-z0-9_.`\x{80}-\x{10ffff}])"
+    token = "(?:" + _GAP + "|" + _STRING + "|" + _STRING.replace("'", '"') + "|" + _CHAIN + r"|[\s\S])"
+    return F.regexp_extract_all(text, F.lit("(" + token + "(?:(?!" + word + ")" + token + ")*+)"), F.lit(1))
+
+
+def _let(x: Column, fn) -> Column:
+    """``fn(x)`` with ``x`` worked out once."""
+    return F.get(F.transform(F.array(x), fn), F.lit(0))
+
+
+def _folded(token: Column) -> Column:
+    """A name as it is compared: without back-quotes, letters small."""
+    return F.lower(F.replace(token, F.lit("`"), F.lit("")))
 
 
-def qualify_pattern_java(schemas: Iterable[str], catalog: str,
-                         old_catalogs: Sequence[str] = (LEGACY_CATALOG,)) -> str:
-    """The same match as ``qualify_pattern`` for Java's engine, about ten
-    times faster on long texts: a lookahead on the possible first characters
-    rejects most positions at once, and a lookbehind checks the character
-    before without consuming it.  Group 1: the schema name."""
+def _head(schemas: Iterable[str], catalog: str, old_catalogs: Sequence[str]) -> str:
+    """A chain of names that begins with a schema, or with a catalog and a schema.
+    Group 1: the catalog; group 2: the schema."""
+    prefix = "(?:`?(" + alternation([*old_catalogs, catalog]) + r")`?\s*\x{2e}\s*)?"
+    return "^" + prefix + "`?(" + alternation(schemas) + r")`?\s*\x{2e}\s*"
+
+
+def _maybe(schemas: Iterable[str]) -> str:
+    """Whether a text can hold a schema's name before a dot at all: a lookahead on
+    the possible first characters rejects most positions at once."""
     schemas = list(schemas)
-    names = [*old_catalogs, catalog, *schemas]
-    first = sorted({ch for n in names for ch in (n[0].lower(), n[0].upper())} | {"`"})
-    head = "(?=[" + "".join("\\x{%x}" % ord(ch) if not ch.isalnum() else ch for ch in first) + "])"
-    prefix = "(?:`?(?:" + alternation([*old_catalogs, catalog]) + ")`?\\x{2e})?"
-    return head + "(?<![A-Za-z0-9_`.])" + prefix + "`?(" + alternation(schemas) + ")`?\\x{2e}"
+    first = sorted({ch for n in schemas for ch in (n[0].lower(), n[0].upper())} | {"`"})
+    return ("(?=[" + "".join("\\x{%x}" % ord(ch) if not ch.isalnum() else ch for ch in first) + "])(?<![A-Za-z0-9_`.])`?(?:"
+            + alternation(schemas) + r")`?\s*\x{2e}|\x{2e}\s*`?(?:" + alternation(schemas) + r")`?\s*\x{2e}")
 
 
 def _plain(name: str) -> bool:
@@ -57,35 +79,81 @@ def _quoted(catalog: str, schema: str) -> bool:
 
 def qualify_sql_col(text: Column, schemas: Iterable[str] | dict[str, str], catalog: str,
                     old_catalogs: Sequence[str] = (LEGACY_CATALOG,)) -> Column:
-    """V2/X5 as a column: every ``schema.`` (bare, back-quoted, or after an
-    old catalog) becomes ``catalog.schema.``, back-quoted where either name
-    needs it.  The schema list is small and travels in the plan as a literal;
-    names that need quotes are replaced first, all plain ones by one pass.
-
-    ``schemas`` may map old names to new ones; then every schema is replaced by
-    its new name, one pass per schema."""
-    if isinstance(schemas, dict):
-        for old, new in schemas.items():
-            target = f"{quote_ident(catalog)}.{quote_ident(new)}."
-            text = F.regexp_replace(text, qualify_pattern_java([old], catalog, old_catalogs), java_replacement(target))
-        return text
-    schemas = list(schemas)
-    odd = [s for s in schemas if _quoted(catalog, s)]
-    for s in odd:
-        target = f"{quote_ident(catalog)}.{quote_ident(s)}."
-        text = F.regexp_replace(text, qualify_pattern_java([s], catalog, old_catalogs), java_replacement(target))
-    plain = [s for s in schemas if s not in odd]
-    if not plain:
-        return text
-    return F.regexp_replace(text, qualify_pattern_java(plain, catalog, old_catalogs), java_replacement(catalog) + ".$1.")
+    """V2/X5/J4 as a column: schema names in the text of a query put under the
+    new catalog, in one lexical pass.
+
+    The text is read as tokens (literals, comments, chains of names, single
+    characters); only a chain can change, and each is looked up once, so
+    ``schemas`` may map old names to new ones in any way (chains and swaps of
+    names included).  A chain ``schema.name`` (bare, back-quoted, or after an old
+    or the new catalog) becomes ``catalog.schema.name``, back-quoted where either
+    name needs it.  A chain that begins with the name of a common table
+    expression or an alias of the same text is left alone, unless it stands
+    where a relation is named or comes after a catalog.
+
+    A second run changes nothing: a name under the new catalog stays if it is a
+    new name.  The schema list is small and travels in the plan as a literal."""
+    names = dict(schemas) if isinstance(schemas, dict) else {s: None for s in schemas}
+    head = _head(names, catalog, old_catalogs)
+    fixed = {old.lower(): f"{quote_ident(catalog)}.{quote_ident(new or old)}." for old, new in names.items()
+             if new is not None or _quoted(catalog, old)}
+    stays = sorted({new.lower() for new in names.values() if new is not None} & {n.lower() for n in names})
+    is_schema = "^`?(?:" + alternation(names) + ")`?$"
+
+    def prefix(name: Column) -> Column:
+        bare = F.concat(F.lit(catalog + "."), name, F.lit("."))
+        if not fixed:
+            return bare
+        return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in fixed.items() for x in kv]), F.lower(name)), bare)
+
+    def renamed(chain: Column, free: Column) -> Column:
+        cat, name = F.regexp_extract(chain, head, 1), F.regexp_extract(chain, head, 2)
+        done = (F.lower(cat) == catalog.lower()) & F.lower(name).isin(stays) if stays else F.lit(False)
+        change = chain.rlike(head) & (free | (cat != "")) & ~done & ~chain.rlike("^" + _NAME + r"\s*+\.\s*+\*$")   # t.*: columns
+        return F.when(change, F.concat(prefix(name), F.regexp_replace(chain, head, ""))).otherwise(chain)
+
+    def declared(bodies: Column) -> Column:
+        """Schema names that the text uses as names of its own."""
+        at = lambda i: F.coalesce(F.get(bodies, i), F.lit(""))
+        operand = lambda t: (t.rlike(r"^[A-Za-z0-9_`\x{80}-\x{10ffff})]") & ~F.lower(t).isin(*_NO_ALIAS))
+
+        def own(t: Column, i: Column) -> Column:
+            after_as = (F.lower(at(i - 1)) == "as") & operand(at(i - 2))
+            cte = (F.lower(at(i + 1)) == "as") & (at(i + 2) == "(") | F.lower(at(i - 1)).isin("with", "recursive")
+            return F.when(t.rlike(is_schema) & (after_as | operand(at(i - 1)) | cte), _folded(t))
+        return F.array_compact(F.transform(bodies, own))
+
+    def clause(c: Column, taken: Column) -> Column:
+        def tokens(bodies: Column) -> Column:
+            relations = F.lower(F.get(bodies, F.lit(0))).isin(*_RELATIONS)
+
+            def one(t: Column, i: Column) -> Column:
+                before = F.get(bodies, i - 1)
+                relation = relations & ((i == 1) | (before == ","))
+                first = _folded(F.regexp_extract(t, "^" + _NAME, 0))
+                return F.when(t.rlike(head), renamed(t, relation | ~F.array_contains(taken, first))).otherwise(t)
+            return F.transform(bodies, one)
+
+        gaps = F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(1))
+        bodies = F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(2))
+        return F.array_join(F.zip_with(gaps, _let(bodies, tokens), lambda g, t: F.concat(g, t)), "")
+
+    def whole(t: Column) -> Column:
+        bodies = F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(2))
+        return _let(_let(bodies, declared), lambda taken: F.array_join(F.transform(_clauses(t), lambda c: clause(c, taken)), ""))
+
+    return F.when(text.rlike(_maybe(names)), whole(text)).otherwise(text)
 
 
 def qualify_sql_duckdb(text_sql: str, schemas: Iterable[str], catalog: str,
                        old_catalogs: Sequence[str] = (LEGACY_CATALOG,)) -> str:
-    """The same rewrite as a DuckDB expression (for the oracle)."""
-    pattern = qualify_pattern(schemas, catalog, old_catalogs).replace("'", "''")
-    repl = ("\\1" + re2_replacement(catalog) + ".\\2.").replace("'", "''")
-    return f"regexp_replace({text_sql}, '{pattern}', '{repl}', 'g')"
+    """A DuckDB expression (for the oracle) that gives the same for texts whose
+    literals, comments and aliases hold no schema name before a dot.  A name may
+    follow only a character that cannot be part of a longer or qualified name."""
+    prefix = "(?:`?(?:" + alternation([*old_catalogs, catalog]) + ")`?\\x{2e})?"
+    pattern = "(^|[^A-Za-z0-9_`.])" + prefix + "`?(" + alternation(schemas) + ")`?\\x{2e}"
+    repl = "\\1" + re2_replacement(catalog) + ".\\2."
+    return "regexp_replace({}, '{}', '{}', 'g')".format(text_sql, pattern.replace("'", "''"), repl.replace("'", "''"))
 
 
 def qualify_sql(df: DataFrame, col: str, schemas: Iterable[str], catalog: str,
@@ -124,35 +192,68 @@ def view_statements(views: DataFrame, schemas: Iterable[str] | dict[str, str], c
                         view_statement_col(catalog, schema, F.col("view_name"), text).alias("view_stmt"))
 
 
-def dependency_levels(stmts: DataFrame, views: Sequence[str]) -> dict[str, int]:
-    """For each view name how deep its chain of views among ``views`` is, from the
-    names that stand in its statement (a name in a string literal may only raise
-    the level)."""
-    text = {r["view_name"]: r["view_stmt"].split(" AS ", 1)[-1].lower() for r in stmts.toLocalIterator()}
-    words = {v: set(re.findall(r"[^\s`.,()=;'\"]+", t)) for v, t in text.items()}
-    known = {v.lower(): v for v in views}
-    needs = {v: {known[w] for w in words[v] if w in known and known[w] != v} for v in text}
-    level: dict[str, int] = {}
-    while len(level) < len(text):
-        ready = [v for v in text if v not in level and needs[v] <= set(level)]
-        for v in ready or [v for v in text if v not in level]:          # a cycle: all of it at once, the retry decides
-            level[v] = 1 + max((level.get(w, 0) for w in needs[v]), default=0)
-    return level
+def relations_of(spark: SparkSession, stmt: str) -> tuple[tuple[str, str] | None, set[tuple[str, str]]]:
+    """The (schema, name) that a statement creates and those of the relations that
+    it reads, from the plan that Spark itself parses; names of one part are in the
+    current schema."""
+    def named(found: str) -> tuple[str, str]:
+        parts = [p.strip().lower() for p in found.split(",")]
+        return (parts[-2] if len(parts) > 1 else spark.catalog.currentDatabase().lower(), parts[-1])
+
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(stmt).toString()
+    except Exception:  # noqa: BLE001 - a text that does not parse names nothing; running it tells why
+        return None, set()
+    ctes = {c.strip().lower() for found in re.findall(r"CTE \[([^\]]*)\]", plan) for c in found.split(",")}
+    made = re.search(r"UnresolvedIdentifier \[([^\]]*)\]", plan)
+    reads = {named(found) for found in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan) if found.strip().lower() not in ctes}
+    return (named(made.group(1)) if made else None), reads
+
+
+def dependency_levels(spark: SparkSession, rows: Sequence[tuple[str, str, str]]) -> tuple[dict, dict]:
+    """Of (schema, view, statement) rows: the level of every (schema, view), 1 for
+    views that read no other of these views, and for views that read themselves
+    through others the names of that cycle.  Views of a cycle share a level."""
+    parsed = {(s, v): relations_of(spark, stmt) for s, v, stmt in rows}
+    key = {made or (s.lower(), v.lower()): (s, v) for (s, v), (made, _) in parsed.items()}
+    needs = {v: {key[r] for r in reads if r in key} - {v} for v, (_, reads) in parsed.items()}
+    level: dict[tuple, int] = {}
+    cycles: dict[tuple, str] = {}
+    while len(level) < len(needs):
+        ready = [v for v in needs if v not in level and needs[v] <= set(level)]
+        if not ready:
+            ready = _cycle({v: n - set(level) for v, n in needs.items() if v not in level})
+            cycles |= dict.fromkeys(ready, ", ".join(f"{s}.{v}" for s, v in ready))
+        here = {v: 1 + max((level[w] for w in needs[v] if w in level), default=0) for v in ready}
+        level |= {v: max(here.values()) if v in cycles else n for v, n in here.items()}
+    return level, cycles
+
+
+def _cycle(needs: dict[tuple, set]) -> list[tuple]:
+    """Of views that all wait: a smallest set that waits only for itself."""
+    reach = {}
+    for v in needs:
+        seen, todo = set(), [v]
+        while todo:
+            new = needs[todo.pop()] - seen
+            seen |= new
+            todo += new
+        reach[v] = seen
+    return sorted(min(reach.values(), key=lambda group: (len(group), sorted(group))))
 
 
 def cut_over_views(spark: SparkSession, stmts: DataFrame, max_rounds: int | None = None,
                    error_limit: int = 32000, max_workers: int = 8) -> DataFrame:
     """K5: run each view statement, views that others read first: the statements
     of one dependency level run side by side in a small pool.  Failed ones are
-    retried while a round still makes progress, so an order that the text did
-    not show still resolves; ``max_rounds`` caps the rounds.  Outcome per view:
-    schema_name, view_name, view_stmt, status (success/failed), error (P6: the
-    first ``error_limit`` characters).  Statements are catalog operations; the
-    statement rows are streamed to the driver, not the data behind the views."""
+    retried while a round still makes progress; ``max_rounds`` caps the rounds.
+    Outcome per view: schema_name, view_name, view_stmt, status (success/failed),
+    error (P6: the first ``error_limit`` characters; a view of a cycle names the
+    cycle).  Statements are catalog operations; the statement rows are streamed to
+    the driver, not the data behind the views."""
     rows = [(r["schema_name"], r["view_name"], r["view_stmt"]) for r in
             stmts.select("schema_name", "view_name", "view_stmt").toLocalIterator()]
-    level = dependency_levels(records(spark, rows, "schema_name string, view_name string, view_stmt string"),
-                              [r[1] for r in rows])
+    level, cycles = dependency_levels(spark, rows)
     pending, done, errors, rounds = rows, [], {}, 0
 
     def create(row):
@@ -165,14 +266,14 @@ def cut_over_views(spark: SparkSession, stmts: DataFrame, max_rounds: int | None
     while pending and (max_rounds is None or rounds < max_rounds):
         rounds += 1
         failed = []
-        for depth in sorted({level[r[1]] for r in pending}):
-            batch = [r for r in pending if level[r[1]] == depth]
+        for depth in sorted({level[r[:2]] for r in pending}):
+            batch = [r for r in pending if level[r[:2]] == depth]
             with ThreadPoolExecutor(max_workers=max(1, min(max_workers, len(batch)))) as pool:
                 for row, error in zip(batch, pool.map(create, batch)):
                     if error is None:
                         done.append((*row, "success", ""))
                     else:
-                        errors[row[:2]] = error
+                        errors[row[:2]] = (f"reads itself through {cycles[row[:2]]}: " if row[:2] in cycles else "") + error
                         failed.append(row)
         progress = len(failed) < len(pending)
         pending = failed

@@ -42,6 +42,38 @@ def q_view_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view_statements(fx.view_texts(spark, sf_dir), SCHEMAS, CATALOG, OLD_CATALOGS)
 
 
+# Texts whose literals, comments, common table expressions and aliases hold the
+# names, and a map of schemas in which every new name is an old one as well.
+RENAMES = {"a": "b", "b": "c", "x": "y", "y": "x"}
+_LITERAL = "concat('''', replace(replace(text, '''', ''), chr(92), ''), ' a.t b.u''')"
+_KINDS = (
+    ("concat('SELECT ', {lit}, ' AS s, a.t.k FROM a.t JOIN `B`.u ON a.t.k = u.k -- a.t', chr(10), 'WHERE k > 1 /* b.u */')",
+     "concat('SELECT ', {lit}, ' AS s, `main`.`b`.t.k FROM `main`.`b`.t JOIN `main`.`c`.u ON `main`.`b`.t.k = u.k -- a.t', chr(10), "
+     "'WHERE k > 1 /* b.u */')"),
+    ("concat('WITH a AS (SELECT ', {lit}, ' AS s FROM x.t', CAST(doc_id AS STRING), '), y AS (SELECT 1 k) SELECT a.s, y.k FROM a, y, y.v')",
+     "concat('WITH a AS (SELECT ', {lit}, ' AS s FROM `main`.`y`.t', CAST(doc_id AS STRING), '), y AS (SELECT 1 k) SELECT a.s, y.k "
+     "FROM a, y, `main`.`x`.v')"),
+    ("concat('SELECT b.k, x.k, ', {lit}, ' FROM hive_metastore.a.t AS b JOIN old_catalog.`b`.u x ON b.k = x.k, x.w')",
+     "concat('SELECT b.k, x.k, ', {lit}, ' FROM `main`.`b`.t AS b JOIN `main`.`c`.u x ON b.k = x.k, x.w')"),
+    ("concat('SELECT ', {lit}, ' FROM x.w, (SELECT * FROM a.t) y WHERE y.k IN (SELECT b.f(k) FROM main.c.t)')",
+     "concat('SELECT ', {lit}, ' FROM `main`.`y`.w, (SELECT * FROM `main`.`b`.t) y WHERE y.k IN (SELECT `main`.`c`.f(k) FROM main.c.t)')"),
+)
+
+
+def _texts(which: int) -> str:
+    cases = " ".join(f"WHEN {i} THEN {kind[which].format(lit=_LITERAL)}" for i, kind in enumerate(_KINDS))
+    return f"CASE doc_id % {len(_KINDS)} {cases} END"
+
+
+@plan("qualify_references", f"SELECT doc_id, {_texts(1)} AS view_text, {_texts(1)} AS again FROM documents")
+def q_qualify_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2/X5/J4 with renames that follow and swap each other: only references
+    change, each once, and a second run changes nothing."""
+    texts = fx.base(spark, sf_dir, "documents").select("doc_id", F.expr(_texts(0).replace("chr(", "char(")).alias("view_text"))
+    once = qualify_sql(texts, "view_text", RENAMES, CATALOG, OLD_CATALOGS)
+    return qualify_sql(once, "view_text", RENAMES, CATALOG, OLD_CATALOGS, out="again")
+
+
 # Views of the legacy schema used by the cut-over plan: (name, text, oracle).
 # ``{db}`` is the legacy schema.  Listed so that a view on views comes first.
 CUT_OVER_VIEWS = (

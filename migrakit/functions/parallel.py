@@ -1,7 +1,9 @@
-"""Plan-shape helper: parse once."""
+"""Plan-shape helpers: work something out once."""
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +18,10 @@ def parse_json(df: DataFrame, col: str, schema, out: str, keep: tuple[str, ...]
     per-row generator that the optimizer does not see through."""
     parsed: Column = F.from_json(F.col(col), schema, options or {})
     return df.select(*keep, F.explode(F.array(parsed)).alias(out))
+
+
+def let(x: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn(x)`` with ``x`` worked out once per row, also inside a higher-order
+    function: a lambda's argument is a value, an expression used in several
+    places of its body is one evaluation each."""
+    return F.get(F.transform(F.array(x), fn), F.lit(0))

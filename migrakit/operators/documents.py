@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.maps import drop_keys, set_key
+from ..functions.maps import drop_keys, repeats_keys, set_key
 from ..functions.parallel import parse_json
 from ..functions.strings import basename, is_blank, join_path
 from ..functions.versions import floor_version, is_ml
@@ -321,13 +321,15 @@ def edit_json(df: DataFrame, col: str, fn: Callable[[Column], Column],
     With the default ``map<string,variant>`` every value keeps its JSON type
     (numbers stay numbers, objects stay objects).  Text that does not parse is
     set aside: it goes to column ``bad`` as it is and ``col`` is NULL there, so it is
-    neither lost nor replaced.  A column that is already parsed is edited and
-    written as it is."""
+    neither lost nor replaced; so is a document that holds a key twice, at any
+    depth (which value holds is not ours to choose).  A column that is already
+    parsed is edited and written as it is."""
     if not isinstance(df.schema[col].dataType, StringType):
         return df.withColumn(col, F.to_json(fn(F.col(col)))).withColumn(bad, F.lit(None).cast("string"))
     keep = tuple(c for c in df.columns if c != col)
     parsed = parse_json(df, col, schema, "_doc", keep=tuple(df.columns))
-    broken = F.col(col).isNotNull() & F.col("_doc").isNull()
+    twice = F.coalesce(repeats_keys(F.col("_doc")), F.lit(False))
+    broken = F.col(col).isNotNull() & (F.col("_doc").isNull() | twice)
     return parsed.select(*keep, F.when(~broken, F.to_json(fn(F.col("_doc")))).alias(col),
                          F.when(broken, F.col(col)).alias(bad))
 

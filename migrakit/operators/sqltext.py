@@ -10,6 +10,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.parallel import let
 from ..functions.regex import alternation, re2_replacement
 from ..functions.strings import bounded_text, quote_ident, quote_ident_col
 from ..sources.tables import records
@@ -42,11 +43,6 @@ def _clauses(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(" + token + "(?:(?!" + word + ")" + token + ")*+)"), F.lit(1))
 
 
-def _let(x: Column, fn) -> Column:
-    """``fn(x)`` with ``x`` worked out once."""
-    return F.get(F.transform(F.array(x), fn), F.lit(0))
-
-
 def _folded(token: Column) -> Column:
     """A name as it is compared: without back-quotes, letters small."""
     return F.lower(F.replace(token, F.lit("`"), F.lit("")))
@@ -136,11 +132,11 @@ def qualify_sql_col(text: Column, schemas: Iterable[str] | dict[str, str], catal
 
         gaps = F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(1))
         bodies = F.regexp_extract_all(c, F.lit(_TOKEN), F.lit(2))
-        return F.array_join(F.zip_with(gaps, _let(bodies, tokens), lambda g, t: F.concat(g, t)), "")
+        return F.array_join(F.zip_with(gaps, let(bodies, tokens), lambda g, t: F.concat(g, t)), "")
 
     def whole(t: Column) -> Column:
         bodies = F.regexp_extract_all(t, F.lit(_TOKEN), F.lit(2))
-        return _let(_let(bodies, declared), lambda taken: F.array_join(F.transform(_clauses(t), lambda c: clause(c, taken)), ""))
+        return let(let(bodies, declared), lambda taken: F.array_join(F.transform(_clauses(t), lambda c: clause(c, taken)), ""))
 
     return F.when(text.rlike(_maybe(names)), whole(text)).otherwise(text)
 

@@ -7,8 +7,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.maps import set_key
 from ..operators import whole_docs as W
-from ..operators.documents import DEFAULT_CATALOG_KEY, JobParams
+from ..operators.documents import DEFAULT_CATALOG_KEY, JobParams, edit_json
 from ..sources import fixtures as fx
 from .doc_plans import CATALOG, EXISTING_CLUSTER, ML_USER, PARAMS, PAUSE, POLICY_ID, VOLUME, _sql_floor
 from .registry import plan
@@ -83,3 +84,26 @@ def q_job_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_library_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D5 on whole library answers."""
     return W.rewrite_docs(_docs(spark, sf_dir, _LIB_DOC), "doc", lambda m: W.rewrite_library_doc(m, VOLUME))
+
+
+#: The same small document with a key repeated at the top, in an object, in an object of a list, or nowhere.
+_REPEATED = f"""concat('{{{{"name":"n', {_ID}, '",', CASE WHEN event_id % 4 = 1 THEN '"name":"again",' ELSE '' END,
+  '"spark_conf":{{{{"own":"', {_USER}, '"', CASE WHEN event_id % 4 = 2 THEN ',"own":"x"' ELSE '' END, '}}}},"tasks":[{{{{"task_key":"t"',
+  CASE WHEN event_id % 4 = 3 THEN ',"task_key":"u"' ELSE '' END, '}}}}]}}}}')""".replace("{{", "{").replace("}}", "}")
+
+
+@plan("repeated_keys", f"""
+SELECT event_id, rule, CASE WHEN event_id % 4 = 0 THEN concat('{{', CASE WHEN rule = 'cluster' THEN '"data_security_mode":"USER_ISOLATION",' ELSE '' END,
+  '"name":"n', {_ID}, CASE WHEN rule = 'edit' THEN '' ELSE '-UC' END, '","spark_conf":{{"own":"', {_USER}, '"}},"tasks":[{{"task_key":"t"}}]',
+  CASE WHEN rule = 'edit' THEN ',"type":"e"' ELSE '' END, '}}') END AS doc,
+  CASE WHEN event_id % 4 <> 0 THEN raw END AS bad_doc
+FROM (SELECT *, {_REPEATED} AS raw FROM events), (VALUES ('cluster'), ('job'), ('edit')) AS r(rule)""")
+def q_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2, D11, D12, D14 on documents that hold a key twice: set aside whole, at
+    whatever depth; none fails the run or loses a value in silence."""
+    docs = fx.base(spark, sf_dir, "events").select("event_id", F.expr(_REPEATED).alias("doc"))
+    rules = {"cluster": W.rewrite_docs(docs, "doc", lambda m: W.rewrite_cluster_doc(m, PARAMS)),
+             "job": W.rewrite_docs(docs, "doc", lambda m: W.rewrite_job_doc(m, JobParams(catalog=CATALOG))),
+             "edit": edit_json(docs, "doc", lambda m: set_key(m, "type", F.parse_json(F.lit('"e"')), "variant"))}
+    parts = [d.select("event_id", F.lit(name).alias("rule"), "doc", "bad_doc") for name, d in rules.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

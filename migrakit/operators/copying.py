@@ -4,6 +4,7 @@
 from __future__ import annotations
 
 import threading
+import uuid
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from typing import Iterable, Sequence
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import bounded_text, quote_name
 from ..sources.tables import (SAME_FORMAT_PROVIDERS, TableRef, fingerprint_exprs, largest_first,
-                             partition_columns, read_table, records)
+                             partition_columns, read_table, records, table_fingerprint)
+from .journal import Journal, beside, file_system
 
 OUTCOME_SCHEMA = ("database string, table_name string, curr_loc string, ext_loc string, "
                   "format string, copied_successfully boolean, action string, error string, "
@@ -78,35 +80,82 @@ def target_format(provider: str | None, to_format: str | None) -> str:
     return to_format or "parquet"
 
 
-def _path(spark: SparkSession, location: str):
-    """(file system, path) of a location."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+def has_files(spark: SparkSession, location: str) -> bool:
+    """Whether anything is there (an empty folder is nothing)."""
+    fs, path = file_system(spark, location)
+    return fs.exists(path) and not (fs.getFileStatus(path).isDirectory() and len(fs.listStatus(path)) == 0)
 
 
-def started_marker(location: str) -> str:
-    """Where a copy records that it has begun: a hidden file beside the target
-    (an overwrite clears the target itself)."""
-    parent, _, name = location.rstrip("/").rpartition("/")
-    return f"{parent}/_copy_started.{name}"
+def _size(spark: SparkSession, location: str) -> dict:
+    fs, path = file_system(spark, location)
+    found = fs.getContentSummary(path)
+    return {"files": found.getFileCount(), "bytes": found.getLength()}
 
 
-def target_state(spark: SparkSession, location: str) -> str:
-    """``absent`` (nothing there, or an empty folder), ``unfinished`` (one of our
-    copies recorded its start and not its end) or ``present`` (anything else,
-    whoever wrote it)."""
-    fs, path = _path(spark, location)
-    if not fs.exists(path) or (fs.getFileStatus(path).isDirectory() and len(fs.listStatus(path)) == 0):
-        return "absent"
-    return "unfinished" if fs.exists(_path(spark, started_marker(location))[1]) else "present"
+def _move(spark: SparkSession, old: str, new: str) -> None:
+    fs, path = file_system(spark, old)
+    if not fs.rename(path, file_system(spark, new)[1]):
+        raise OSError(f"cannot move {old} to {new}")
 
 
-def _mark(spark: SparkSession, location: str, started: bool) -> None:
-    fs, path = _path(spark, started_marker(location))
-    if started:
-        fs.create(path, True).close()
+def _remove(spark: SparkSession, location: str) -> None:
+    fs, path = file_system(spark, location)
+    fs.delete(path, True)
+
+
+def _recover(spark: SparkSession, location: str) -> None:
+    """After a crash between the two moves of a publish the old target is put back."""
+    if has_files(spark, location):
+        return
+    fs, pattern = file_system(spark, beside(location, "_old.", ".*"))
+    for kept in fs.globStatus(pattern) or []:
+        fs.delete(file_system(spark, location)[1], True)          # an empty folder
+        _move(spark, kept.getPath().toString(), location)
+        return
+
+
+def _publish(spark: SparkSession, staged: str, location: str) -> None:
+    """Puts a complete folder in the place of the target: the old one is moved
+    aside, never deleted before the new one is there."""
+    fs, path = file_system(spark, location)
+    old = beside(location, "_old.", "." + uuid.uuid4().hex[:12])
+    if fs.exists(path):
+        _move(spark, location, old)
+    _move(spark, staged, location)
+    _remove(spark, old)
+
+
+def table_at(spark: SparkSession, name: str) -> tuple[str, str] | None:
+    """(location, provider) of a catalog table, None where there is none."""
+    if not spark.catalog.tableExists(name):
+        return None
+    rows = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+    return rows.get("Location", ""), (rows.get("Provider") or "").lower()
+
+
+def same_place(spark: SparkSession, a: str, b: str) -> bool:
+    def whole(location: str) -> str:
+        fs, path = file_system(spark, location)
+        return fs.makeQualified(path).toString().rstrip("/")
+    return bool(a) and bool(b) and whole(a) == whole(b)
+
+
+def register_copy(spark: SparkSession, name: str, location: str, fmt: str, df: DataFrame, parts: Sequence[str]) -> str:
+    """Makes the catalog name stand for the folder: ``registered``, or ``known`` where
+    it does already.  A name that stands for another folder is drift, and an
+    error."""
+    found = table_at(spark, name)
+    if found and not same_place(spark, found[0], location):
+        raise NameError(f"drift: {name} is registered at {found[0]}, the copy is at {location}")
+    if found:
+        spark.catalog.refreshTable(name)
     else:
-        fs.delete(path, False)
+        layout = f" PARTITIONED BY ({', '.join(quote_name(p) for p in parts)})" if parts else ""
+        at = location.replace("\\", "\\\\").replace("'", "\\'")
+        spark.sql(f"CREATE TABLE {name} ({df._jdf.schema().toDDL()}) USING {fmt}{layout} LOCATION '{at}'")
+    if parts:
+        spark.catalog.recoverPartitions(name)
+    return "known" if found else "registered"
 
 
 def existing_layout(spark: SparkSession, src: TableRef, df: DataFrame) -> set[str]:
@@ -121,6 +170,24 @@ def existing_layout(spark: SparkSession, src: TableRef, df: DataFrame) -> set[st
         return set()
 
 
+def _held(spark: SparkSession, src: TableRef, df: DataFrame, location: str, fmt: str, log: Journal) -> tuple[str, dict]:
+    """What an existing target is: ``skipped`` where the journal says that this
+    source was copied there and the files are as they were left, or where its
+    rows and content hash are the source's; else ``skipped_unverified``."""
+    last, size = log.published(), _size(spark, location)
+    if last and last["curr_loc"] == (src.location or src.name) and (last["files"], last["bytes"]) == (size["files"], size["bytes"]):
+        return "skipped", {"rows": last["rows"], "hash": last["hash"]}
+    try:
+        mine = table_fingerprint(df).first()
+        theirs = table_fingerprint(read_table(spark, src.at(location, provider=fmt), df.schema), df.columns).first()
+    except Exception as e:  # noqa: BLE001 - files that cannot be read as the source is are no copy of it
+        return "skipped_unverified", {"error": f"the target cannot be compared with the source: {e}"}
+    if (mine["n"], mine["content_hash"]) != (theirs["n"], theirs["content_hash"]):
+        return "skipped_unverified", {"error": f"the target holds other rows than the source ({theirs['n']} against {mine['n']})"}
+    log.write("verified", rows=mine["n"], hash=str(mine["content_hash"]), **size)
+    return "skipped", {"rows": mine["n"], "hash": str(mine["content_hash"])}
+
+
 def copy_table(spark: SparkSession, src: TableRef, ext_loc: str, to_format: str | None = None,
                if_exists: str = "skip", target_name: str | None = None,
                max_records_per_file: int | None = None, fingerprint: bool = True) -> dict:
@@ -132,8 +199,11 @@ def copy_table(spark: SparkSession, src: TableRef, ext_loc: str, to_format: str
     layout is written through a ``rebalance`` on the partition columns: one
     shuffle, after which AQE splits a hot value over several tasks and merges
     small ones, so files stay near the advisory size instead of one file per
-    value per input task.  Lost executors only rerun their tasks; the job
-    commits atomically.
+    value per input task.  Lost executors only rerun their tasks.
+
+    The job writes to a hidden folder beside the target, which is then moved into
+    its place: a copy that breaks leaves the old target, and a target is never
+    half written.  Every step is recorded in the target's journal.
 
     ``fingerprint``: the row count and content hash of what was written are
     observed in the write itself (``source_rows``, ``source_hash``), so the
@@ -141,26 +211,38 @@ def copy_table(spark: SparkSession, src: TableRef, ext_loc: str, to_format: str
     in the final (writing) stage, where Spark applies each task's metrics
     exactly once, also when tasks are retried.
 
-    ``if_exists='skip'`` leaves any existing target untouched, whoever wrote it.
-    Only a target that one of our own copies began and did not finish (it
-    records its start beside the target) is written again, so a rerun after a
-    crash resumes the remaining tables.  A failed hash never fails the copy.
-    Never raises; the outcome says what happened."""
+    ``if_exists='skip'`` leaves any existing target untouched, whoever wrote it.  It
+    is a success (``skipped``) only where the journal or the content shows that it
+    is a copy of this source; else ``skipped_unverified``.  ``target_name``: the
+    catalog name of the copy; an existing copy whose name is missing is
+    registered (``registered``), a name that stands for another folder is
+    ``drift``.  Never raises; the outcome says what happened."""
     fmt = target_format(src.provider, to_format)
     outcome = {"database": src.database, "table_name": src.table,
                "curr_loc": src.location or src.name, "ext_loc": ext_loc, "format": fmt,
                "copied_successfully": False, "action": "failed", "error": None,
                "source_rows": None, "source_hash": None}
+    log = Journal(spark, ext_loc, **{k: outcome[k] for k in ("database", "table_name", "curr_loc", "ext_loc", "format")})
     try:
-        mode = {"skip": "ignore", "fail": "errorifexists", "overwrite": "overwrite"}[if_exists]
-        if if_exists == "skip":
-            state = target_state(spark, ext_loc)
-            if state == "present" or (state == "absent" and target_name and spark.catalog.tableExists(target_name)):
-                outcome.update(copied_successfully=True, action="skipped")
-                return outcome
-            mode = "overwrite"
+        if if_exists not in ("skip", "fail", "overwrite"):
+            raise ValueError("if_exists is 'skip', 'fail' or 'overwrite'")
+        _recover(spark, ext_loc)
+        there = has_files(spark, ext_loc)
+        if there and if_exists == "fail":
+            raise FileExistsError(f"{ext_loc} exists")
+        found = table_at(spark, target_name) if target_name else None
+        if found and not same_place(spark, found[0], ext_loc):
+            raise NameError(f"drift: {target_name} is registered at {found[0]}, the copy is at {ext_loc}")
         df = read_table(spark, src)
         parts = [c for c in partition_columns(spark, src) if c in df.columns]
+        if there and if_exists == "skip":
+            action, seen = _held(spark, src, df, ext_loc, fmt, log)
+            if action == "skipped" and target_name and register_copy(spark, target_name, ext_loc, fmt, df, parts) == "registered":
+                action = "registered"
+                log.write("registered")
+            outcome.update(copied_successfully=action != "skipped_unverified", action=action, error=seen.get("error"))
+            return outcome
+        plain = df
         if parts and not set(parts) <= existing_layout(spark, src, df):
             # A new layout: group rows by the partition columns so each value
             # is written by few tasks.  ``rebalance`` lets AQE split a hot
@@ -174,24 +256,38 @@ def copy_table(spark: SparkSession, src: TableRef, ext_loc: str, to_format: str
                 df = df.observe(observation, *fingerprint_exprs(df.schema))
             except Exception:  # noqa: BLE001 - the copy goes on without a hash
                 observation = None
-        writer = df.write.format(fmt).mode(mode)
+        staged = beside(ext_loc, "_staged.", "." + log.fixed["run"])
+        writer = df.write.format(fmt).mode("errorifexists")
         if parts:
             writer = writer.partitionBy(*parts)
         if max_records_per_file:
             writer = writer.option("maxRecordsPerFile", max_records_per_file)
-        if if_exists != "fail":
-            _mark(spark, ext_loc, True)
+        log.write("started")
+        try:
+            writer.save(staged)
+            metrics = observation.get if observation is not None else {}
+            seen = {"rows": metrics.get("n"), "hash": None if metrics.get("content_hash") is None else str(metrics["content_hash"])}
+            log.write("staged", **seen)
+            if if_exists != "overwrite" and has_files(spark, ext_loc):
+                raise FileExistsError(f"{ext_loc} was written by somebody else meanwhile")
+            _publish(spark, staged, ext_loc)
+        except Exception:
+            _remove(spark, staged)
+            raise
+        log.write("published", **seen, **_size(spark, ext_loc))
+        outcome.update(source_rows=metrics.get("n"), source_hash=metrics.get("content_hash"))
         if target_name:
-            writer.option("path", ext_loc).saveAsTable(target_name)
-        else:
-            writer.save(ext_loc)
-        _mark(spark, ext_loc, False)
+            if found:                                          # the new files may have other columns
+                spark.sql(f"DROP TABLE {target_name}")
+            register_copy(spark, target_name, ext_loc, fmt, plain, parts)
+            log.write("registered")
         outcome.update(copied_successfully=True, action="copied")
-        if observation is not None:
-            metrics = observation.get
-            outcome.update(source_rows=metrics.get("n"), source_hash=metrics.get("content_hash"))
     except Exception as e:  # noqa: BLE001 - the outcome table carries it
-        outcome["error"] = str(e)
+        outcome.update(error=str(e), action="drift" if isinstance(e, NameError) else "failed")
+        try:
+            log.write("failed", error=str(e)[:2000])
+        except Exception:  # noqa: BLE001 - a target that cannot be written beside has no record
+            pass
     return outcome
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import quote_name
 from ..sources.tables import records
-from .copying import needs_copy_predicate
+from .copying import copy_tables, needs_copy_predicate, same_place, source_ref, table_at
 from .merge import both_sides
 
 KEYS = ("database", "table_name")
@@ -112,7 +112,6 @@ def apply_sync(spark: SparkSession, sync: DataFrame, target_database: str | dict
     if mode == "copy":
         if not base:
             raise ValueError("mode='copy' needs a base folder")
-        from .copying import copy_tables, source_ref
         rows = list(todo.toLocalIterator())
         tasks = [(source_ref(spark, r["source_schema"], r["source_name"], r["source_provider"], r["location"]),
                   f"{base.rstrip('/')}/{r['source_schema']}/{r['source_name']}") for r in rows]
@@ -122,7 +121,8 @@ def apply_sync(spark: SparkSession, sync: DataFrame, target_database: str | dict
         named = records(spark, [(*k, n) for k, n in names.items()],
                         "source_schema string, source_name string, target_name string")
         return out.select(F.col("database").alias("source_schema"), F.col("table_name").alias("source_name"),
-                          F.when(F.col("copied_successfully"), "success").otherwise("failed").alias("status"),
+                          F.when(F.col("copied_successfully"), "success").when(F.col("action") == "drift", "drift")
+                          .otherwise("failed").alias("status"),
                           "error").join(named, ["source_schema", "source_name"]).select(
             "source_schema", "source_name", "target_name", "status", "error")
     if mode != "register":
@@ -131,8 +131,12 @@ def apply_sync(spark: SparkSession, sync: DataFrame, target_database: str | dict
     def one(r):
         name = quote_name(target(r["source_schema"]), r["source_name"])
         try:
-            spark.catalog.createTable(name, path=r["location"],
-                                      source=r["source_provider"])
+            found = table_at(spark, name)
+            if found and not (same_place(spark, found[0], r["location"]) and found[1] == (r["source_provider"] or "").lower()):
+                return (r["source_schema"], r["source_name"], name, "drift", f"registered as {found[1]} at {found[0]}")
+            if not found:
+                spark.catalog.createTable(name, path=r["location"],
+                                          source=r["source_provider"])
             return (r["source_schema"], r["source_name"], name, "success", None)
         except Exception as e:  # noqa: BLE001
             return (r["source_schema"], r["source_name"], name, "failed", str(e))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import quote_ident_col, quote_name
 from ..operators.copying import bounded_error, copy_from_plan, copy_tables, existing_layout, plan_copy, with_target_path
+from ..operators.journal import read_journal
 from ..operators.sqltext import copy_statement_col
 from ..operators.verify import join_results, split_outcomes, verify_copies, verify_counts
 from ..session import drop_database, remove_dir, work_dir
@@ -197,12 +198,12 @@ def q_copy_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan("copy_safety", """
 SELECT 'd1' AS database, 't' AS table_name, 'copied' AS action, true AS copied_successfully, (SELECT count(*) FROM nation) AS target_rows, '' AS error
 UNION ALL SELECT 'd2', 't', 'copied', true, (SELECT count(*) FROM events), ''
-UNION ALL SELECT 'd3', 'kept', 'skipped', true, (SELECT count(*) FROM region), ''
+UNION ALL SELECT 'd3', 'kept', 'skipped_unverified', false, (SELECT count(*) FROM region), 'the target holds other rows th'
 UNION ALL SELECT 'd4', 'x', 'refused', false, NULL, 'several tables have the target'
 UNION ALL SELECT 'd5', 'x', 'refused', false, NULL, 'several tables have the target'""")
 def q_copy_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same table name in two schemas keeps two targets; a target
-    somebody else wrote, without a success marker, is left alone; two tables
+    somebody else wrote, with other rows, is left alone and is no success; two tables
     sent to one folder are refused.  Checked by the rows left behind; errors are
     cut to their first characters (P6)."""
     data, base = sf_dir.rstrip("/"), work_dir(spark, "copy_safety")
@@ -222,12 +223,12 @@ def q_copy_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("copy_results", "\nUNION ALL ".join(
     f"SELECT '{DATABASE}' AS database, '{t}' AS table_name, '{t}' AS source_name, true AS copied_successfully, "
-    f"count(*) AS source_count, count(*) AS target_count, 'match' AS verdict, false AS any_bad FROM {t}" for t in ("region", "nation", "supplier", "events")))
+    f"count(*) AS source_count, count(*) AS target_count, 'match' AS verdict, false AS any_bad FROM {t}" for t in fx.ALL_TABLES))
 def q_copy_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copy plan joined with its outcomes, both counts and the verdict
     in one row per table, and whether any copy is bad at all."""
     data, base = sf_dir.rstrip("/"), work_dir(spark, "copy_results")
-    refs = [TableRef(DATABASE, t, "parquet", f"{data}/{t}.parquet") for t in ("region", "nation", "supplier", "events")]
+    refs = [TableRef(DATABASE, t, "parquet", f"{data}/{t}.parquet") for t in fx.ALL_TABLES]
     listed = records(spark, [(r.database, r.table, "parquet", r.location, "TABLE") for r in refs],
                      "database string, table_name string, provider string, location string, table_type string")
     planned = plan_copy(listed, count_tables(spark, refs), base)
@@ -241,6 +242,50 @@ def q_copy_results(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "copied_successfully", "source_count", "target_count", "verdict", F.lit(any_bad).alias("any_bad"))
 
 
+#: What a rerun must find, by table: (action, steps of the journal in alphabetical order).
+_RERUN = dict.fromkeys(fx.ALL_TABLES, ("skipped", "published,registered,staged,started")) | {
+    "nation": ("registered", "published,registered,registered,staged,started"),
+    "supplier": ("skipped", "failed,published,registered,staged,started,started"),
+    "labels": ("skipped_unverified", "")}
+
+
+@plan("copy_rerun", "\nUNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{action}' AS action, {action != 'skipped_unverified'} AS copied_successfully, "
+    f"(SELECT count(*) FROM {'region' if t == 'labels' else t}) AS target_rows, "
+    f"{'NULL' if t == 'labels' else f'(SELECT count(*) FROM {t})'} AS registered_rows, '{steps}' AS steps"
+    for t, (action, steps) in _RERUN.items()))
+def q_copy_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3/K4/Y2 on a rerun over all tables: one lost its catalog entry, the place of
+    one holds somebody else's rows, and an overwrite of one broke half way.  Checked
+    by the actions, the rows of the folders and of the names, and the journal."""
+    tag = uuid.uuid4().hex[:10]
+    db, base = f"mk_rerun_{tag}", work_dir(spark, "copy_rerun", tag, fresh=False)
+    spark.sql(f"CREATE DATABASE {quote_name(db)} LOCATION '{base}/db'")
+    refs = source_refs(sf_dir)
+    tasks = [(r, f"{base}/{r.table}") for r in refs]
+    names = {(r.database, r.table): quote_name(db, r.table) for r in refs}
+    copy_tables(spark, [t for t in tasks if t[0].table != "labels"], target_names=names)
+    spark.sql(f"DROP TABLE {quote_name(db, 'nation')}")
+    spark.read.parquet(f"{sf_dir.rstrip('/')}/region.parquet").write.parquet(f"{base}/labels")
+    breaks = f"mk_breaks_{tag}"
+    fx.base(spark, sf_dir, "supplier").withColumn("s_name", F.when(F.col("s_suppkey") == 1, F.raise_error(F.lit("half way")))
+                                                  .otherwise(F.col("s_name"))).createOrReplaceTempView(breaks)
+    copy_tables(spark, [(TableRef(DATABASE, "supplier", "parquet", name=breaks), f"{base}/supplier")], if_exists="overwrite")
+    again = copy_tables(spark, tasks, target_names=names)
+    rows = count_tables(spark, [r.at(loc) for r, loc in tasks]).select("table_name", F.col("n").alias("target_rows"))
+    held = [TableRef(DATABASE, r.table, name=names[r.database, r.table]) for r in refs if r.table != "labels"]
+    named = count_tables(spark, held).select("table_name", F.col("n").alias("registered_rows"))
+    steps = read_journal(spark, [loc for _, loc in tasks]).groupBy("table_name").agg(
+        F.array_join(F.sort_array(F.collect_list("step")), ",").alias("steps"))
+    steps = records(spark, [tuple(r) for r in steps.collect()], "table_name string, steps string")
+    spark.catalog.dropTempView(breaks)
+    drop_database(spark, db)
+    remove_dir(spark, base)
+    return (again.join(rows, "table_name").join(named, "table_name", "left").join(steps, "table_name", "left")
+            .select("table_name", "action", "copied_successfully", "target_rows", "registered_rows",
+                    F.coalesce("steps", F.lit("")).alias("steps")))
+
+
 @plan("content_check", f"""
 SELECT '{DATABASE}' AS database, t AS table_name, n AS source_count, n AS target_count, v AS verdict
 FROM (SELECT count(*) AS n FROM events), (VALUES ('shifted', 'mismatch'), ('same', 'match')) AS x(t, v)""")

@@ -6,7 +6,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from migrakit.operators.copying import copy_table, copy_tables, plan_copy
-from migrakit.operators.sync import apply_sync, plan_sync
+from migrakit.operators.journal import file_system, read_journal
+from migrakit.operators.sync import SYNC_COLUMNS, apply_sync, plan_sync
 from migrakit.operators.verify import verify_copies
 from migrakit.session import work_dir
 from migrakit.sources.tables import TableRef, count_tables, read_table, records
@@ -29,9 +30,10 @@ def test_partitioned_copy_round_trip_and_skip(spark):
     flags = {r[0] for r in spark.read.parquet(f"{base}/lineitem").select("l_returnflag").distinct().collect()}
     files = spark.read.parquet(f"{base}/lineitem").inputFiles()
     assert all("l_returnflag=" in f for f in files) and flags
-    # Second run with if_exists='skip' leaves the target as it is.
+    # Second run with if_exists='skip' leaves the target as it is; only the same source is a success.
+    assert copy_table(spark, src, f"{base}/lineitem")["action"] == "skipped"
     again = copy_table(spark, _ref("orders"), f"{base}/lineitem")
-    assert again["copied_successfully"]
+    assert again["action"] == "skipped_unverified" and not again["copied_successfully"] and again["error"]
     assert verify_copies(spark, [(src, dst)]).first().verdict == "match"
 
 
@@ -106,21 +108,59 @@ def test_resumable_copy_resumes(spark):
     assert verify_copies(spark, [(src, src.at(f"{base}/data"))]).first().verdict == "match"
 
 
-def test_skip_never_overwrites_a_target_it_did_not_begin(spark):
-    from migrakit.operators.copying import _mark, target_state
+def test_skip_never_overwrites_and_tells_what_it_found(spark):
     base = work_dir(spark, "tests", "resume")
     src = _ref("nation")
-    # Files of somebody else, without a _SUCCESS marker: left as they are.
+    # Files of somebody else: left as they are; a copy only if they hold the same rows.
     read_table(spark, _ref("region")).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{base}/nation")
-    assert target_state(spark, f"{base}/nation") == "present"
-    assert copy_table(spark, src, f"{base}/nation")["action"] == "skipped"
-    assert read_table(spark, src.at(f"{base}/nation")).count() == 5
-    # A copy of ours that recorded its start and not its end: written again.
-    _mark(spark, f"{base}/nation", True)
-    assert target_state(spark, f"{base}/nation") == "unfinished"
-    assert copy_table(spark, src, f"{base}/nation")["action"] == "copied"
-    assert verify_copies(spark, [(src, src.at(f"{base}/nation"))]).first().verdict == "match"
-    assert copy_table(spark, src, f"{base}/nation")["action"] == "skipped"
+    out = copy_table(spark, src, f"{base}/nation")
+    assert out["action"] == "skipped_unverified" and not out["copied_successfully"]
+    assert spark.read.parquet(f"{base}/nation").count() == 5
+    read_table(spark, src).repartition(3).write.parquet(f"{base}/same")
+    assert copy_table(spark, src, f"{base}/same")["action"] == "skipped"
+    steps = [r.step for r in read_journal(spark, [f"{base}/same"]).orderBy("at").collect()]
+    assert steps == ["verified"]
+    # Files that changed after our copy are not what the journal says.
+    assert copy_table(spark, src, f"{base}/ours")["action"] == "copied"
+    assert copy_table(spark, src, f"{base}/ours")["action"] == "skipped"
+    read_table(spark, src).limit(3).write.mode("append").parquet(f"{base}/ours")
+    assert copy_table(spark, src, f"{base}/ours")["action"] == "skipped_unverified"
+
+
+def test_a_broken_overwrite_leaves_the_old_target(spark):
+    base = work_dir(spark, "tests", "broken")
+    assert copy_table(spark, _ref("supplier"), f"{base}/t")["action"] == "copied"
+    spark.createDataFrame([(i,) for i in range(100)], "id long").write.parquet(f"{base}/ids")
+    spark.sql(f"CREATE OR REPLACE TEMP VIEW breaks AS SELECT id, IF(id = 99, raise_error('half way'), id) AS x FROM parquet.`{base}/ids`")
+    out = copy_table(spark, TableRef("d", "t", name="breaks", provider="parquet"), f"{base}/t", if_exists="overwrite")
+    spark.catalog.dropTempView("breaks")
+    assert out["action"] == "failed" and "half way" in out["error"]
+    assert verify_copies(spark, [(_ref("supplier"), _ref("supplier").at(f"{base}/t"))]).first().verdict == "match"
+    steps = [r.step for r in read_journal(spark, [f"{base}/t"]).orderBy("at").collect()]
+    assert steps == ["started", "staged", "published", "started", "failed"]
+    # A crash between the two moves of a publish: the old target comes back.
+    fs, path = file_system(spark, f"{base}/t")
+    assert fs.rename(path, file_system(spark, f"{base}/_old.t.x")[1])
+    assert copy_table(spark, _ref("supplier"), f"{base}/t")["action"] == "skipped"
+
+
+def test_a_lost_registration_is_made_again_and_drift_is_told(spark):
+    base, db = work_dir(spark, "tests", "names"), "t_" + uuid.uuid4().hex[:8]
+    spark.sql(f"CREATE DATABASE {db} LOCATION '{base}/db'")
+    src, name = _ref("lineitem", ["l_returnflag"]), f"{db}.lineitem"
+    assert copy_table(spark, src, f"{base}/lineitem", target_name=name)["action"] == "copied"
+    n = spark.table(name).count()
+    assert n == read_table(spark, src).count()
+    spark.sql(f"DROP TABLE {name}")
+    assert copy_table(spark, src, f"{base}/lineitem", target_name=name)["action"] == "registered"
+    assert spark.table(name).count() == n and copy_table(spark, src, f"{base}/lineitem", target_name=name)["action"] == "skipped"
+    out = copy_table(spark, src, f"{base}/elsewhere", target_name=name)
+    assert out["action"] == "drift" and not out["copied_successfully"] and spark.table(name).count() == n
+    sync = spark.createDataFrame([("s", "nation", "TABLE", "parquet", None, f"{SF_SMALL}/nation.parquet", "TO_CREATE")],
+                                 ", ".join(f"{c} string" for c in SYNC_COLUMNS))
+    assert [apply_sync(spark, sync, db).first().status for _ in range(2)] == ["success", "success"]
+    moved = sync.withColumn("location", F.lit(f"{SF_SMALL}/region.parquet"))
+    assert apply_sync(spark, moved, db).first().status == "drift"
 
 
 def test_tables_with_one_target_are_refused(spark):

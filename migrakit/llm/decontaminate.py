@@ -23,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.parallel import let
 from .common import fold_ascii, outside, packed_columns, row_key, settled, whole_text
 
 #: Digits, letters of ASCII and everything beyond it: before or after A-Z are
@@ -78,17 +79,15 @@ def hits(docs: DataFrame, items: DataFrame, n: int = 10, block: int = 200_000) -
     grouped = found.groupBy("rk").agg(
         F.sort_array(F.collect_set(F.struct("pos", (F.col("pos") + F.col("len")).alias("end")))).alias("at"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    # Sorted windows merged to disjoint spans: a span begins where the highest end so far lies before it.
-    empty = F.struct(F.lit(-1).alias("begin"), F.lit(-1).alias("end"))
-    step = lambda a, s: F.struct(
-        F.when(s["pos"] > a["last"]["end"], F.when(a["last"]["end"] < 0, a["done"]).otherwise(
-            F.concat(a["done"], F.array(a["last"])))).otherwise(a["done"]).alias("done"),
-        F.when(s["pos"] > a["last"]["end"], F.struct(s["pos"].alias("begin"), s["end"].alias("end")))
-        .otherwise(F.struct(a["last"]["begin"].alias("begin"),
-                            F.greatest(a["last"]["end"], s["end"]).alias("end"))).alias("last"))
-    none = F.filter(F.array(empty), lambda s: s["begin"] >= 0)
-    spans = F.aggregate("at", F.struct(none.alias("done"), empty.alias("last")), step,
-                        lambda a: F.concat(a["done"], F.array(a["last"])))
+    # Disjoint spans: runs of consecutive covered words, in time linear in the words that windows cover.
+    cover = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda s: F.sequence(s["pos"], s["end"] - 1)))))
+
+    def runs(c: Column) -> Column:
+        begins = F.filter(c, lambda x, i: F.coalesce(F.get(c, i - 1) < x - 1, F.lit(True)))
+        ends = F.filter(c, lambda x, i: F.coalesce(F.get(c, i + 1) > x + 1, F.lit(True)))
+        return F.zip_with(begins, ends, lambda x, y: F.struct(x.alias("begin"), (y + 1).alias("end")))
+
+    spans = let(cover, runs)
     # Checkpointed: the join with the documents is between two plain shuffles,
     # so many equal rows of one document are split by AQE.
     return settled(grouped.select("rk", spans.alias("spans"), "items")

@@ -166,11 +166,42 @@ def test_stages(spark, docs, none, k, tmp_path_factory):
     spark.createDataFrame([(1, "nothing of the kind in any of these documents")], "item_id long, text string").write.parquet(f"{items}/benchmark.parquet")
     name, stage = corpus_pipeline.STAGES[k]
     got = stage(spark, docs, str(items))
-    assert got.columns == docs.columns + (["shard", "slot"] if k == 4 else [])
-    assert got.count() >= 8
+    assert got.columns == ([c for c in docs.columns if c != "shard"] + ["shard", "slot"] if k == 4 else docs.columns)
+    got.write.parquet(f"{items}/out")
+    assert spark.read.parquet(f"{items}/out").count() >= 8
     assert stage(spark, none, str(items)).count() == 0
 
 
+def test_language_stage_rejects_long_texts_like_no_language(spark):
+    texts = [f"the cat and the dog of house number {i} went to the river" for i in range(40)]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(90, "ЖЩЪ " * 60, None), (91, "Жщ", None), (92, "... 12", "en")]
+    kept = {r[0] for r in corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "").collect()}
+    assert kept == {*range(40), 91}
+
+
+def test_shards_follow_part_numbers(spark, tmp_path):
+    for part in (2, 10, 100000):
+        spark.range(part, part + 3).selectExpr("id AS doc_id", "cast(id AS string) AS text").coalesce(1).write.parquet(f"{tmp_path}/x{part}")
+        import glob
+        import os
+        os.makedirs(f"{tmp_path}/all", exist_ok=True)
+        os.link(glob.glob(f"{tmp_path}/x{part}/part-*.parquet")[0], f"{tmp_path}/all/part-{part:05d}-a.parquet")
+    got = corpus_pipeline.shards(spark, spark.read.parquet(f"{tmp_path}/all"), "").orderBy("shard", "slot").collect()
+    assert [r["doc_id"] for r in got] == [2, 3, 4, 10, 11, 12, 100000, 100001, 100002]
+
+
+def test_many_hits_in_one_text(spark):
+    """Time is linear in the hits of a text: 100,000 in seconds."""
+    import time
+    item = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, " x ".join([item] * 33_400)), (2, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, "w3 w4")], "item_id long, text string")
+    start = time.time()
+    got = {r[0]: tuple(r)[1:] for r in decontaminate.contamination(docs, items).select("row.doc_id", "n_words", "n_hit", F.size("spans")).collect()}
+    assert got[2][:2] == (1, 0)
+    assert got[1] == (33_400 * 13 - 1, 33_400 * 12, 33_400) and time.time() - start < 60
+
+
 def test_executors_need_not_have_the_package(tmp_path):
     """A session started in a folder from which the workers cannot import it."""
     import subprocess

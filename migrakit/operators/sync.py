@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.strings import quote_name
 from ..sources.tables import records
 from .copying import copy_tables, needs_copy_predicate, same_place, source_ref, table_at
-from .merge import both_sides
+from .merge import both_sides, outer_match
 
 KEYS = ("database", "table_name")
 
@@ -24,11 +24,22 @@ ORPHAN = "ORPHAN"
 UNSUPPORTED = "UNSUPPORTED"
 VIEWS_NOT_SUPPORTED = "VIEWS_NOT_SUPPORTED"
 DUPLICATE = "DUPLICATE"
+MOVED = "MOVED"
+COLUMNS_CHANGED = "COLUMNS_CHANGED"
+
+# Fixed kinds of a column's change.
+ADDED, DROPPED, RETYPED, NULLABILITY, REORDERED = "ADDED", "DROPPED", "RETYPED", "NULLABILITY", "REORDERED"
 
 SYNC_COLUMNS = ("source_schema", "source_name", "source_type", "source_provider",
                 "target_provider", "location", "status_code")
 
 
+def _place(location):
+    """A location as it is compared: without slashes at its end; an empty one is none."""
+    bare = F.rtrim(location, F.lit("/"))
+    return F.when(bare != "", bare)
+
+
 def plan_sync(src: DataFrame, dst: DataFrame, prefix: str = "s3", legacy: str = "hive",
               keys: Sequence[str] = KEYS) -> DataFrame:
     """One row per table on either side with what a sync would do.
@@ -36,7 +47,8 @@ def plan_sync(src: DataFrame, dst: DataFrame, prefix: str = "s3", legacy: str =
     ORPHAN: only in the target.  VIEWS_NOT_SUPPORTED: a source view.
     UNSUPPORTED: a temporary table, or one that must be copied (not on the
     object store, or on the legacy provider).  EXISTS / CHANGED: in both,
-    same / other provider.  TO_CREATE: can be registered over its files.
+    same / other provider.  MOVED (only where ``dst`` has a ``location``): in both,
+    same provider, over other files.  TO_CREATE: can be registered over its files.
     DUPLICATE: the key is repeated on a side; every distinct row of it is listed,
     with the other side's columns NULL.  Both sides are one union: equal rows go
     by a distinct with map-side partial aggregation, then a window over the key
@@ -44,7 +56,8 @@ def plan_sync(src: DataFrame, dst: DataFrame, prefix: str = "s3", legacy: str =
     tmp = F.col("is_temporary") if "is_temporary" in src.columns else F.lit(False)
     sides = both_sides(src, dst, keys, [F.col("table_type"), F.col("provider").alias("source_provider"),
                                         F.col("location"), tmp.alias("tmp")],
-                       [F.col("provider").alias("target_provider")]).distinct()
+                       [F.col("provider").alias("target_provider"),
+                        (F.col("location") if "location" in dst.columns else F.lit(None).cast("string")).alias("at")]).distinct()
     w = Window.partitionBy(*keys)
     m = sides.select(*keys, F.col("_l").alias("_own_l"), F.col("_r").alias("_own_r"), F.max("_l").over(w).alias("_l"),
                      F.max("_r").over(w).alias("_r"), F.count("_l").over(w).alias("_l_n"), F.count("_r").over(w).alias("_r_n"))
@@ -60,6 +73,7 @@ def plan_sync(src: DataFrame, dst: DataFrame, prefix: str = "s3", legacy: str =
                .when(~in_src, ORPHAN)
                .when(F.col("_l.table_type") == "VIEW", VIEWS_NOT_SUPPORTED)
                .when(F.coalesce(F.col("_l.tmp"), F.lit(False)), UNSUPPORTED)
+               .when(in_dst & sp.eqNullSafe(tp) & F.coalesce(_place(F.col("_l.location")) != _place(F.col("_r.at")), F.lit(False)), MOVED)
                .when(in_dst & sp.eqNullSafe(tp), EXISTS)
                .when(in_dst, CHANGED)
                .when(external, TO_CREATE)
@@ -70,6 +84,45 @@ def plan_sync(src: DataFrame, dst: DataFrame, prefix: str = "s3", legacy: str =
                     status.alias("status_code"))
 
 
+def column_changes(src: DataFrame, dst: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """J3/Y1 by column: one row per column that differs between two column
+    inventories (keys, ``ordinal``, ``column_name``, ``data_type``, ``nullable``), for tables
+    that are on both sides.
+
+    ADDED / DROPPED: only in the source / target.  RETYPED, NULLABILITY: another
+    type; the same type, but NULL is allowed on one side only.  REORDERED: the
+    same, but at another place among the columns that both sides have.  DUPLICATE:
+    listed twice, with different entries, on a side.  Names are compared
+    without regard to letter case.  One aggregation by column and one window by table
+    (a table's columns are few); no join."""
+    one = [F.struct("column_name", "ordinal", "data_type", "nullable").alias("c")]
+    named = lambda d: d.select(*keys, F.lower("column_name").alias("_c"), "column_name", "ordinal", "data_type", "nullable").distinct()
+    m = outer_match(named(src), named(dst), [*keys, "_c"], one, one)
+    table, common = Window.partitionBy(*keys), F.col("_l").isNotNull() & F.col("_r").isNotNull()
+    m = m.withColumn("_both", F.max(F.col("_l").isNotNull()).over(table) & F.max(F.col("_r").isNotNull()).over(table)).where("_both")
+    place = lambda side: F.row_number().over(Window.partitionBy(*keys, common).orderBy(F.col(f"{side}.c.ordinal"), "_c"))
+    m = m.withColumn("_pl", place("_l")).withColumn("_pr", place("_r"))
+    l, r = (lambda f: F.col(f"_l.c.{f}")), (lambda f: F.col(f"_r.c.{f}"))  # noqa: E741
+    change = (F.when((F.col("_l_n") > 1) | (F.col("_r_n") > 1), DUPLICATE)
+              .when(F.col("_r").isNull(), ADDED).when(F.col("_l").isNull(), DROPPED)
+              .when(~l("data_type").eqNullSafe(r("data_type")), RETYPED)
+              .when(~l("nullable").eqNullSafe(r("nullable")), NULLABILITY)
+              .when(F.col("_pl") != F.col("_pr"), REORDERED))
+    return m.select(F.col(keys[0]).alias("source_schema"), F.col(keys[1]).alias("source_name"),
+                    F.coalesce(l("column_name"), r("column_name")).alias("column_name"), l("data_type").alias("source_type"),
+                    r("data_type").alias("target_type"), change.alias("change")).where("change is not null")
+
+
+def with_column_changes(sync: DataFrame, changes: DataFrame) -> DataFrame:
+    """A sync plan with the number of changed columns of every table; a table that
+    EXISTS with changed columns is COLUMNS_CHANGED."""
+    keys = ["source_schema", "source_name"]
+    n = changes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_changed"), F.sort_array(F.collect_set("change")).alias("changes"))
+    out = sync.join(n, keys, "left").withColumn("n_changed", F.coalesce("n_changed", F.lit(0).cast("long")))
+    status = F.when((F.col("status_code") == EXISTS) & (F.col("n_changed") > 0), COLUMNS_CHANGED).otherwise(F.col("status_code"))
+    return out.withColumn("status_code", status).withColumn("changes", F.array_join(F.coalesce("changes", F.array().cast("array<string>")), ","))
+
+
 def sync_report(sync: DataFrame, dims: Sequence[str] = ("status_code", "source_type")) -> DataFrame:
     """Row counts per value of each dimension, in one pass
     (grouping sets: one scan and one shuffle for all dimensions).

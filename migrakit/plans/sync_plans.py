@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.strings import quote_ident
 from ..operators.projections import attributes_wide
-from ..operators.sync import SYNC_COLUMNS, apply_sync, plan_sync, sync_report, views_of
+from ..operators.sync import SYNC_COLUMNS, apply_sync, column_changes, plan_sync, sync_report, views_of, with_column_changes
 from ..operators.verify import verify_counts
 from ..session import drop_database, remove_dir, work_dir
 from ..sources import fixtures as fx
@@ -59,6 +59,70 @@ def q_sync_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync_report(_sync(spark, sf_dir))
 
 
+# Four columns of every table on either side, in SQL that both engines read: at the target some are missing, have
+# another type or another rule for NULL, stand elsewhere, or are new.
+_TABLE = "concat('db', CAST(o_custkey % 10 AS STRING)) AS database, concat('t', CAST(o_orderkey AS STRING)) AS table_name"
+_TYPE = "CASE (o_orderkey + i) % 3 WHEN 0 THEN 'bigint' WHEN 1 THEN 'string' ELSE 'double' END"
+_SRC_COLUMNS = f"SELECT {_TABLE}, i AS ordinal, concat('c', CAST(i AS STRING)) AS column_name, {_TYPE} AS data_type, i > 0 AS nullable FROM o4"
+_DST_COLUMNS = f"""SELECT {_TABLE}, CASE WHEN o_orderkey % 15 = 4 THEN 3 - i ELSE i END AS ordinal,
+  concat(CASE WHEN o_orderkey % 9 = 2 THEN 'C' ELSE 'c' END, CAST(i AS STRING)) AS column_name,
+  CASE WHEN (o_orderkey + i) % 10 = 3 THEN 'decimal(10,2)' ELSE {_TYPE} END AS data_type, (i > 0) <> ((o_orderkey + i) % 8 = 5) AS nullable
+  FROM o4 WHERE o_orderkey % 6 <> 0 AND (o_orderkey + i) % 11 <> 1
+UNION ALL SELECT {_TABLE}, 9 AS ordinal, 'extra' AS column_name, 'int' AS data_type, true AS nullable FROM o4 WHERE i = 0 AND o_orderkey % 6 <> 0 AND o_orderkey % 7 = 3"""
+_O4 = "SELECT o_orderkey, o_custkey, i FROM orders CROSS JOIN (VALUES (0), (1), (2), (3)) AS v(i)"
+_COLUMNS_SQL = f"""o4 AS ({_O4}),
+sc AS ({_SRC_COLUMNS}),
+dc AS ({_DST_COLUMNS}),
+both_cols AS (SELECT s.database, s.table_name, s.column_name, row_number() OVER (PARTITION BY s.database, s.table_name ORDER BY s.ordinal) AS ps,
+  row_number() OVER (PARTITION BY s.database, s.table_name ORDER BY d.ordinal) AS pd
+  FROM sc s JOIN dc d ON s.database = d.database AND s.table_name = d.table_name AND s.column_name = lower(d.column_name)),
+changes AS (SELECT * FROM (
+  SELECT coalesce(s.database, d.database) AS source_schema, coalesce(s.table_name, d.table_name) AS source_name,
+    coalesce(s.column_name, d.column_name) AS column_name, s.data_type AS source_type, d.data_type AS target_type,
+    CASE WHEN d.column_name IS NULL THEN 'ADDED' WHEN s.column_name IS NULL THEN 'DROPPED' WHEN s.data_type <> d.data_type THEN 'RETYPED'
+         WHEN s.nullable <> d.nullable THEN 'NULLABILITY' WHEN b.ps <> b.pd THEN 'REORDERED' END AS change
+  FROM sc s FULL OUTER JOIN dc d ON s.database = d.database AND s.table_name = d.table_name AND s.column_name = lower(d.column_name)
+  LEFT JOIN both_cols b ON b.database = s.database AND b.table_name = s.table_name AND b.column_name = s.column_name)
+  WHERE change IS NOT NULL AND (source_schema, source_name) IN (SELECT (database, table_name) FROM dc))"""
+
+
+def _column_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o4 = fx.base(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    sides = [spark.sql(sql.replace("FROM o4", "FROM {o4}"), o4=o4) for sql in (_SRC_COLUMNS, _DST_COLUMNS)]
+    return column_changes(*sides)
+
+
+@plan("column_changes", f"WITH {_COLUMNS_SQL}\nSELECT * FROM changes")
+def q_column_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3/Y1 by column: added, dropped, retyped, of another rule for NULL, or moved."""
+    return _column_changes(spark, sf_dir)
+
+
+_AT = ("CASE WHEN o_orderkey % 14 = 8 THEN concat('s3://other/', CAST(o_orderkey AS STRING)) WHEN o_orderkey % 4 = 0 "
+       "THEN concat('s3://b/', CAST(o_orderkey AS STRING), '/') WHEN o_orderkey % 4 = 1 THEN concat('dbfs:/m/', CAST(o_orderkey AS STRING)) END")
+
+
+@plan("sync_drift", _with_sync(f"""SELECT 1""").rsplit("SELECT 1", 1)[0].rstrip() + f""",
+{_COLUMNS_SQL},
+elsewhere AS (SELECT {_TABLE}, {_AT} AS at FROM orders),
+n AS (SELECT source_schema, source_name, count(*) AS n_changed, string_agg(DISTINCT change, ',' ORDER BY change) AS changes FROM changes GROUP BY ALL)
+SELECT y.source_schema, y.source_name, y.source_type, y.source_provider, y.target_provider, y.location,
+  coalesce(n_changed, 0) AS n_changed, coalesce(changes, '') AS changes,
+  CASE WHEN status_code = 'EXISTS' AND y.location <> '' AND rtrim(e.at, '/') <> y.location THEN 'MOVED'
+       WHEN status_code = 'EXISTS' AND n_changed > 0 THEN 'COLUMNS_CHANGED' ELSE status_code END AS status_code
+FROM sync y LEFT JOIN elsewhere e ON e.database = y.source_schema AND e.table_name = y.source_name
+LEFT JOIN n ON n.source_schema = y.source_schema AND n.source_name = y.source_name""")
+def q_sync_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sync plan that tells tables over other files and tables whose
+    columns have changed from those that are the same."""
+    dst = fx.target_inventory(spark, sf_dir)
+    at = fx.base(spark, sf_dir, "orders").select(F.expr(_TABLE.split(", concat")[0].split(" AS database")[0]).alias("database"),
+                                                 F.expr("concat('t', CAST(o_orderkey AS STRING))").alias("table_name"),
+                                                 F.expr(_AT).alias("location"))
+    dst = dst.join(at, ["database", "table_name"], "left")
+    return with_column_changes(plan_sync(fx.inventory(spark, sf_dir), dst), _column_changes(spark, sf_dir))
+
+
 @plan("sync_views", _with_sync("SELECT * FROM sync WHERE status_code = 'VIEWS_NOT_SUPPORTED'"))
 def q_sync_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The views a sync leaves for the view rewrite."""

@@ -206,12 +206,17 @@ def fingerprint_exprs(schema: StructType) -> list:
     The hash is the exact (decimal) sum of a 64-bit hash of every row, so
     duplicates count and no overflow occurs at any table size.  Every column
     enters with a NULL flag, so a value moved across a NULL changes it."""
+    h = row_hash(schema).cast("decimal(38,0)")
+    return [F.count(F.lit(1)).alias("n"), F.sum(h).alias("content_hash")]
+
+
+def row_hash(schema: StructType) -> Column:
+    """64-bit hash of a row over the fields of ``schema``, in order, each with a NULL flag."""
     parts = []
     for f in schema.fields:
         c = F.col(quote_ident(f.name))
         parts += [c.isNull(), hashable(c, f.dataType)]
-    h = F.xxhash64(*parts).cast("decimal(38,0)")
-    return [F.count(F.lit(1)).alias("n"), F.sum(h).alias("content_hash")]
+    return F.xxhash64(*parts)
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

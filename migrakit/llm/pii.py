@@ -10,15 +10,15 @@ Kinds: payment cards (13-19 digits in one run, or in groups of 4-4-4-4 or
 IBANs (of
 the country's length, or of any length if none of that stands there; modulo 97; digits permuted, letters kept, check digits set anew),
 calendar dates of the years 1800-2199 (year first or day first, with "-", "/" or
-"."; one that is a date only month first stays one: the 88,497 = 9 x 9,833
-days above the 12th of a month are permuted among themselves) and the letters and digits of an e-mail
+"."; month first where it is no date otherwise: the 57,600 = 240 x 240 days up to the 12th of a
+month are permuted among themselves, and so are the 88,497 = 9 x 9,833 above it, so the date keeps one
+pseudonym in all formats) and the letters and digits of an e-mail
 address's local part.  Punctuation stays where it stood; a number that fails its
 check stays as it is.
 
 A value is a pair (l, r) in Z_a x Z_b; eight rounds add a keyed hash of one half
 to the other, modulo the half's size, so every pair of sizes is permuted
-exactly, without cycle walking (400 Gregorian years are 146,097 = 189 x 773
-days).  Local parts use the same network letter by letter.
+exactly, without cycle walking.  Local parts use the same network letter by letter.
 
 All of it is column expressions in one narrow stage: the text is cut where one
 regular expression finds that a value may begin, also inside another such match; from
@@ -26,6 +26,7 @@ left to right, what passes its check is replaced, and the pieces are joined.  So
 match that fails hides no value in it.  On the way back, groups before a card that happen to
 make a valid number with the pseudonym's first groups are taken first (one in ten
 of the cards that follow four such digits): those are not inverted.
+The key reaches the rows through a one-row frame and is no literal of the plan.
 Nothing is shuffled, so keys and sources cannot be hot.
 
 Defined results: a null text stays null, with no values; empty and repeated rows
@@ -38,9 +39,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import records
 from .common import packed_columns
 
 ROUNDS = 8
+#: Values joined at a time: a text of n values costs about n * BLOCK + (n / BLOCK)^2 copied references.
+BLOCK = 256
 _D0, _D1 = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 #: Length of an IBAN by country code.
 IBAN_LENGTHS = {
@@ -73,13 +77,13 @@ _EDGE = {"ip": (_D0 + r"(?<![0-9]\.)", _D1), "phone": (r"(?<![0-9A-Za-z+])", _D1
 VALUE = "(?:" + "|".join(f"{_EDGE.get(k, (_D0, _D1))[0]}{p}{_EDGE.get(k, (_D0, _D1))[1]}" for k, p in FORMATS.items()) + ")"
 
 
-def _hash(key: str, tweak: str, i: Column, half: Column) -> Column:
+def _hash(key: Column, tweak: str, i: Column, half: Column) -> Column:
     """60 bits of a keyed hash."""
-    s = F.sha2(F.concat(F.lit(f"{key}|{tweak}|"), i.cast("string"), F.lit("|"), half.cast("string"), F.lit(f"|{key}")), 256)
+    s = F.sha2(F.concat(key, F.lit(f"|{tweak}|"), i.cast("string"), F.lit("|"), half.cast("string"), F.lit("|"), key), 256)
     return F.conv(F.substring(s, 1, 15), 16, 10).cast("long")
 
 
-def _permute(key: str, tweak: str, l: Column, r: Column, a: Column, b: Column, back: bool = False) -> Column:  # noqa: E741
+def _permute(key: Column, tweak: str, l: Column, r: Column, a: Column, b: Column, back: bool = False) -> Column:  # noqa: E741
     """struct(l, r) permuted in Z_a x Z_b."""
     start = F.struct(l.cast("long").alias("l"), r.cast("long").alias("r"))
     sign = -1 if back else 1
@@ -123,7 +127,7 @@ def _power10(n: Column) -> Column:
     return F.rpad(F.lit("1"), n + 1, "0").cast("long")
 
 
-def _halves(key: str, tweak: str, digits: Column, back: bool) -> Column:
+def _halves(key: Column, tweak: str, digits: Column, back: bool) -> Column:
     """A digit string of at most 36 permuted among those of its length."""
     n = F.length(digits)
     u = (n / 2).cast("int")
@@ -152,15 +156,19 @@ def _date_in(y: Column, m: Column, d: Column) -> Column:
     return F.when(F.substr(y, F.lit(1), F.lit(2)).isin("18", "19", "20", "21"), F.concat_ws("-", y, m, d).try_cast("date"))
 
 
-def _date_out(key: str, date: Column, pattern: str, back: bool) -> Column:
-    day = F.datediff(date, F.lit("1800-01-01").cast("date"))
-    p = _permute(key, "date", (day / 773).cast("long"), day % 773, F.lit(189), F.lit(773), back)
-    return F.transform(F.array(p), lambda s: F.date_format(
-        F.date_add(F.lit("1800-01-01").cast("date"), (s["l"] * 773 + s["r"]).cast("int")), pattern))[0]
+def _new_date(key: Column, date: Column, back: bool) -> Column:
+    """A day of 1800-2199 permuted among those up to the 12th of a month, or among those above
+    it: so a date that is one only month first stays so, and a date has one pseudonym in
+    every format."""
+    low = (F.year(date) - 1800) * 144 + (F.month(date) - 1) * 12 + F.dayofmonth(date) - 1
+    p = _permute(key, "low", (low / 240).cast("long"), low % 240, F.lit(240), F.lit(240), back)
+    early = F.transform(F.transform(F.array(p), lambda s: (s["l"] * 240 + s["r"]).cast("int")), lambda i: F.make_date(
+        (i / 144).cast("int") + 1800, (i / 12).cast("int") % 12 + 1, i % 12 + 1))[0]
+    return F.when(F.dayofmonth(date) <= 12, early).otherwise(_late_date(key, date, back))
 
 
-def _month_first(key: str, date: Column, back: bool) -> Column:
-    """A day above the 12th permuted among those of 1800-2199, as MM.dd.yyyy."""
+def _late_date(key: Column, date: Column, back: bool) -> Column:
+    """A day above the 12th permuted among those of 1800-2199."""
     first = F.lit("1800-01-01").cast("date")
     months = (F.year(date) - 1800) * 12 + F.month(date)                   # so many times were 12 days left out
     at = F.datediff(date, first) - months * 12
@@ -171,19 +179,19 @@ def _month_first(key: str, date: Column, back: bool) -> Column:
         # The month is within one of the place in 4,800 equal months.
         k = (i * 4800 / 88497).cast("int")
         k = k - 1 + (before(k) <= i).cast("int") + (before(k + 1) <= i).cast("int")
-        return F.date_format(F.date_add(first, i + (k + 1) * 12), "MM.dd.yyyy")
+        return F.date_add(first, i + (k + 1) * 12)
 
     return F.transform(F.transform(F.array(p), lambda s: (s["l"] * 9833 + s["r"]).cast("int")), out)[0]
 
 
-def _letters(key: str, v: Column, back: bool) -> Column:
+def _letters(key: Column, v: Column, back: bool) -> Column:
     """A string permuted among those of the same kinds of letters, by halves."""
     n = F.length(v)
     u = (n / 2).cast("int")
     sign = -1 if back else 1
 
     def shifted(s: Column, i: Column, other: Column) -> Column:
-        h = F.sha2(F.concat(F.lit(f"{key}|mail|"), i.cast("string"), F.lit("|"), other, F.lit(f"|{key}")), 256)
+        h = F.sha2(F.concat(key, F.lit("|mail|"), i.cast("string"), F.lit("|"), other, F.lit("|"), key), 256)
         def one(c, j):
             by = F.conv(F.substr(h, (j % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int") * sign
             turn = lambda first, size: F.char(F.pmod(F.ascii(c) - first + by, F.lit(size)) + first)
@@ -201,7 +209,7 @@ def _letters(key: str, v: Column, back: bool) -> Column:
     return F.aggregate(rounds, start, step, lambda s: F.concat(s["l"], s["r"]))
 
 
-def _rules(key: str, v: Column, back: bool) -> list[tuple[str, Column, Column, Column]]:
+def _rules(key: Column, v: Column, back: bool) -> list[tuple[str, Column, Column, Column]]:
     """(kind, looks like it, is valid, pseudonym) in the order of FORMATS."""
     whole = lambda k: v.rlike(f"^(?:{FORMATS[k]})$")
     d, n = _digits(v), F.length(_digits(v))
@@ -213,9 +221,12 @@ def _rules(key: str, v: Column, back: bool) -> list[tuple[str, Column, Column, C
     ymd = _date_in(cut(1, 4), cut(5, 2), cut(7, 2))
     dmy = _date_in(cut(5, 4), cut(3, 2), cut(1, 2))
     mdy = F.when(~v.contains("."), _date_in(cut(5, 4), cut(1, 2), cut(3, 2)))
-    sep = F.substr(v, F.lit(3), F.lit(1))
-    day_first = F.replace(_date_out(key, dmy, "dd.MM.yyyy", back), F.lit("."), sep)
-    month_first = F.replace(_month_first(key, mdy, back), F.lit("."), sep)
+    year_first = whole("ymd")
+    date = F.when(year_first, ymd).otherwise(F.coalesce(dmy, mdy))
+    new_date = F.transform(F.array(_new_date(key, date, back)), lambda t: F.when(
+        year_first, F.replace(F.date_format(t, "yyyy-MM-dd"), F.lit("-"), F.substr(v, F.lit(5), F.lit(1)))).otherwise(F.replace(
+            F.when(dmy.isNotNull(), F.date_format(t, "dd.MM.yyyy")).otherwise(F.date_format(t, "MM.dd.yyyy")),
+            F.lit("."), F.substr(v, F.lit(3), F.lit(1)))))[0]
     ssn_l = (_num(cut(1, 3)) - 1 - F.when(_num(cut(1, 3)) > 666, 1).otherwise(0)) * 99 + _num(cut(4, 2)) - 1
     ssn = F.transform(F.array(_permute(key, "ssn", ssn_l, _num(cut(6, 4)) - 1, F.lit(88902), F.lit(9999), back)), lambda s: F.concat_ws(
         "-", _pad((s["l"] / 99).cast("long") + 1 + F.when(s["l"] >= 665 * 99, 1).otherwise(0), 3), _pad(s["l"] % 99 + 1, 2), _pad(s["r"] + 1, 4)))[0]
@@ -234,9 +245,7 @@ def _rules(key: str, v: Column, back: bool) -> list[tuple[str, Column, Column, C
     return [
         ("email", whole("email"), F.lit(True), F.concat(_letters(key, user, back), F.lit("@"), F.substr(v, F.length(user) + 2, F.length(v)))),
         ("iban", whole("iban"), _mod97(F.concat(body, F.substr(flat, F.lit(1), F.lit(4)))) == 1, _refill(v, iban)),
-        ("date", whole("ymd"), ymd.isNotNull(), F.replace(_date_out(key, ymd, "yyyy-MM-dd", back), F.lit("-"), F.substr(v, F.lit(5), F.lit(1)))),
-        ("date", whole("dmy") & (dmy.isNotNull() | mdy.isNull()), dmy.isNotNull(), day_first),
-        ("date", whole("dmy"), mdy.isNotNull(), month_first),
+        ("date", year_first | whole("dmy"), date.isNotNull(), new_date),
         ("ssn", whole("ssn"), _num(cut(1, 3)).between(1, 899) & (cut(1, 3) != "666") & (cut(4, 2) != "00") & (cut(6, 4) != "0000"), ssn),
         ("ip", whole("ip"), F.forall(F.split(v, r"\."), lambda o: (_num(o) <= 255) & ((o == "0") | ~o.startswith("0"))), ip),
         ("phone", whole("phone"), F.lit(True), _refill(v, phone)),
@@ -253,7 +262,7 @@ def _refill_digits(v: Column, new: Column) -> Column:
     return F.aggregate(_chars(v), start, step, lambda s: s["out"])
 
 
-def pseudonym(v: Column, key: str, back: bool = False) -> Column:
+def pseudonym(v: Column, key: Column, back: bool = False) -> Column:
     """struct(kind, value) of a matched string; kind is null and the value
     unchanged if no format's check passes."""
     case = F.lit(None).cast("struct<kind:string,value:string>")
@@ -273,14 +282,15 @@ def pseudonymise(docs: DataFrame, key: str, back: bool = False, keep: list[str]
     with pseudonyms in place of the values, ``kinds`` the kind of every value in
     order.  ``back`` inverts a run with the same key."""
     text = F.col("text").cast("string")
-    some = text.rlike("[0-9]|@")
-    none = F.array().cast("array<struct<kind:string,value:string>>")
+    secret = records(docs.sparkSession, [(key,)], "key string").scalar()      # not a literal: a plan shows no key
+    docs = docs.select(packed_columns(docs, keep), text.alias("text"), secret.alias("_key"))
+    some = F.col("text").rlike("[0-9]|@")
     begin = f"(?=({VALUE}))"
-    found = F.when(some, F.zip_with(F.regexp_extract_all(text, F.lit(begin), F.lit(1)), _pieces(text, begin), lambda v, g: F.struct(
-        pseudonym(v, key, back).alias("new"), F.length(v).alias("n"), g.alias("piece"))))
+    found = F.when(some, F.zip_with(F.regexp_extract_all("text", F.lit(begin), F.lit(1)), _pieces(F.col("text"), begin), lambda v, g: F.struct(
+        pseudonym(v, F.col("_key"), back).alias("new"), F.length(v).alias("n"), g.alias("piece"))))
     none = F.array().cast("array<struct<new:struct<kind:string,value:string>,n:int,piece:string>>")
     # One row per text through a one-element generator: the values are worked out once.
-    cut = docs.select(packed_columns(docs, keep), text.alias("text"), F.explode(F.array(F.coalesce(found, none))).alias("found"))
+    cut = docs.select("row", "text", F.explode(F.array(F.coalesce(found, none))).alias("found"))
 
     def step(s, f):
         """``over``: characters of the next pieces that belong to a value already replaced."""
@@ -291,8 +301,19 @@ def pseudonymise(docs: DataFrame, key: str, back: bool = False, keep: list[str]
             F.when(taken, F.concat(s["kinds"], F.array(f["new"]["kind"]))).otherwise(s["kinds"]).alias("kinds"),
             F.greatest(over - size, F.lit(0)).alias("over"))
 
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.array().cast("array<string>").alias("kinds"), F.lit(0).alias("over"))
-    told = cut.select("row", "text", F.explode(F.array(F.aggregate("found", start, step))).alias("told"), F.aggregate(
+    strings, lists = F.array().cast("array<string>"), F.array().cast("array<array<string>>")
+
+    def block(s, at):
+        """``BLOCK`` values at a time: an array that grows by one is copied whole, so it is kept short."""
+        start = F.struct(strings.alias("parts"), strings.alias("kinds"), s["over"].alias("over"))
+        done = F.transform(F.array(F.aggregate(F.slice("found", at, F.lit(BLOCK)), start, step)), lambda b: F.struct(
+            F.concat(s["parts"], F.array(F.array_join(b["parts"], ""))).alias("parts"),
+            F.concat(s["kinds"], F.array(b["kinds"])).alias("kinds"), b["over"].alias("over")))
+        return done[0]
+
+    start = F.struct(strings.alias("parts"), lists.alias("kinds"), F.lit(0).alias("over"))
+    blocks = F.when(F.size("found") > 0, F.sequence(F.lit(1), F.size("found"), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    told = cut.select("row", "text", F.explode(F.array(F.aggregate(blocks, start, block))).alias("told"), F.aggregate(
         "found", F.lit(0), lambda n, f: n + F.length(f["piece"])).alias("rest"))
     whole = F.concat(F.substr("text", F.lit(1), F.length("text") - F.col("rest")), F.array_join("told.parts", ""))
-    return told.select("row", F.when(F.size("told.parts") > 0, whole).otherwise(F.col("text")).alias("text"), F.col("told.kinds").alias("kinds"))
+    return told.select("row", F.when(F.size("told.parts") > 0, whole).otherwise(F.col("text")).alias("text"), F.flatten("told.kinds").alias("kinds"))

@@ -1,6 +1,7 @@
 """Operators without a statement against brute force, inverses or held-out
 accuracy."""
 
+import hashlib
 import math
 import random
 import re
@@ -452,6 +453,169 @@ def test_month_first_dates_are_permuted_whole(spark):
     assert {r[0]: r[1] for r in back} == old
 
 
+def test_one_date_has_one_pseudonym_in_all_formats(spark):
+    import datetime
+    days = [datetime.date(1800, 1, 1) + datetime.timedelta(i * 37) for i in range(3948)] + [datetime.date(2000, 2, 29), datetime.date(2199, 12, 31)]
+    formats = ["%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y", "%d/%m/%Y", "%m/%d/%Y"]
+    rows = [(i, "; ".join(d.strftime(f) for f in formats[:5 if d.day > 12 else 4])) for i, d in enumerate(days)]
+    out = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").select("row.doc_id", "text").collect()
+    told = {}
+    for r in out:
+        new = {datetime.datetime.strptime(t, f).date() for t, f in zip(r["text"].split("; "), formats)}
+        assert len(new) == 1 and (min(new).day > 12) == (days[r["doc_id"]].day > 12)
+        told[days[r["doc_id"]]] = min(new)
+    assert len(set(told.values())) == len(set(days)) == len(told)
+
+
+def test_days_up_to_the_12th_are_permuted_whole(spark):
+    import datetime
+    days = [datetime.date(y, m, d) for y in range(1800, 2200) for m in range(1, 13) for d in range(1, 13)]
+    docs = spark.createDataFrame([(i, d.isoformat()) for i, d in enumerate(days)], "doc_id long, text string")
+    assert sorted(r["text"] for r in pii.pseudonymise(docs, "k").collect()) == [d.isoformat() for d in days]
+
+
+class Pseudonyms:
+    """The rules by hand: left to right, every place, first format that fits there."""
+
+    def __init__(self, key):
+        self.key = key
+
+    def hash(self, tweak, i, half):
+        return hashlib.sha256(f"{self.key}|{tweak}|{i}|{half}|{self.key}".encode()).hexdigest()
+
+    def permute(self, tweak, x, y, a, b):
+        for i in range(8):
+            if i % 2 == 0:
+                x = (x + int(self.hash(tweak, i, y)[:15], 16) % a) % a
+            else:
+                y = (y + int(self.hash(tweak, i, x)[:15], 16) % b) % b
+        return x, y
+
+    def halves(self, tweak, digits):
+        u = len(digits) // 2
+        x, y = self.permute(tweak, int(digits[:u] or 0), int(digits[u:]), 10 ** u, 10 ** (len(digits) - u))
+        return (f"{x:0{u}d}" if u else "") + f"{y:0{len(digits) - u}d}"
+
+    def mail(self, user):
+        u = len(user) // 2
+        sides = [user[:u], user[u:]]
+        for i in range(8):
+            h, out = self.hash("mail", i, sides[1 - i % 2]), ""
+            for j, c in enumerate(sides[i % 2]):
+                by = int(h[j % 32 * 2:j % 32 * 2 + 2], 16)
+                first, size = (48, 10) if c in "0123456789" else (97, 26) if "a" <= c <= "z" else (65, 26) if "A" <= c <= "Z" else (0, 0)
+                out += chr((ord(c) - first + by) % size + first) if size else c
+            sides[i % 2] = out
+        return "".join(sides)
+
+    def date(self, day):
+        import datetime
+        days = [datetime.date(1800, 1, 1) + datetime.timedelta(i) for i in range(146097)]
+        if not hasattr(self, "late"):
+            self.late = [d for d in days if d.day > 12]
+            self.early = [d for d in days if d.day <= 12]
+        own, tweak, b = (self.late, "month", 9833) if day.day > 12 else (self.early, "low", 240)
+        x, y = self.permute(tweak, own.index(day) // b, own.index(day) % b, len(own) // b, b)
+        return own[x * b + y]
+
+    def value(self, kind, v):
+        import datetime
+        refill = lambda new: re.sub("[0-9A-Za-z]", lambda m, i=iter(new): next(i), v)
+        d = re.sub("[^0-9]", "", v)
+        if kind == "email":
+            user, host = v.split("@")
+            return "email", f"{self.mail(user)}@{host}"
+        if kind == "iban":
+            flat = v.replace(" ", "")
+            number = lambda s: int("".join(str(int(c, 36)) for c in s))
+            if number(flat[4:] + flat[:4]) % 97 != 1:
+                return None
+            new = self.halves("iban", re.sub("[^0-9]", "", flat[4:]))
+            body = re.sub("[0-9]", lambda m, i=iter(new): next(i), flat[4:])
+            return "iban", refill(f"{flat[:2]}{98 - number(body + flat[:2] + '00') % 97:02d}{body}")
+        if kind in ("ymd", "dmy"):
+            sep = re.sub("[0-9]", "", v)[0]
+            for f in ("%Y-%m-%d",) if kind == "ymd" else ("%d-%m-%Y", "%m-%d-%Y")[:1 if sep == "." else 2]:
+                try:
+                    day = datetime.datetime.strptime(v.replace(sep, "-"), f).date()
+                except ValueError:
+                    continue
+                if 1800 <= day.year < 2200:
+                    return "date", self.date(day).strftime(f).replace("-", sep)
+            return None
+        if kind == "ssn":
+            a, b, c = int(d[:3]), int(d[3:5]), int(d[5:])
+            if not (1 <= a < 900 and a != 666 and b and c):
+                return None
+            areas = [i for i in range(1, 900) if i != 666]
+            x, y = self.permute("ssn", areas.index(a) * 99 + b - 1, c - 1, 88902, 9999)
+            return "ssn", f"{areas[x // 99]:03d}-{x % 99 + 1:02d}-{y + 1:04d}"
+        if kind == "ip":
+            o = v.split(".")
+            if any(int(p) > 255 or (p != "0" and p[0] == "0") for p in o):
+                return None
+            x, y = self.permute("ip", int(o[0]) * 256 + int(o[1]), int(o[2]) * 256 + int(o[3]), 65536, 65536)
+            return "ip", f"{x // 256}.{x % 256}.{y // 256}.{y % 256}"
+        if kind == "phone":
+            t = d[-10:]
+            x, y = self.permute("phone", (int(t[:3]) - 200) * 100 + int(t[6:8]), (int(t[3:6]) - 200) * 100 + int(t[8:]), 80000, 80000)
+            return "phone", refill(f"{d[:-10]}{x // 100 + 200}{y // 100 + 200}{x % 100:02d}{y % 100:02d}")
+        if not _luhn(d) or not d.strip("0"):
+            return None
+        inner = d[0] + self.halves("card", d[1:-1])
+        return "card", refill(inner + next(c for c in "0123456789" if _luhn(inner + c)))
+
+    def text(self, text):
+        out, kinds, i = "", [], 0
+        whole = {k: re.compile(p, re.A) for k, p in pii.FORMATS.items()}
+        begin = re.compile(pii.VALUE, re.A)
+        while i < len(text):
+            m = begin.match(text, i)
+            new = m and self.value(next(k for k in whole if whole[k].fullmatch(m[0])), m[0])
+            if new:
+                kinds.append(new[0])
+            out += new[1] if new else text[i]
+            i = m.end() if new else i + 1
+        return out, kinds
+
+
+def test_pseudonyms_equal_the_rules_by_hand(spark):
+    hand = Pseudonyms("op10")
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in queries.QUERIES["op10_pseudonymise"](spark, SF_SMALL).collect()}
+    assert got.keys() == docs.keys()
+    seen = Counter()
+    for i, t in docs.items():
+        if t is None:
+            assert got[i]["text"] is None
+            continue
+        text, kinds = hand.text(t)
+        assert got[i]["text"] == text and got[i]["n_values"] == len(kinds)
+        assert all(got[i][f"n_{k}"] == kinds.count(k) for k in ("email", "card", "phone", "ip", "iban", "ssn", "date"))
+        seen.update(kinds)
+    assert len(seen) >= 4
+    text = ("1999-12-31, 31.12.1999 12/31/1999 01-02-2003 29.02.2001 DE89 3704 0044 0532 0130 00 536-22-1234 666-22-1234 10.0.0.255 256.1.1.1 "
+            "4111 1111 1111 1111 4111 1111 1111 1112 (988) 555-2485 Ann.B9@mail.example.org 2024 4111 1111 1111 1111")
+    r = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "op10").first()
+    assert (r["text"], list(r["kinds"])) == hand.text(text) and len(set(r["kinds"])) == 7
+
+
+def test_a_text_of_very_many_values_takes_linear_time(spark):
+    import time
+    text = " ".join(f"{1900 + i % 90}-{i % 12 + 1:02d}-{i % 28 + 1:02d}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    begun = time.time()
+    r = pii.pseudonymise(docs, "k").first()
+    assert len(r["kinds"]) == 100_000 and len(r["text"]) == len(text) and time.time() - begun < 120
+
+
+def test_no_plan_shows_the_key(spark):
+    docs = spark.createDataFrame([(1, "1999-12-31")], "doc_id long, text string")
+    out = pii.pseudonymise(docs, "a-very-secret-key")
+    out.collect()
+    assert "secret" not in out._jdf.queryExecution().toString()
+
+
 def test_two_halves_are_permuted_exactly(spark):
     n = spark.range(6 * 7).select(F.col("id"), pii._permute("k", "t", (F.col("id") / 7).cast("long"), F.col("id") % 7, F.lit(6), F.lit(7)).alias("p"))
     assert sorted(r["p"]["l"] * 7 + r["p"]["r"] for r in n.collect()) == list(range(42))

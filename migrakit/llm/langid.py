@@ -36,7 +36,8 @@ from .common import ship
 
 PIECE = 1_000_000
 UNKNOWN = "und"
-#: More distinct lang values than this are not a language column.
+#: More distinct lang values than this are not a language column (``learn(most_languages=...)``
+#: allows more: the model holds 8 KB a language in the driver and in every task).
 MAX_LANGUAGES = 4096
 
 
@@ -111,8 +112,9 @@ def _chunks(texts):
         yield group
 
 
-def learn(rows: DataFrame, dim: int = 1024, n: int = 3, seed: int = 20) -> dict:
-    """The model of (text, lang) rows; rows without either teach nothing."""
+def learn(rows: DataFrame, dim: int = 1024, n: int = 3, seed: int = 20, most_languages: int = MAX_LANGUAGES) -> dict:
+    """The model of (text, lang) rows; rows without either teach nothing.  More than
+    ``most_languages`` distinct lang values raise ValueError."""
     ship(rows.sparkSession)
     labelled = rows.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).dropna()
 
@@ -133,9 +135,9 @@ def learn(rows: DataFrame, dim: int = 1024, n: int = 3, seed: int = 20) -> dict:
     partial = labelled.mapInArrow(run, "lang string, v array<bigint>")
     summed = (partial.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
               .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
-              .select("lang", F.col("v.x").alias("v")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect())
-    if len(summed) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} distinct lang values")
+              .select("lang", F.col("v.x").alias("v")).orderBy("lang").limit(most_languages + 1).collect())
+    if len(summed) > most_languages:
+        raise ValueError(f"more than {most_languages} distinct lang values")
     vectors = np.array([r["v"] for r in summed], np.float64).reshape(len(summed), dim)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     unit = np.divide(vectors, norms, out=np.zeros_like(vectors), where=norms > 0)

@@ -13,6 +13,12 @@ deltas, then its commit row.  Readers see committed batches only: a batch that
 broke off is written over when it is run again, and a committed one does
 nothing.  ``compact`` sums a history of batches up in one.
 
+Two batches at once that touch one document would both take its old count back.  So a
+batch is written by one writer at a time: it first puts its name in ``writers``, then looks
+who else stands there, and steps back (``Busy``, nothing written) if anyone does.  Of
+two that write and then look, at least one sees the other.  A batch that broke off keeps its place until it
+is run again, which completes it, or is let go by ``release``.
+
 Per batch, one aggregation over the batch's rows and one join of the ledger with
 the batch's doc_ids; groups are summed map-side first, so a source with a third
 of all rows is one row per task.
@@ -27,7 +33,9 @@ documents and tokens are all taken back drop out of the totals.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable
+from contextlib import contextmanager
 from functools import lru_cache, reduce
 
 import pyarrow as pa
@@ -79,6 +87,10 @@ def counted(docs: DataFrame, counters: dict[str, Counter]) -> DataFrame:
     return wide.select("doc_id", "source", "lang", F.explode(each).alias("c")).select("doc_id", "source", "lang", "c.tokenizer", "c.tokens")
 
 
+class Busy(RuntimeError):
+    """Another batch is being written, or broke off and was not run again."""
+
+
 class Rollup:
     """A state folder on shared storage."""
 
@@ -91,6 +103,40 @@ class Rollup:
         (self.spark.createDataFrame([(batch, replaces)], COMMIT).coalesce(1)
          .write.mode(mode).parquet(f"{self.path}/commits/{batch}"))
 
+    def _path(self, *parts: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *parts]))
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def writers(self) -> list[str]:
+        """Names of the batches being written, or broken off."""
+        fs, at = self._path("writers")
+        return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
+    def release(self, batch: str) -> None:
+        """Lets go of a batch that broke off and will not be run again."""
+        fs, at = self._path("writers", self._named(batch))
+        fs.delete(at, False)
+
+    @staticmethod
+    def _named(batch: str) -> str:
+        if batch == "begin" or not re.fullmatch("[A-Za-z0-9][A-Za-z0-9_.-]*", batch):
+            raise ValueError(f"{batch!r} cannot name a batch: letters, digits, '-', '_' and '.', and not 'begin'")
+        return batch
+
+    @contextmanager
+    def _alone(self, batch: str):
+        """The only writer of the state, else ``Busy``.  An error inside leaves the batch its place."""
+        fs, at = self._path("writers", batch)
+        fs.mkdirs(at.getParent())
+        mine = fs.createNewFile(at)                # False: this batch broke off before
+        others = [w for w in self.writers() if w != batch]
+        if others:
+            if mine:
+                fs.delete(at, False)
+            raise Busy(f"{', '.join(others)} is being written or broke off: run it again, or release it")
+        yield
+        fs.delete(at, False)
+
     def _commits(self) -> dict[str, list[str]]:
         rows = self.spark.read.schema(COMMIT).parquet(f"{self.path}/commits/*").collect()      # one row per batch
         return {r["batch"]: r["replaces"] for r in rows if r["batch"] != "begin"}
@@ -114,9 +160,15 @@ class Rollup:
         """Applies a batch once.  ``stated``: (doc_id, source, lang, tokenizer,
         tokens), the documents' new counts, replacing those of the same doc_id and
         tokenizer; ``deleted``: (doc_id), whose counts of every version go.
-        Returns False if the batch was committed before."""
-        if batch in self.committed():
+        Returns False if the batch was committed before; raises ``Busy`` if another is being written."""
+        if self._named(batch) in self.committed():
+            self.release(batch)                    # broke off between its commit row and its end
             return False
+        with self._alone(batch):
+            self._apply(batch, stated, deleted)
+        return True
+
+    def _apply(self, batch: str, stated: DataFrame | None, deleted: DataFrame | None) -> None:
         new, touched = [], []
         if stated is not None:
             stated = settled(stated.select(*KEYS, F.lit(1).cast("long").alias("docs"), "tokens"))
@@ -133,16 +185,16 @@ class Rollup:
             signed.append(old.select(*KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens")))
         rows = reduce(DataFrame.unionByName, signed) if signed else self.spark.createDataFrame([], self.schema)
         self._store(batch, rows, [])
-        return True
 
     def compact(self, batch: str) -> bool:
         """Sums up all batches in one of name ``batch``, so that a long history costs
         one folder to read.  Its commit row names the batches it stands for: they are
         no longer read, and stay known, so a batch sent again still does nothing."""
-        live = self.committed()
-        if batch in live:
+        if self._named(batch) in self.committed():
+            self.release(batch)
             return False
-        self._store(batch, self._read("deltas", self.schema), live)
+        with self._alone(batch):
+            self._store(batch, self._read("deltas", self.schema), self.committed())
         return True
 
     def _store(self, batch: str, rows: DataFrame, replaces: list[str]) -> None:

@@ -251,6 +251,40 @@ def test_broken_batch_is_written_over(spark, tmp_path):
     assert state.compact("c2") and [tuple(r) for r in state.totals().collect()] == [("b", "en", "w", 1, 9)]
 
 
+def test_one_batch_is_written_at_a_time(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    schema = "doc_id long, source string, lang string, tokenizer string, tokens long"
+    state, other = (token_counts.Rollup(spark, str(tmp_path / "s")) for _ in range(2))
+    rows = spark.createDataFrame([(1, "a", "en", "w", 5), (2, "a", "en", "w", 7)], schema)
+    state.commit("b1", stated=rows)
+    revised = rows.withColumn("tokens", F.lit(9).cast("long"))
+    broken = revised.withColumn("tokens", F.raise_error(F.lit("lost")).cast("long"))
+    with pytest.raises(PySparkException):
+        state.commit("b2", stated=broken)
+    assert state.writers() == ["b2"]
+    for run in (lambda: other.commit("b3", stated=revised), lambda: other.compact("c1")):
+        with pytest.raises(token_counts.Busy, match="b2"):
+            run()
+    assert other.writers() == ["b2"] and [tuple(r) for r in other.totals().collect()] == [("a", "en", "w", 2, 12)]
+    assert other.commit("b2", stated=revised) and other.writers() == []           # run again, by whomever
+    with pytest.raises(PySparkException):
+        state.commit("b4", stated=broken)
+    other.release("b4")
+    assert other.commit("b3", deleted=rows.where("doc_id = 1").select("doc_id")) and other.compact("c1")
+    assert [tuple(r) for r in state.totals().collect()] == [("a", "en", "w", 1, 9)] and state.writers() == []
+    for name in ("begin", "", "a*", "x/y", "_hidden", ".hidden", "a b", "{a,b}"):
+        with pytest.raises(ValueError):
+            state.commit(name, stated=rows)
+
+
+def test_the_bound_on_languages_is_a_parameter(spark):
+    rows = spark.createDataFrame([(f"text {i}", f"l{i}") for i in range(5)], "text string, lang string")
+    with pytest.raises(ValueError, match="more than 4"):
+        langid.learn(rows, dim=64, most_languages=4)
+    assert langid.learn(rows, dim=64, most_languages=5)["langs"] == [f"l{i}" for i in range(5)]
+
+
 # --- 8: sharding ---------------------------------------------------------------------
 
 def test_shards_are_near_equal_and_follow_the_order(spark):

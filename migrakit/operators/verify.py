@@ -9,7 +9,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import TableRef, count_tables, read_table, read_tables, records, table_fingerprint
+from ..sources.tables import TableRef, count_tables, read_table, read_tables, reason, records, table_fingerprint
 from .merge import outer_match
 
 KEYS = ("database", "table_name")
@@ -81,14 +81,14 @@ def split_outcomes(df: DataFrame, col: str = "verdict", ok: str = MATCH) -> tupl
     return df.where(good), df.where(~good)
 
 
-FINGERPRINT_SCHEMA = "database string, table_name string, n long, content_hash decimal(38,0)"
+FINGERPRINT_SCHEMA = "database string, table_name string, n long, content_hash decimal(38,0), error string"
 
 
 def fingerprints(spark: SparkSession, refs: Sequence[TableRef], schemas: dict | None = None,
                  columns: dict | None = None, frames: Sequence | None = None,
                  max_workers: int = 8) -> DataFrame:
     """Count and order-free content hash per table: (database, table_name, n,
-    content_hash); NULLs for a table that cannot be read.
+    content_hash, error); NULLs and the error for a table that cannot be read.
 
     One job per table, submitted from a small driver pool (jobs share the
     cluster; planning runs in parallel; a table that fails at run time only
@@ -110,9 +110,9 @@ def fingerprints(spark: SparkSession, refs: Sequence[TableRef], schemas: dict |
             if isinstance(df, Exception):
                 raise df
             row = table_fingerprint(df, columns.get(key)).first()
-            return (ref.database, ref.table, row["n"], row["content_hash"])
-        except Exception:  # noqa: BLE001 - an unreadable table gets NULLs
-            return (ref.database, ref.table, None, None)
+            return (ref.database, ref.table, row["n"], row["content_hash"], None)
+        except Exception as e:  # noqa: BLE001 - an unreadable table gets NULLs
+            return (ref.database, ref.table, None, None, reason(e))
 
     with ThreadPoolExecutor(max_workers=max(1, min(max_workers, len(refs) or 1))) as pool:
         rows = list(pool.map(one, zip(refs, frames)))
@@ -120,7 +120,7 @@ def fingerprints(spark: SparkSession, refs: Sequence[TableRef], schemas: dict |
 
 
 def verify_copies(spark: SparkSession, pairs: Sequence[tuple[TableRef, TableRef]],
-                  content: bool = True, known_sources: dict | None = None) -> DataFrame:
+                  content: bool = True, known_sources: dict | None = None, reasons: bool = False) -> DataFrame:
     """Row count and content of each copy against its source.
 
     Output: database, table_name, source_count, target_count, verdict, where
@@ -128,12 +128,17 @@ def verify_copies(spark: SparkSession, pairs: Sequence[tuple[TableRef, TableRef]
     ``content=False`` compares counts only (no column is read).
     ``known_sources`` maps (database, table) to the (rows, hash) observed
     while the copy was written (``copy_table``); those sources are not read
-    again, so checking a copy reads only the copy."""
+    again, so checking a copy reads only the copy.  ``reasons`` adds
+    ``source_error`` and ``target_error``, why a side could not be read."""
     if not content:
-        src = count_tables(spark, [s for s, _ in pairs])
+        src = count_tables(spark, [s for s, _ in pairs], reasons=True)
         dst = count_tables(spark, [TableRef(s.database, s.table, d.provider, d.location,
-                                            d.partition_columns, d.name, d.options) for s, d in pairs])
-        return verify_counts(src, dst)
+                                            d.partition_columns, d.name, d.options) for s, d in pairs], reasons=True)
+        out = verify_counts(src, dst)
+        if reasons:
+            for name, side in (("source_error", src), ("target_error", dst)):
+                out = out.join(side.groupBy(*KEYS).agg(F.max("error").alias(name)), list(KEYS), "left")
+        return out
     src_refs = [s for s, _ in pairs]
     src_frames = read_tables(spark, src_refs)
     schemas, columns = {}, {}
@@ -150,13 +155,14 @@ def verify_copies(spark: SparkSession, pairs: Sequence[tuple[TableRef, TableRef]
                         frames=[src_frames[i] for i in todo] + [None] * len(dst_refs)).collect()
     by_index = dict(zip(todo, rows[: len(todo)]))
     src_rows = [tuple(by_index[i]) if i in by_index else
-                (r.database, r.table, *known[(r.database, r.table)]) for i, r in enumerate(src_refs)]
+                (r.database, r.table, *known[(r.database, r.table)], None) for i, r in enumerate(src_refs)]
     a = records(spark, src_rows, FINGERPRINT_SCHEMA)
     b = records(spark, rows[len(todo):], FINGERPRINT_SCHEMA)
-    m = outer_match(a, b, KEYS, [F.col("n"), F.col("content_hash")], [F.col("n"), F.col("content_hash")])
+    m = outer_match(a, b, KEYS, *[[F.col("n"), F.col("content_hash"), F.col("error")]] * 2)
     sc, tc = F.col("_l.n"), F.col("_r.n")
     v = count_verdict(F.col("_l"), F.col("_r"), sc, tc)
     v = F.when((v == MATCH) & ~F.col("_l.content_hash").eqNullSafe(F.col("_r.content_hash")),
                MISMATCH).otherwise(v)
     v = F.when((F.col("_l_n") > 1) | (F.col("_r_n") > 1), DUPLICATE).otherwise(v)
-    return m.select(*KEYS, sc.alias("source_count"), tc.alias("target_count"), v.alias("verdict"))
+    why = [F.col("_l.error").alias("source_error"), F.col("_r.error").alias("target_error")] if reasons else []
+    return m.select(*KEYS, sc.alias("source_count"), tc.alias("target_count"), v.alias("verdict"), *why)

@@ -13,7 +13,7 @@ from ..operators.copying import bounded_error, copy_from_plan, copy_tables, exis
 from ..operators.journal import read_journal
 from ..operators.locate import locate_differences
 from ..operators.sqltext import copy_statement_col
-from ..operators.verify import join_results, split_outcomes, verify_copies, verify_counts
+from ..operators.verify import KEYS, join_results, split_outcomes, verify_copies, verify_counts
 from ..session import drop_database, remove_dir, work_dir
 from ..sources import fixtures as fx
 from ..sources.catalog import inventory_from_catalog
@@ -334,6 +334,24 @@ def q_locate_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("table_name", "key", F.substring("range", 1, 4).alias("range"), "source_rows", "target_rows", "kind")
 
 
+@plan("count_reasons", _counts_sql("count(*) AS source_count, count(*) AS target_count, 'match' AS verdict, NULL AS source_reason, "
+                                   "NULL AS target_reason") + f"""
+UNION ALL SELECT '{DATABASE}', 'lost_copy', count(*), NULL, 'unknown', NULL, 'PATH_NOT_FOUND' FROM nation
+UNION ALL SELECT '{DATABASE}', 'lost_source', NULL, count(*), 'unknown', 'PATH_NOT_FOUND', NULL FROM nation
+UNION ALL SELECT '{DATABASE}', 'lost_name', NULL, NULL, 'unknown', 'TABLE_OR_VIEW_NOT_FOUND', 'PATH_NOT_FOUND'""")
+def q_count_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The count check of all tables and of three that lost a side: an unknown
+    verdict comes with the class of the error on either side."""
+    refs, gone = source_refs(sf_dir), f"{sf_dir.rstrip('/')}/no_such_table.parquet"
+    nation = next(r.location for r in refs if r.table == "nation")
+    lost = [(TableRef(DATABASE, name, "parquet", a, name=by), TableRef(DATABASE, name, "parquet", b))
+            for name, a, b, by in (("lost_copy", nation, gone, None), ("lost_source", gone, nation, None), ("lost_name", None, gone, "no_such_table"))]
+    out = verify_copies(spark, [(r, r) for r in refs] + lost, content=False, reasons=True)
+    told = lambda c: F.nullif(F.regexp_extract(c, r"^\[([A-Z_]+)", 1), F.lit(""))
+    return out.select(*KEYS, "source_count", "target_count", "verdict", told("source_error").alias("source_reason"),
+                      told("target_error").alias("target_reason"))
+
+
 @plan("content_check", f"""
 SELECT '{DATABASE}' AS database, t AS table_name, n AS source_count, n AS target_count, v AS verdict
 FROM (SELECT count(*) AS n FROM events), (VALUES ('shifted', 'mismatch'), ('same', 'match')) AS x(t, v)""")

@@ -17,6 +17,8 @@ from ..functions.strings import quote_ident
 SAME_FORMAT_PROVIDERS = ("delta", "iceberg", "parquet")
 
 COUNT_SCHEMA = "database string, table_name string, n long"
+#: Characters of an error that a row keeps.
+ERROR_CHARS = 2000
 
 
 @dataclass(frozen=True)
@@ -144,10 +146,18 @@ def _count_frame(ref: TableRef, df: DataFrame) -> DataFrame:
         F.lit(ref.database).alias("database"), F.lit(ref.table).alias("table_name"), "n")
 
 
+def reason(error: BaseException) -> str:
+    """The first characters of an error without its stack frames, with its class where the
+    text does not begin with one."""
+    text = "\n".join(line for line in str(error).strip().splitlines() if not line.lstrip().startswith(("at ", "... ")))
+    return (text if text.startswith("[") else f"{type(error).__name__}: {text}")[:ERROR_CHARS]
+
+
 def count_tables(spark: SparkSession, refs: Iterable[TableRef], isolate: bool = True,
-                 max_workers: int = 8) -> DataFrame:
+                 max_workers: int = 8, reasons: bool = False) -> DataFrame:
     """One row (database, table_name, n) per table; n is NULL when the
     table cannot be read -- whether it fails to resolve or fails while read.
+    ``reasons`` adds ``error``, why a count is NULL (NULL for a table that was counted).
 
     Default: one small job per table, submitted from a driver pool (jobs run
     side by side; no column is read, Parquet row counts come from row-group
@@ -160,23 +170,25 @@ def count_tables(spark: SparkSession, refs: Iterable[TableRef], isolate: bool =
         def one(ref):
             try:
                 row = _count_frame(ref, read_table(spark, ref)).first()
-                return (ref.database, ref.table, row["n"])
-            except Exception:  # noqa: BLE001 - any failure is an unreadable table
-                return (ref.database, ref.table, None)
+                return (ref.database, ref.table, row["n"], None)
+            except Exception as e:  # noqa: BLE001 - any failure is an unreadable table
+                return (ref.database, ref.table, None, reason(e))
 
         with ThreadPoolExecutor(max_workers=max_workers) as pool:
             rows = list(pool.map(one, refs))
-        return records(spark, rows, COUNT_SCHEMA)
+        counts = records(spark, rows, COUNT_SCHEMA + ", error string")
+        return counts if reasons else counts.drop("error")
 
     frames, unreadable = [], []
     for ref, df in zip(refs, read_tables(spark, refs)):
         if isinstance(df, Exception):
-            unreadable.append((ref.database, ref.table, None))
+            unreadable.append((ref.database, ref.table, None, reason(df)))
         else:
-            frames.append(_count_frame(ref, df))
+            frames.append(_count_frame(ref, df).withColumn("error", F.lit(None).cast("string")))
     if unreadable or not frames:
-        frames.append(records(spark, unreadable, COUNT_SCHEMA))
-    return union_all(frames)
+        frames.append(records(spark, unreadable, COUNT_SCHEMA + ", error string"))
+    counts = union_all(frames)
+    return counts if reasons else counts.drop("error")
 
 
 def hashable(c: Column, kind: DataType) -> Column:

@@ -273,3 +273,19 @@ def test_a_provider_that_cannot_be_read_is_a_failed_outcome(spark):
     base = work_dir(spark, "tests", "hive")
     out = copy_table(spark, TableRef("d", "h", "hive", f"{SF_SMALL}/nation.parquet"), f"{base}/h")
     assert out["action"] == "failed" and not out["copied_successfully"] and "Hive" in out["error"]
+
+
+def test_an_unreadable_side_tells_why(spark, tmp_path):
+    records(spark, [(1,), (2,)], "a int").write.parquet(f"{tmp_path}/src")
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    (broken / "part-0.parquet").write_text("no parquet")
+    src = TableRef("d", "t", "parquet", f"{tmp_path}/src")
+    for content in (True, False):
+        r, = verify_copies(spark, [(src, src.at(str(broken)))], content=content, reasons=True).collect()
+        assert (r["verdict"], r["source_count"], r["source_error"]) == ("unknown", 2, None) and "part-0" in r["target_error"]
+        r, = verify_copies(spark, [(src, src)], content=content, reasons=True).collect()
+        assert (r["verdict"], r["source_error"], r["target_error"]) == ("match", None, None)
+    for isolate in (True, False):
+        r, = count_tables(spark, [src.at(f"{tmp_path}/nowhere")], isolate=isolate, reasons=True).collect()
+        assert r["n"] is None and r["error"].startswith("[PATH_NOT_FOUND]")

@@ -33,6 +33,10 @@ EXCLUDED_PRINCIPAL = "users"
 # Legacy level -> securable type of the new model.
 SECURABLE_TYPES = (("CATALOG$", "catalog"), ("DATABASE", "schema"), ("TABLE", "table"))
 USAGE = "USAGE"
+#: The privileges that a set of privileges holds as bits, in the order of their names.
+VOCABULARY = tuple(sorted({privilege for _, privilege, _ in TRANSLATION_RULES} | {USAGE}))
+#: Bits of a long without its sign.
+MOST_BITS = 63
 
 GRANT_KEYS = ("schema_name", "table_name", "principal", "object_level")
 
@@ -63,15 +67,37 @@ def tables_of(inventory: DataFrame, database: str = "database", table: str = "ta
     return inv.select(F.col(database).alias("schema_name"), F.col(table).alias("table_name"))
 
 
-def grants_by_principal(grants: DataFrame) -> DataFrame:
-    """The set of privileges per (schema, table, principal, level),
-    sorted.  Repeated grants go first, by a hash aggregation with map-side
-    partial aggregation; what is left to collect is at most the privilege
-    vocabulary per group."""
-    keys = ["schema_name", "table_name", "principal", "object_level"]
-    once = grants.select("schema_name", "table_name", "principal", F.col("object_type").alias("object_level"),
-                         "action_type").distinct()
-    return once.groupBy(*keys).agg(F.array_sort(F.collect_list("action_type")).alias("permission_list"))
+def bits_of(name: Column, vocabulary: Sequence[str] = VOCABULARY) -> Column:
+    """The bit of a privilege; 0 for a NULL and for one that the vocabulary does not hold."""
+    if len(vocabulary) > MOST_BITS or list(vocabulary) != sorted(set(vocabulary)):
+        raise ValueError(f"a vocabulary is at most {MOST_BITS} different names in order")
+    bit = F.lit(0).cast("long")
+    for i, word in reversed(list(enumerate(vocabulary))):
+        bit = F.when(name == word, F.lit(1 << i).cast("long")).otherwise(bit)
+    return bit
+
+
+def names_of(bits: Column, vocabulary: Sequence[str] = VOCABULARY) -> Column:
+    """The privileges of a set of bits, sorted by name."""
+    return F.array_compact(F.array(*[F.when(bits.bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(word))
+                                     for i, word in enumerate(vocabulary)], F.lit(None).cast("string")))
+
+
+def grants_by_principal(grants: DataFrame, vocabulary: Sequence[str] = VOCABULARY) -> DataFrame:
+    """The set of privileges per (schema, table, principal, level), sorted.
+
+    Privileges of ``vocabulary`` (at most 63 names in order) are bits, put together
+    by one hash aggregation with map-side partial aggregation: a group is one
+    number, however many rows it has.  Other names take a path of their own, each
+    once per group, and are joined to the sets (NULL keys match), so none is lost;
+    where there are none, the join meets an empty side."""
+    rows = grants.select("schema_name", "table_name", "principal", F.col("object_type").alias("object_level"), "action_type")
+    bits = rows.groupBy(*GRANT_KEYS).agg(F.bit_or(bits_of(F.col("action_type"), vocabulary)).alias("_bits"))
+    others = rows.where(F.col("action_type").isNotNull() & ~F.col("action_type").isin(*vocabulary)).distinct()
+    others = others.groupBy(*[F.col(k).alias(f"_{k}") for k in GRANT_KEYS]).agg(F.collect_list("action_type").alias("_others"))
+    known = names_of(F.col("_bits"), vocabulary)
+    return bits.join(others, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in GRANT_KEYS], "left").select(
+        *GRANT_KEYS, F.when(F.col("_others").isNull(), known).otherwise(F.array_sort(F.concat(known, "_others"))).alias("permission_list"))
 
 
 def translation_expr(level: Column, privilege: Column,

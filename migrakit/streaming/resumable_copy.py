@@ -33,7 +33,8 @@ def copy_resumable(spark: SparkSession, src: TableRef, ext_loc: str, checkpoint:
     done by the batch ``copy_table``, whose rebalance AQE can split.  What is
     written is fingerprinted in the write, batch by batch, so the check of a
     copy made in one run reads only the copy.  Returns (database, table_name,
-    ext_loc, checkpoint, batches, rows, source_rows, source_hash) for the run."""
+    ext_loc, checkpoint, batches, rows, source_rows, source_hash) for the run; ``rows`` is NULL where
+    a stalled driver missed the progress of a batch between others."""
     if not src.location:
         raise ValueError("a resumable copy reads files: the source needs a location")
     schema = read_table(spark, src).schema  # a file stream needs its schema up front
@@ -69,9 +70,10 @@ def copy_resumable(spark: SparkSession, src: TableRef, ext_loc: str, checkpoint:
             seen[p["batchId"]] = (p["numInputRows"], p["observedMetrics"].get("copied"))
     if query.exception() is not None:
         raise RuntimeError(str(query.exception()))
+    batches = max(seen) - min(seen) + 1 if seen else 0
     return {"database": src.database, "table_name": src.table, "ext_loc": ext_loc,
-            "checkpoint": ckpt, "batches": len(seen), "rows": sum(n for n, _ in seen.values()),
-            **_fingerprint(seen)}
+            "checkpoint": ckpt, "batches": batches,
+            "rows": sum(n for n, _ in seen.values()) if len(seen) == batches else None, **_fingerprint(seen)}
 
 
 def _fingerprint(seen: dict[int, tuple]) -> dict:

@@ -1,6 +1,7 @@
 """NULL and order cases that decide results, and the fixed
 reference faults (SURVEY 2.14)."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from migrakit.operators import grants as G
@@ -186,3 +187,26 @@ def test_plan_copy_sums_partial_counts(spark):
                      "database string, table_name string, n long")
     got = {r.table_name: r.source_count for r in plan_copy(inv, counts, "s3://t").collect()}
     assert got == {"a": 5, "b": None, "c": None}
+
+
+def test_privilege_sets_as_bits(spark):
+    """Known names are bits, other names go beside them; NULL keys and names, repeats,
+    groups of either kind alone; a vocabulary that cannot be bits is refused."""
+    rows = [("s", "t", "p", "TABLE", a) for a in ("USAGE", "SELECT", "SELECT", "zeta", "Alpha", "zeta", None)]
+    rows += [(None, None, None, None, "OWN"), (None, None, None, None, "odd"), (None, "t", "p", "TABLE", None),
+             ("s", "u", "p", "TABLE", "odd"), ("s", "v", "p", "TABLE", "MODIFY"), ("s", "v", None, "TABLE", "MODIFY")]
+    g = records(spark, rows, "schema_name string, table_name string, principal string, object_type string, action_type string")
+    want = {}
+    for *key, name in rows:
+        want.setdefault(tuple(key), set()).update([name] if name else [])
+    want = {k: sorted(v) for k, v in want.items()}
+    for vocabulary in (G.VOCABULARY, ("SELECT",), tuple(f"w{i:02}" for i in range(G.MOST_BITS)), ("Alpha", "MODIFY", "SELECT", "odd", "zeta")):
+        got = G.grants_by_principal(g, vocabulary).collect()
+        assert len(got) == len(want) and {tuple(r[:4]): r.permission_list for r in got} == want
+    all_bits = spark.range(G.MOST_BITS).selectExpr("null s", "null t", "'p' p", "'x' o", "concat('w', lpad(id, 2, '0')) a").toDF(*g.columns)
+    r, = G.grants_by_principal(all_bits, tuple(f"w{i:02}" for i in range(G.MOST_BITS))).collect()
+    assert len(r.permission_list) == G.MOST_BITS and r.permission_list == sorted(r.permission_list)
+    assert G.grants_by_principal(g.limit(0)).count() == 0
+    for bad in (tuple(f"w{i:02}" for i in range(64)), ("b", "a"), ("a", "a")):
+        with pytest.raises(ValueError):
+            G.grants_by_principal(g, bad)

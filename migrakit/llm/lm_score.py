@@ -20,8 +20,8 @@ above that (at most 256^GROUP contexts) is put together on the driver and sent
 to tasks.  No part of the tree is left out: a task works on whole subtrees,
 about ``max_nodes`` nodes at a time.  The ``max_known`` answers asked for most
 often are sent to tasks, the others are joined back by byte string and block.
-``least`` is the number of times that a context must be seen to give an estimate: 1
-is context-tree weighting over all depths; at 2, the default, a context seen once is
+``least`` is the number of times that a context must be seen to give an estimate: 1,
+the default, is context-tree weighting over all depths; at 2 a context seen once is
 answered by the next shorter one alone.
 
 Word counts for the base score are looked up per block and distinct word, not
@@ -318,7 +318,7 @@ def _by_size(df: DataFrame) -> dict[int, int]:
     return {r["b"]: r["count"] for r in rows}                     # 64 rows at most
 
 
-def train(cut: DataFrame, depth: int = 5, max_nodes: int = 2_000_000, max_known: int = 1_000_000, least: int = 2) -> dict:
+def train(cut: DataFrame, depth: int = 5, max_nodes: int = 2_000_000, max_known: int = 1_000_000, least: int = 1) -> dict:
     """The model of the training texts in ``cut`` (see ``blocks``): ``tree``, the part of
     the tree above depth ``GROUP``; ``answers`` (gram, n, p) of every byte string of all
     texts; ``known``, those of at least ``floor`` training counts.  A context seen

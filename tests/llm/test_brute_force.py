@@ -113,10 +113,12 @@ class Tree:
 
 
 @pytest.mark.parametrize("depth", [1, 2, 4])
-def test_ctw_equals_plain_recursion(spark, depth):
+@pytest.mark.parametrize("bounds", [{}, {"least": 2}])
+def test_ctw_equals_plain_recursion(spark, depth, bounds):
+    """By default every context counts."""
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(2)
-    got = {r[0]: r[1] for r in lm_score.score(docs, F.col("doc_id") > 3, depth=depth).select("row.doc_id", "score").collect()}
-    tree = Tree(TEXTS[:4], depth)
+    got = {r[0]: r[1] for r in lm_score.score(docs, F.col("doc_id") > 3, depth=depth, **bounds).select("row.doc_id", "score").collect()}
+    tree = (Tree if bounds else WholeTree)(TEXTS[:4], depth)
     for i, t in enumerate(TEXTS):
         assert got[i] == pytest.approx(tree.score(t), rel=1e-4), (i, t)
 
@@ -148,12 +150,13 @@ def test_query_uses_contexts_seen_once(spark, tmp_path):
         assert rows[i]["score"] == pytest.approx(tree.score(t), rel=1e-5), (i, t)
 
 
-@pytest.mark.parametrize("bounds", [{"max_nodes": 0, "max_known": 0}, {"max_nodes": 400, "max_known": 30}])
+@pytest.mark.parametrize("bounds", [{"max_nodes": 0, "max_known": 0}, {"max_nodes": 400, "max_known": 30},
+                                    {"max_nodes": 0, "max_known": 0, "least": 2}, {"max_nodes": 400, "max_known": 30, "least": 2}])
 def test_no_bound_cuts_the_tree(spark, bounds):
     """However little a task takes at a time, texts are scored by the whole tree."""
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(2)
     got = {r[0]: r[1] for r in lm_score.score(docs, F.col("doc_id") > 3, depth=4, **bounds).select("row.doc_id", "score").collect()}
-    tree = Tree(TEXTS[:4], 4)
+    tree = (Tree if "least" in bounds else WholeTree)(TEXTS[:4], 4)
     for i, t in enumerate(TEXTS):
         assert got[i] == pytest.approx(tree.score(t), rel=1e-5), (i, t)
 

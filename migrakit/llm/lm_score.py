@@ -395,12 +395,13 @@ def train(cut: DataFrame, depth: int = 5, max_nodes: int = 2_000_000, max_known:
     # The top of the tree: at most 256^GROUP contexts, whatever the corpus.
     up = grown.where("kind = 1").groupBy("key").agg(F.sum("pw").alias("pw")).orderBy("key").toPandas()
     heads = grown.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0").orderBy("key").toPandas()
-    tree = [(np.zeros(0, np.uint64), np.zeros(0, np.float32), np.zeros(0, np.float32))] * (depth + 1)
+    # In double: next to 1, single precision rounds a rare bit's probability, or what is left for deeper contexts, to 0.
+    tree = [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))] * (depth + 1)
     whole = levels(heads["key"].to_numpy(np.uint64), heads["n"].to_numpy(np.int64), top - 1, 0,
                    (up["key"].to_numpy(np.uint64), up["pw"].to_numpy(np.float64)))
     for d, t in whole:
         seen = (t["n"] >= least) | (d == 0)
-        tree[d] = (t["key"][seen], t["one"][seen].astype(np.float32), t["own"][seen].astype(np.float32))
+        tree[d] = (t["key"][seen], t["one"][seen], t["own"][seen])
     shared = cut.sparkSession.sparkContext.broadcast(tree)
 
     def answer(batches):

@@ -161,6 +161,17 @@ def test_no_bound_cuts_the_tree(spark, bounds):
         assert got[i] == pytest.approx(tree.score(t), rel=1e-5), (i, t)
 
 
+def test_a_byte_against_very_many_has_a_finite_score(spark):
+    """After 20 million bytes of one kind another one is rare, not impossible."""
+    n = 20_000_000
+    docs = spark.range(1).select(F.lit(0).cast("long").alias("doc_id"), F.repeat(F.lit("a"), n).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(1, "``"), (2, "a`a``")], docs.schema))
+    got = {r[0]: r[1] for r in lm_score.score(docs, F.col("doc_id") > 0, depth=1).select("row.doc_id", "score").collect()}
+    # The second "`" follows a byte that was not seen: seven decisions as in "a", the eighth against all of them.
+    root = math.log10(.5 / (n + 1))
+    assert all(math.isfinite(x) for x in got.values()) and root * 6 < got[1] < root and got[2] < root
+
+
 def test_base_scores_and_held_out_gain(spark):
     rows = queries.QUERIES["op2_ctw_score"](spark, SF_SMALL).collect()
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}

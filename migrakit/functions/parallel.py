@@ -25,3 +25,12 @@ def let(x: Column, fn: Callable[[Column], Column]) -> Column:
     function: a lambda's argument is a value, an expression used in several
     places of its body is one evaluation each."""
     return F.get(F.transform(F.array(x), fn), F.lit(0))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out evenly, in turn, for costly per-row work that follows: a small
+    file is one or a few read tasks, however many rows it holds, and the largest
+    row groups would keep some cores busy while others wait.  Deal out the narrow
+    columns, before texts are built from them."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism))

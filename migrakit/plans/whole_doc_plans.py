@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.maps import set_key
+from ..functions.parallel import spread
 from ..operators import whole_docs as W
 from ..operators.documents import DEFAULT_CATALOG_KEY, JobParams, edit_json
 from ..sources import fixtures as fx
@@ -40,7 +41,8 @@ def _broken(doc: str) -> str:
 
 
 def _docs(spark: SparkSession, sf_dir: str, doc: str) -> DataFrame:
-    return fx.base(spark, sf_dir, "events").select("event_id", F.expr(_broken(doc)).alias("doc"))
+    events = spread(fx.base(spark, sf_dir, "events").select("event_id", "user_id", "event_type"))
+    return events.select("event_id", F.expr(doc).alias("doc"))
 
 
 def _oracle(doc: str, want: str, extra: str = "") -> str:
@@ -61,7 +63,7 @@ FROM (SELECT *, {doc} AS raw, {_sql_floor(f'({_VERSION})')} AS nv{extra} FROM ev
   ',"spark_conf":{{"own":"', {_USER}, '"}},"spark_version":"', nv, '"}}')"""))
 def q_cluster_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1, D3-D6, D9, D10 on whole cluster documents."""
-    return W.rewrite_docs(_docs(spark, sf_dir, _CLUSTER_DOC), "doc", lambda m: W.rewrite_cluster_doc(m, PARAMS))
+    return W.rewrite_docs(_docs(spark, sf_dir, _broken(_CLUSTER_DOC)), "doc", lambda m: W.rewrite_cluster_doc(m, PARAMS))
 
 
 @plan("job_rewrite", _oracle(_JOB_DOC, f"""concat('{{"job_clusters":[{{"job_cluster_key":"main","new_cluster":{{"aws_attributes":{{',
@@ -76,14 +78,14 @@ def q_cluster_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_job_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D7-D11, D14 on whole job documents."""
     p = JobParams(catalog=CATALOG, pause_status=PAUSE, existing_cluster_id=EXISTING_CLUSTER)
-    return W.rewrite_docs(_docs(spark, sf_dir, _JOB_DOC), "doc", lambda m: W.rewrite_job_doc(m, p))
+    return W.rewrite_docs(_docs(spark, sf_dir, _broken(_JOB_DOC)), "doc", lambda m: W.rewrite_job_doc(m, p))
 
 
 @plan("library_rewrite", _oracle(_LIB_DOC, f"""concat('{{"cluster_id":"', {_ID}, '","libraries":[{{"jar":"{VOLUME}/', {_USER},
   '.jar"}},{{"egg":"dbfs:/e.egg"}},{{"pypi":{{"package":"p', {_USER}, '","repo":"https://r"}}}}],"state":"ok"}}')"""))
 def q_library_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D5 on whole library answers."""
-    return W.rewrite_docs(_docs(spark, sf_dir, _LIB_DOC), "doc", lambda m: W.rewrite_library_doc(m, VOLUME))
+    return W.rewrite_docs(_docs(spark, sf_dir, _broken(_LIB_DOC)), "doc", lambda m: W.rewrite_library_doc(m, VOLUME))
 
 
 #: The same small document with a key repeated at the top, in an object, in an object of a list, or nowhere.
@@ -101,7 +103,7 @@ FROM (SELECT *, {_REPEATED} AS raw FROM events), (VALUES ('cluster'), ('job'), (
 def q_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2, D11, D12, D14 on documents that hold a key twice: set aside whole, at
     whatever depth; none fails the run or loses a value in silence."""
-    docs = fx.base(spark, sf_dir, "events").select("event_id", F.expr(_REPEATED).alias("doc"))
+    docs = _docs(spark, sf_dir, _REPEATED)
     rules = {"cluster": W.rewrite_docs(docs, "doc", lambda m: W.rewrite_cluster_doc(m, PARAMS)),
              "job": W.rewrite_docs(docs, "doc", lambda m: W.rewrite_job_doc(m, JobParams(catalog=CATALOG))),
              "edit": edit_json(docs, "doc", lambda m: set_key(m, "type", F.parse_json(F.lit('"e"')), "variant"))}

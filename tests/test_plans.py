@@ -2,6 +2,8 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from migrakit.operators.sync import plan_sync
 from migrakit.operators.verify import verify_counts
 from migrakit.sources import fixtures as fx
@@ -44,6 +46,18 @@ def test_documents_parse_once_and_do_not_shuffle_by_key(spark):
         assert set(exchanges) <= {"RoundRobinPartitioning"}, (name, exchanges)
 
 
+def test_document_rewrites_use_every_core(spark, tmp_path):
+    """One small file is one read task; its rows are rewritten by many, evenly."""
+    rows = [(i, i % 50, "click") for i in range(4000)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("job_rewrite", "cluster_rewrite", "library_rewrite", "repeated_keys"):
+        df = entry.queries()[name](spark, str(tmp_path))
+        exchanges = re.findall(r"Exchange (\w+)\((\d+)", _plan(df))
+        assert exchanges and all(k == "RoundRobinPartitioning" and int(n) >= 3 * spark.sparkContext.defaultParallelism for k, n in exchanges), name
+        sizes = [r[0] for r in df.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert len(sizes) >= 12 and max(sizes) < 2 * sum(sizes) / len(sizes), (name, sizes)
+
+
 def test_no_udf_anywhere(spark):
     for name, fn in load_all()[0].items():
         if name in ("copy_verify", "copy_outcomes", "resumable_copy", "sync_apply", "view_cut_over"):

@@ -83,8 +83,9 @@ def _hash(key: Column, tweak: str, i: Column, half: Column) -> Column:
     return F.conv(F.substring(s, 1, 15), 16, 10).cast("long")
 
 
-def _permute(key: Column, tweak: str, l: Column, r: Column, a: Column, b: Column, back: bool = False) -> Column:  # noqa: E741
-    """struct(l, r) permuted in Z_a x Z_b."""
+def _permute(key: Column | str, tweak: str, l: Column, r: Column, a: Column, b: Column, back: bool = False) -> Column:  # noqa: E741
+    """struct(l, r) permuted in Z_a x Z_b.  ``key``: a column, or the key itself."""
+    key = F.lit(key) if isinstance(key, str) else key
     start = F.struct(l.cast("long").alias("l"), r.cast("long").alias("r"))
     sign = -1 if back else 1
 

@@ -11,7 +11,9 @@ score is the sum of log10 of the mixed probabilities; its code length per byte
 is -score * log2(10) / bytes.
 
 How it runs.  Texts are cut once into blocks (a dictionary of words and a code
-per token), written to the shared folder.  Counts of byte strings of
+per token), written to the shared folder.  A block's long columns are compressed
+bytes, opened in a task one block at a time: what the JVM holds of a block is about
+half its text, not an array element per token.  Counts of byte strings of
 depth + 1 bytes are summed per task and shuffled: what is gathered grows with
 the corpus.  The tree is built where the counts lie, partitioned by the first
 ``GROUP`` context bytes, and every distinct byte string of all texts, held-out
@@ -36,6 +38,8 @@ table gives no rows.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -50,7 +54,7 @@ GROUP = 3
 #: Bytes of text in a block, at most (a longer text is a block of its own).
 BLOCK = 16 << 20
 #: Tokens worked on at a time.
-PIECE = 1 << 17
+PIECE = 1 << 16
 
 
 # --- blocks -------------------------------------------------------------------
@@ -68,15 +72,36 @@ def _block(raws):
     return words, np.concatenate(codes), np.array(counts, np.int32)
 
 
+def _packed(a) -> bytes:
+    """An array as compressed bytes."""
+    a, sink = a if isinstance(a, pa.Array) else pa.array(a), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("a", a.type)]), options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as w:
+        w.write_batch(pa.record_batch([a], names=["a"]))
+    return sink.getvalue().to_pybytes()
+
+
+def _opened(packed: pa.BinaryScalar) -> pa.Array:
+    return pa.ipc.open_stream(packed.as_buffer()).read_next_batch().column(0)
+
+
+def _give_back() -> None:
+    """Returns memory that was freed to the system: glibc keeps it, and a worker waits for
+    its next task beside a JVM that needs it."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def blocks(docs: DataFrame, held_out) -> DataFrame:
-    """(block, row, held, words, train, codes, tokens), written once.  ``row`` are
-    the packed rows of the texts, ``train`` the words' counts in training texts."""
+    """(row, block, learned, held, words, train, codes, tokens), written once.  ``row``
+    are the packed rows of the texts, ``learned`` the tokens of training texts,
+    ``train`` the words' counts there; from ``held`` on the columns are ``_packed``."""
     ship(docs.sparkSession)
     base = docs.select(packed_columns(docs, [c for c in docs.columns if c != "text"]), held_out.alias("held"),
                        F.encode(whole_text("text"), "UTF-8").alias("raw"))
     kind = base.schema["row"].dataType
     schema = StructType([StructField("row", ArrayType(kind)), *StructType.fromDDL(
-        "block long, held array<boolean>, words array<binary>, train array<int>, codes array<int>, tokens array<int>").fields])
+        "block long, learned long, held binary, words binary, train binary, codes binary, tokens binary").fields])
 
     def run(batches):
         from pyspark import TaskContext
@@ -88,10 +113,9 @@ def blocks(docs: DataFrame, held_out) -> DataFrame:
             held = np.concatenate([p.column(1).to_numpy(zero_copy_only=False) for p in parts]).astype(bool)
             words, codes, counts = _block(t.as_py() for p in parts for t in p.column(2))
             train = np.bincount(codes[np.repeat(~held, counts)], minlength=len(words)).astype(np.int32)
-            whole = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
             return pa.RecordBatch.from_arrays(
-                [whole(row), pa.array([number], pa.int64()), whole(pa.array(held)), whole(pa.array(words, pa.binary())),
-                 whole(pa.array(train)), whole(pa.array(codes)), whole(pa.array(counts))], names=schema.names)
+                [pa.ListArray.from_arrays(pa.array([0, len(row)], pa.int32()), row), pa.array([number], pa.int64()), pa.array([int(train.sum())], pa.int64()),
+                 *[pa.array([_packed(a)], pa.binary()) for a in (held, pa.array(words, pa.binary()), train, codes, counts)]], names=schema.names)
 
         for b in batches:
             ends = np.cumsum(pa.compute.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -107,8 +131,10 @@ def blocks(docs: DataFrame, held_out) -> DataFrame:
                     number, parts, size = number + 1, [], 0
         if parts:
             yield made()
+        _give_back()
 
-    return written(base.mapInArrow(run, schema), "lm-blocks")
+    # By default Parquet looks at the size of a page or row group after 100 rows: of these, more than a task holds.
+    return written(base.mapInArrow(run, schema), "lm-blocks", **{"parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1})
 
 
 def _grams(stream: np.ndarray, depth: int) -> np.ndarray:
@@ -336,18 +362,19 @@ def train(cut: DataFrame, depth: int = 5, max_nodes: int = 2_000_000, max_known:
             return _sums(every[order], np.concatenate([sums, *[c for _, c in waiting]])[order])
         for b in batches:
             for i in range(b.num_rows):
-                mask = ~b.column(0)[i].values.to_numpy(zero_copy_only=False).astype(bool)
-                words, codes, tokens = (b.column(c)[i].values for c in (1, 2, 3))
+                held_, words, codes, tokens = (_opened(c[i]) for c in b.columns)
+                mask = ~held_.to_numpy(zero_copy_only=False).astype(bool)
                 for g, text in _pieces(words, codes.to_numpy(), tokens.to_numpy(), depth):
                     learned = mask[text]
                     for part, times in ((g[learned], 1), (g[~learned], 0)):
                         k, c = np.unique(part, return_counts=True)
                         waiting.append((k, c * times))
                         held += len(k)
-                    if held > max(1_000_000, len(keys) // 2):
+                    if held > max(500_000, len(keys) // 2):
                         keys, sums = merged()
                         waiting, held = [], 0
         keys, sums = merged()
+        _give_back()
         for s in range(0, len(keys), 1 << 18):
             yield pa.RecordBatch.from_arrays([pa.array(keys[s:s + (1 << 18)].view(np.int64)), pa.array(sums[s:s + (1 << 18)])], ["gram", "n"])
 
@@ -468,10 +495,13 @@ def _lookup(table: dict, keys: np.ndarray):
 
 def _asked(words, codes, tokens, known: dict, depth: int) -> np.ndarray:
     """The distinct grams of a block that are not in ``known``, sorted."""
-    rare = np.zeros(0, np.uint64)
+    rare, waiting, held = np.zeros(0, np.uint64), [], 0
     for g, _ in _pieces(words, codes, tokens, depth):
-        rare = np.union1d(rare, g[~_lookup(known, g)[1]])
-    return rare
+        waiting.append(np.unique(g[~_lookup(known, g)[1]]))
+        held += len(waiting[-1])
+        if held > max(500_000, len(rare)):
+            rare, waiting, held = np.unique(np.concatenate([rare, *waiting])), [], 0
+    return np.unique(np.concatenate([rare, *waiting]))
 
 
 def _text_scores(words, codes, tokens, known: dict, rare: np.ndarray, values: np.ndarray, depth: int) -> np.ndarray:
@@ -486,25 +516,46 @@ def _text_scores(words, codes, tokens, known: dict, rare: np.ndarray, values: np
 
 
 def _answered(cut: DataFrame, model: dict, known, depth: int) -> DataFrame:
-    """(block, gram array, p array) of the byte strings of every block outside ``known``."""
+    """(block, gram, p) of the byte strings of every block outside ``known``, ``_packed``."""
     def ask(batches):
         for b in batches:
             for i in range(b.num_rows):
-                words, codes, tokens = (b.column(c)[i].values for c in (1, 2, 3))
+                words, codes, tokens = (_opened(b.column(c)[i]) for c in (1, 2, 3))
                 rare = _asked(words, codes.to_numpy(), tokens.to_numpy(), known.value, depth)
+                _give_back()
                 for s in range(0, len(rare), 1 << 18):
                     g = rare[s:s + (1 << 18)]
                     yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), b.column(0)[i].as_py()))], ["gram", "block"])
 
     def gather(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("gram").to_numpy().view(np.uint64))
-        listed = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a))
-        return pa.Table.from_arrays([rows.column("block")[:1], listed(rows.column("gram").to_numpy()[order]), listed(rows.column("p").to_numpy()[order])],
+        return pa.Table.from_arrays([rows.column("block")[:1], *[pa.array([_packed(rows.column(c).to_numpy()[order])], pa.binary()) for c in ("gram", "p")]],
                                     names=["block", "gram", "p"])
 
     asked = cut.select("block", "words", "codes", "tokens").mapInArrow(ask, "gram long, block long")
     return (asked.join(model["answers"].select("gram", "p"), "gram").select("block", "gram", "p")
-            .groupBy("block").applyInArrow(gather, "block long, gram array<long>, p array<float>"))
+            .groupBy("block").applyInArrow(gather, "block long, gram binary, p binary"))
+
+
+def _entries(batches):
+    """(block, pos, word, train) of every word of the blocks."""
+    for b in batches:
+        for i in range(b.num_rows):
+            words, train = (_opened(b.column(c)[i]) for c in (1, 2))
+            for s in range(0, len(words), 1 << 16):
+                w, n = words[s:s + (1 << 16)], train[s:s + (1 << 16)].cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), b.column(0)[i].as_py())), pa.array(np.arange(s, s + len(w), dtype=np.int32)), w, n],
+                                                 ["block", "pos", "word", "train"])
+
+
+def _told(rows: pa.Table) -> pa.Table:
+    """A block's words' counts in order, ``_packed``, and how many words seen in training have
+    their first block here."""
+    pos, c, new = (rows.column(k).to_numpy() for k in ("pos", "c", "new"))
+    counts = np.empty(len(c), np.int64)
+    counts[pos] = c
+    return pa.Table.from_arrays([rows.column("block")[:1], pa.array([_packed(counts)], pa.binary()), pa.array([int((new & (c > 0)).sum())])],
+                                names=["block", "c", "new"])
 
 
 def score(docs: DataFrame, held_out, depth: int = 5, **bounds) -> DataFrame:
@@ -514,15 +565,12 @@ def score(docs: DataFrame, held_out, depth: int = 5, **bounds) -> DataFrame:
     cut = blocks(docs, held_out)
     model = train(cut, depth, **bounds)
     by_word = Window.partitionBy("word")
-    told = (cut.select("block", F.posexplode(F.arrays_zip("words", "train")).alias("pos", "w"))
-            .select("block", "pos", F.col("w.words").alias("word"), F.col("w.train").cast("long").alias("train"))
+    told = (cut.select("block", "words", "train").mapInArrow(_entries, "block long, pos int, word binary, train long")
             .select("block", "pos", F.sum("train").over(by_word).alias("c"),
-                    (F.row_number().over(by_word.orderBy("block")) == 1).cast("long").alias("new")))
-    told = written(told.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "c"))).alias("c"),
-                                             F.sum(F.when(F.col("c") > 0, F.col("new"))).alias("new"))
-                   .select("block", F.col("c.c").alias("c"), "new"), "lm-counts")
+                    (F.row_number().over(by_word.orderBy("block")) == 1).alias("new")))
+    told = written(told.groupBy("block").applyInArrow(_told, "block long, c binary, new long"), "lm-counts")
     v = told.agg(F.sum("new")).first()[0] or 0
-    n = cut.agg(F.sum(F.aggregate("train", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    n = cut.agg(F.sum("learned")).first()[0] or 0
     known = cut.sparkSession.sparkContext.broadcast(model["known"])
     told = told.select("block", "c").join(written(_answered(cut, model, known, depth), "lm-answers"), "block", "left")
     joined = cut.select("block", "row", "held", "words", "codes", "tokens").join(told, "block").drop("block")
@@ -531,8 +579,9 @@ def score(docs: DataFrame, held_out, depth: int = 5, **bounds) -> DataFrame:
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                row, held, words, codes, tokens, c = (b.column(k)[i].values for k in range(6))
-                rare, values = (np.zeros(0) if (x := b.column(k)[i].values) is None else x.to_numpy() for k in (6, 7))
+                row = b.column(0)[i].values
+                held, words, codes, tokens, c = (_opened(b.column(k)[i]) for k in range(1, 6))
+                rare, values = (_opened(x).to_numpy() if (x := b.column(k)[i]).is_valid else np.zeros(0) for k in (6, 7))
                 codes, tokens, c = codes.to_numpy(), tokens.to_numpy(), c.to_numpy()
                 first = np.concatenate(([0], np.cumsum(tokens)[:-1]))
                 base = np.add.reduceat(np.log10(c + 1.0)[codes], first) - tokens * np.log10(n + v + 1.0)
@@ -543,6 +592,7 @@ def score(docs: DataFrame, held_out, depth: int = 5, **bounds) -> DataFrame:
                      pa.array(_text_scores(words, codes, tokens, known.value, rare.astype(np.int64).view(np.uint64), values, depth)),
                      pa.array(np.add.reduceat(size[codes].astype(np.int64), first))],
                     ["row", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
+                _give_back()
 
     return joined.mapInArrow(run, StructType([StructField("row", kind), *StructType.fromDDL(
         "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long").fields]))

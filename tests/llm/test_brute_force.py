@@ -198,6 +198,22 @@ def test_blocks_cut_anywhere_give_the_same(spark, monkeypatch):
         assert cut[d] == pytest.approx(whole[d], rel=1e-6)
 
 
+def test_a_block_takes_less_than_its_text(spark, monkeypatch):
+    """What executors hold and move of a block, which before was more than its text."""
+    monkeypatch.setattr(lm_score, "BLOCK", 200_000)
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefgh", k=rng.choice((3, 5, 7)))) for _ in range(5000)]
+    texts = [" ".join(rng.choices(words, [1 / i for i in range(1, 5001)], k=20_000)) for _ in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    cut = lm_score.blocks(docs, F.col("doc_id") > 9)
+    size, n = sum(map(len, texts)), cut.count()
+    assert n >= 6 and cut.drop("row").toArrow().nbytes < 0.6 * size
+    model = lm_score.train(cut, 5, max_known=0)
+    answers = lm_score._answered(cut, model, spark.sparkContext.broadcast(model["known"]), 5).toArrow()
+    asked = model["answers"].count()
+    assert answers.num_rows == n and answers.nbytes < 0.75 * n * asked * 12
+
+
 # --- 4: language ID --------------------------------------------------------------
 
 def test_language_id_on_held_out_rows(spark):

@@ -54,7 +54,7 @@ GROUP = 3
 #: Bytes of text in a block, at most (a longer text is a block of its own).
 BLOCK = 16 << 20
 #: Tokens worked on at a time.
-PIECE = 1 << 16
+PIECE = 1 << 15
 
 
 # --- blocks -------------------------------------------------------------------
@@ -133,8 +133,8 @@ def blocks(docs: DataFrame, held_out) -> DataFrame:
             yield made()
         _give_back()
 
-    # By default Parquet looks at the size of a page or row group after 100 rows: of these, more than a task holds.
-    return written(base.mapInArrow(run, schema), "lm-blocks", **{"parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1})
+    # A file a block: what a task reads goes to Python in one Arrow batch, which lies outside the heap more than once.
+    return written(base.mapInArrow(run, schema), "lm-blocks", maxRecordsPerFile=1)
 
 
 def _grams(stream: np.ndarray, depth: int) -> np.ndarray:

@@ -208,6 +208,7 @@ def test_a_block_takes_less_than_its_text(spark, monkeypatch):
     cut = lm_score.blocks(docs, F.col("doc_id") > 9)
     size, n = sum(map(len, texts)), cut.count()
     assert n >= 6 and cut.drop("row").toArrow().nbytes < 0.6 * size
+    assert len(cut.inputFiles()) == n
     model = lm_score.train(cut, 5, max_known=0)
     answers = lm_score._answered(cut, model, spark.sparkContext.broadcast(model["known"]), 5).toArrow()
     asked = model["answers"].count()
